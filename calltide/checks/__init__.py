@@ -1,0 +1,4 @@
+"""Checked queries; importing the modules fills the registry."""
+
+from calltide.checks import labels, parsing  # noqa: F401
+from calltide.checks.base import ORACLE, QUERIES  # noqa: F401

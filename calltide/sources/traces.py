@@ -50,7 +50,10 @@ def text_lines(
 def numbered_lines(
     rows: DataFrame, trace_id: Column, number: Column, value: Column, span: int = DEFAULT_SPAN
 ) -> DataFrame:
-    """Lines that already sit in a table with a number that is unique per trace."""
+    """Lines that already sit in a table with a number that is unique per trace.
+
+    Parse statistics count lines by that number, so there it must be consecutive.
+    """
     return rows.select(
         trace_id.alias("trace_id"),
         F.lit(0).cast("long").alias("block"),
