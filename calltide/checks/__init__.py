@@ -1,4 +1,4 @@
 """Checked queries; importing the modules fills the registry."""
 
-from calltide.checks import advice, aggregates, labels, parsing  # noqa: F401
+from calltide.checks import advice, aggregates, labels, parsing, reports  # noqa: F401
 from calltide.checks.base import ORACLE, QUERIES  # noqa: F401
