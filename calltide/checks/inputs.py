@@ -15,8 +15,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    calls = labelled(spark, folder)
-    return RuleModel.fit(calls).transform(calls)
+    return RuleModel.fit(event_calls(spark, folder)).transform(labelled(spark, folder))
 
 
 def cube(spark: SparkSession, folder: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltide.functions.scalar import call_priority
+from calltide.operators.label import latency_ratio
 
 SCORE_COLUMNS = (
     "high_latency_probability",
@@ -32,6 +33,9 @@ class RuleModel:
 
     @classmethod
     def fit(cls, calls: DataFrame) -> "RuleModel":
+        """One pass over two columns; catalogued calls need no labels for it."""
+        if "latency_ratio" not in calls.columns:
+            calls = calls.withColumn("latency_ratio", latency_ratio())
         row = calls.agg(F.avg(_log_ratio()), F.stddev_samp(_log_ratio())).first()
         return cls(float(row[0] or 0.0), float(row[1] or 0.0))
 
