@@ -1,4 +1,12 @@
 """Checked queries; importing the modules fills the registry."""
 
-from calltide.checks import advice, aggregates, labels, parsing, reports  # noqa: F401
+from calltide.checks import (  # noqa: F401
+    advice,
+    aggregates,
+    labels,
+    learning,
+    parsing,
+    reports,
+    streams,
+)
 from calltide.checks.base import ORACLE, QUERIES  # noqa: F401

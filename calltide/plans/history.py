@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from calltide.schemas import ANALYSIS, EXPORT
 
@@ -69,9 +70,13 @@ def _latest(df: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, "_row.*")
 
 
+def _dated(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("created_date", DateType(), True)])
+
+
 def history(spark: SparkSession, path: str, user_id: int | None = None, since: str | None = None) -> DataFrame:
     """Latest analysis per (user, trace); a date bound prunes partitions."""
-    rows = spark.read.schema(ANALYSIS.add("created_date", "date")).parquet(path)
+    rows = spark.read.schema(_dated(ANALYSIS)).parquet(path)
     if since is not None:
         rows = rows.filter(F.col("created_date") >= F.to_date(F.lit(since)))
     if user_id is not None:
@@ -80,7 +85,7 @@ def history(spark: SparkSession, path: str, user_id: int | None = None, since: s
 
 
 def exports(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
-    rows = spark.read.schema(EXPORT.add("created_date", "date")).parquet(path).drop("created_date")
+    rows = spark.read.schema(_dated(EXPORT)).parquet(path).drop("created_date")
     if user_id is not None:
         rows = rows.filter(F.col("user_id") == user_id)
     return _latest(rows, ["user_id", "trace_id", "export_format", "filename"])

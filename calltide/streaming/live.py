@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from calltide.schemas import EVENT, MESSAGE
 
@@ -40,3 +41,100 @@ def latency_bands(ring: DataFrame, user: str = "user_id") -> DataFrame:
         .withColumn("height_pct", F.greatest(F.least(share, F.lit(100.0)), F.lit(LOWEST_HEIGHT)))
         .drop("_top")
     )
+
+
+def read_messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of (user_id, value) from Parquet files dropped into a folder."""
+    reader = spark.readStream.schema("user_id long, value string")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
+def kafka_messages(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """Stream of (user_id, value) from a topic keyed by user; needs the Kafka package."""
+    rows = (
+        spark.readStream.format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("subscribe", topic)
+        .load()
+    )
+    return rows.select(
+        F.col("key").cast("string").try_cast("long").alias("user_id"), F.col("value").cast("string").alias("value")
+    )
+
+
+def parse_messages(raw: DataFrame) -> DataFrame:
+    """Messages as columns. What is not JSON is dropped, heartbeats are not
+    forwarded, and a message without a type is a call."""
+    schema = StructType([*MESSAGE.fields, StructField("_corrupt", StringType(), True)])
+    body = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = raw.select("user_id", body.alias("m")).filter(F.col("m").isNotNull() & F.col("m._corrupt").isNull())
+    typed = rows.select("user_id", "m.*").drop("_corrupt").withColumn("type", F.coalesce("type", F.lit("syscall")))
+    return typed.filter(F.col("type") != "heartbeat").withColumn(
+        "ts", F.try_to_timestamp("timestamp")
+    )
+
+
+def unpack_events(messages: DataFrame) -> DataFrame:
+    """One row per call event of single and batch messages."""
+    names = [f.name for f in EVENT.fields]
+    single = F.array(F.struct(*names))
+    events = F.when(F.col("type") == "syscall_batch", F.col("events")).when(F.col("type") == "syscall", single)
+    return (
+        messages.select("user_id", F.explode(events).alias("e"))
+        .select("user_id", "e.*")
+        .withColumn("ts", F.try_to_timestamp("timestamp"))
+    )
+
+
+def live_counters(events: DataFrame, user: str = "user_id") -> DataFrame:
+    """Events, slow and redundant events per user."""
+    return events.groupBy(user).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if("is_high_latency").alias("high_latency"),
+        F.count_if("is_redundant").alias("redundant"),
+    )
+
+
+def batch_ticks(events: DataFrame, size: str = "500 milliseconds", late: str | None = None) -> DataFrame:
+    """Events and slow events per user and tick. Streams pass ``late``, the time
+    a tick stays open; static rows need none."""
+    timed = events if late is None else events.withWatermark("ts", late)
+    return (
+        timed.groupBy("user_id", F.window("ts", size).alias("w"))
+        .agg(F.count(F.lit(1)).alias("events"), F.count_if("is_high_latency").alias("high_latency"))
+        .select("user_id", F.col("w.start").alias("tick"), "events", "high_latency")
+    )
+
+
+def agent_presence(messages: DataFrame) -> DataFrame:
+    """Per user: online or offline, platform and when last heard of."""
+    known = F.when(F.col("platform") != "unknown", F.col("platform"))
+    return messages.groupBy("user_id").agg(
+        F.max_by(
+            F.when(F.col("type") == "agent_offline", "offline").otherwise("online"), F.col("ts")
+        ).alias("status"),
+        F.max_by(known, F.when(known.isNotNull(), F.col("ts"))).alias("platform"),
+        F.max("ts").alias("last_seen"),
+    )
+
+
+def latest_snapshots(messages: DataFrame) -> DataFrame:
+    """The newest process list of every host, still as an array."""
+    return (
+        messages.filter(F.col("type") == "process_snapshot")
+        .groupBy("user_id", "hostname")
+        .agg(
+            F.max_by("processes", "ts").alias("processes"),
+            F.max("ts").alias("ts"),
+        )
+        .withColumn("count", F.size("processes"))
+    )
+
+
+def snapshot_processes(snapshots: DataFrame) -> DataFrame:
+    return snapshots.select("user_id", "hostname", "ts", F.explode("processes").alias("p")).select(
+        "user_id", "hostname", "ts", "p.*"
+    )
+
