@@ -3,6 +3,7 @@
 from calltide.checks import (  # noqa: F401
     advice,
     aggregates,
+    clocks,
     labels,
     learning,
     parsing,

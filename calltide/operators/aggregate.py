@@ -67,8 +67,15 @@ def summary(
     tails = quantiles(scored, "latency_us", {"p95_latency": 0.95, "p99_latency": 0.99}, keys, approx)
     if keys:
         return totals.join(tails, list(keys), "left")
-    # Both sides are single rows.
-    return totals.withColumn("_one", F.lit(1)).join(tails.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return side_by_side(totals, tails)
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """The columns of several one-row tables in one row, without a join."""
+    stacked = rows[0]
+    for row in rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def by_syscall(cube: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions.scalar import severity_icon, type_title
+from calltide.operators.aggregate import side_by_side
 
 TITLE = "System Call Optimization"
 
@@ -369,13 +370,16 @@ _BENCHMARK_FORMAT = """# {title} Benchmark Report
 """
 
 
-def benchmark_report(latency: DataFrame, cpu: DataFrame, throughput: DataFrame, calls_per_iteration: int, generated: str) -> DataFrame:
+def benchmark_report(
+    latency: DataFrame, cpu: DataFrame, throughput: DataFrame, calls_per_iteration: int, generated: str
+) -> DataFrame:
     """One row with the benchmark as JSON and Markdown, from the three roll-ups
     (one row each)."""
+
     def named(df, prefix):
-        return df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns], F.lit(1).alias("_one"))
+        return df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
-    row = named(latency, "latency").join(named(cpu, "cpu"), "_one").join(named(throughput, "throughput"), "_one")
+    row = side_by_side(named(latency, "latency"), named(cpu, "cpu"), named(throughput, "throughput"))
     document = F.struct(
         F.struct(
             F.col("latency_iterations").alias("iterations"),
