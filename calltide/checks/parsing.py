@@ -13,10 +13,10 @@ from calltide.operators.parse import (
     parse_stats,
     parse_summary,
     return_code,
-    stripped,
     summary_traces,
 )
 from calltide.schemas import CALL
+from calltide.session import materialise
 from calltide.sources.records import as_events, calls_from_json, calls_to_json
 from calltide.sources.tables import event_calls, table
 from calltide.sources.traces import numbered_lines, text_lines
@@ -67,15 +67,13 @@ def event_lines(spark, folder):
         .otherwise(
             F.concat(
                 c("pid"), F.lit(" "), clock, F.lit(" "), c("syscall_name"), F.lit("("), k, F.lit(", "),
-                c("_value"), F.lit(") = "), c("return_value"), F.lit(" <0.0"), k3, F.lit(">"),
+                c("value"), F.lit(") = "), c("return_value"), F.lit(" <0.0"), k3, F.lit(">"),
             )
         )
     )
-    calls = event_calls(spark, folder).join(
-        table(spark, folder, "events").select(F.col("event_id").alias("syscall_id"), F.col("value").alias("_value")),
-        "syscall_id",
-    )
-    return numbered_lines(calls, F.col("trace_id"), F.col("syscall_id"), text, span=1000)
+    calls = event_calls(spark, folder, keep=("value",))
+    # Stored, as lines are when they come from trace files.
+    return materialise(numbered_lines(calls, F.col("trace_id"), F.col("syscall_id"), text, span=1000), "lines")
 
 
 _PARSED_SQL = f"""parsed AS (
@@ -143,7 +141,7 @@ def document_lines(spark, folder):
                  OR contains(line, '<unfinished') OR contains(line, 'resumed>')) AS noise FROM l""",
 )
 def noise_lines(spark, folder):
-    noise = is_noise(stripped())
+    noise = is_noise(F.col("value"))
     return document_lines(spark, folder).agg(
         F.count(F.lit(1)).alias("lines"), F.count_if(noise).alias("noise")
     )

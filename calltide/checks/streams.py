@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from calltide.checks.base import check, views
 from calltide.checks.inputs import labelled, r6
 from calltide.operators.score import RuleModel
-from calltide.session import scratch_path
+from calltide.session import materialise, scratch_path
 from calltide.sources.tables import event_calls, table
 from calltide.streaming import live, state
 
@@ -14,6 +14,7 @@ _PARTS = 4
 
 def _write_in_order(df, order: str, path: str, parts: int = _PARTS) -> None:
     """The rows as a few folders' worth of files, older ids first, as a feed would."""
+    df = materialise(df, "feed")
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = (high - low) // parts + 1
     for i in range(parts):

@@ -50,9 +50,12 @@ def split_by_id(
     return chunked, Layout(key, ("_chunk",), (order,))
 
 
-def with_recent(df: DataFrame, layout: Layout, value: str, depth: int) -> DataFrame:
+def with_recent(
+    df: DataFrame, layout: Layout, value: str, depth: int, index: str | None = None
+) -> DataFrame:
     """Adds ``_prev_1`` .. ``_prev_depth`` (the values before this row in its key)
-    and ``_n_prev`` (how many there are, at most ``depth``)."""
+    and ``_n_prev`` (how many there are, at most ``depth``). With ``index``, also
+    the dense 0-based place in the key, from the same window."""
     inside = layout.inside()
     rows = df.withColumns(
         {"_pos": F.row_number().over(inside)}
@@ -70,20 +73,23 @@ def with_recent(df: DataFrame, layout: Layout, value: str, depth: int) -> DataFr
     )
     # Every chunk holds a row or more, so the `depth` chunks before reach far enough.
     before = layout.across().rowsBetween(-depth, -1)
-    carry = tails.select(
-        *layout.cell,
-        F.slice(F.flatten(F.reverse(F.collect_list("_tail").over(before))), 1, depth).alias("_carry"),
-    )
-    joined = rows.join(carry, layout.cell)
-    return joined.withColumns(
-        {
-            f"_prev_{i}": F.when(F.col("_pos") > i, F.col(f"_lag_{i}")).otherwise(
-                F.get("_carry", F.lit(i) - F.col("_pos"))
-            )
-            for i in range(1, depth + 1)
-        }
-        | {"_n_prev": F.least(F.col("_pos") - 1 + F.size("_carry"), F.lit(depth))}
-    ).drop("_pos", "_carry", *[f"_lag_{i}" for i in range(1, depth + 1)])
+    carried = {"_carry": F.slice(F.flatten(F.reverse(F.collect_list("_tail").over(before))), 1, depth)}
+    if index is not None:
+        tails = tails.join(df.groupBy(*layout.cell).agg(F.count(F.lit(1)).alias("_rows")), layout.cell)
+        earlier = layout.across().rowsBetween(Window.unboundedPreceding, -1)
+        carried["_off"] = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    carry = tails.select(*layout.cell, *[expr.alias(name) for name, expr in carried.items()])
+    added = {
+        f"_prev_{i}": F.when(F.col("_pos") > i, F.col(f"_lag_{i}")).otherwise(
+            F.get("_carry", F.lit(i) - F.col("_pos"))
+        )
+        for i in range(1, depth + 1)
+    }
+    added["_n_prev"] = F.least(F.col("_pos") - 1 + F.size("_carry"), F.lit(depth))
+    if index is not None:
+        added[index] = F.col("_off") + F.col("_pos") - 1
+    joined = rows.join(carry, layout.cell).withColumns(added)
+    return joined.drop("_pos", *carried, *[f"_lag_{i}" for i in range(1, depth + 1)])
 
 
 def with_running(df: DataFrame, layout: Layout, sums: dict[str, Column]) -> DataFrame:

@@ -94,9 +94,12 @@ def mark_redundant(
     span: int = DEFAULT_SPAN,
     layout: Layout | None = None,
     name: str = "is_redundant",
+    index: str | None = None,
 ) -> DataFrame:
     """Marks calls that repeat what came just before them.
 
+    ``index`` names a column to hold the dense number of the call in its trace.
+
     ``trace``: at least 3 of the 5 calls before have the same name.
     ``generator``: more than half of the (up to) 10 calls before have it.
     ``both``: adds ``<name>_trace`` and ``<name>_generator`` from one pass.
@@ -106,7 +109,7 @@ def mark_redundant(
     if layout is None:
         calls, layout = split_by_id(calls, key, order, span)
     depth = TRACE_WINDOW if rule == "trace" else GENERATOR_WINDOW
-    marked = with_recent(calls, layout, "syscall_name", depth)
+    marked = with_recent(calls, layout, "syscall_name", depth, index)
     if rule == "both":
         marked = marked.withColumn(f"{name}_trace", _trace_rule()).withColumn(
             f"{name}_generator", _generator_rule()
@@ -124,9 +127,10 @@ def label(
     key: tuple[str, ...] | str = "trace_id",
     span: int = DEFAULT_SPAN,
     layout: Layout | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """All labels of catalogued calls with a latency: one shuffle of the rows."""
-    marked = mark_redundant(calls, rule=redundancy, key=key, span=span, layout=layout)
+    marked = mark_redundant(calls, rule=redundancy, key=key, span=span, layout=layout, index=index)
     return (
         marked.withColumn("latency_ratio", latency_ratio())
         .withColumn("is_high_latency", is_high_latency(slow))

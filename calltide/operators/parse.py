@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calltide.operators.chunks import DEFAULT_SPAN, with_index, with_running
+from calltide.operators.chunks import with_running
 from calltide.operators.label import (
     attach_catalog,
     is_high_latency,
@@ -38,15 +38,10 @@ def stripped(value: str = "value") -> Column:
     return F.btrim(F.col(value), F.lit(_BLANKS))
 
 
-def is_noise(line: Column) -> Column:
+def is_noise(value: Column) -> Column:
     """Blank lines, signals, exits and the halves of interrupted calls."""
-    return (
-        (line == "")
-        | line.startswith("---")
-        | line.startswith("+++")
-        | line.contains("<unfinished")
-        | line.contains("resumed>")
-    )
+    start = F.substring(F.btrim(value, F.lit(_BLANKS)), 1, 3)
+    return start.isin("", "---", "+++") | value.contains("<unfinished") | value.contains("resumed>")
 
 
 def _cut(lines: DataFrame, pattern: str, groups: list[int]) -> DataFrame:
@@ -54,15 +49,16 @@ def _cut(lines: DataFrame, pattern: str, groups: list[int]) -> DataFrame:
 
     One run of the pattern per line: the match is rewritten with separators and
     split. Free-text groups come last, so a separator inside them is kept. The
-    rewrite sits under a generator to keep the filter above from repeating it.
+    fields come out of a generator, which keeps filters on them from running
+    the pattern again. No line that matches starts with a separator.
     """
-    rewritten = F.regexp_replace("_line", pattern, "".join(f"{_SEP}${g}" for g in groups))
+    line = stripped()
+    rewritten = F.regexp_replace(line, pattern, "".join(f"{_SEP}${g}" for g in groups))
+    fields = F.split(rewritten, _SEP, len(groups) + 1)
     return (
-        lines.filter(~F.col("_line").startswith(_SEP))
-        .select("*", F.explode(F.array(rewritten)).alias("_cut"))
-        .filter(F.col("_cut").startswith(_SEP))
-        .withColumn("_f", F.split("_cut", _SEP, len(groups) + 1))
-        .drop("_cut")
+        lines.filter((line != "") & ~line.startswith(_SEP))
+        .select("*", F.explode(F.array(fields)).alias("_f"))
+        .filter(F.col("_f")[0] == "")
     )
 
 
@@ -72,8 +68,7 @@ def match_lines(lines: DataFrame) -> DataFrame:
     ``is_bad`` marks a line whose duration is not a number: it is reported as a
     parse error and is no call.
     """
-    clean = lines.withColumn("_line", stripped()).filter(~is_noise(F.col("_line")))
-    found = _cut(clean, CALL_PATTERN, [1, 2, 3, 5, 6, 8, 7, 4])
+    found = _cut(lines.filter(~is_noise(F.col("value"))), CALL_PATTERN, [1, 2, 3, 5, 6, 8, 7, 4])
     field = lambda i: F.col("_f")[i]
     blank_to_null = lambda c: F.nullif(c, F.lit(""))
     keep = [c for c in lines.columns if c != "value"]
@@ -132,9 +127,7 @@ def summary_section(lines: DataFrame) -> DataFrame:
 
 def parse_summary(lines: DataFrame) -> DataFrame:
     """Rows of summary tables."""
-    found = _cut(
-        summary_section(lines).withColumn("_line", stripped()), SUMMARY_PATTERN, [1, 2, 3, 4, 5, 6]
-    )
+    found = _cut(summary_section(lines), SUMMARY_PATTERN, [1, 2, 3, 4, 5, 6])
     keep = [c for c in lines.columns if c != "value"]
     field = lambda i: F.col("_f")[i]
     return found.select(
@@ -209,8 +202,7 @@ def calls_from_lines(lines: DataFrame, duration_unit: str = "s", stage: bool = T
     parsed = parse_calls(lines.join(summaries, "trace_id", "left_anti"), duration_unit)
     if stage:
         parsed = materialise(parsed, "parsed")
-    numbered = with_index(parsed, LINES, "syscall_id")
-    calls = label(numbered, layout=LINES).withColumn("source", F.lit("strace"))
+    calls = label(parsed, layout=LINES, index="syscall_id").withColumn("source", F.lit("strace"))
     expanded = expand_summary(parse_summary(lines.join(summaries, "trace_id", "left_semi")))
     return _as_call_records(calls).unionByName(_as_call_records(expanded), allowMissingColumns=True)
 
@@ -221,10 +213,8 @@ def parse_stats(lines: DataFrame, first_errors: int = 10) -> DataFrame:
     Blank lines before the first and after the last line of text do not count.
     Per-piece counts are combined map-side; only error lines are ranked.
     """
-    position = [*LINES.cell, "line_seq"]
     summaries = summary_traces(lines)
     plain = lines.join(summaries, "trace_id", "left_anti")
-    matched = match_lines(plain).select(*position, "is_bad")
 
     text_seq = F.when(stripped() != "", F.col("line_seq"))
     pieces = plain.groupBy(*LINES.cell).agg(
@@ -244,19 +234,21 @@ def parse_stats(lines: DataFrame, first_errors: int = 10) -> DataFrame:
         F.min("_from").alias("_from"),
         F.coalesce(F.max("_to") - F.min("_from") + 1, F.lit(1)).alias("_lines"),
     )
-    counts = matched.groupBy("trace_id").agg(
+    counts = match_lines(plain).groupBy("trace_id").agg(
         F.count_if(~F.col("is_bad")).alias("_ok"), F.count_if("is_bad").alias("_bad")
     )
-    # Only the error lines themselves are read again for their text and number.
+    # A duration that is no number has two dots or nothing but one; few lines
+    # pass that and are matched again for their text and number.
+    suspect = F.col("value").rlike(r"<(?:\d*\.\d*\.[\d.]*|\.)>\s*$")
     bad = (
-        plain.join(matched.filter("is_bad").drop("is_bad"), position, "left_semi")
+        match_lines(plain.filter(suspect))
+        .filter("is_bad")
         .join(placed.select(*LINES.cell, "_min", "_off"), LINES.cell)
         .join(spans.select("trace_id", "_from"), "trace_id")
         .withColumn("_no", F.col("line_seq") - F.col("_min") + F.col("_off") - F.col("_from") + 1)
     )
     by_number = Window.partitionBy("trace_id").orderBy("_no")
-    duration = F.regexp_extract(stripped(), r"<([\d.]+)>\s*$", 1)
-    message = F.format_string("Line %d: could not convert string to float: '%s'", F.col("_no"), duration)
+    message = F.format_string("Line %d: could not convert string to float: '%s'", "_no", "duration_text")
     messages = (
         bad.withColumn("_rank", F.row_number().over(by_number))
         .filter(F.col("_rank") <= first_errors)

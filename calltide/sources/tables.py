@@ -37,8 +37,9 @@ def _event_name() -> Column:
     return F.when(k >= 95, "custom_call").when(k < 80, usual).otherwise(rare)
 
 
-def event_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalogued calls made from `events`; `event_id` is the call id."""
+def event_calls(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Catalogued calls made from `events`; `event_id` is the call id. ``keep``
+    names columns of the table to carry along."""
     user = F.col("user_id")
     rows = table(spark, folder, "events").withColumn(
         "k", F.regexp_extract("props", "([0-9]+)", 1).cast("int")
@@ -66,7 +67,7 @@ def event_calls(spark: SparkSession, folder: str) -> DataFrame:
     return (
         attach_catalog(calls)
         .withColumn("latency_us", F.col("base_latency_us") * F.col("value") / 50)
-        .drop("value")
+        .drop(*({"value"} - set(keep)))
     )
 
 
