@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from calltide.checks.base import check, hash01, views
 from calltide.checks.inputs import cube, labelled, r6, scored
+from calltide.functions.scalar import fixed
 from calltide.operators import process as proc
 from calltide.operators import recommend as rec
 from calltide.operators import whatif
@@ -174,7 +175,7 @@ _ACTIONS_SQL = """concat_ws(';',
 
 
 def _action_text(actions):
-    value = lambda a: F.when(a["value"].isNull(), "").otherwise(F.format_string("%.4f", a["value"]))
+    value = lambda a: F.when(a["value"].isNull(), "").otherwise(fixed(a["value"], 4))
     return F.concat_ws(";", F.transform(actions, lambda a: F.concat(a["type"], F.lit(":"), value(a))))
 
 

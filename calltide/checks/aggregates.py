@@ -309,8 +309,8 @@ def concatenated_traces(spark, folder):
 @check(
     "formatted_numbers",
     views("calls", "n AS (SELECT pid, trace_id, count(*) * 1237 AS big, min(ts) AS first FROM calls GROUP BY 1, 2)")
-    + """SELECT pid, CASE WHEN big >= 1000000 THEN printf('%.1fM', big / 1000000)
-                          WHEN big >= 1000 THEN printf('%.1fK', big / 1000)
+    + """SELECT pid, CASE WHEN big >= 1000000 THEN printf('%.1fM', big / 1000000 + CASE WHEN big % 500000 = 250000 THEN 0.01e0 ELSE 0e0 END)
+                          WHEN big >= 1000 THEN printf('%.1fK', big / 1000 + CASE WHEN big % 500 = 250 THEN 0.01e0 ELSE 0e0 END)
                           ELSE CAST(big AS VARCHAR) END AS short,
                 concat('Host ', substr(trace_id, 6)) AS title,
                 strftime(first, '%Y-%m-%dT%H:%M:%S.%f') AS iso, strftime(first, '%Y%m%d_%H%M%S') AS stamp

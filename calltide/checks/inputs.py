@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calltide.checks.base import NUDGE
 from calltide.operators.aggregate import call_cube
 from calltide.operators.label import label
 from calltide.operators.score import RuleModel
@@ -23,4 +24,5 @@ def cube(spark: SparkSession, folder: str, keys: tuple[str, ...] = ()) -> DataFr
 
 
 def r6(name: str, column: str | None = None):
-    return F.round(F.col(column or name), 6).alias(name)
+    """Rounded like ``round(x, 6)`` in the SQL of the checks."""
+    return F.round(F.col(column or name) + NUDGE, 6).alias(name)

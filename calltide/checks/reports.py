@@ -121,7 +121,7 @@ def _section_sql(number: int) -> str:
         SELECT r.trace_id, r.seq,
                CASE type WHEN 'high_latency' THEN 1 WHEN 'redundancy' THEN 2 ELSE 4 END AS section,
                CASE type
-                 WHEN 'high_latency' THEN printf({_q(report.SLOW_FORMAT)}, r.syscall, r.count, avg_latency, recommendation,
+                 WHEN 'high_latency' THEN printf({_q(report.SLOW_FORMAT)}, r.syscall, r.count, printf('%.2f', avg_latency), recommendation,
                    replace(coalesce(u.commands, {_q(report.MANUAL_REVIEW)}), '{{syscall}}', r.syscall))
                  WHEN 'redundancy' THEN printf('# %s: %d redundant calls detected' || chr(10) || '# %s' || chr(10)
                    || 'echo "  ℹ %s: %d redundant calls to optimize in application code"' || chr(10),
@@ -134,7 +134,7 @@ def _section_sql(number: int) -> str:
                    FROM pieces GROUP BY trace_id)
       SELECT s.trace_id, concat_ws(chr(10), {_q(report.SCRIPT_HEAD.format(title=report.TITLE, generated=GENERATED))},
                printf({_q(report.SUMMARY_FORMAT)}, total_syscalls, high_latency_count, optimization_candidates,
-                      anomalies_detected, avg_latency), s1, s2, s4, {_q(report.SCRIPT_TAIL)}) AS content
+                      anomalies_detected, printf('%.2f', avg_latency)), s1, s2, s4, {_q(report.SCRIPT_TAIL)}) AS content
       FROM s LEFT JOIN sections x ON x.trace_id = s.trace_id""",
 )
 def tuning_script(spark, folder):
@@ -228,7 +228,7 @@ def json_report(spark, folder):
       SELECT s.trace_id, concat_ws(chr(10),
                {_q(f'# {report.TITLE} Report' + chr(10) + chr(10) + f'**Generated:** {GENERATED}' + chr(10))},
                printf({_q(report._SUMMARY_TABLE)}, total_syscalls, high_latency_count, optimization_candidates,
-                      anomalies_detected, avg_latency, p95_latency),
+                      anomalies_detected, printf('%.2f', avg_latency), printf('%.2f', p95_latency)),
                CASE WHEN body IS NOT NULL THEN {_q('## Recommendations' + chr(10))} END, coalesce(body, '')) AS content
       FROM s LEFT JOIN b ON b.trace_id = s.trace_id""",
 )

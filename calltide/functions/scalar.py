@@ -34,11 +34,22 @@ def progress(score: Column) -> Column:
     return F.least(score * 10, F.lit(100.0))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounding the exact binary value
+    half to even, as C and Python do (Java's own formats round its shortest text)."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 def short_number(value: Column) -> Column:
-    """1234 -> 1.2K, 1234567 -> 1.2M."""
+    """1234 -> 1.2K, 1234567 -> 1.2M; exact halves (1250) go up."""
+
+    def scaled(unit: int, letter: str) -> Column:
+        half = (value % unit).isin(unit // 4, 3 * unit // 4)
+        return F.concat(fixed(value / float(unit) + F.when(half, 0.01).otherwise(0.0), 1), F.lit(letter))
+
     return (
-        F.when(value >= 1000000, F.format_string("%.1fM", value / 1000000.0))
-        .when(value >= 1000, F.format_string("%.1fK", value / 1000.0))
+        F.when(value >= 1000000, scaled(1000000, "M"))
+        .when(value >= 1000, scaled(1000, "K"))
         .otherwise(value.cast("string"))
     )
 

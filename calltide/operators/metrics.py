@@ -11,7 +11,7 @@ def attach_metrics(
     samples: DataFrame,
     key: str = "pid",
     time: str = "ts",
-    width_us: int = 60_000_000,
+    width_us: int = 1_000_000,
 ) -> DataFrame:
     """Adds the columns of the latest sample with ``time`` <= the call's, per key.
 

@@ -114,15 +114,20 @@ class CallModel:
         The prepared rows are written once: boosting reads them ``iterations``
         times and must not parse and label again.
         """
-        fitted = call_inputs().fit(call_features(calls))
-        prepared = fitted.transform(call_features(calls)).select(
+        plain = [c for c in CALL_FEATURES if not c.endswith("_encoded")]
+        rows = call_features(calls).select(
             *key,
-            "features",
-            *[c for c in CALL_FEATURES],
+            *CALL_LABELS,
+            *plain,
             F.col("is_high_latency").cast("double").alias("y_high"),
             F.col("needs_optimization").cast("double").alias("y_opt"),
         )
-        split = materialise(hash_split(prepared, *key), "training")
+        rows = materialise(hash_split(rows, *key), "features")
+        fitted = call_inputs().fit(rows)
+        prepared = fitted.transform(rows).select(
+            *key, "features", *CALL_FEATURES, "y_high", "y_opt", "part"
+        )
+        split = materialise(prepared, "training")
         train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
 
         latency = GBTClassifier(

@@ -196,24 +196,31 @@ def calls_from_lines(lines: DataFrame, duration_unit: str = "s", stage: bool = T
 
     With ``stage`` the parsed calls are written once to the shared folder, so
     that the pattern runs once per line while numbering and labelling read a
-    few columns of the stage.
+    few columns of the stage. The list of summary traces is written too: the
+    join with the lines then knows its true size and broadcasts it if small.
     """
     summaries = summary_traces(lines)
+    tables = lines.join(summaries, "trace_id", "left_semi")
+    if stage:
+        summaries = materialise(summaries, "summaries")
+        tables = materialise(lines.join(summaries, "trace_id", "left_semi"), "tables")
     parsed = parse_calls(lines.join(summaries, "trace_id", "left_anti"), duration_unit)
     if stage:
         parsed = materialise(parsed, "parsed")
     calls = label(parsed, layout=LINES, index="syscall_id").withColumn("source", F.lit("strace"))
-    expanded = expand_summary(parse_summary(lines.join(summaries, "trace_id", "left_semi")))
+    expanded = expand_summary(parse_summary(tables))
     return _as_call_records(calls).unionByName(_as_call_records(expanded), allowMissingColumns=True)
 
 
-def parse_stats(lines: DataFrame, first_errors: int = 10) -> DataFrame:
+def parse_stats(lines: DataFrame, first_errors: int = 10, stage: bool = True) -> DataFrame:
     """Parsed and skipped lines and the first errors of every trace.
 
     Blank lines before the first and after the last line of text do not count.
     Per-piece counts are combined map-side; only error lines are ranked.
     """
     summaries = summary_traces(lines)
+    if stage:
+        summaries = materialise(summaries, "summaries")
     plain = lines.join(summaries, "trace_id", "left_anti")
 
     text_seq = F.when(stripped() != "", F.col("line_seq"))
@@ -268,6 +275,8 @@ def parse_stats(lines: DataFrame, first_errors: int = 10) -> DataFrame:
         )
     )
     tables = lines.join(summaries, "trace_id", "left_semi")
+    if stage:
+        tables = materialise(tables, "tables")
     summary_stats = (
         summaries.join(
             parse_summary(tables).groupBy("trace_id").agg(F.count(F.lit(1)).alias("_ok")),

@@ -14,7 +14,10 @@ _SHIFT = 1100 * _PER_OCTAVE
 def _band(value: Column) -> Column:
     """A whole number that rises with the value."""
     size = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE) + _SHIFT
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    band = F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    # Never null: the optimiser then infers the same filters for both readers of
+    # the value counts, and the second reuses the shuffle of the first.
+    return F.coalesce(band, F.lit(0).cast("long"))
 
 
 def quantiles(
@@ -36,6 +39,8 @@ def quantiles(
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull())
+    for key in keys:
+        known = known.filter(F.col(key).isNotNull())
     if approx:
         return known.groupBy(*keys).agg(
             *[F.percentile_approx(value, p, 10000).alias(name) for name, p in probs.items()]
@@ -78,9 +83,13 @@ def quantiles(
         ),
     ).filter(F.size("_want") > 0)
 
+    targets = wanted.select(*cell, "_band", "_before", "_want")
+    if not keys:
+        # At most two bands per entry of `probs`.
+        targets = F.broadcast(targets)
     in_band = Window.partitionBy(*cell, "_band").orderBy("_value")
     hits = (
-        counts.join(wanted.select(*cell, "_band", "_before", "_want"), [*cell, "_band"])
+        counts.join(targets, [*cell, "_band"])
         .withColumn("_upto", F.col("_before") + F.sum("_n").over(in_band))
         .select(
             *cell,

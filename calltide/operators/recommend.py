@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calltide.functions.scalar import type_label
+from calltide.functions.scalar import fixed, type_label
 
 # Texts of the recommendations.
-SLOW_TEXT = "Consider batching or caching %s calls. Average latency: %.2fμs"
+SLOW_TEXT = "Consider batching or caching %s calls. Average latency: %sμs"
 REDUNDANT_TEXT = "Eliminate redundant %s calls. Detected %d potentially redundant calls."
 ANOMALY_TEXT = (
     "Investigate %d anomalous syscall patterns. "
@@ -50,7 +50,7 @@ def _shape(df: DataFrame, keys, kind: str, severity: str, rank: Column, text: Co
 
 def slow_recommendations(cube: DataFrame, keys: tuple[str, ...] = (), k: int = 5) -> DataFrame:
     found = _offenders(cube, keys, "n_slow", "slow_latency_sum", "slow_first", k)
-    text = F.format_string(SLOW_TEXT, "syscall_name", "avg_latency")
+    text = F.format_string(SLOW_TEXT, "syscall_name", fixed(F.col("avg_latency"), 2))
     return _shape(found, keys, "high_latency", "high", F.col("_rank"), text)
 
 

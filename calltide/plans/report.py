@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.functions.scalar import severity_icon, type_title
+from calltide.functions.scalar import fixed, severity_icon, type_title
 from calltide.operators.aggregate import side_by_side
 
 TITLE = "System Call Optimization"
@@ -96,7 +96,7 @@ SUMMARY_FORMAT = """# === Analysis Summary ===
 # High latency calls: %d
 # Optimization candidates: %d
 # Anomalies detected: %d
-# Average latency: %.2f μs
+# Average latency: %s μs
 """
 SECTION_HEADS = {
     1: ("1. HIGH LATENCY SYSCALL OPTIMIZATIONS", "[1/4] Applying high-latency optimizations..."),
@@ -132,7 +132,7 @@ echo "=========================================="
 echo "  Re-run strace analysis to measure improvement."
 """
 SLOW_FORMAT = """# Syscall: %s
-# Issue: %d calls with avg latency %.2f μs
+# Issue: %d calls with avg latency %s μs
 # Recommendation: %s
 %s"""
 REDUNDANT_FORMAT = """# %1$s: %2$d redundant calls detected
@@ -158,6 +158,14 @@ echo "  ℹ PID %1$d: Code-level optimization recommended\"""",
 }
 
 
+def _two(column: str) -> Column:
+    return fixed(F.col(column), 2)
+
+
+def _whole(column: str) -> Column:
+    return F.bround(column, 0).cast("long").cast("string")
+
+
 def remediation_rules(spark: SparkSession) -> DataFrame:
     """(syscall, family, commands): 20 rows."""
     rows = [
@@ -188,7 +196,7 @@ def _piece(kind: Column) -> Column:
     return (
         F.when(
             kind == "high_latency",
-            F.format_string(SLOW_FORMAT, "syscall", "count", "avg_latency", "recommendation", "commands"),
+            F.format_string(SLOW_FORMAT, "syscall", "count", _two("avg_latency"), "recommendation", "commands"),
         )
         .when(kind == "redundancy", F.format_string(REDUNDANT_FORMAT, "syscall", "count", "recommendation"))
         .otherwise(F.format_string(ANOMALY_FORMAT, "recommendation", "count"))
@@ -210,7 +218,7 @@ def script(
             ).alias("_pieces")
         )
     )
-    numbers = ("total_syscalls", "high_latency_count", "optimization_candidates", "anomalies_detected", "avg_latency")
+    numbers = ("total_syscalls", "high_latency_count", "optimization_candidates", "anomalies_detected")
 
     def block(number: int) -> Column:
         mine = F.filter("_pieces", lambda p: p["section"] == number)
@@ -220,7 +228,7 @@ def script(
     content = F.concat_ws(
         "\n",
         F.lit(SCRIPT_HEAD.format(title=TITLE, generated=generated)),
-        F.format_string(SUMMARY_FORMAT, *numbers),
+        F.format_string(SUMMARY_FORMAT, *numbers, _two("avg_latency")),
         block(1),
         block(2),
         block(4),
@@ -243,11 +251,11 @@ def resource_script(advice: DataFrame, pids_per_part: int = 1000) -> DataFrame:
     )
     text = F.concat_ws(
         "\n",
-        F.format_string("# PID %d (Priority: %.2f)", "pid", "priority_score"),
+        F.format_string("# PID %d (Priority: %s)", "pid", _two("priority_score")),
         F.concat_ws("\n", F.transform("actions", lines)),
         F.lit(""),
     )
-    bare = F.concat_ws("\n", F.format_string("# PID %d (Priority: %.2f)", "pid", "priority_score"), F.lit(""))
+    bare = F.concat_ws("\n", F.format_string("# PID %d (Priority: %s)", "pid", _two("priority_score")), F.lit(""))
     has_lines = F.exists("actions", lambda a: a["type"].isin(*ACTION_FORMATS))
     piece = F.struct(
         (-F.col("priority_score")).alias("rank"), "pid", F.when(has_lines, text).otherwise(bare).alias("text")
@@ -295,7 +303,7 @@ _PARSE_FORMAT = (
 _SUMMARY_TABLE = (
     "## Analysis Summary\n\n" + _TABLE_HEAD
     + "\n| Total Syscalls | %d |\n| High Latency Calls | %d |\n| Optimization Candidates | %d |"
-    + "\n| Anomalies Detected | %d |\n| Avg Latency | %.2f μs |\n| P95 Latency | %.2f μs |\n"
+    + "\n| Anomalies Detected | %d |\n| Avg Latency | %s μs |\n| P95 Latency | %s μs |\n"
 )
 
 
@@ -309,7 +317,7 @@ def markdown_report(analyses: DataFrame, generated: str, keys: tuple[str, ...] =
             F.format_string("- **Severity:** %s", rec["severity"]),
             F.when(rec["syscall"].isNotNull(), F.format_string("- **Syscall:** `%s`", rec["syscall"])),
             F.format_string("- **Affected Calls:** %d", rec["count"]),
-            F.when(rec["avg_latency"].isNotNull(), F.format_string("- **Avg Latency:** %.2f μs", rec["avg_latency"])),
+            F.when(rec["avg_latency"].isNotNull(), F.format_string("- **Avg Latency:** %s μs", fixed(rec["avg_latency"], 2))),
             F.format_string("- **Action:** %s\n", rec["recommendation"]),
         )
 
@@ -327,7 +335,7 @@ def markdown_report(analyses: DataFrame, generated: str, keys: tuple[str, ...] =
         parsed,
         F.format_string(
             _SUMMARY_TABLE, "total_syscalls", "high_latency_count", "optimization_candidates",
-            "anomalies_detected", "avg_latency", "p95_latency",
+            "anomalies_detected", _two("avg_latency"), _two("p95_latency"),
         ),
         F.when(F.size("recommendations") > 0, F.lit("## Recommendations\n")),
         F.concat_ws("\n", F.transform("recommendations", item)),
@@ -348,25 +356,25 @@ _BENCHMARK_FORMAT = """# {title} Benchmark Report
 
 | Metric | Improvement |
 |--------|-------------|
-| Latency Reduction | %3$.2f%% |
-| CPU Savings | %4$.2f%% |
-| Throughput Increase | %5$.2f%% |
+| Latency Reduction | %3$s%% |
+| CPU Savings | %4$s%% |
+| Throughput Increase | %5$s%% |
 
 ## Detailed Results
 
 ### Latency Benchmark
-- **Before Optimization:** %6$.2fμs (avg)
-- **After Optimization:** %7$.2fμs (avg)
-- **P95 Before:** %8$.2fμs
-- **P95 After:** %9$.2fμs
+- **Before Optimization:** %6$sμs (avg)
+- **After Optimization:** %7$sμs (avg)
+- **P95 Before:** %8$sμs
+- **P95 After:** %9$sμs
 
 ### CPU Utilization Benchmark
-- **Before Optimization:** %10$.1f%%
-- **After Optimization:** %11$.1f%%
+- **Before Optimization:** %10$s%%
+- **After Optimization:** %11$s%%
 
 ### Throughput Benchmark
-- **Before Optimization:** %12$.0f ops/s
-- **After Optimization:** %13$.0f ops/s
+- **Before Optimization:** %12$s ops/s
+- **After Optimization:** %13$s ops/s
 """
 
 
@@ -400,9 +408,9 @@ def benchmark_report(
     text = F.format_string(
         _BENCHMARK_FORMAT.replace("{title}", TITLE).replace("{generated}", generated),
         "latency_iterations", F.lit(calls_per_iteration),
-        "latency_avg_improvement", "cpu_avg_improvement", "throughput_avg_improvement",
-        "latency_avg_before_avg", "latency_avg_after_avg", "latency_avg_before_p95", "latency_avg_after_p95",
-        "cpu_avg_before_cpu", "cpu_avg_after_cpu",
-        "throughput_avg_before_throughput", "throughput_avg_after_throughput",
+        *[_two(f"{p}_avg_improvement") for p in ("latency", "cpu", "throughput")],
+        *[_two(f"latency_avg_{c}") for c in ("before_avg", "after_avg", "before_p95", "after_p95")],
+        *[fixed(F.col(f"cpu_avg_{c}"), 1) for c in ("before_cpu", "after_cpu")],
+        *[_whole(f"throughput_avg_{c}") for c in ("before_throughput", "after_throughput")],
     )
     return row.select(F.to_json(document).alias("json"), text.alias("markdown"))
