@@ -123,7 +123,7 @@ def category_breakdown_by_trace(spark, folder):
 )
 def top_optimization_targets(spark, folder):
     rows = agg.by_syscall(cube(spark, folder)).withColumns(
-        {c: F.round(c, 6) for c in ("optimization_priority", "latency_us")}
+        {c: r6(c) for c in ("optimization_priority", "latency_us")}
     )
     return agg.top(rows, 10, "optimization_priority", "syscall_name")
 

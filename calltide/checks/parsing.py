@@ -322,4 +322,4 @@ def calls_from_json_records(spark, folder):
 )
 def normalised_events(spark, folder):
     events = as_events(labelled(spark, folder))
-    return events.withColumn("latency", F.round("latency", 6))
+    return events.withColumn("latency", r6("latency"))
