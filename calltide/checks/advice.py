@@ -117,7 +117,7 @@ def process_scores(spark, folder):
 @check(
     "process_stats",
     _STATS_CHAIN
-    + """SELECT pid, round(lat_mean, 5) AS lat_mean, round(lat_std, 6) AS lat_std, round(lat_sum, 6) AS lat_sum,
+    + """SELECT pid, round(lat_mean, 6) AS lat_mean, round(lat_std, 6) AS lat_std, round(lat_sum, 6) AS lat_sum,
                 round(lat_max, 6) AS lat_max, round(lat_min, 6) AS lat_min, syscall_count,
                 round(cpu_mean, 6) AS cpu_mean, cpu_max, round(mem_mean, 6) AS mem_mean, mem_max, ctx_sum,
                 round(ctx_mean, 6) AS ctx_mean, high_lat_count, redundant_count,
@@ -125,9 +125,8 @@ def process_scores(spark, folder):
 )
 def process_stats(spark, folder):
     out = proc.process_stats(labelled(spark, folder))
-    rounded = {"lat_std", "lat_sum", "lat_max", "lat_min", "cpu_mean", "mem_mean", "ctx_mean", "risk_mean"}
-    rows = out.select(*[r6(c) if c in rounded else c for c in out.columns])
-    return rows.withColumn("lat_mean", F.round("lat_mean", 5))
+    rounded = {"lat_mean", "lat_std", "lat_sum", "lat_max", "lat_min", "cpu_mean", "mem_mean", "ctx_mean", "risk_mean"}
+    return out.select(*[r6(c) if c in rounded else c for c in out.columns])
 
 
 @check(

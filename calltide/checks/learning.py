@@ -30,14 +30,14 @@ def label_encoding(spark, folder):
     "unseen_labels",
     views("calls")
     + """, known AS (SELECT syscall_name, row_number() OVER (ORDER BY syscall_name) - 1 AS code
-                     FROM (SELECT DISTINCT syscall_name FROM calls WHERE pid % 2 = 0 AND category <> 'network') d)
+                     FROM (SELECT DISTINCT syscall_name FROM calls WHERE category <> 'network') d)
          SELECT c.syscall_name, CAST(coalesce(any_value(k.code), (SELECT count(*) FROM known)) AS DOUBLE) AS code,
                 count(*) AS calls
          FROM calls c LEFT JOIN known k ON k.syscall_name = c.syscall_name GROUP BY 1""",
 )
 def unseen_labels(spark, folder):
     calls = event_calls(spark, folder)
-    fitted = encoder(("syscall_name",)).fit(calls.filter("pid % 2 = 0 and category <> 'network'"))
+    fitted = encoder(("syscall_name",)).fit(calls.filter("category <> 'network'"))
     coded = fitted.transform(calls)
     return coded.groupBy("syscall_name", F.col("syscall_name_encoded").alias("code")).agg(
         F.count(F.lit(1)).alias("calls")

@@ -16,7 +16,7 @@ from calltide.plans import history as hist
 from calltide.plans import report
 from calltide.plans.analysis import trace_analyses
 from calltide.plans.sinks import read_csv, read_json, write_csv, write_json
-from calltide.session import scratch_path
+from calltide.session import materialise, scratch_path
 from calltide.sources.tables import table
 
 GENERATED = "2024-02-01 00:00:00"
@@ -284,8 +284,9 @@ def _daily_history(spark, folder, writes: int = 2) -> str:
         "trace_id", F.concat(F.lit("day-"), F.date_format("ts", "yyyyMMdd"))
     )
     keys = ("user_id", "trace_id")
-    analyses = trace_analyses(rows, keys).join(
-        rows.groupBy(*keys).agg(F.max("ts").alias("_at")), list(keys)
+    analyses = materialise(
+        trace_analyses(rows, keys).join(rows.groupBy(*keys).agg(F.max("ts").alias("_at")), list(keys)),
+        "analyses",
     )
     path = scratch_path(spark, "history")
     made = F.col("_at")
@@ -302,7 +303,7 @@ def _daily_history(spark, folder, writes: int = 2) -> str:
     "history_table",
     views("scored", _DAYS_SQL)
     + """SELECT user_id, trace_id, strftime(created_at, '%b %d, %Y %H:%M') AS date,
-                concat(CASE source_type WHEN 'file' THEN 'FileAnalysis_' ELSE 'live_' END, trace_id) AS title,
+                concat(CASE source_type WHEN 'file' THEN 'FileUpload_' ELSE 'LiveTrace_' END, trace_id) AS title,
                 CASE source_type WHEN 'file' THEN 'File' ELSE 'Live' END AS type,
                 total_syscalls AS syscalls, high_latency FROM daily""",
 )
@@ -318,7 +319,7 @@ def history_table(spark, folder):
 )
 def history_search(spark, folder):
     rows = hist.history(spark, _daily_history(spark, folder, 1), since="2024-01-15")
-    return hist.history_table(rows, source_type="file", search="FILEanalysis_day-20240124").select(
+    return hist.history_table(rows, source_type="file", search="FILEupload_day-20240124").select(
         "user_id", "trace_id", "syscalls"
     )
 

@@ -23,13 +23,14 @@ def _write_in_order(df, order: str, path: str, parts: int = _PARTS) -> None:
 
 
 def _messages(spark, folder):
-    """Feed messages made from `events`: single calls, batches of up to five calls,
-    agent notes, heartbeats and text that is not JSON."""
+    """Feed messages made from `events`: every call, alone or in a batch, and
+    besides them agent notes, heartbeats and text that is not JSON."""
     calls = labelled(spark, folder).withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    name = F.col("syscall_name")
     event = F.struct(
         F.lit("syscall").alias("type"),
         F.col("at").alias("timestamp"),
-        F.col("syscall_name").alias("syscall"),
+        name.alias("syscall"),
         "category",
         F.round("latency_us", 4).alias("latency_us"),
         "cpu_usage",
@@ -38,33 +39,34 @@ def _messages(spark, folder):
         "is_redundant",
         "pid",
     )
-    kind = F.col("syscall_id") % 20
+    alone = name.isin("execve", "openat", "ioctl", "accept4")
     # Nulls are left out of the JSON: some single calls carry no type.
-    single = event.withField("type", F.when(kind != 3, F.lit("syscall")))
-    note = F.struct(
-        F.when(kind == 1, "agent_info").otherwise("agent_offline").alias("type"),
-        F.when(kind == 1, F.concat(F.lit("os-"), (F.col("pid") % 3).cast("string"))).alias("platform"),
-        F.col("at").alias("timestamp"),
-    )
-    alone = calls.filter(kind < 5).select(
-        F.col("pid").alias("user_id"),
-        "syscall_id",
-        F.when(kind == 0, '{"type": "heartbeat"}')
-        .when(kind.isin(1, 2), F.to_json(note))
-        .when(kind == 4, F.concat(F.lit("not json "), "at"))
-        .otherwise(F.to_json(single))
-        .alias("value"),
-    )
+    untyped = event.withField("type", F.when(name != "execve", F.lit("syscall")))
+    user = F.col("pid").alias("user_id")
+    singles = calls.filter(alone).select(user, "syscall_id", F.to_json(untyped).alias("value"))
     batch = F.struct(F.lit("syscall_batch").alias("type"), F.col("events"), F.lit("os-0").alias("platform"))
     batches = (
-        calls.filter(kind >= 5)
-        .groupBy(F.col("pid").alias("user_id"), F.expr("syscall_id div 500").alias("_slot"))
+        calls.filter(~alone)
+        .groupBy(user, F.expr("syscall_id div 500").alias("_slot"))
         .agg(F.array_sort(F.collect_list(F.struct("syscall_id", event.alias("e")))).alias("_events"))
         .withColumn("events", F.col("_events.e"))
         .withColumn("syscall_id", F.col("_events")[0]["syscall_id"])
         .select("user_id", "syscall_id", F.to_json(batch).alias("value"))
     )
-    return alone.unionByName(batches)
+    note = F.struct(
+        F.when(name == "execve", "agent_info").otherwise("agent_offline").alias("type"),
+        F.when(name == "execve", F.concat(F.lit("os-"), (F.col("pid") % 3).cast("string"))).alias("platform"),
+        F.col("at").alias("timestamp"),
+    )
+    others = calls.filter(name.isin("execve", "futex", "read", "write")).select(
+        user,
+        "syscall_id",
+        F.when(name == "read", '{"type": "heartbeat"}')
+        .when(name == "write", F.concat(F.lit("not json "), "at"))
+        .otherwise(F.to_json(note))
+        .alias("value"),
+    )
+    return singles.unionByName(batches).unionByName(others)
 
 
 def _message_stream(spark, folder):
@@ -80,15 +82,14 @@ def _run(stream, keys):
     return state.latest_updates(spark, path, keys)
 
 
-_LIVE_SQL = """live AS (SELECT *, pid AS user_id, syscall_id % 20 AS kind FROM labelled),
-  shown AS (SELECT * FROM live WHERE kind = 3 OR kind >= 5)"""
+_LIVE_SQL = "live AS (SELECT *, pid AS user_id FROM labelled)"
 
 
 @check(
     "unpacked_events",
     views("labelled", _LIVE_SQL)
     + """SELECT user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, syscall_name AS syscall, category,
-                round(latency_us, 4) AS latency_us, is_high_latency, is_redundant FROM shown""",
+                round(latency_us, 4) AS latency_us, is_high_latency, is_redundant FROM live""",
 )
 def unpacked_events(spark, folder):
     events = live.unpack_events(live.parse_messages(_messages(spark, folder)))
@@ -102,7 +103,7 @@ def unpacked_events(spark, folder):
     "live_counters",
     views("labelled", _LIVE_SQL)
     + """SELECT user_id, count(*) AS events, count(*) FILTER (WHERE is_high_latency) AS high_latency,
-                count(*) FILTER (WHERE is_redundant) AS redundant FROM shown GROUP BY 1""",
+                count(*) FILTER (WHERE is_redundant) AS redundant FROM live GROUP BY 1""",
 )
 def live_counters(spark, folder):
     events = live.unpack_events(live.parse_messages(_message_stream(spark, folder)))
@@ -114,7 +115,7 @@ def live_counters(spark, folder):
     views("labelled", _LIVE_SQL)
     + """SELECT user_id, strftime(to_timestamp(floor(epoch(ts) / 21600) * 21600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS tick,
                 count(*) AS events, count(*) FILTER (WHERE is_high_latency) AS high_latency
-         FROM shown GROUP BY 1, 2""",
+         FROM live GROUP BY 1, 2""",
 )
 def batch_ticks(spark, folder):
     events = live.unpack_events(live.parse_messages(_message_stream(spark, folder)))
@@ -125,10 +126,10 @@ def batch_ticks(spark, folder):
 @check(
     "agent_presence",
     views("labelled", _LIVE_SQL)
-    + """SELECT user_id, CASE arg_max(kind, ts) WHEN 2 THEN 'offline' ELSE 'online' END AS status,
-                max(CASE WHEN kind = 1 THEN concat('os-', user_id % 3) END) AS platform,
+    + """SELECT user_id, CASE arg_max(syscall_name, ts) WHEN 'futex' THEN 'offline' ELSE 'online' END AS status,
+                max(CASE WHEN syscall_name = 'execve' THEN concat('os-', user_id % 3) END) AS platform,
                 strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen
-         FROM live WHERE kind IN (1, 2) GROUP BY 1""",
+         FROM live WHERE syscall_name IN ('execve', 'futex') GROUP BY 1""",
 )
 def agent_presence(spark, folder):
     notes = live.parse_messages(_message_stream(spark, folder)).filter(F.col("type").startswith("agent_"))

@@ -18,8 +18,14 @@ def analysis_rows(
     """History rows of per-trace analyses that carry ``user_id`` and ``trace_id``."""
     if source_type not in SOURCE_TYPES:
         raise ValueError(f"unknown source type {source_type!r}")
-    names = {"file": F.concat(F.lit("FileAnalysis_"), "trace_id"), "text": F.lit("PastedTextAnalysis")}
-    title = names.get(source_type, F.concat(F.lit(f"{source_type}_"), "trace_id")) if title is None else title
+    filename = F.element_at(F.split("trace_id", "/"), -1)
+    # Titles of analyses by source.
+    titles = {
+        "file": F.concat(F.lit("FileUpload_"), filename),
+        "text": F.lit("PastedTextAnalysis"),
+        "live": F.concat(F.lit("LiveTrace_"), F.substring("trace_id", 1, 30)),
+    }
+    title = titles.get(source_type, F.concat(F.lit(f"{source_type}_"), filename)) if title is None else title
     skip = {"user_id", "trace_id", "recommendations", "syscall_summary"}
     parsed = [c for c in ("parsed_lines", "skipped_lines", "errors", "total_errors") if c in analyses.columns]
     fields = [c for c in analyses.columns if c not in skip and c not in parsed]
@@ -29,7 +35,7 @@ def analysis_rows(
         "trace_id",
         title.alias("title"),
         F.lit(source_type).alias("source_type"),
-        F.element_at(F.split("trace_id", "/"), -1).alias("filename"),
+        filename.alias("filename"),
         F.col("total_syscalls").cast("long").alias("total_syscalls"),
         F.to_json(F.struct(*fields)).alias("analysis_json"),
         F.to_json(F.coalesce("recommendations", F.array())).alias("recommendations_json"),
@@ -59,8 +65,9 @@ def export_rows(texts: DataFrame, export_format: str, created_at: Column) -> Dat
 
 def append(rows: DataFrame, path: str) -> None:
     """Adds rows to a history table. Running it twice is harmless: reads keep
-    the latest row of a key."""
-    dated = rows.withColumn("created_date", F.to_date("created_at"))
+    the latest row of a key. Rebalancing gathers a day's rows in few files and
+    splits a day that is too large for one."""
+    dated = rows.withColumn("created_date", F.to_date("created_at")).hint("rebalance", "created_date")
     dated.write.mode("append").partitionBy("created_date").parquet(path)
 
 

@@ -97,6 +97,14 @@ def label_stream(
     schema = calls.select("trace_id", "syscall_id", "syscall_name").schema
 
     def write(rows: DataFrame, batch: int) -> None:
+        # Read by the rule twice and by the memory once.
+        rows.persist()
+        try:
+            label_batch(rows, batch)
+        finally:
+            rows.unpersist()
+
+    def label_batch(rows: DataFrame, batch: int) -> None:
         new = rows.withColumn("_old", F.lit(False))
         if batch == 0:
             known = new
