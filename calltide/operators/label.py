@@ -22,9 +22,11 @@ GENERATOR_WINDOW = 10
 def attach_catalog(calls: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """Category, base latency and risk per call; unknown names get the `other` defaults.
 
-    The dimension has a fixed 158 rows, hence the broadcast.
+    The built-in dimension has a fixed 158 rows, hence the broadcast; a given
+    one is left to Spark's own size check.
     """
-    dim = catalog(calls.sparkSession) if dim is None else dim
+    fixed = dim is None
+    dim = catalog(calls.sparkSession) if fixed else dim
     looked_up = dim.select(
         F.col("name").alias("syscall_name"),
         F.col("category").alias("_category"),
@@ -32,7 +34,7 @@ def attach_catalog(calls: DataFrame, dim: DataFrame | None = None) -> DataFrame:
         F.col("risk").alias("_risk"),
     )
     return (
-        calls.join(F.broadcast(looked_up), "syscall_name", "left")
+        calls.join(F.broadcast(looked_up) if fixed else looked_up, "syscall_name", "left")
         .withColumn("category", F.coalesce("_category", F.lit("other")))
         .withColumn("base_latency_us", F.coalesce("_base", F.lit(OTHER_BASE)))
         .withColumn("risk_level", F.coalesce("_risk", F.lit(OTHER_RISK)).cast("int"))

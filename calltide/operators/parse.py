@@ -30,8 +30,9 @@ CALL_PATTERN = (
 # Groups: 1 share, 2 seconds, 3 microseconds per call, 4 calls, 5 errors, 6 name.
 SUMMARY_PATTERN = r"^\s*([\d.]+)\s+([\d.]+)\s+(\d+)\s+(\d+)\s+(\d*)\s+(\w+)\s*$"
 
-# Expanded summary rows are made in runs of this many calls.
-_EXPAND_RUN = 1 << 15
+# Expanded summary rows are made in runs of this many calls: neither the runs of
+# a row nor the calls of a run make a large array.
+_EXPAND_RUN = 1 << 20
 
 
 def stripped(value: str = "value") -> Column:

@@ -32,11 +32,9 @@ def scratch_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
     (local tests) is a folder of this machine used.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "calltide-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
+        tempfile.gettempdir(), "calltide-scratch"
+    )
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
