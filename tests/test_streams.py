@@ -66,3 +66,32 @@ def test_rings_go_on_after_a_stop(spark, tmp_path):
     for user in (1, 2):
         ids = [i for i in range(2005) if (2 if i % 10 == 0 else 1) == user][-40:]
         assert rings[user] == (ids, [i * 0.5 for i in ids])
+
+
+def test_trained_model_scores_a_stream(spark, small, tmp_path):
+    from calltide.checks.inputs import labelled
+    from calltide.operators.models import CallModel
+    from calltide.streaming.state import score_stream
+
+    calls = labelled(spark, small)
+    model = CallModel.fit(calls, iterations=2, restarts=1, trees=5)
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    calls.write.parquet(source)
+    stream = spark.readStream.schema(calls.schema).parquet(source)
+    score_stream(stream, model, out, mark).awaitTermination()
+    names = ["syscall_id", "pattern_cluster", "is_anomaly"]
+    got, want = spark.read.parquet(out).select(*names), model.transform(calls).select(*names)
+    assert got.count() == calls.count() and got.exceptAll(want).count() == 0
+
+
+def test_posted_records(spark):
+    from calltide.sources.records import calls_from_json
+
+    bodies = [
+        json.dumps({"syscalls": [{"syscall_name": "read", "latency_us": 2, "pid": 3}, {"syscall_name": "brk"}]}),
+        "{not json",
+        json.dumps({"other": 1}),
+    ]
+    rows = calls_from_json(spark.createDataFrame([(b,) for b in bodies], "body string"), "body")
+    got = rows.select("syscall_name", "latency_us", "pid").orderBy("syscall_name").collect()
+    assert [tuple(r) for r in got] == [("brk", None, None), ("read", 2.0, 3)]
