@@ -198,17 +198,18 @@ def calls_from_lines(lines: DataFrame, duration_unit: str = "s", stage: bool = T
     With ``stage`` the parsed calls are written once to the shared folder, so
     that the pattern runs once per line while numbering and labelling read a
     few columns of the stage. The list of summary traces is written too: the
-    join with the lines then knows its true size and broadcasts it if small.
+    join with the lines then knows its true size and broadcasts it if small. If
+    it is empty, as for most folders, there is no join and no second read.
     """
-    summaries = summary_traces(lines)
-    tables = lines.join(summaries, "trace_id", "left_semi")
-    if stage:
-        summaries = materialise(summaries, "summaries")
-        tables = materialise(lines.join(summaries, "trace_id", "left_semi"), "tables")
-    parsed = parse_calls(lines.join(summaries, "trace_id", "left_anti"), duration_unit)
-    if stage:
-        parsed = materialise(parsed, "parsed")
+    keep = materialise if stage else (lambda df, name: df)
+    summaries = keep(summary_traces(lines), "summaries")
+    mixed = not stage or not summaries.isEmpty()
+    plain = lines.join(summaries, "trace_id", "left_anti") if mixed else lines
+    parsed = keep(parse_calls(plain, duration_unit), "parsed")
     calls = label(parsed, layout=LINES, index="syscall_id").withColumn("source", F.lit("strace"))
+    if not mixed:
+        return _as_call_records(calls)
+    tables = keep(lines.join(summaries, "trace_id", "left_semi"), "tables")
     expanded = expand_summary(parse_summary(tables))
     return _as_call_records(calls).unionByName(_as_call_records(expanded), allowMissingColumns=True)
 
@@ -219,10 +220,10 @@ def parse_stats(lines: DataFrame, first_errors: int = 10, stage: bool = True) ->
     Blank lines before the first and after the last line of text do not count.
     Per-piece counts are combined map-side; only error lines are ranked.
     """
-    summaries = summary_traces(lines)
-    if stage:
-        summaries = materialise(summaries, "summaries")
-    plain = lines.join(summaries, "trace_id", "left_anti")
+    keep = materialise if stage else (lambda df, name: df)
+    summaries = keep(summary_traces(lines), "summaries")
+    mixed = not stage or not summaries.isEmpty()
+    plain = lines.join(summaries, "trace_id", "left_anti") if mixed else lines
 
     text_seq = F.when(stripped() != "", F.col("line_seq"))
     pieces = plain.groupBy(*LINES.cell).agg(
@@ -275,9 +276,9 @@ def parse_stats(lines: DataFrame, first_errors: int = 10, stage: bool = True) ->
             F.coalesce("_bad", F.lit(0)).alias("total_errors"),
         )
     )
-    tables = lines.join(summaries, "trace_id", "left_semi")
-    if stage:
-        tables = materialise(tables, "tables")
+    if not mixed:
+        return plain_stats
+    tables = keep(lines.join(summaries, "trace_id", "left_semi"), "tables")
     summary_stats = (
         summaries.join(
             parse_summary(tables).groupBy("trace_id").agg(F.count(F.lit(1)).alias("_ok")),
