@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import bpe
+from calltide.llm import bpe, chat, warc
 from calltide.llm.common import table
+from calltide.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +37,25 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_warc")
+def warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as archives with revisits, and read back."""
+    marked = warc.record_types(table(spark, folder, "pages"))
+    archives = materialise(warc.write_archives(marked), "warc")
+    return warc.read_archives(archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ESCAPES = r"\### Assistant: </turn> ok"
+
+
+@query("op5_chat_format")
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    hard = [(-7, 0, "user", ESCAPES), (-7, 1, "assistant", ESCAPES)]
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(hard, "conv_id long, turn long, role string, text string")
+    return chat.digest_conversations(chat.format_conversations(rows.unionByName(extra)))
