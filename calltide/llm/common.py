@@ -67,3 +67,50 @@ def batches_of(rows: Iterable[dict], schema: pa.Schema, size: int = 2048) -> Ite
             held = []
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+# An odd multiplier and its inverse: spans are hashed from sums over prefixes.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+class Spans:
+    """64-bit hashes of byte spans of ``data``, in constant time for each span."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        powers = np.full(n + 1, _BASE, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers[:n], out=self.sums[1:])
+        powers[1:] = _INVERSE
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        self.shift = powers
+
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stops] - self.sums[starts]) * self.shift[starts])
+
+
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+    return edges[::2], edges[1::2]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled rows (doc_id, text, label), half of them of each class
+    as far as there are as many; rows held out (crc32 of the id, mod 3, is 1) stay out.
+
+    Ids come by hash order from the labels alone, so the choice is the same in every
+    run; only those ids, a bounded set, are broadcast to find the texts.
+    """
+    known = labels.where((crc_mod3() != 1) & F.col(label).isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    halves = [
+        known.where(f"label = {value}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for value in (0, 1)
+    ]
+    ids = halves[0].unionByName(halves[1])
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import bpe, chat, warc
-from calltide.llm.common import table
+from calltide.llm import bpe, chat, quality, toxicity, warc
+from calltide.llm.common import crc_mod3, table
 from calltide.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,29 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(hard, "conv_id long, turn long, role string, text string")
     return chat.digest_conversations(chat.format_conversations(rows.unionByName(extra)))
+
+
+def _decided(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_mod3() == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+@query("op4_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every text, by embeddings learned from the labelled rows."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return _decided(quality.score(docs, quality.train(docs, table(spark, folder, "labels"))), 0.5)
+
+
+TOXIC = 0.7
+
+
+@query("op10_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, by votes of its nearest labelled examples."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return _decided(toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels"))), TOXIC)
