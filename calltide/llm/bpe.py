@@ -29,15 +29,15 @@ from calltide.llm.common import chunks, texts_of
 _SHIFT = 8  # a bitmap word holds 2**_SHIFT ranks
 _MASK = (1 << _SHIFT) - 1
 _BIT = [1 << k for k in range(4096)]
-# Whole whitespace-separated words kept in each of two generations of the cache.
-CACHE_WORDS = 500_000
+# Words and pre-tokens kept in each of two generations of the caches of a worker.
+CACHE_WORDS, CACHE_PIECES = 250_000, 150_000
 _KEPT_LENGTH = 64
 
 
 class Words(dict):
     """Ids of words seen before, in two generations of bounded size."""
 
-    def __init__(self, encode, limit: int = CACHE_WORDS):
+    def __init__(self, encode, limit: int):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
@@ -88,9 +88,9 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.find = regex.compile(pattern).findall
         self.leaves = [0] * ((max(ranks.values(), default=0) >> _SHIFT) + 1)
-        self.pieces = Words(self._piece)
+        self.pieces = Words(self._piece, CACHE_PIECES)
         self.doubles = {(a, b): ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)}
-        self.words = Words(lambda word: self._word(f" {word}"))
+        self.words = Words(lambda word: self._word(f" {word}"), CACHE_WORDS)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -220,13 +220,24 @@ def _schema(df: DataFrame, name: str, kind: T.DataType, drop: str | None = None)
 
 
 def encode(
-    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = False
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    keep_text: bool = False,
+    decoded: str | None = None,
 ) -> DataFrame:
     """``df`` with the ids of every whole text as an array; the text goes unless kept.
 
     ``path`` is a rank file that every executor has. Rows stay where they are.
+    ``decoded`` names a column for the bytes that the ids decode to, as ``decode``
+    gives them, without a second pass through Python.
     """
     drop = None if keep_text else text
+    schema = _schema(df, ids, T.ArrayType(T.IntegerType()), drop)
+    if decoded:
+        schema = T.StructType([f for f in schema.fields if f.name != decoded] + [T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -235,9 +246,18 @@ def encode(
             ends = np.cumsum([0, *map(len, encoded)]) // 4
             values = np.frombuffer(b"".join(encoded), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            yield _with(batch, ids, lists, drop)
+            coded = _with(batch, ids, lists, drop)
+            yield _with(coded, decoded, _decoded(own, lists)) if decoded else coded
 
-    return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType()), drop))
+    return df.mapInArrow(run, schema)
+
+
+def _decoded(own: Codec, lists: pa.ListArray) -> pa.Array:
+    lists = lists.fill_null([]) if lists.null_count else lists
+    offsets = lists.offsets.to_numpy()
+    data, sizes = own.decode(lists.values.to_numpy()[offsets[0] : offsets[-1]])
+    ends = np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -246,14 +266,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(ids)
-            lists = lists.fill_null([]) if lists.null_count else lists
-            offsets = lists.offsets.to_numpy()
-            data, sizes = own.decode(lists.values.to_numpy()[offsets[0] : offsets[-1]])
-            ends = np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]].astype(np.int32)
-            texts = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-            yield _with(batch, out, texts)
+            if batch.num_rows:
+                yield _with(batch, out, _decoded(own, batch.column(ids)))
 
     return df.mapInArrow(run, _schema(df, out, T.BinaryType()))

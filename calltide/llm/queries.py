@@ -30,8 +30,8 @@ def query(name: str, sql: str | None = None):
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text and the bytes that they decode to, as digests."""
     vocabulary = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), *vocabulary)
-    return bpe.decode(ids, *vocabulary).select(
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode(docs, *vocabulary, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
