@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import bpe, chat, quality, toxicity, warc
+from calltide.llm import bpe, chat, decontaminate, quality, tokens, toxicity, warc
 from calltide.llm.common import crc_mod3, table
 from calltide.session import materialise
 
@@ -85,3 +85,34 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every text, by votes of its nearest labelled examples."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return _decided(toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels"))), TOXIC)
+
+
+@query("op3_decontaminate")
+def contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every document, by suffix arrays."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, x: total + x["stop"] - x["start"])
+    return decontaminate.matches(docs, table(spark, folder, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+END_OF_DOCUMENT = 2
+
+
+@query("op7_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text written as token files in document order, and read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    files = tokens.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), END_OF_DOCUMENT)
+    return tokens.read_tokens(materialise(files, "tokens")).select(
+        "doc_id",
+        "start",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
