@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import bpe, chat, decontaminate, quality, tokens, toxicity, warc
+from calltide.llm import bpe, chat, decontaminate, quality, tokens, toxicity, vptree, warc
 from calltide.llm.common import crc_mod3, table
 from calltide.session import materialise
 
@@ -116,3 +116,25 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query(
+    "op6_vptree",
+    """WITH v AS (
+      SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, x -> x <> 0)) > 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, by vantage-point trees."""
+    vectors = vptree.usable(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    trees = materialise(vptree.build(vectors), "trees")
+    return vptree.search(trees, vectors.where("_id % 20 = 0"))
