@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calltide.session import materialise
+
 # Output batches are cut at about this size, so that long texts never pile up.
 BATCH_BYTES = 8 << 20
 
@@ -114,3 +117,71 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     ]
     ids = halves[0].unionByName(halves[1])
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+_LONG_WORD = 1 << 16
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the words at ``starts`` to ``stops``, in steps of bounded memory."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        base = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(stops, base + step, side="right")))
+        if stops[a] - base > _LONG_WORD:
+            b = a + 1
+            plain = hashlib.blake2b(data[base : stops[a]].tobytes(), digest_size=8).digest()
+            out[a] = int.from_bytes(plain, "little")
+        else:
+            long = np.flatnonzero(stops[a:b] - starts[a:b] > _LONG_WORD)
+            b = a + int(long[0]) if len(long) else b
+            part = Spans(data[base : stops[b - 1]])
+            out[a:b] = part.of(starts[a:b] - base, stops[a:b] - base)
+        a = b
+    return out
+
+
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, the text of each, and each text's first word.
+
+    ``is_word`` tells of each byte value whether words hold it.
+    """
+    mask = is_word[data]
+    starts, stops = runs_of(mask)
+    cuts = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    cuts = cuts[mask[cuts] & mask[cuts - 1]]  # words never cross texts
+    starts, stops = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([stops, cuts]))
+    first = np.searchsorted(starts, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    return word_hashes(data, starts, stops), text, first
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of ``links`` (a, b): the smallest node in reach.
+
+    Labels fall to the least among the neighbours, then labels take the label of
+    their label; long chains end after a number of rounds logarithmic in their
+    length. Every round is a written table.
+    """
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialise(both.where("a <> b").distinct(), "links")
+    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")).withColumnRenamed("a", "node")
+    labels = materialise(labels, "labels")
+    while True:
+        of = labels.select(F.col("node").alias("b"), F.col("l").alias("near"))
+        best = both.join(of, "b").groupBy("a").agg(F.min("near").alias("near")).withColumnRenamed("a", "node")
+        lower = labels.join(best, "node").select("node", "l", F.least("l", "near").alias("m"))
+        up = labels.select(F.col("node").alias("m"), F.col("l").alias("up"))
+        new = lower.join(up, "m").select("node", "l", F.least("m", "up").alias("n"))
+        new = materialise(new, "labels")
+        changed = new.where("n < l").limit(1).count()
+        labels = new.select("node", F.col("n").alias("l"))
+        if not changed:
+            return labels.select("node", F.col("l").alias("component"))

@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltide.llm.common import Spans, chunks, packed, runs_of
+from calltide.llm import common
+from calltide.llm.common import LOWER, chunks, packed, runs_of
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 32 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[:0x30] = _IS_WORD[0x3A:0x61] = _IS_WORD[0x7B:0x80] = False
 
@@ -43,18 +42,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, the text of each, and each text's first word."""
-    low = _LOWER[data]
-    mask = _IS_WORD[low]
-    # A blank between texts: words never cross.
-    starts, stops = runs_of(mask)
-    cuts = offsets[1:-1]
-    crossing = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
-    crossing = crossing[mask[crossing] & mask[crossing - 1]] if len(crossing) else crossing
-    starts = np.sort(np.concatenate([starts, crossing]))
-    stops = np.sort(np.concatenate([stops, crossing]))
-    first = np.searchsorted(starts, offsets)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Spans(low).of(starts, stops), text, first
+    return common.words_of(LOWER[data], offsets, _IS_WORD)
 
 
 class Benchmark:

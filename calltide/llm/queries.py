@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import bpe, chat, decontaminate, quality, tokens, toxicity, vptree, warc
+from calltide.llm import bpe, chat, decontaminate, jaccard, quality, tokens, toxicity, vptree, warc
 from calltide.llm.common import crc_mod3, table
 from calltide.session import materialise
 
@@ -138,3 +138,9 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     vectors = vptree.usable(table(spark, folder, "embeddings"), "vec_id", "embedding")
     trees = materialise(vptree.build(vectors), "trees")
     return vptree.search(trees, vectors.where("_id % 20 = 0"))
+
+
+@query("op9_ngram_jaccard")
+def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents connected by shingle sets that are nearly the same."""
+    return jaccard.join(table(spark, folder, "documents").select("doc_id", "text"))
