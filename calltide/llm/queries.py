@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import bpe, chat, decontaminate, jaccard, quality, tokens, toxicity, vptree, warc
+from calltide.llm import bpe, chat, decontaminate, jaccard, quality, suffixes, tokens, toxicity, vptree, warc
 from calltide.llm.common import crc_mod3, table
 from calltide.session import materialise
 
@@ -144,3 +144,17 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     """Documents connected by shingle sets that are nearly the same."""
     return jaccard.join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op8_suffix_dedup")
+def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text without the strings of 100 bytes that start earlier."""
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    docs = table(spark, folder, "documents").select("doc_id", "text", size.cast("long").alias("n_bytes"))
+    return suffixes.remove(docs).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
