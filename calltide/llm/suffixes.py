@@ -404,3 +404,17 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             )
 
     return whole.unionByName(joined.mapInArrow(run, schema)).drop("_row")
+
+
+def texts_left(removed: DataFrame) -> DataFrame:
+    """What ``remove`` gives, with the kept bytes as ``text``; a character of which only
+    some bytes were removed goes as a whole."""
+    fields = [f for f in removed.schema.fields if f.name not in ("kept", "removed", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in chunks(whole, "kept")):
+            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            names = [f.name for f in fields]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(texts)], names=[*names, "text"])
+
+    return removed.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
