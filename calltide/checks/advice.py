@@ -193,13 +193,16 @@ def scheduling_actions(spark, folder):
     _STATS_CHAIN
     + """SELECT pid, round(cpu_mean, 6) AS current_cpu, round(mem_mean, 6) AS current_memory,
                 round(target_cpu, 6) AS recommended_cpu, round(target_memory, 6) AS recommended_memory,
-                round(target_throughput, 6) AS predicted_throughput, round(priority_score, 6) AS priority_score
-         FROM advice ORDER BY round(priority_score, 6) DESC, pid LIMIT 10""",
+                round(target_throughput, 6) AS predicted_throughput, round(priority_score, 6) AS priority_score,
+                round(least(priority_score * 10, 100), 6) AS progress, """
+    + _ACTIONS_SQL.format(s=10)
+    + """ AS actions
+         FROM advice""",
 )
 def scheduling_recommendations(spark, folder):
     advice = proc.schedule(process_scores(spark, folder))
-    rounded = [c for c in advice.columns if c not in ("pid", "actions", "progress")]
-    return top(advice.select("pid", *[r6(c) for c in rounded]), 10, "priority_score", "pid")
+    rounded = [c for c in advice.columns if c not in ("pid", "actions")]
+    return advice.select("pid", *[r6(c) for c in rounded], _action_text("actions").alias("actions"))
 
 
 @check(

@@ -199,10 +199,15 @@ def summary_lines(spark, folder):
             F.struct(F.lit(0).alias("n"), F.lit(title).alias("value")),
             F.struct(F.lit(1).alias("n"), F.lit(rule).alias("value")),
             F.struct(F.lit(98).alias("n"), F.lit(rule).alias("value")),
-            F.struct(F.lit(99).alias("n"), F.lit("100.00    0.439000  12     35099       120 total").alias("value")),
         )
     ).alias("f")
     frames = rows.select("trace_id").distinct().select("trace_id", frame).select("trace_id", "f.n", "f.value")
+    sums = rows.groupBy("trace_id").agg(*[F.sum(c).alias(c) for c in ("calls", "errors", "work")])
+    total = F.format_string(
+        "100.00    0.%06d %11d %9d %9d total",
+        F.col("work"), (F.col("work") / F.col("calls")).cast("long"), F.col("calls"), F.col("errors"),
+    )
+    frames = frames.unionByName(sums.select("trace_id", F.lit(99).alias("n"), total.alias("value")))
     names = ("accept4", "connect", "custom_call", "execve", "fsync", "futex", "ioctl", "openat", "pwrite64", "read", "write")
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("syscall_name")) + 1
     body = rows.select("trace_id", place.alias("n"), row.alias("value"))

@@ -35,8 +35,7 @@ def host_metrics_as_of(spark, folder):
     samples = events.filter("event_type = 'view'").select(
         "pid", "ts", F.col("value").alias("cpu"), F.col("event_id").alias("sample_id")
     )
-    day_us = 24 * 3600 * 1_000_000
-    return attach_metrics(calls, samples, width_us=day_us).select("event_id", "cpu", "sample_id")
+    return attach_metrics(calls, samples).select("event_id", "cpu", "sample_id")
 
 
 _TREE_SQL = """p AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 50 = 7 THEN 0 ELSE c_custkey // 3 END AS ppid,

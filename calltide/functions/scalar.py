@@ -17,7 +17,8 @@ def uniform(seed, *keys) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    """``value`` within bounds; an unknown value stays unknown."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))))
 
 
 def call_priority(p_high: Column, p_opt: Column, anomaly: Column) -> Column:
@@ -26,12 +27,15 @@ def call_priority(p_high: Column, p_opt: Column, anomaly: Column) -> Column:
 
 
 def process_priority(cpu_change: Column, memory_change: Column, high_ratio: Column) -> Column:
-    return F.abs(cpu_change) * 0.3 + F.abs(memory_change) * 0.3 + high_ratio * 100 * 0.4
+    """Weight of a process from the parts that are known; null if none is."""
+    parts = (F.abs(cpu_change) * 0.3, F.abs(memory_change) * 0.3, high_ratio * 100 * 0.4)
+    known = F.coalesce(*parts).isNotNull()
+    return F.when(known, sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0))))
 
 
 def progress(score: Column) -> Column:
     """Priority score as the length of a progress bar, at most 100."""
-    return F.least(score * 10, F.lit(100.0))
+    return F.when(score.isNotNull(), F.least(score * 10, F.lit(100.0)))
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -18,8 +18,9 @@ from pyspark.sql.types import DoubleType
 from calltide.operators.quantiles import quantiles
 
 _TREE = "tree int, node int, feature int, cut double, left int, right int, depth double"
-# A sample of this many times the tree size serves all trees.
-_POOL = 32
+# A tree's candidates are drawn with a chance that gives this many times its size
+# on average; its sample is the part of them with the smallest hashes.
+_SPARE = 1.6
 
 
 def _unsuccessful(n) -> float:
@@ -75,21 +76,21 @@ class IsolationForest:
     ) -> "IsolationForest":
         """``rows`` hold numeric ``features`` and a unique ``key``.
 
-        The pool is the rows with the smallest hashes of the key, a uniform
-        sample of bounded size (8,192 rows) found by a distributed top-k; every
-        tree takes its own 256 of the pool by a second hash.
+        Every tree draws its own ``sample`` of all rows: the rows with the smallest
+        hashes of (tree, key). A row is kept for the trees for which its hash lies
+        under a threshold set by the row count, and what is kept, about
+        ``n_trees * sample`` rows whatever the size of the table, is ranked per tree.
         """
         spark = rows.sparkSession
         features = tuple(features)
         vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-        pool = (
-            rows.select(F.col(key).alias("_key"), vector.alias("_v"))
-            .withColumn("_h", F.xxhash64(F.lit(seed), F.col("_key")))
-            .orderBy("_h", "_key")
-            .limit(sample * _POOL)
-        )
+        share = min(1.0, (sample * _SPARE + 64) / max(1, rows.count()))
+        most = F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
+        drawn = F.expr(f"sequence(0, {n_trees - 1})")
+        drawn = F.filter(drawn, lambda t: F.xxhash64(F.lit(seed + 1), t, F.col("_key")) <= most)
         picked = (
-            pool.select("_key", "_v", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+            rows.select(F.col(key).alias("_key"), vector.alias("_v"))
+            .select("_key", "_v", F.explode(drawn).alias("tree"))
             .withColumn("_t", F.xxhash64(F.lit(seed + 1), F.col("tree"), F.col("_key")))
             .withColumn(
                 "_rank", F.row_number().over(Window.partitionBy("tree").orderBy("_t", "_key"))

@@ -5,54 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from calltide.session import materialise
+
 
 def attach_metrics(
     calls: DataFrame,
     samples: DataFrame,
-    key: str = "pid",
+    key: str | tuple[str, ...] = "pid",
     time: str = "ts",
-    width_us: int = 1_000_000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds the columns of the latest sample with ``time`` <= the call's, per key.
 
-    Time is cut into slots of ``width_us``. Each slot becomes one row with its
-    samples in order and the last sample of the slots before, so calls meet
-    their samples by an equi-join on (key, slot): a busy slot is only a skewed
-    join key, which adaptive execution splits, and no key is ordered as a
-    whole. A slot holds at most one sample per microsecond of its width; make
-    slots shorter for denser samples. Calls without any earlier sample get nulls.
+    Calls and samples form one timeline, dealt to range partitions by (key, time):
+    a partition is a chunk of bounded size, whatever part of the rows a key has.
+    The chunks are written once, as their bounds come from a sample. Inside a chunk
+    a window carries the latest sample forward; what a chunk inherits is the last
+    sample of the key's chunks before it, one small row per key and chunk. No array
+    of samples is built and no key is ordered as a whole.
+
+    Of samples at the same time the largest fields win. Calls without any earlier
+    sample, key or time get nulls.
     """
-    fields = [c for c in samples.columns if c not in (key, time)]
-    at = lambda df: F.unix_micros(F.col(time).cast("timestamp"))
-    slot = lambda us: F.floor(us / F.lit(width_us)).cast("long")
-
-    distinct = (
-        samples.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
-        .withColumn("_us", at(samples))
-        .groupBy(key, "_us")
-        .agg(F.max(F.struct(*fields)).alias("_fields"))
-    )
-    slots = (
-        distinct.withColumn("_slot", slot(F.col("_us")))
-        .groupBy(key, "_slot")
-        .agg(F.array_sort(F.collect_list(F.struct("_us", "_fields"))).alias("_samples"))
+    keys = [key] if isinstance(key, str) else list(key)
+    fields = [c for c in samples.columns if c not in (*keys, time)]
+    partitions = partitions or int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.unix_micros(F.col(time).cast("timestamp")).alias("_us")
+
+    known = samples
+    for name in (*keys, time):
+        known = known.filter(F.col(name).isNotNull())
+    packed = F.struct(*fields)
+    points = known.groupBy(*keys, at).agg(F.max(packed).alias("_sample")).withColumn("_call", F.lit(None).cast("string"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in calls.columns])
+    asked = calls.select(*keys, at, whole.alias("_call"))
+    empty = F.lit(None)
+    timeline = asked.withColumn("_sample", empty.cast(points.schema["_sample"].dataType)).unionByName(
+        points.withColumn("_call", empty.cast(asked.schema["_call"].dataType))
     )
-    timed = calls.withColumn("_us", at(calls)).withColumn("_slot", slot(F.col("_us")))
-    empty = F.lit(None).cast(slots.schema["_samples"].dataType)
-    needed = timed.select(key, "_slot").distinct().withColumn("_samples", empty)
-    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.try_element_at("_samples", F.lit(-1))
-    timeline = (
-        slots.unionByName(needed)
-        .groupBy(key, "_slot")
-        .agg(F.first("_samples", ignorenulls=True).alias("_samples"))
-        .withColumn("_newest", newest)
-        .withColumn("_carry", F.last("_newest", ignorenulls=True).over(before))
+    # A sample comes before the calls of its time.
+    timeline = timeline.withColumn("_kind", F.when(F.col("_call").isNull(), 0).otherwise(1))
+    dealt = timeline.repartitionByRange(partitions, *keys, "_us", "_kind")
+    chunked = materialise(dealt.withColumn("_chunk", F.spark_partition_id()), "timeline")
+
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_us", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.max_by("_sample", F.when(F.col("_sample").isNotNull(), F.col("_us")))
+    inherited = (
+        chunked.groupBy(*keys, "_chunk")
+        .agg(newest.alias("_newest"))
+        .withColumn("_before", F.last("_newest", ignorenulls=True).over(earlier))
         .drop("_newest")
     )
-    past = F.filter("_samples", lambda s: s["_us"] <= F.col("_us"))
+    carried = chunked.withColumn("_last", F.last("_sample", ignorenulls=True).over(inside))
+    same = carried["_chunk"] == inherited["_chunk"]
+    for name in keys:
+        same = same & carried[name].eqNullSafe(inherited[name])
     found = (
-        timed.join(timeline, [key, "_slot"], "left")
-        .withColumn("_found", F.coalesce(F.try_element_at(past, F.lit(-1)), F.col("_carry")))
+        carried.filter(F.col("_kind") == 1)
+        .join(inherited, same, "left")
+        .withColumn("_found", F.when(F.col("_us").isNotNull(), F.coalesce("_last", "_before")))
     )
-    return found.select(*calls.columns, *[F.col(f"_found._fields.{f}").alias(f) for f in fields])
+    return found.select("_call.*", *[F.col(f"_found.{f}").alias(f) for f in fields])

@@ -27,9 +27,6 @@ CALL_PATTERN = (
     r"(-?\d+|\?|0x[0-9a-fA-F]+)(?:\s+([A-Z][A-Z0-9_]*))?"
     r"(?:\s+\(([^\x01]*)\))?(?:\s+<([\d.]+)>)?\s*$"
 )
-# Groups: 1 share, 2 seconds, 3 microseconds per call, 4 calls, 5 errors, 6 name.
-SUMMARY_PATTERN = r"^\s*([\d.]+)\s+([\d.]+)\s+(\d+)\s+(\d+)\s+(\d*)\s+(\w+)\s*$"
-
 # Expanded summary rows are made in runs of this many calls: neither the runs of
 # a row nor the calls of a run make a large array.
 _EXPAND_RUN = 1 << 20
@@ -126,20 +123,37 @@ def summary_section(lines: DataFrame) -> DataFrame:
     return counted.filter(~ruled & (F.col("_rules") % 2 == 1)).drop("_rules")
 
 
-def parse_summary(lines: DataFrame) -> DataFrame:
-    """Rows of summary tables."""
-    found = _cut(summary_section(lines), SUMMARY_PATTERN, [1, 2, 3, 4, 5, 6])
+def summary_rows(lines: DataFrame) -> DataFrame:
+    """Table rows of summaries: five fields between blanks, or six with an error
+    count before the name. ``is_bad`` marks rows whose numbers cannot be held."""
+    words = F.split(stripped(), r"\s+")
+    field = lambda i: F.col("_w")[i]
+    whole = lambda i: field(i).rlike(r"^[0-9]+$")
+    decimal = lambda i: field(i).rlike(r"^[0-9.]+$")
+    size, name = F.size("_w"), F.element_at("_w", -1)
+    is_row = size.isin(5, 6) & decimal(0) & decimal(1) & whole(2) & whole(3) & name.rlike(r"^\w+$")
     keep = [c for c in lines.columns if c != "value"]
-    field = lambda i: F.col("_f")[i]
-    return found.select(
+    rows = summary_section(lines).select(*keep, words.alias("_w")).filter(is_row & ((size == 5) | whole(4)))
+    read = rows.select(
         *keep,
-        field(1).try_cast("double").alias("pct_time"),
-        field(2).try_cast("double").alias("seconds"),
-        field(3).cast("long").alias("usecs_per_call"),
-        field(4).cast("long").alias("calls"),
-        F.coalesce(field(5).try_cast("long"), F.lit(0)).alias("errors"),
-        field(6).alias("syscall_name"),
+        field(0).try_cast("double").alias("pct_time"),
+        field(1).try_cast("double").alias("seconds"),
+        field(2).try_cast("long").alias("usecs_per_call"),
+        field(3).try_cast("long").alias("calls"),
+        F.when(size == 6, field(4).try_cast("long")).otherwise(F.lit(0)).cast("long").alias("errors"),
+        name.alias("syscall_name"),
+        F.array_join("_w", " ").alias("_text"),
     )
+    unread = [F.col(c).isNull() for c in ("pct_time", "seconds", "usecs_per_call", "calls", "errors")]
+    bad = unread[0]
+    for one in unread[1:]:
+        bad = bad | one
+    return read.withColumn("is_bad", bad)
+
+
+def parse_summary(lines: DataFrame) -> DataFrame:
+    """Rows of summary tables whose numbers can be held."""
+    return summary_rows(lines).filter(~F.col("is_bad")).drop("is_bad", "_text")
 
 
 def expand_summary(rows: DataFrame, layout=LINES) -> DataFrame:
@@ -171,6 +185,8 @@ def expand_summary(rows: DataFrame, layout=LINES) -> DataFrame:
         .withColumn("latency_ratio", latency_ratio(source="summary"))
         .withColumn("return_value", F.when(failed, -1).otherwise(0).cast("long"))
         .withColumn("errno", F.when(failed, "ERROR").otherwise(""))
+        .withColumn("pid", F.lit(0).cast("long"))
+        .withColumn("args_summary", F.lit(""))
         .withColumn("is_redundant", F.lit(False))
         .withColumn("is_high_latency", is_high_latency())
         .withColumn("needs_optimization", needs_optimization("summary"))
@@ -198,17 +214,13 @@ def calls_from_lines(lines: DataFrame, duration_unit: str = "s", stage: bool = T
     With ``stage`` the parsed calls are written once to the shared folder, so
     that the pattern runs once per line while numbering and labelling read a
     few columns of the stage. The list of summary traces is written too: the
-    join with the lines then knows its true size and broadcasts it if small. If
-    it is empty, as for most folders, there is no join and no second read.
+    join with the lines then knows its true size and broadcasts it if small.
     """
     keep = materialise if stage else (lambda df, name: df)
     summaries = keep(summary_traces(lines), "summaries")
-    mixed = not stage or not summaries.isEmpty()
-    plain = lines.join(summaries, "trace_id", "left_anti") if mixed else lines
+    plain = lines.join(summaries, "trace_id", "left_anti")
     parsed = keep(parse_calls(plain, duration_unit), "parsed")
     calls = label(parsed, layout=LINES, index="syscall_id").withColumn("source", F.lit("strace"))
-    if not mixed:
-        return _as_call_records(calls)
     tables = keep(lines.join(summaries, "trace_id", "left_semi"), "tables")
     expanded = expand_summary(parse_summary(tables))
     return _as_call_records(calls).unionByName(_as_call_records(expanded), allowMissingColumns=True)
@@ -222,8 +234,7 @@ def parse_stats(lines: DataFrame, first_errors: int = 10, stage: bool = True) ->
     """
     keep = materialise if stage else (lambda df, name: df)
     summaries = keep(summary_traces(lines), "summaries")
-    mixed = not stage or not summaries.isEmpty()
-    plain = lines.join(summaries, "trace_id", "left_anti") if mixed else lines
+    plain = lines.join(summaries, "trace_id", "left_anti")
 
     text_seq = F.when(stripped() != "", F.col("line_seq"))
     pieces = plain.groupBy(*LINES.cell).agg(
@@ -276,21 +287,28 @@ def parse_stats(lines: DataFrame, first_errors: int = 10, stage: bool = True) ->
             F.coalesce("_bad", F.lit(0)).alias("total_errors"),
         )
     )
-    if not mixed:
-        return plain_stats
     tables = keep(lines.join(summaries, "trace_id", "left_semi"), "tables")
+    rows = summary_rows(tables)
+    first = Window.partitionBy("trace_id").orderBy("block", "line_seq")
+    listed = (
+        rows.filter("is_bad")
+        .withColumn("_rank", F.row_number().over(first))
+        .filter(F.col("_rank") <= first_errors)
+        .withColumn("m", F.concat(F.lit("could not read summary row: "), F.col("_text")))
+        .groupBy("trace_id")
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", "m"))).alias("_errors"))
+        .select("trace_id", F.col("_errors.m").alias("errors"))
+    )
+    counted = rows.groupBy("trace_id").agg(F.count_if(~F.col("is_bad")).alias("_ok"), F.count_if("is_bad").alias("_bad"))
     summary_stats = (
-        summaries.join(
-            parse_summary(tables).groupBy("trace_id").agg(F.count(F.lit(1)).alias("_ok")),
-            "trace_id",
-            "left",
-        )
+        summaries.join(counted, "trace_id", "left")
+        .join(listed, "trace_id", "left")
         .select(
             "trace_id",
             F.coalesce("_ok", F.lit(0)).alias("parsed_lines"),
             F.lit(0).cast("long").alias("skipped_lines"),
-            F.array().cast("array<string>").alias("errors"),
-            F.lit(0).cast("long").alias("total_errors"),
+            F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
+            F.coalesce("_bad", F.lit(0)).alias("total_errors"),
         )
     )
     return plain_stats.unionByName(summary_stats)

@@ -8,9 +8,24 @@ from pyspark.sql import functions as F
 from calltide.functions.scalar import clip, process_priority, progress, uniform
 
 
+def process_keys(df: DataFrame) -> tuple[str, ...]:
+    """What tells processes apart: the pid within its trace, where traces are known."""
+    return tuple(k for k in ("trace_id", "pid") if k in df.columns)
+
+
 def process_stats(calls: DataFrame, keys: tuple[str, ...] = ("pid",)) -> DataFrame:
     """One row per process. All measures combine map-side, so a process with a
-    third of all calls costs one partial row per task."""
+    third of all calls costs one partial row per task.
+
+    Calls without a key belong to no process. A trace has no process types and
+    no ratios of its own: such a process is of type ``unknown``. The first known
+    type is that of the smallest call number, over traces that of the first trace.
+    """
+    if "process_type" not in calls.columns:
+        calls = calls.withColumn("process_type", F.lit(None).cast("string"))
+    for key in keys:
+        calls = calls.filter(F.col(key).isNotNull())
+    place = F.struct(*[F.col(k) for k in ("trace_id", "syscall_id") if k in calls.columns])
     return calls.groupBy(*keys).agg(
         F.avg("latency_us").alias("lat_mean"),
         F.coalesce(F.stddev_samp("latency_us"), F.lit(0.0)).alias("lat_std"),
@@ -28,7 +43,7 @@ def process_stats(calls: DataFrame, keys: tuple[str, ...] = ("pid",)) -> DataFra
         F.count_if("is_redundant").alias("redundant_count"),
         F.avg("risk_level").alias("risk_mean"),
         F.coalesce(
-            F.min_by("process_type", F.when(F.col("process_type").isNotNull(), F.col("syscall_id"))),
+            F.min_by("process_type", F.when(F.col("process_type").isNotNull(), place)),
             F.lit("unknown"),
         ).alias("process_type"),
     )
@@ -38,8 +53,8 @@ def with_ratios(stats: DataFrame) -> DataFrame:
     n = F.col("syscall_count")
     return (
         stats.withColumn("efficiency", n / (F.col("lat_sum") + 1))
-        .withColumn("high_lat_ratio", F.col("high_lat_count") / n)
-        .withColumn("redundancy_ratio", F.col("redundant_count") / n)
+        .withColumn("high_lat_ratio", F.try_divide("high_lat_count", n))
+        .withColumn("redundancy_ratio", F.try_divide("redundant_count", n))
         .withColumn("latency_cv", F.col("lat_std") / (F.col("lat_mean") + 0.01))
     )
 
@@ -129,8 +144,13 @@ def with_actions(adjusted: DataFrame, step: float = 10) -> DataFrame:
     )
 
 
-def schedule(scored_processes: DataFrame, keys: tuple[str, ...] = ("pid",)) -> DataFrame:
-    """Scheduling advice per process, most urgent first."""
+def schedule(scored_processes: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Scheduling advice per process, most urgent first, those of unknown urgency last.
+
+    What is not known of a process, as CPU and memory of a bare trace, stays null:
+    no share is recommended and no action derived from it.
+    """
+    keys = process_keys(scored_processes) if keys is None else keys
     advised = with_actions(with_adjustments(scored_processes))
     return advised.select(
         *keys,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Bands per power of two: a band is 0.02 % wide.
 _PER_OCTAVE = 4096
+# Even parts of a band's own range.
+_PARTS = 4096
 # Above -log2 of the smallest positive double, in bands.
 _SHIFT = 1100 * _PER_OCTAVE
 
@@ -15,8 +17,6 @@ def _band(value: Column) -> Column:
     """A whole number that rises with the value."""
     size = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE) + _SHIFT
     band = F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
-    # Never null: the optimiser then infers the same filters for both readers of
-    # the value counts, and the second reuses the shuffle of the first.
     return F.coalesce(band, F.lit(0).cast("long"))
 
 
@@ -29,11 +29,11 @@ def quantiles(
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (linear interpolation).
 
-    Equal values are counted together before anything else, so a value that
-    makes up a third of all rows is one row. The counts are folded to narrow
-    bands; running totals over the bands (their number is bounded by the range
-    of a double) tell which band holds each wanted rank, and only the values
-    of those bands are ordered.
+    The rows are counted by narrow bands of the value, which combines map-side to a
+    few thousand rows per task and needs no order. Running totals tell which bands
+    hold the wanted ranks. The rows of those bands are counted again by even parts
+    of the band's own range, so that values that lie close together are told apart
+    too. Only the values of the parts hit then travel, equal ones counted together.
 
     ``approx`` uses a sketch in one pass instead.
     """
@@ -48,20 +48,8 @@ def quantiles(
 
     cell = keys or ["_all"]
     source = known if keys else known.withColumn("_all", F.lit(0))
-    counts = (
-        source.groupBy(*cell, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", _band(F.col("_value")))
-    )
+    rows = source.select(*cell, F.col(value).alias("_value"))
 
-    by_band = Window.partitionBy(*cell).orderBy("_band")
-    whole = Window.partitionBy(*cell)
-    bands = (
-        counts.groupBy(*cell, "_band")
-        .agg(F.sum("_n").alias("_in_band"))
-        .withColumn("_total", F.sum("_in_band").over(whole))
-        .withColumn("_before", F.sum("_in_band").over(by_band) - F.col("_in_band"))
-    )
     exact_rank = lambda p: (F.col("_total") - 1) * F.lit(float(p))
     ranks = F.array(
         *[
@@ -75,32 +63,54 @@ def quantiles(
             for end in ("lo", "hi")
         ]
     )
-    wanted = bands.withColumn(
-        "_want",
-        F.filter(
-            ranks,
-            lambda r: (r.rank >= F.col("_before")) & (r.rank < F.col("_before") + F.col("_in_band")),
-        ),
-    ).filter(F.size("_want") > 0)
-
-    targets = wanted.select(*cell, "_band", "_before", "_want")
-    if not keys:
-        # At most two bands per entry of `probs`.
-        targets = F.broadcast(targets)
-    in_band = Window.partitionBy(*cell, "_band").orderBy("_value")
-    hits = (
-        counts.join(targets, [*cell, "_band"])
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(in_band))
-        .select(
-            *cell,
-            "_value",
-            F.explode(
-                F.filter(
-                    "_want",
-                    lambda r: (r.rank >= F.col("_upto") - F.col("_n")) & (r.rank < F.col("_upto")),
-                )
-            ).alias("_hit"),
-        )
+
+    def hit(want, before, inside):
+        return F.filter(want, lambda r: (r.rank >= before) & (r.rank < before + inside))
+
+    def small(df: DataFrame) -> DataFrame:
+        # Without keys at most two bands or parts per entry of `probs`.
+        return df if keys else F.broadcast(df)
+
+    banded = rows.withColumn("_band", _band(F.col("_value")))
+    by_band = Window.partitionBy(*cell).orderBy("_band")
+    bands = (
+        banded.groupBy(*cell, "_band")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*cell)))
+        .withColumn("_before", F.sum("_n").over(by_band) - F.col("_n"))
+        .withColumn("_want", hit(ranks, F.col("_before"), F.col("_n")))
+        .filter(F.size("_want") > 0)
+        .select(*cell, "_band", "_before", "_want", "_low", "_high")
+    )
+    share = (F.col("_value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0).cast("double"))
+    parted = banded.join(small(bands), [*cell, "_band"]).withColumn(
+        "_part", F.coalesce(F.floor(share * _PARTS).cast("long"), F.lit(0).cast("long"))
+    )
+    by_part = Window.partitionBy(*cell, "_band").orderBy("_part")
+    parts = (
+        parted.groupBy(*cell, "_band", "_part")
+        .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_start"), F.first("_want").alias("_wanted"))
+        .withColumn("_before", F.col("_start") + F.sum("_n").over(by_part) - F.col("_n"))
+        .withColumn("_want", hit("_wanted", F.col("_before"), F.col("_n")))
+        .filter(F.size("_want") > 0)
+        .select(*cell, "_band", "_part", "_before", "_want")
+    )
+    counts = (
+        parted.select(*cell, "_band", "_part", "_value")
+        .join(small(parts), [*cell, "_band", "_part"])
+        .groupBy(*cell, "_band", "_part", "_value")
+        .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_want").alias("_want"))
+    )
+    in_part = Window.partitionBy(*cell, "_band", "_part").orderBy("_value")
+    hits = counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(in_part)).select(
+        *cell,
+        "_value",
+        F.explode(
+            F.filter(
+                "_want",
+                lambda r: (r.rank >= F.col("_upto") - F.col("_n")) & (r.rank < F.col("_upto")),
+            )
+        ).alias("_hit"),
     )
 
     def end_value(i, end):

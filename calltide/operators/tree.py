@@ -20,13 +20,15 @@ def child_counts(processes: DataFrame, keys: tuple[str, ...] = ("hostname",)) ->
     )
 
 
-def depths(processes: DataFrame, keys: tuple[str, ...] = ("hostname",), max_depth: int = 1 << 20) -> DataFrame:
+def depths(processes: DataFrame, keys: tuple[str, ...] = ("hostname",)) -> DataFrame:
     """Adds ``depth``: 0 for processes whose parent is not in the snapshot.
 
     Pointer doubling: every step each process looks up the ancestor of its
     ancestor, so a chain of n takes log2(n) joins. Every lookup hits one row
     (pids are unique in a snapshot); each step is written out, which cuts the
-    lineage. Processes on or under a cycle of links get a null.
+    lineage. Every step settles at least one process of a chain that is still
+    open, so when a step settles none, the rest is on or under a cycle of links
+    and gets a null. There is no limit to the depth.
     """
     cell = [*keys, "pid"]
     links = processes.select(*cell, "ppid")
@@ -38,8 +40,9 @@ def depths(processes: DataFrame, keys: tuple[str, ...] = ("hostname",), max_dept
         ).withColumn("_steps", F.when(F.col("_up").isNull(), 0).otherwise(1).cast("long")),
         "tree",
     )
-    reach = 1
-    while reach <= max_depth and not state.filter(F.col("_up").isNotNull()).isEmpty():
+    open_ = state.filter(F.col("_up").isNotNull()).count()
+    before = open_ + 1
+    while 0 < open_ < before:
         higher = state.select(
             *keys, F.col("pid").alias("_up"), F.col("_up").alias("_next"), F.col("_steps").alias("_more")
         )
@@ -51,6 +54,6 @@ def depths(processes: DataFrame, keys: tuple[str, ...] = ("hostname",), max_dept
             ),
             "tree",
         )
-        reach *= 2
+        before, open_ = open_, state.filter(F.col("_up").isNotNull()).count()
     done = state.select(*cell, F.when(F.col("_up").isNull(), F.col("_steps")).alias("depth"))
     return processes.join(done, cell, "left")

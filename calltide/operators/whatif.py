@@ -21,7 +21,7 @@ def what_if(calls: DataFrame, seed: str = "42", key: tuple[str, ...] = ("syscall
 
 
 def _gain(before: Column, after: Column) -> Column:
-    return (before - after) / before * 100
+    return F.try_divide(before - after, before) * 100
 
 
 def latency_profile(projected: DataFrame, by: str = "iteration") -> DataFrame:
@@ -65,11 +65,11 @@ def cpu_saving(scored: DataFrame, by: str = "iteration") -> DataFrame:
 def throughput_gain(projected: DataFrame, by: str = "iteration") -> DataFrame:
     """Calls per second before and after."""
     per = projected.groupBy(by).agg(
-        (F.count(F.lit(1)) / (F.sum("latency_us") / 1e6)).alias("before_throughput"),
-        (F.count(F.lit(1)) / (F.sum("latency_after") / 1e6)).alias("after_throughput"),
+        F.try_divide(F.count(F.lit(1)), F.sum("latency_us") / 1e6).alias("before_throughput"),
+        F.try_divide(F.count(F.lit(1)), F.sum("latency_after") / 1e6).alias("after_throughput"),
     )
     change = F.col("after_throughput") - F.col("before_throughput")
-    return per.withColumn("improvement", change / F.col("before_throughput") * 100)
+    return per.withColumn("improvement", F.try_divide(change, F.col("before_throughput")) * 100)
 
 
 def roll_up(per_iteration: DataFrame, measures: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.operators import aggregate as agg
-from calltide.operators.process import process_stats, schedule, score_rule, with_ratios
+from calltide.operators.process import process_keys, process_stats, schedule, score_rule, with_ratios
 from calltide.operators.recommend import recommend
 from calltide.operators.score import RuleModel
 from calltide.session import materialise
@@ -40,9 +40,10 @@ def analyze(
     }
 
 
-def advise(calls: DataFrame, model=None) -> DataFrame:
-    """Scheduling advice per process; without a model by rule."""
-    stats = with_ratios(process_stats(calls))
+def advise(calls: DataFrame, model=None, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Scheduling advice per process; without a model by rule. Processes are told
+    apart by (trace_id, pid) unless ``keys`` says otherwise."""
+    stats = with_ratios(process_stats(calls, process_keys(calls) if keys is None else keys))
     return schedule(score_rule(stats) if model is None else model.transform(stats))
 
 

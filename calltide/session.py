@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,16 @@ def local_session(cores: int | str = 8, app: str = "calltide") -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and hand-over tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) is a folder of this machine used.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose
+    tasks all run on this machine, may leave it unset.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-        tempfile.gettempdir(), "calltide-scratch"
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "calltide-scratch")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from calltide.schemas import EVENT, MESSAGE
 
@@ -64,13 +64,42 @@ def kafka_messages(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     )
 
 
+def _as_text(kind):
+    """``kind`` with every plain value as text, as JSON messages are read."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _as_text(f.dataType), True) for f in kind.fields])
+    return ArrayType(_as_text(kind.elementType)) if isinstance(kind, ArrayType) else StringType()
+
+
+def _typed(value: Column, kind) -> Column:
+    """A value read as text in its own type; what the type cannot hold is null."""
+    if isinstance(kind, StructType):
+        fields = [_typed(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _typed(x, kind.elementType))
+    return value if isinstance(kind, StringType) else value.try_cast(kind)
+
+
 def parse_messages(raw: DataFrame) -> DataFrame:
-    """Messages as columns. What is not JSON is dropped, heartbeats are not
-    forwarded, and a message without a type is a call."""
-    schema = StructType([*MESSAGE.fields, StructField("_corrupt", StringType(), True)])
-    body = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = raw.select("user_id", body.alias("m")).filter(F.col("m").isNotNull() & F.col("m._corrupt").isNull())
-    typed = rows.select("user_id", "m.*").drop("_corrupt").withColumn("type", F.coalesce("type", F.lit("syscall")))
+    """Messages as columns. What is not a JSON object is dropped, heartbeats are not
+    forwarded, and a message without a type is a call.
+
+    A field of another type than expected is read if it can be (``"12"`` is a pid)
+    and else null; the message stays, and ``mistyped`` counts its lost plain fields.
+    """
+    body = F.from_json("value", _as_text(MESSAGE))
+    is_object = F.ltrim(F.get_json_object("value", "$")).startswith("{")
+    rows = raw.filter(is_object).select("user_id", body.alias("m"))
+    typed = {f.name: _typed(F.col(f"m.{f.name}"), f.dataType) for f in MESSAGE.fields}
+    lost = [
+        (F.col(f"m.{f.name}").isNotNull() & typed[f.name].isNull()).cast("int")
+        for f in MESSAGE.fields
+        if not isinstance(f.dataType, (ArrayType, StringType))
+    ]
+    typed = rows.select(
+        "user_id", *[c.alias(n) for n, c in typed.items()], sum(lost, F.lit(0)).alias("mistyped")
+    ).withColumn("type", F.coalesce("type", F.lit("syscall")))
     return typed.filter(F.col("type") != "heartbeat").withColumn(
         "ts", F.try_to_timestamp("timestamp")
     )

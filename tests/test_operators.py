@@ -11,6 +11,7 @@ from calltide.catalog import agent_rows, catalog_rows
 from calltide.checks.inputs import labelled
 from calltide.operators.isolation import IsolationForest
 from calltide.operators.metrics import attach_metrics
+from calltide.plans.analysis import advise
 from calltide.operators.models import CallModel
 from calltide.operators.quantiles import quantiles
 from calltide.operators.tree import child_counts, depths
@@ -47,8 +48,34 @@ def test_quantiles(spark, seed):
     assert everything["q95"] == pytest.approx(np.quantile(allv, 0.95))
 
 
-@pytest.mark.parametrize("width_us", [1_000_000, 7_000_000, 10**12])
-def test_as_of(spark, width_us):
+def test_quantiles_of_close_values(spark):
+    values = [1.0 + k * 1e-13 for k in range(5000)] + [7.0] * 3000
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    got = quantiles(df, "v", {"a": 0.1, "b": 0.4, "c": 0.9}).first()
+    for name, p in (("a", 0.1), ("b", 0.4), ("c", 0.9)):
+        assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-15)
+    plan = quantiles(df, "v", {"a": 0.1})._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+
+
+def test_advice_without_metrics(spark):
+    rows = [("a", 1, 0, 5.0, True), ("a", 1, 1, 1.0, False), ("b", 1, 0, None, False), ("b", None, 1, 2.0, False)]
+    kinds = "trace_id string, pid long, syscall_id long, latency_us double, is_high_latency boolean"
+    calls = spark.createDataFrame(rows, kinds).withColumns(
+        {c: F.lit(None).cast("double") for c in ("cpu_usage", "memory_usage", "context_switches")}
+    ).withColumns({"is_redundant": F.lit(False), "risk_level": F.lit(1)})
+    got = {(r.trace_id, r.pid): r for r in advise(calls).collect()}
+    assert set(got) == {("a", 1), ("b", 1)}
+    one = got["a", 1]
+    assert one.current_cpu is None and one.recommended_cpu is None and one.recommended_memory is None
+    assert one.priority_score == pytest.approx(20.0) and one.progress == 100.0
+    assert [a["type"] for a in one.actions] == ["priority_boost"]
+    nothing = got["b", 1]
+    assert nothing.priority_score is None and nothing.progress is None and nothing.actions == []
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_as_of(spark, partitions):
     rng = random.Random(4)
     at = lambda: pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=rng.randint(0, 100_000))
     calls = [(1 if rng.random() < 0.7 else rng.randint(2, 5), at(), i) for i in range(500)]
@@ -57,7 +84,7 @@ def test_as_of(spark, width_us):
     c = pd.DataFrame(calls, columns=["pid", "ts", "id"])
     s = pd.DataFrame(samples, columns=["pid", "ts", "cpu"])
     want = pd.merge_asof(c.sort_values("ts"), s.sort_values("ts"), on="ts", by="pid").set_index("id")["cpu"]
-    got = attach_metrics(spark.createDataFrame(c), spark.createDataFrame(s), width_us=width_us).toPandas()
+    got = attach_metrics(spark.createDataFrame(c), spark.createDataFrame(s), partitions=partitions).toPandas()
     got = got.set_index("id")["cpu"].reindex(want.index)
     assert len(got) == 500 and got.isna().equals(want.isna())
     assert (got.dropna() == want.dropna()).all()
@@ -67,7 +94,7 @@ def test_tree(spark):
     rows = [("h", 0, 0), ("h", 1, 0), ("h", 2, 1), ("h", 3, 2), ("h", 9, 77), ("h", 4, 5), ("h", 5, 4), ("h", 6, 4)]
     rows += [("chain", i, i - 1) for i in range(1, 200)]
     df = spark.createDataFrame(rows, "hostname string, pid long, ppid long")
-    got = {(r.hostname, r.pid): r.depth for r in depths(df, max_depth=1 << 9).collect()}
+    got = {(r.hostname, r.pid): r.depth for r in depths(df).collect()}
     assert [got["h", p] for p in (0, 1, 2, 3, 9)] == [0, 1, 2, 3, 0]
     assert got["h", 4] is None and got["h", 5] is None and got["h", 6] is None
     assert all(got["chain", i] == i - 1 for i in range(1, 200))

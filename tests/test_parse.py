@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from calltide.plans.analysis import advise
 from calltide.operators.parse import (
     calls_from_lines,
     match_lines,
@@ -112,6 +113,20 @@ def test_summary(spark):
     assert [e.syscall_id for e in errors] == [3000, 3001, 3002, 3003]
 
 
+def test_hostile_summary_rows(spark):
+    hostile = SUMMARY.replace("connect\n", "connect\n  1.00    0.000001           1 99999999999999999999           futex\n")
+    assert hostile != SUMMARY
+    lines = lines_of(spark, 2, s=hostile)
+    assert parse_summary(lines).count() == 3
+    stats = parse_stats(lines).first()
+    assert (stats.parsed_lines, stats.total_errors) == (3, 1)
+    assert stats.errors == ["could not read summary row: 1.00 0.000001 1 99999999999999999999 futex"]
+    calls = calls_from_lines(lines)
+    assert calls.filter("pid <> 0 or pid is null or args_summary <> '' or args_summary is null").count() == 0
+    advice = advise(calls).first()
+    assert advice.recommended_cpu is None and advice.predicted_throughput is not None
+
+
 def test_files_keep_order(spark, tmp_path):
     body = "".join(f"{i % 7} call_{i}(x) = {i} <0.000001>\n" for i in range(5000))
     (tmp_path / "a.trace").write_text(body)

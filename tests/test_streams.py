@@ -29,6 +29,21 @@ def test_messages(spark):
     assert len(events) == 4 and all(e.syscall == "read" and e.ts is not None for e in events)
 
 
+def test_mistyped_fields(spark):
+    texts = [
+        json.dumps({"type": "syscall", "syscall": "read", "pid": 12, "latency_us": 1.5}),
+        json.dumps({"type": "syscall", "syscall": "read", "pid": "12", "latency_us": "1.5"}),
+        json.dumps({"type": "syscall", "syscall": "read", "pid": "x", "latency_us": 1.5, "is_redundant": "maybe"}),
+        json.dumps({"type": "syscall_batch", "events": [{"syscall": "read", "pid": "12", "latency_us": [1]}]}),
+        "[1]",
+        '"text"',
+    ]
+    messages = parse_messages(spark.createDataFrame([(1, t) for t in texts], "user_id long, value string"))
+    assert sorted(r.mistyped for r in messages.collect()) == [0, 0, 0, 2]
+    events = sorted((r.pid or 0, r.latency_us or 0.0) for r in unpack_events(messages).collect())
+    assert events == [(0, 1.5), (12, 0.0), (12, 1.5), (12, 1.5)]
+
+
 def _calls(spark, first, last):
     return spark.range(first, last).select(
         F.when(F.col("id") % 5 == 0, "cold").otherwise("hot").alias("trace_id"),
