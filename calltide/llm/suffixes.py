@@ -36,7 +36,7 @@ from calltide.operators.chunks import rank_rows
 from calltide.session import materialise
 
 LENGTH = 100
-GRAM = 32
+GRAM = 48
 CHUNK = 2 << 20
 RUN_BYTES = 512 << 10
 HOT_FRAGMENTS = 4096
@@ -200,7 +200,8 @@ def _among(docs: DataFrame, shared, wanted: bool = True) -> DataFrame:
 
 
 class Transform:
-    """Burrows-Wheeler transform of a run of strings, each ended by a mark of its own."""
+    """Burrows-Wheeler transform of a run of strings, each with an end mark, from the
+    suffix array of their concatenation, ordered by ``depth`` characters or more."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, depth: int):
         # Characters 1 to 256; 0 ends a string. Strings are numbered in order.
@@ -210,19 +211,23 @@ class Transform:
         shift = np.repeat(np.arange(len(ends)), ends - begin)
         text[np.arange(len(data)) + shift] = data.astype(np.int64) + 1
         stop = ends + np.arange(len(ends))
-        rank = text.copy()
-        # Ends differ from each other: no match crosses or shares one.
-        rank[stop] = np.arange(len(ends))
-        rank[text > 0] += len(ends)
-        known = 1
-        while known < depth:
-            pair = rank * (int(rank.max()) + 2)
-            pair[: n - known] += rank[known:] + 1
-            values, rank = np.unique(pair, return_inverse=True)
-            known *= 2
-            if len(values) == n:
+        # Seven characters of nine bits fit one number; from there by prefix doubling.
+        key = np.zeros(n, np.int64)
+        for k in range(7):
+            key <<= 9
+            key[: n - k] |= text[k:]
+        known = 7
+        while True:
+            self.order = np.argsort(key)  # the suffix array, in the end
+            row = key[self.order]
+            fresh = np.concatenate([[0], np.cumsum(row[1:] != row[:-1])])
+            if known >= depth or fresh[-1] == n - 1:
                 break
-        self.order = np.argsort(rank, kind="stable")  # the suffix array
+            rank = np.empty(n, np.int64)
+            rank[self.order] = fresh + 1
+            key = rank * (n + 2)
+            key[: n - known] += rank[known:]
+            known *= 2
         before = self.order - 1
         self.last = np.where(before >= 0, text[before], 0).astype(np.int16)
         # Row of the suffix that is longer by the character before.
