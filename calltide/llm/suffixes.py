@@ -339,7 +339,7 @@ def _resolved(fragments: DataFrame, length: int) -> DataFrame:
         fresh = np.ones(len(by), bool)
         fresh[1:] = (where[1:] != where[:-1]) | (place[1:] > place[:-1] + 1)
         first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(by)) - 1
+        last = np.append(first[1:], len(by))[: len(first)] - 1
         return pa.table({"row": where[first], "start": place[first], "n": place[last] - place[first] + 1})
 
     return fragments.groupBy("part").applyInArrow(run, "row long, start long, n long")

@@ -237,7 +237,9 @@ def read_tokens(files: DataFrame) -> DataFrame:
     """Documents of the files: (doc_id, start, ids), ids as little-endian 32-bit
     integers and ``start`` the number of tokens of all documents before.
 
-    Only a token count for each writing task comes to the driver.
+    ``files`` must be a written table: range bounds are sampled and another run may
+    deal the documents otherwise. Only a token count for each writing task comes to
+    the driver.
     """
     totals = sorted(tuple(x) for x in files.groupBy("task").agg(F.sum("tokens")).collect())
     bases, total = {}, 0
