@@ -8,10 +8,11 @@ the inverted lists of their first e + 1 shingles (c = 1). The boundary is the si
 of least estimated cost; sets just above it do both, so that no pair is lost.
 
 Equal sets are one set from the start. Whether a pair links is checked exactly, in
-two rounds, so that a group of thousands of near copies never makes all its pairs:
-first each set against the earlier set that shares most lists with it, then, list
-by list, only pairs that are not yet connected. A count vector of fixed size per
-set rejects most pairs before whole sets travel; it never rejects a link.
+three rounds, so that a group of thousands of near copies never makes all its pairs:
+first each set against the earlier set that shares most lists with it, then against
+the nearest one of a list that it is not connected with, and last, list by list, all
+pairs that are still not connected. A count vector of fixed size per set finds the
+nearest and rejects most pairs before whole sets travel; it never rejects a link.
 
 Edge cases: null and empty texts have empty sets and link with nothing; texts of
 fewer words than a shingle are one shingle; rows of the same id are rows of their
@@ -60,10 +61,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
         if b - a >= words:
             out.append(np.unique(grams[a : b - words + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], np.uint64)
             for k in range(a, b):
-                whole = mix(np.array([whole * np.uint64(0x100000001B3) + hashes[k]], np.uint64))[0]
-            out.append(np.array([whole], np.uint64))
+                whole = mix(whole * np.uint64(0x100000001B3) + hashes[k])
+            out.append(whole)
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -107,7 +108,18 @@ def boundary(sizes: dict[int, int], scan: float, least: tuple[int, int] = LEAST)
 
 
 def _sketch(x: np.ndarray) -> np.ndarray:
-    return np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=SKETCH).astype("<u4")
+    """How many shingles fall into each of ``SKETCH`` classes, at most 255 each."""
+    counts = np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, size_a, size_b, least) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of sketches how far they are apart, as a share of both sizes, and
+    whether they may be of linked sets: these differ in at most (1 - t) / (1 + t) of
+    the sum of their sizes, and their sketches in no more."""
+    apart = np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64)
+    both = size_a + size_b
+    return apart / both, apart * (least[1] + least[0]) <= both * (least[1] - least[0])
 
 
 def _survey(docs: DataFrame, words: int) -> DataFrame:
@@ -295,26 +307,13 @@ def _sets(docs: DataFrame, survey: DataFrame, names: DataFrame, words: int) -> D
 
 def _checked(pairs: DataFrame, docs: DataFrame, survey: DataFrame, words: int, least) -> DataFrame:
     """Those of ``pairs`` (a, b) that link."""
-    sketches = survey.where("kind = 0").groupBy("set_id").agg(F.min("sketch").alias("sketch"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), "<u4").astype(np.int64)
-            a, b = read("sa").reshape(-1, SKETCH), read("sb").reshape(-1, SKETCH)
-            # Linked sets differ in at most (1 - t) / (1 + t) of their sizes' sum.
-            total = a.sum(axis=1) + b.sum(axis=1)
-            fine = np.abs(a - b).sum(axis=1) * (least[1] + least[0]) <= total * (least[1] - least[0])
-            yield batch.filter(pa.array(fine)).select(["a", "b"])
-
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
             fine = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(a, b)]
             yield batch.filter(pa.array(fine, pa.bool_())).select(["a", "b"])
 
-    with_a = pairs.join(sketches.select(F.col("set_id").alias("a"), F.col("sketch").alias("sa")), "a")
-    with_b = with_a.join(sketches.select(F.col("set_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    left = materialise(with_b.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long"), "pairs")
+    left = materialise(pairs, "pairs")
     names = left.select(F.col("a").alias("name")).unionByName(left.select(F.col("b").alias("name")))
     sets = materialise(_sets(docs, survey, names, words), "sets")
     with_a = left.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -322,19 +321,47 @@ def _checked(pairs: DataFrame, docs: DataFrame, survey: DataFrame, words: int, l
     return with_b.select("a", "b", "ta", "tb").mapInArrow(link, "a long, b long")
 
 
-def _open_pairs(lists: DataFrame, of: DataFrame, parts: int, least) -> DataFrame:
-    """Pairs of a list that are not connected yet and whose sizes allow a link."""
+def _sketches(survey: DataFrame) -> DataFrame:
+    """(name, n, sketch) of every set."""
+    rows = survey.where("kind = 0").groupBy(F.col("set_id").alias("name"))
+    return rows.agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+
+
+def _likely(pairs: DataFrame, survey: DataFrame, least) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8)
+            a, b = read("sa").reshape(-1, SKETCH), read("sb").reshape(-1, SKETCH)
+            _, fine = _apart(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), least)
+            yield batch.filter(pa.array(fine)).select(["a", "b"])
+
+    of = _sketches(survey)
+    for side in ("a", "b"):
+        named = of.select(F.col("name").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+        pairs = pairs.join(named, side)
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _open_pairs(
+    lists: DataFrame, of: DataFrame, survey: DataFrame, parts: int, least, nearest: bool = False
+) -> DataFrame:
+    """Pairs of a list that are not connected yet and whose sizes and sketches allow a
+    link: all, or with ``nearest`` for each set only the one of the nearest sketches."""
     labelled = lists.join(of.withColumnRenamed("node", "name"), "name", "left").select(
         "key", "name", "n", F.coalesce("component", "name").alias("component")
     )
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = mixed.where("lo <> hi").select("key")
 
-    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         key, name, n, component = (table.column(x).to_numpy() for x in ("key", "name", "n", "component"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         by = np.lexsort((name, n, key))
-        key, name, n, component = key[by], name[by], n[by], component[by]
+        key, name, n, component, sketch = key[by], name[by], n[by], component[by], sketch[by]
         end = np.searchsorted(key, key, side="right")
+        far, other, found = np.full(len(key), np.inf), np.zeros(len(key), np.int64), [np.empty((2, 0), np.int64)]
         # Sizes rise within a list: partners of a set are a run after it.
         for step in range(1, int((end - np.arange(len(key))).max(initial=0))):
             a = np.arange(len(key) - step)
@@ -342,19 +369,29 @@ def _open_pairs(lists: DataFrame, of: DataFrame, parts: int, least) -> DataFrame
             b = a + step
             a, b = (x[(n[b] * least[0] <= n[a] * least[1]) & (component[a] != component[b])] for x in (a, b))
             for c in range(0, len(a), 65536):
-                x, y = name[a[c : c + 65536]], name[b[c : c + 65536]]
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    def grouped(table: pa.Table) -> pa.Table:
-        found = list(run(table))
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        if not found:
-            return schema.empty_table()
-        pairs = np.unique(np.stack([np.concatenate([f.column(k).to_numpy() for f in found]) for k in (0, 1)]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    some = labelled.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(8 * parts)))
-    return some.groupBy("part").applyInArrow(grouped, "a long, b long").distinct()
+                x, y = a[c : c + 65536], b[c : c + 65536]
+                apart, fine = _apart(sketch[x], sketch[y], n[x], n[y], least)
+                x, y, apart = x[fine], y[fine], apart[fine]
+                if not nearest:
+                    found.append(np.unique(np.sort(np.stack([name[x], name[y]]), axis=0), axis=1))
+                for mine, theirs in ((x, y), (y, x)) if nearest else ():
+                    closer = apart < far[mine]  # a place is met once in a step
+                    far[mine[closer]], other[mine[closer]] = apart[closer], name[theirs[closer]]
+        if nearest:
+            some = np.flatnonzero(far < np.inf)
+            some = some[np.lexsort((other[some], far[some], name[some]))]
+            some = some[np.unique(name[some], return_index=True)[1]]
+            return pa.table({"a": name[some], "b": other[some], "apart": far[some]})
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1], "apart": np.zeros(len(pairs[0]))})
+
+    some = labelled.join(mixed, "key").join(_sketches(survey).drop("n"), "name")
+    some = some.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(8 * parts)))
+    pairs = some.groupBy("part").applyInArrow(run, "a long, b long, apart double")
+    if nearest:
+        best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"))
+        pairs = best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+    return pairs.select("a", "b").distinct()
 
 
 def join(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, light: int | None = None) -> DataFrame:
@@ -382,10 +419,15 @@ def join(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, li
     most = shared.groupBy("name").agg(F.max(F.struct("c", "other")).alias("best"))
     pairs = most.select(F.least("name", "best.other").alias("a"), F.greatest("name", "best.other").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    found = materialise(_checked(pairs, docs, survey, words, least), "links")
+    found = materialise(_checked(_likely(pairs, survey, least), docs, survey, words, least), "links")
+
+    near = _open_pairs(lists, components(found), survey, parts, least, nearest=True)
+    near = materialise(near.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = found.unionByName(materialise(_checked(near, docs, survey, words, least), "links"))
+    pairs = pairs.unionByName(near)
 
-    rest = _open_pairs(lists, components(found), parts, least).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_checked(materialise(rest, "pairs"), docs, survey, words, least), "links")
+    rest = _open_pairs(lists, components(found), survey, parts, least).join(pairs, ["a", "b"], "left_anti")
+    more = materialise(_checked(rest, docs, survey, words, least), "links")
     of = components(found.unionByName(more))
 
     rows = survey.where("kind = 0").select("doc_id", "n", "set_id")
