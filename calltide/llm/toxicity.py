@@ -33,6 +33,10 @@ from calltide.llm.common import chunks, crc_mod3, labelled_sample, texts_of
 
 SAMPLE_ROWS = 4000
 TERMS = 512
+# Terms must tell the classes apart by this chi-square; chance rarely gives as much.
+LEAST_CHI = 15.0
+# Results kept by a worker for texts with the same counts of the same terms.
+CACHE = 50_000
 LEAST_EXAMPLES = 4
 NEAREST = 25
 BLOCK = 64
@@ -141,9 +145,9 @@ class Model:
         near = 1 / (0.05 + np.maximum(0, 1 - cosines))
         return float(near @ self.labels[found] / near.sum()) if len(found) else 0.0
 
-    def score(self, text: str) -> tuple[float, list[int], list[str]]:
+    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[str]]:
         """Probability, the nearest examples' ids and the terms of the text that weigh most."""
-        terms, weights = self.vector(self.counts(text))
+        terms, weights = self.vector(counts)
         if self.curve is None or not len(terms):
             return self.without, [], []
         found, cosines = self.index.nearest(terms, weights, NEAREST)
@@ -196,7 +200,7 @@ def _best_terms(sample: DataFrame, size: int) -> list[str]:
     counted = counted.where((F.col("b") >= LEAST_EXAMPLES) & (F.col("b") < total))
     expected = F.col("b") * toxic / total
     chi = F.pow(F.col("a") - expected, 2) / (expected * (1 - F.col("b") / total))
-    top = counted.withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(size)
+    top = counted.withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(size)
     return [row["term"] for row in top.collect()]
 
 
@@ -245,9 +249,17 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
     kept = [f for f in df.schema.fields if f.name not in gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(shared.value)
+        own, seen = pickle.loads(shared.value), {}
         for batch in (part for whole in batches for part in chunks(whole, text)):
-            rows = [own.score(one) for one in texts_of(batch, text)]
+            rows = []
+            for one in texts_of(batch, text):
+                counts = own.counts(one)
+                key = tuple(sorted(counts.items()))
+                if key not in seen:
+                    if len(seen) >= CACHE:
+                        seen.clear()
+                    seen[key] = own.score(counts)
+                rows.append(seen[key])
             names = [f.name for f in kept]
             added = [
                 pa.array([x[0] for x in rows], pa.float64()),
