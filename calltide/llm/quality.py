@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings, averaged, with softmax output.
 
-Features of a text are its words, its pairs of neighbouring words and the 3- and
-4-byte n-grams of its words, hashed into one table of learned vectors. A document
+Features of a text are its words, its pairs of neighbouring words (a word said twice
+is one more) and the 3- and 4-byte n-grams of its words, hashed into one table of learned vectors. A document
 is the mean of its feature vectors; a linear layer and softmax give the class.
 Training is plain stochastic gradient descent in numpy, over a bounded sample of
 labelled rows, in one executor task. For scoring, table and layer are folded to
@@ -28,6 +28,7 @@ DIMENSIONS = 8
 SAMPLE_ROWS = 4000
 EPOCHS = 4
 RATE = 0.5
+_AGAIN = mix(np.array([0xA6A1], np.uint64))[0]
 # Texts are worked on in blocks of about so many bytes; a longer text is cut at
 # blanks into parts of this size, and pairs of words do not span such cuts.
 BLOCK = 2 << 20
@@ -42,6 +43,10 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
     near = starts[1:] - stops[:-1] == 1
     out, where = [hashes >> shift, pairs[near] >> shift], [starts, starts[:-1][near]]
+    # A pair of equal words is a feature of its own, whatever the word.
+    again = starts[:-1][near & (hashes[:-1] == hashes[1:])]
+    out.append(np.full(len(again), _AGAIN, np.uint64) >> shift)
+    where.append(again)
     if len(data) >= 4:
         padded = np.where(word, data, 0x20).astype(np.uint64)
         triple = padded[:-2] | padded[1:-1] << np.uint64(8) | padded[2:] << np.uint64(16)
