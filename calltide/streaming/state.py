@@ -50,7 +50,12 @@ def ring_buffers(events: DataFrame, k: int = RING) -> DataFrame:
     )
 
 
-def log_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
+# Streams work off what is there and stop, unless a trigger says otherwise, as
+# {"processingTime": "500 milliseconds"} for a feed that runs on.
+DRAIN = {"availableNow": True}
+
+
+def log_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", trigger: dict | None = None):
     """Starts writing a changing table as a log: one folder per batch.
 
     A batch that runs again overwrites its own folder, so the log holds every
@@ -63,7 +68,7 @@ def log_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "upda
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or DRAIN))
         .foreachBatch(write)
         .start()
     )
@@ -83,14 +88,20 @@ def label_stream(
     checkpoint: str,
     rule: str = "trace",
     span: int = DEFAULT_SPAN,
+    trigger: dict | None = None,
 ):
     """Starts marking redundant calls of a stream of (trace_id, syscall_id, syscall_name, ...).
 
     The memory between batches is the last ten calls of every trace, a table
     of one folder per batch. A batch puts them before its own rows and runs the
     chunked rule of the batch operator, so one busy trace is spread over tasks.
-    Both folders of a batch are overwritten when it runs again: results and
+    All folders of a batch are overwritten when it runs again: results and
     memory hold every call once.
+
+    The calls of a trace must come in the order of their numbers from batch to
+    batch; within a batch they may come in any order. A call that comes after later
+    ones of its trace cannot be labelled as the batch rule would: it goes to
+    ``late`` instead of ``labels``.
     """
     spark = calls.sparkSession
     memory = f"{path}/memory"
@@ -110,6 +121,11 @@ def label_stream(
             known = new
         else:
             old = spark.read.schema(schema).parquet(f"{memory}/batch={batch - 1}")
+            seen = old.groupBy("trace_id").agg(F.max("syscall_id").alias("_seen"))
+            placed = new.join(seen, "trace_id", "left")
+            is_late = F.coalesce(F.col("syscall_id") <= F.col("_seen"), F.lit(False))
+            placed.filter(is_late).drop("_seen", "_old").write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
+            new = placed.filter(~is_late).drop("_seen")
             known = new.unionByName(old.withColumn("_old", F.lit(True)), allowMissingColumns=True)
         marked = mark_redundant(known, rule, span=span).filter(~F.col("_old")).drop("_old")
         marked.write.mode("overwrite").parquet(f"{path}/labels/batch={batch}")
@@ -124,13 +140,13 @@ def label_stream(
 
     return (
         calls.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or DRAIN))
         .foreachBatch(write)
         .start()
     )
 
 
-def score_stream(calls: DataFrame, model, path: str, checkpoint: str):
+def score_stream(calls: DataFrame, model, path: str, checkpoint: str, trigger: dict | None = None):
     """Starts scoring labelled calls of a stream into a Parquet table.
 
     Scoring is a projection, so the file sink's own exactly-once applies.
@@ -140,6 +156,6 @@ def score_stream(calls: DataFrame, model, path: str, checkpoint: str):
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or DRAIN))
         .start()
     )

@@ -66,6 +66,18 @@ def test_labels_go_on_after_a_stop(spark, tmp_path):
     assert got.exceptAll(want).count() == 0
 
 
+def test_late_calls_are_set_apart(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for first, last in ((20, 60), (60, 90), (0, 20)):
+        _calls(spark, first, last).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(_calls(spark, 0, 1).schema).parquet(source)
+        label_stream(stream, out, mark, "both", span=7).awaitTermination()
+    assert sorted(r.syscall_id for r in spark.read.parquet(f"{out}/late").collect()) == list(range(20))
+    got = spark.read.parquet(f"{out}/labels").select("syscall_id", "is_redundant_trace", "is_redundant_generator")
+    want = mark_redundant(_calls(spark, 20, 90), "both").select(*got.columns)
+    assert got.count() == 70 and got.exceptAll(want).count() == 0
+
+
 def test_rings_go_on_after_a_stop(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     rows = lambda first, last: spark.range(first, last).select(
