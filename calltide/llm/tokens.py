@@ -32,7 +32,8 @@ BLOCK = 256
 PERCENTILE = 90
 # Tokens after which a file is closed.
 FILE_TOKENS = 4 << 20
-CACHE_WORDS = 250_000
+# Words kept in each of two generations by a worker, about 180 bytes each.
+CACHE_WORDS = 800_000
 _HEAD = struct.Struct("<IBH")  # minimum, width, number of exceptions
 _FILE = struct.Struct("<8sQQQ")  # magic, values, blocks, documents
 _BITS = 1 << np.arange(32, dtype=np.uint64)
