@@ -8,7 +8,7 @@ from calltide.functions.scalar import fixed
 from calltide.operators import process as proc
 from calltide.operators import recommend as rec
 from calltide.operators import whatif
-from calltide.operators.aggregate import top
+from calltide.sources.tables import event_calls
 
 _SLOW_SQL = """slow AS (SELECT *, row_number() OVER ({part}ORDER BY first_id, syscall_name) AS place FROM (
     SELECT {key}syscall_name, count(*) AS count, avg(latency_us) AS avg_latency, min(syscall_id) AS first_id
@@ -216,6 +216,33 @@ def first_two_actions(spark, folder):
     return advised.select("pid", _action_text(F.slice("actions", 1, 2)).alias("actions"))
 
 
+_SIDE_SQL = """{side} AS (
+  SELECT trace_id, count(*) AS {side}_calls, avg(latency_us) AS {side}_avg, max(latency_us) AS {side}_max,
+         avg(cpu_usage) AS {side}_cpu, count(*) / (sum(latency_us) / 1e6) AS {side}_throughput,
+         quantile_cont(latency_us, 0.5) AS {side}_p50, quantile_cont(latency_us, 0.95) AS {side}_p95,
+         quantile_cont(latency_us, 0.99) AS {side}_p99
+  FROM calls WHERE ts {when} TIMESTAMP '2024-01-16' GROUP BY trace_id)"""
+_MEASURES = [f"{s}_{m}" for s in ("before", "after") for m in ("avg", "p50", "p95", "p99", "max", "cpu", "throughput")]
+
+
+@check(
+    "measured_comparison",
+    views("calls", _SIDE_SQL.format(side="before", when="<"), _SIDE_SQL.format(side="after", when=">="))
+    + "SELECT trace_id, before_calls, after_calls, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in _MEASURES)
+    + """, round((before_avg - after_avg) / before_avg * 100, 6) AS latency_reduction,
+         round((before_cpu - after_cpu) / before_cpu * 100, 6) AS cpu_savings,
+         round((after_throughput - before_throughput) / before_throughput * 100, 6) AS throughput_increase
+         FROM before FULL JOIN after USING (trace_id)""",
+)
+def measured_comparison(spark, folder):
+    calls = event_calls(spark, folder)
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    out = whatif.compare(calls.filter(early), calls.filter(~early))
+    changes = ("latency_reduction", "cpu_savings", "throughput_increase")
+    return out.select("trace_id", "before_calls", "after_calls", *[r6(c) for c in (*_MEASURES, *changes)])
+
+
 _PROJECTED_SQL = f"""projected AS (
   SELECT *, latency_us * CASE WHEN is_high_latency THEN {hash01('42-slow', 'syscall_id')} * 0.3e0 + 0.3e0 ELSE 1.0e0 END
             * CASE WHEN is_redundant THEN 0.1e0 ELSE 1.0e0 END

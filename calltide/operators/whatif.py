@@ -49,6 +49,35 @@ def latency_profile(projected: DataFrame, by: str = "iteration") -> DataFrame:
     return wide.withColumn("improvement", _gain(F.col("before_avg"), F.col("after_avg")))
 
 
+def compare(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("trace_id",)) -> DataFrame:
+    """Two measured traces side by side, per key: calls, latency profile, CPU and
+    calls per second of latency, and the changes in percent.
+
+    Nothing is projected: both sides are calls that were traced. A key that only one
+    side has keeps nulls on the other; a change from zero or to an unknown is null.
+    """
+    sides = []
+    for name, calls in (("before", before), ("after", after)):
+        plain = calls.groupBy(*by).agg(
+            F.count(F.lit(1)).alias(f"{name}_calls"),
+            F.avg("latency_us").alias(f"{name}_avg"),
+            F.max("latency_us").alias(f"{name}_max"),
+            F.avg("cpu_usage").alias(f"{name}_cpu"),
+            F.try_divide(F.count("latency_us"), F.sum("latency_us") / 1e6).alias(f"{name}_throughput"),
+        )
+        ranked = quantiles(calls, "latency_us", {f"{name}_{p}": q for p, q in _PROFILE.items()}, by)
+        sides.append(plain.join(ranked, list(by), "left"))
+    both = sides[0].join(sides[1], list(by), "full")
+    change = lambda m: F.try_divide(F.col(f"after_{m}") - F.col(f"before_{m}"), F.col(f"before_{m}")) * 100
+    return both.withColumns(
+        {
+            "latency_reduction": _gain(F.col("before_avg"), F.col("after_avg")),
+            "cpu_savings": _gain(F.col("before_cpu"), F.col("after_cpu")),
+            "throughput_increase": change("throughput"),
+        }
+    )
+
+
 def cpu_saving(scored: DataFrame, by: str = "iteration") -> DataFrame:
     """CPU share left when the candidates are handled."""
     per = scored.groupBy(by).agg(
