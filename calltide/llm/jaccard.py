@@ -4,8 +4,9 @@ A set is the distinct word shingles of a text. Shingles have one global order,
 frequent ones last. Two sets that link share at least c of the first e + c
 shingles of each, e being the number that may miss. Light (small) sets put each
 subset of c = 2 of these into a table; heavy (large) sets are found by scanning
-the inverted lists of their first e + 1 shingles (c = 1). The boundary is the size
-of least estimated cost; sets just above it do both, so that no pair is lost.
+the inverted lists of these shingles, c up to 8, and must meet in c lists. The
+boundary is the size of least estimated cost; sets just above it do both, so that
+no pair is lost.
 
 Equal sets are one set from the start. Whether a pair links is checked exactly, in
 three rounds, so that a group of thousands of near copies never makes all its pairs:
@@ -37,6 +38,9 @@ from calltide.session import materialise
 WORDS = 4
 LEAST = (85, 100)  # links have at least 85/100 of the union in common
 SUBSET = 2
+# Heavy sets are put into this many lists more than could miss a partner, so that
+# they meet each partner in as many; a set that meets others in fewer has none.
+COMMON = 8
 CHUNK = 2 << 20
 # Shingles that a chunk of texts repeats so often are counted over all texts, and
 # the most frequent ones, a bounded number, come last in the order.
@@ -84,6 +88,11 @@ def missing(size: int, least: tuple[int, int] = LEAST) -> int:
     return size - -(-size * least[0] // least[1])
 
 
+def common_lists(size: int) -> int:
+    """In how many inverted lists two heavy sets meet at least, the smaller of ``size``."""
+    return max(1, min(COMMON, size // 4))
+
+
 def links(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
     """Whether two sets have enough in common."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -101,7 +110,7 @@ def boundary(sizes: dict[int, int], scan: float, least: tuple[int, int] = LEAST)
             if size <= top:
                 total += count * math.comb(min(size, e + SUBSET), min(size, SUBSET))
             if size > most:
-                total += count * (e + 1) * (1 + scan)
+                total += count * (e + common_lists(size)) * (1 + scan)
         return total
 
     return min(range(0, 257), key=cost)
@@ -199,7 +208,7 @@ def _keys(x: np.ndarray, order: _Order, light: int, least: tuple[int, int]) -> n
             low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
             out.append(mix(mix(low) * np.uint64(3) + high))
     if n > light:
-        out.append(order.first(x, e + 1))
+        out.append(order.first(x, e + common_lists(n)))
     return np.concatenate(out)
 
 
@@ -407,15 +416,23 @@ def join(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, li
     counted = survey.where("kind = 1").groupBy("set_id").agg(F.sum("n").alias("c"))
     often = counted.orderBy(F.desc("c"), "set_id").limit(ORDERED).toArrow()
     order = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
-    keys = sum(c * (missing(n, least) + 3) for n, c in sizes.items())
+    keys = sum(c * (missing(n, least) + COMMON) for n, c in sizes.items())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 20 * keys // _PART_BYTES)
 
     lists = materialise(_lists(_entries(docs, words, least, order, light, parts)), "lists")
+    # Sets with subsets among their keys are kept; others must meet in enough lists.
+    smaller = F.expr(f"(n * {least[0]}) div {least[1]}")
+    enough = F.greatest(F.lit(1), F.least(F.lit(COMMON), F.expr("_s div 4")))
+    met = lists.groupBy("name").agg(F.max("n").alias("n"), F.count("*").alias("_met")).withColumn("_s", smaller)
+    kept = met.where((F.col("n") <= light * least[1] // least[0]) | (F.col("_met") >= enough)).select("name")
+    kept = materialise(kept, "kept")
+    lists = materialise(lists.join(kept, "name", "left_semi"), "lists")
     fits = lambda x: F.col(f"{x}_n") * least[1] >= F.col("n") * least[0]
     inner = lists.where("NOT head")
     one = inner.where(fits("before")).select("name", F.col("before").alias("other"))
     two = inner.where(fits("first") & (F.col("first") != F.col("before"))).select("name", F.col("first").alias("other"))
-    shared = one.unionByName(two).groupBy("name", "other").agg(F.count("*").alias("c"))
+    both = one.unionByName(two).join(kept.withColumnRenamed("name", "other"), "other", "left_semi")
+    shared = both.groupBy("name", "other").agg(F.count("*").alias("c"))
     most = shared.groupBy("name").agg(F.max(F.struct("c", "other")).alias("best"))
     pairs = most.select(F.least("name", "best.other").alias("a"), F.greatest("name", "best.other").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
