@@ -63,8 +63,8 @@ def price_quantiles(spark, folder):
 @check(
     "time_quantiles",
     """WITH t AS (SELECT event_type, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS us FROM events)
-       SELECT event_type, round(quantile_cont(us, 0.05), 3) AS p5, round(quantile_cont(us, 0.5), 3) AS p50,
-              round(quantile_cont(us, 0.95), 3) AS p95 FROM t GROUP BY event_type""",
+       SELECT event_type, round(quantile_cont(us, 0.05), 1) AS p5, round(quantile_cont(us, 0.5), 1) AS p50,
+              round(quantile_cont(us, 0.95), 1) AS p95 FROM t GROUP BY event_type""",
 )
 def time_quantiles(spark, folder):
     start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
@@ -72,7 +72,7 @@ def time_quantiles(spark, folder):
         "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) - start).alias("us")
     )
     out = quantiles(rows, "us", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, ("event_type",))
-    return out.select("event_type", *[F.round(c, 3).alias(c) for c in ("p5", "p50", "p95")])
+    return out.select("event_type", *[F.round(c, 1).alias(c) for c in ("p5", "p50", "p95")])
 
 
 @check(
