@@ -180,10 +180,14 @@ class Encoder:
         wanted = set()
         for words in cut:
             wanted.update(words[1:])
-        wanted -= self.seen.keys()
-        again = wanted & self.old.keys()
-        self.seen.update((word, self.old[word]) for word in again)
-        missing = list(wanted - again)
+        missing = []  # the words of a batch are looked up, never the cache gone through
+        for word in wanted:
+            if word not in self.seen:
+                known = self.old.get(word)
+                if known is None:
+                    missing.append(word)
+                else:
+                    self.seen[word] = known
         self.seen.update(zip(missing, self._fresh([f" {word}" for word in missing])))
         look = self.seen.__getitem__
         return [b"".join([heads[words[0]], *map(look, words[1:]), end]) for words in cut]
