@@ -40,7 +40,7 @@ GRAM = 48
 CHUNK = 2 << 20
 RUN_BYTES = 512 << 10
 HOT_FRAGMENTS = 4096
-_PART_BYTES, _SHARD_BYTES = 64 << 20, 4 << 20
+_PART_BYTES, _SHARD_BYTES = 64 << 20, 2 << 20
 _BITMAP = 1 << 22
 
 
@@ -228,13 +228,14 @@ class Transform:
             key = rank * (n + 2)
             key[: n - known] += rank[known:]
             known *= 2
+        self.order = self.order.astype(np.int32)
         before = self.order - 1
         self.last = np.where(before >= 0, text[before], 0).astype(np.int16)
         # Row of the suffix that is longer by the character before.
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
         self.back = place[before]
-        self.to_data = np.arange(n) - np.searchsorted(stop, np.arange(n))  # places without end marks
+        self.stop = stop
 
 
 def merge(transforms: list[Transform], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,9 +244,9 @@ def merge(transforms: list[Transform], length: int) -> tuple[np.ndarray, np.ndar
     sizes = [len(x.order) for x in transforms]
     base = np.concatenate([[0], np.cumsum(sizes)])
     last = np.concatenate([x.last for x in transforms])
-    back = np.concatenate([x.back + b for x, b in zip(transforms, base)])
-    row = np.arange(int(base[-1]))
-    block = np.zeros(len(row), np.int64)
+    back = np.concatenate([x.back + np.int32(b) for x, b in zip(transforms, base)])
+    row = np.arange(int(base[-1]), dtype=np.int32)
+    block = np.zeros(len(row), np.int32)
     for _ in range(length):
         char = last[row]
         live = char > 0  # the mark before a string's first character
@@ -257,7 +258,7 @@ def merge(transforms: list[Transform], length: int) -> tuple[np.ndarray, np.ndar
         fresh = np.ones(len(row) + 1, bool)
         fresh[1:-1] = (char[1:] != char[:-1]) | (block[1:] != block[:-1])
         repeated = ~(fresh[:-1] & fresh[1:])
-        block = np.cumsum(fresh[:-1])[repeated]
+        block = np.cumsum(fresh[:-1], dtype=np.int32)[repeated]
         row = row[repeated]
     which = np.searchsorted(base, row, side="right") - 1
     return which, row - base[which], block
@@ -281,7 +282,8 @@ def repeated_windows(strings: list[bytes], length: int, run_bytes: int = RUN_BYT
     string, start = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
     for k, (transform, ends, first) in enumerate(runs):
         mine = which == k
-        at = transform.to_data[transform.order[row[mine]]]
+        at = transform.order[row[mine]].astype(np.int64)
+        at -= np.searchsorted(transform.stop, at)  # places without end marks
         of = np.searchsorted(ends, at, side="right")
         string[mine] = of + first
         start[mine] = at - np.concatenate([[0], ends[:-1]])[of]
