@@ -205,7 +205,7 @@ def search(
     """The k nearest of every query (``usable`` rows) as (query_id, rank, vec_id, score).
 
     Queries are taken in blocks of about ``block`` rows; only one block at a time is
-    broadcast to the shards. Each shard gives its k nearest; those are merged.
+    broadcast to the shards. Each task gives the k nearest of its shards; those are merged.
     """
     context = queries.sparkSession.sparkContext
     queries = queries.groupBy("_id").agg(F.min("_vector").alias("_vector"))
@@ -225,20 +225,22 @@ def search(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, vectors = shared.value
-            for batch in batches:
+            best = np.full((len(ids), k), -np.inf)
+            found = np.full((len(ids), k), np.iinfo(np.int64).max)
+            for batch in batches:  # the k nearest of all trees of a task
                 for blob in batch.column("tree").to_pylist():
                     tree = pickle.loads(blob)
                     if tree.vectors.shape[1] != vectors.shape[1]:
                         continue
                     place, score = tree.search(ids, vectors, k, factor)
-                    row, column = np.nonzero(place >= 0)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "query_id": ids[row],
-                            "vec_id": tree.ids[place[row, column]],
-                            "score": score[row, column],
-                        }
-                    )
+                    own = np.where(place >= 0, tree.ids[place], np.iinfo(np.int64).max)
+                    best, found = np.concatenate([best, score], axis=1), np.concatenate([found, own], axis=1)
+                    order = np.lexsort((found, -best), axis=1)[:, :k]
+                    best, found = np.take_along_axis(best, order, 1), np.take_along_axis(found, order, 1)
+            row, column = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_pydict(
+                {"query_id": ids[row], "vec_id": found[row, column], "score": best[row, column]}
+            )
 
         parts.append(trees.mapInArrow(run, "query_id long, vec_id long, score double"))
     if not parts:
