@@ -1,22 +1,25 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, with evidence.
 
-Examples are a bounded sample of labelled rows. Their terms are the words that
-tell the classes apart best (chi-square over the sample); document frequencies
-of these terms are counted over the whole corpus. Examples lie in a block-max
+Examples are a bounded sample of labelled rows. Every word of them is a term: its
+weight is TF-IDF times the log-likelihood ratio of the word against the label over
+the sample, so that words which tell the classes apart lead and none is cut off.
+Document frequencies are counted over the whole corpus. Examples lie in a block-max
 inverted index: blocks of examples, for each term and block the postings and the
 highest weight. A search visits blocks by falling upper bound and stops when no
 block can hold a nearer example, so the neighbours are exact. Votes weigh by
 distance; a logistic curve fitted to leave-one-out votes makes them
 probabilities at the class shares of all labels.
 
-Edge cases: null or empty texts, and texts without any term, get the smoothed
-share of toxic rows among examples without terms; of examples at equal distance
-those with the smaller id count; without labels of both classes the score is the
-share of toxic rows (0 without labels); ids may be null or repeat.
+Edge cases: null or empty texts, and texts without any word that weighs, get the
+smoothed share of toxic rows among such examples; cosines count to twelve digits,
+and of examples at equal distance those with the smaller id count; without labels of
+both classes the score is the share of toxic rows (0 without labels); ids may be null
+or repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -32,14 +35,14 @@ from pyspark.sql import types as T
 from calltide.llm.common import chunks, crc_mod3, labelled_sample, texts_of
 
 SAMPLE_ROWS = 4000
-TERMS = 512
-# Terms must tell the classes apart by this chi-square; chance rarely gives as much.
-LEAST_CHI = 15.0
-# Results kept by a worker for texts with the same counts of the same terms.
+# Results kept by a worker for texts that it meets again.
 CACHE = 50_000
-LEAST_EXAMPLES = 4
 NEAREST = 25
 BLOCK = 64
+# Terms in more than one of ``COMMON`` examples, up to ``DENSE`` of them, are kept as
+# dense rows; this changes the speed of a search only.
+COMMON = 16
+DENSE = 1024
 EVIDENCE = 3
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -48,8 +51,17 @@ def words_of(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of all ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class BlockMaxIndex:
-    """Inverted lists over unit vectors, cut into blocks of ``BLOCK`` examples."""
+    """Inverted lists over unit vectors, cut into blocks of ``BLOCK`` examples.
+
+    Common terms have a dense row of weights, other terms a list of cells: a block,
+    its highest weight and its postings.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.size = len(vectors)
@@ -57,60 +69,80 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
+        held = np.bincount(term, minlength=terms)
+        common = np.argsort(-held, kind="stable")[:DENSE]
+        common = common[held[common] * COMMON > self.size]
+        self.row = np.full(terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        row = self.row[term]
+        self.dense = np.zeros((len(common), self.blocks, BLOCK))
+        self.dense.reshape(len(common), self.blocks * BLOCK)[row[row >= 0], owner[row >= 0]] = weight[row >= 0]
+        self.dense_most = self.dense.max(2)
+        owner, term, weight = owner[row < 0], term[row < 0], weight[row < 0]
         cell = term * self.blocks + owner // BLOCK
         order = np.argsort(cell, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.start = np.searchsorted(cell[order], np.arange(terms * self.blocks + 1))
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, weight)
-        self.most = self.most.reshape(terms, self.blocks)
+        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
+        cells, start = np.unique(cell[order], return_index=True)
+        self.block = (cells % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        self.start = np.append(start, len(order))
+        self.cells = np.searchsorted(cells, np.arange(terms + 1) * self.blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of highest cosine, ties to the lower number, and their cosines.
 
         Examples without a common term have cosine 0 and fill up at the end.
         """
-        bound = weights @ self.most[terms]
+        rows = self.row[terms]
+        common = (rows[rows >= 0], weights[rows >= 0])
+        first, sizes = self.cells[terms[rows < 0]], self.cells[terms[rows < 0] + 1] - self.cells[terms[rows < 0]]
+        cells, factors = _ranges(first, sizes), np.repeat(weights[rows < 0], sizes)
+        bound = common[1] @ self.dense_most[common[0]]
+        bound = bound + np.bincount(self.block[cells], factors * self.most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         found, scores = np.empty(0, np.int64), np.empty(0)
-        at, width = 0, 4
+        at, width = 0, 8
         while at < len(order):
             worst = scores[k - 1] if len(scores) >= k else -1.0
             # A bound is a sum of rounded products, as scores are.
-            take = [b for b in order[at : at + width] if bound[b] >= worst - 1e-12]
+            take = [b for b in order[at : at + width] if bound[b] >= worst - 2e-12]
             if not take:
                 break
-            members, values = self._scores(terms, weights, np.array(take))
+            members, values = self._scores(*common, cells, factors, np.array(take))
             keep = members != skip
             found, scores = np.concatenate([found, members[keep]]), np.concatenate([scores, values[keep]])
             best = np.lexsort((found, -scores))[:k]
             found, scores = found[best], scores[best]
             at += width
-            width *= 2
+            width *= 3
         return found, scores
 
-    def _scores(self, terms, weights, blocks):
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        starts, sizes = self.start[cells], self.start[cells + 1] - self.start[cells]
-        total = int(sizes.sum())
-        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        value = self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), sizes)
-        place = np.empty(self.blocks, np.int64)
+    def _scores(self, rows, weights, cells, factors, blocks):
+        place = np.full(self.blocks, -1, np.int64)
         place[blocks] = np.arange(len(blocks))
+        near = place[self.block[cells]] >= 0
+        cells, factors = cells[near], factors[near]
+        sizes = self.start[cells + 1] - self.start[cells]
+        at = _ranges(self.start[cells], sizes)
         owner = self.owner[at]
-        sums = np.bincount(place[owner // BLOCK] * BLOCK + owner % BLOCK, value, len(blocks) * BLOCK)
+        to = place[owner // BLOCK] * BLOCK + owner % BLOCK
+        sums = np.bincount(to, self.weight[at] * np.repeat(factors, sizes), len(blocks) * BLOCK)
+        if len(rows):
+            sums = sums + weights @ self.dense[rows[:, None], blocks].reshape(len(rows), -1)
         members = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         real = members < self.size
-        return members[real], sums[real]
+        return members[real], np.round(sums[real], 12)
 
 
 class Model:
     """Terms, inverse document frequencies, examples and the calibration."""
 
-    def __init__(self, terms: list[str], found: dict[str, int], documents: int, examples: list, share: float):
+    def __init__(
+        self, terms: list[str], weigh: np.ndarray, found: np.ndarray, documents: int, examples: list, share: float
+    ):
         self.number = {term: k for k, term in enumerate(terms)}
         self.terms = terms
-        self.idf = np.array([1 + math.log((1 + documents) / (1 + found.get(t, 0))) for t in terms])
+        self.factor = weigh * (1 + np.log((1 + documents) / (1 + found)))
         examples = sorted(examples, key=lambda x: x[0])
         self.ids = np.array([x[0] for x in examples], np.int64)
         self.labels = np.array([x[1] for x in examples], float)
@@ -132,9 +164,8 @@ class Model:
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
-        if not len(terms):
-            return terms, np.empty(0)
-        weights = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms]
+        weights = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.factor[terms]
+        terms, weights = terms[weights > 0], weights[weights > 0]
         return terms, weights / np.sqrt(weights @ weights)
 
     def counts(self, text: str) -> Counter:
@@ -174,8 +205,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[float, f
     return float(beta[0]), float(beta[1])
 
 
-def _best_terms(sample: DataFrame, size: int) -> list[str]:
-    """Words of the sample by chi-square against the label."""
+def _likelihood_ratio(a: np.ndarray, b: np.ndarray, toxic: int, total: int) -> np.ndarray:
+    """Log-likelihood ratio (G) of words in ``a`` of ``toxic`` and ``b`` of all ``total`` examples."""
+
+    def part(x):
+        return x * np.log(np.maximum(x, 1))
+
+    a, b = a.astype(float), b.astype(float)
+    cells = part(a) + part(b - a) + part(toxic - a) + part(total - toxic - b + a)
+    sides = part(b) + part(total - b) + part(float(toxic)) + part(float(total - toxic))
+    value = 2 * (cells - sides + part(float(total)))
+    # Sums of large parts: what is left of equal shares is rounding.
+    return np.where(value > 1e-7, value, 0.0)
+
+
+def _terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of the sample and what each tells of the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in chunks(whole, "text", 1 << 20)):
@@ -193,35 +238,33 @@ def _best_terms(sample: DataFrame, size: int) -> list[str]:
     held = sample.groupBy("label").count().collect()
     n = {row["label"]: row["count"] for row in held}
     if len(n) < 2:
-        return []
-    total, toxic = sum(n.values()), n[1]
+        return [], np.empty(0)
     a, b = F.sum("label"), F.count(F.lit(1))
     counted = sample.mapInArrow(run, "term string, label int").groupBy("term").agg(a.alias("a"), b.alias("b"))
-    counted = counted.where((F.col("b") >= LEAST_EXAMPLES) & (F.col("b") < total))
-    expected = F.col("b") * toxic / total
-    chi = F.pow(F.col("a") - expected, 2) / (expected * (1 - F.col("b") / total))
-    top = counted.withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(size)
-    return [row["term"] for row in top.collect()]
-
-
-def train(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, terms: int = TERMS
-) -> Model:
-    """A model from at most ``rows`` labelled rows and the frequencies of at most
-    ``terms`` words over all of ``docs``."""
+    rows = sorted(tuple(row) for row in counted.collect())
+    held = np.array([row[1:] for row in rows], np.int64).reshape(-1, 2)
+    return [row[0] for row in rows], _likelihood_ratio(held[:, 0], held[:, 1], n[1], sum(n.values()))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+    """A model from at most ``rows`` labelled rows and the frequencies of all their
+    words over all of ``docs``."""
     sample = labelled_sample(docs, labels, label, rows).repartition(8, "doc_id")
     known = labels.where((crc_mod3() != 1) & F.col(label).isNotNull())
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
-    best = _best_terms(sample, terms)
-    number = {term: k for k, term in enumerate(best)}
+    terms, weigh = _terms(sample)
+    number = {term: k for k, term in enumerate(terms)}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, count = Counter(), 0
+        found, count = np.zeros(len(number), np.int64), 0
         for batch in (part for whole in batches for part in chunks(whole, "text")):
             for text in texts_of(batch, "text"):
-                found.update(number.keys() & set(words_of(text)))
+                found[[number[w] for w in set(words_of(text)) if w in number]] += 1
             count += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"term": ["", *found], "n": [count, *found.values()]})
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict(
+            {"term": np.append(held, -1).astype(np.int32), "n": np.append(found[held], count)}
+        )
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in chunks(whole, "text", 1 << 20)):
@@ -235,10 +278,15 @@ def train(
                 }
             )
 
-    found = docs.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n"))
-    found = {row[0]: row[1] for row in found.collect()}
+    held = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect()
+    found, documents = np.zeros(len(terms), np.int64), 0
+    for term, n in held:
+        if term < 0:
+            documents = n
+        else:
+            found[term] = n
     examples = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>")
-    return Model(best, found, found.get("", 0), [tuple(row) for row in examples.collect()], share)
+    return Model(terms, weigh, found, documents, [tuple(row) for row in examples.collect()], share)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -253,12 +301,11 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
         for batch in (part for whole in batches for part in chunks(whole, text)):
             rows = []
             for one in texts_of(batch, text):
-                counts = own.counts(one)
-                key = tuple(sorted(counts.items()))
+                key = hashlib.blake2b(one.encode(), digest_size=16).digest()
                 if key not in seen:
                     if len(seen) >= CACHE:
                         seen.clear()
-                    seen[key] = own.score(counts)
+                    seen[key] = own.score(own.counts(one))
                 rows.append(seen[key])
             names = [f.name for f in kept]
             added = [

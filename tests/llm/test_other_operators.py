@@ -250,6 +250,31 @@ def test_classifier_edges(spark, module):
     assert len({r.score for r in unlearned}) == 1
 
 
+def test_toxicity_uses_every_word(spark):
+    """Words of one to three examples, the only ones that tell the classes apart, find their neighbours."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(k, f"well then {'rude' if k % 2 == 0 else 'kind'}{k // 6}".translate(letters)) for k in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(480)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    learned = {(k % 2, k // 6) for k in range(480) if brute.crc_mod3(k) != 1}
+    held = [k for k in range(480) if brute.crc_mod3(k) == 1 and (k % 2, k // 6) in learned]
+    assert len(held) > 100
+    for k in held:
+        first = got[k].nearest[0]
+        assert (first % 2, first // 6) == (k % 2, k // 6)
+        assert (got[k].score > 0.5) == (k % 2 == 0)
+
+
+def test_toxic_recall(spark, larger):
+    rows = {r.doc_id: r.predicted for r in QUERIES["op10_toxicity"](spark, larger).collect()}
+    labels = [tuple(r) for r in spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "toxic").collect()]
+    held = [(y, rows[k]) for k, y in labels if brute.crc_mod3(k) == 1]
+    recall, wrong = (float(np.mean([p for y, p in held if y == side])) for side in (1, 0))
+    print(f"recall {recall:.4f}, clean called toxic {wrong:.4f}")
+    assert recall >= 0.84 and wrong <= 0.005
+
+
 # --- Pipeline
 
 
