@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.llm import bpe, chat, decontaminate, jaccard, quality, suffixes, tokens, toxicity, vptree, warc
+from calltide.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    jaccard,
+    lexical,
+    licenses,
+    periodic,
+    quality,
+    suffixes,
+    tokens,
+    toxicity,
+    vptree,
+    warc,
+)
 from calltide.llm.common import crc_mod3, table
 from calltide.session import materialise
 
@@ -158,3 +174,87 @@ def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op11_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases, tags and expressions in every text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = licenses.scan(docs).withColumn("_base", F.filter("phrases", lambda x: x["base"]))
+    labels = F.array_sort(F.array_distinct(F.col("_base.label")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("_base").cast("long").alias("n_base"),
+        F.array_min("_base.word").alias("first_word"),
+        F.array_max("_base.word").alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op12_ranked_search",
+    f"""WITH occurrences AS (
+      SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM documents
+    ), sizes AS (
+      SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM occurrences GROUP BY doc_id
+    ), whole AS (
+      SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes
+    ), asked AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM benchmark
+    ), postings AS (
+      SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf FROM occurrences
+      WHERE term IN (SELECT term FROM asked) GROUP BY term, doc_id
+    ), weights AS (
+      SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM postings, whole GROUP BY term
+    ), scored AS (
+      SELECT a.item_id, p.doc_id,
+        CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total))))) AS BIGINT) AS score
+      FROM asked a JOIN postings p USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole
+      GROUP BY a.item_id, p.doc_id
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
+)
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every benchmark item, by range-maximum tables."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, folder, "benchmark").select("item_id", "text"), 50)
+
+
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For every tenth document by hash: its words up to a place, then a stretch of them over and over."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of the words of every text, and the texts without their repetitions."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.mark_runs(docs, key="doc_id", order=planted_order)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("_top", periodic.strongest("runs")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_top.start",
+        "_top.length",
+        "_top.period",
+        F.expr("_top.length * 1000 div _top.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
