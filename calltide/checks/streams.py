@@ -7,19 +7,22 @@ from calltide.checks.inputs import labelled, r6
 from calltide.operators.score import RuleModel
 from calltide.session import materialise, scratch_path
 from calltide.sources.tables import event_calls, table
-from calltide.streaming import live, state
+from calltide.plans.ledger import Ledger
+from calltide.streaming import live, ordered, state
 
 _PARTS = 4
+# Files of a piece of a feed, written and read side by side.
+_FILES = 2
 
 
 def _write_in_order(df, order: str, path: str, parts: int = _PARTS) -> None:
-    """The rows as a few folders' worth of files, older ids first, as a feed would."""
+    """The rows as a feed would bring them: older ids first, a few files at a time."""
     df = materialise(df, "feed")
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = (high - low) // parts + 1
     for i in range(parts):
         piece = df.filter((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step))
-        piece.coalesce(1).write.mode("append").parquet(path)
+        piece.repartition(_FILES).write.mode("append").parquet(path)
 
 
 def _messages(spark, folder):
@@ -69,10 +72,17 @@ def _messages(spark, folder):
     return singles.unionByName(batches).unionByName(others)
 
 
-def _message_stream(spark, folder):
+def _message_stream(spark, folder, times: int = 1, parts: int = _PARTS, closing: bool = False):
+    """A stream of the messages; ``closing`` adds, at its end, notes of user -1 years later."""
     path = scratch_path(spark, "messages")
-    _write_in_order(_messages(spark, folder), "syscall_id", path)
-    return live.read_messages(spark, path, files_per_batch=1)
+    messages = _messages(spark, folder)
+    for _ in range(times):
+        _write_in_order(messages, "syscall_id", path, parts)
+    if closing:
+        for year in (2098, 2099):
+            note = [(-1, f'{{"type": "agent_info", "timestamp": "{year}-01-01T00:00:00"}}')]
+            spark.createDataFrame(note, "user_id long, value string").write.mode("append").parquet(path)
+    return live.read_messages(spark, path, files_per_batch=_FILES)
 
 
 def _run(stream, keys):
@@ -169,7 +179,7 @@ def _snapshots(spark, folder):
 def process_snapshots(spark, folder):
     path = scratch_path(spark, "messages")
     _write_in_order(_snapshots(spark, folder), "syscall_id", path)
-    messages = live.parse_messages(live.read_messages(spark, path, files_per_batch=1))
+    messages = live.parse_messages(live.read_messages(spark, path, files_per_batch=_FILES))
     newest = _run(live.latest_snapshots(messages), ["user_id", "hostname"])
     return live.snapshot_processes(newest).select("user_id", "hostname", "pid", "ppid", "cpu")
 
@@ -185,7 +195,7 @@ def ring_buffers(spark, folder):
     events = table(spark, folder, "events").select("user_id", "event_id", F.col("value").alias("latency_us"))
     path = scratch_path(spark, "events")
     _write_in_order(events, "event_id", path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
     rings = _run(state.ring_buffers(stream), ["user_id"])
     return rings.select(
         "user_id",
@@ -205,7 +215,7 @@ def streamed_redundancy(spark, folder):
     calls = event_calls(spark, folder).select("trace_id", "syscall_id", "syscall_name")
     path, out = scratch_path(spark, "calls"), scratch_path(spark, "labelled")
     _write_in_order(calls, "syscall_id", path)
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
     state.label_stream(stream, out, scratch_path(spark, "checkpoint"), "both", span=1000).awaitTermination()
     return spark.read.parquet(f"{out}/labels").select(
         "trace_id", "syscall_id", "is_redundant_trace", "is_redundant_generator"
@@ -223,8 +233,132 @@ def streamed_scores(spark, folder):
     model = RuleModel.fit(event_calls(spark, folder))
     path, out = scratch_path(spark, "calls"), scratch_path(spark, "scores")
     _write_in_order(calls, "syscall_id", path)
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
     state.score_stream(stream, model, out, scratch_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out).select(
         "syscall_id", r6("anomaly_score"), "pattern_cluster", r6("optimization_priority")
     )
+
+
+# Calls come up to this many days after later ones; a call of a trace of its own ends the feed.
+_LATE_DAYS = 5
+
+
+def _shuffled_calls(spark, folder):
+    """The calls of `events` with the time (``_comes``, seconds) at which a feed brings them."""
+    calls = event_calls(spark, folder).select("trace_id", "syscall_id", "syscall_name", "ts")
+    delay = F.pmod(F.col("syscall_id") * 7919, F.lit(_LATE_DAYS * 86400 - 3600))
+    fed = calls.withColumn("_comes", F.unix_seconds("ts") + delay)
+    last = F.max(F.unix_seconds("ts")) + 1000 * 86400
+    clock = calls.agg(last.alias("_comes")).select(
+        F.lit("clock").alias("trace_id"),
+        F.lit(-1).cast("long").alias("syscall_id"),
+        F.lit("tick").alias("syscall_name"),
+        F.timestamp_seconds("_comes").alias("ts"),
+        "_comes",
+    )
+    return fed, clock
+
+
+@check(
+    "streamed_late_labels",
+    views("labelled")
+    + "SELECT trace_id, syscall_id, is_redundant AS is_redundant_trace, is_redundant_generator FROM labelled",
+)
+def streamed_late_labels(spark, folder):
+    """Calls that come days late get the labels of the batch rule, all of them."""
+    fed, clock = _shuffled_calls(spark, folder)
+    path, out = scratch_path(spark, "calls"), scratch_path(spark, "labelled")
+    _write_in_order(fed, "_comes", path)
+    clock.write.mode("append").parquet(path)
+    rows = fed.drop("_comes")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+    day = 86400
+    state.label_stream(
+        stream, out, scratch_path(spark, "checkpoint"), "both", span=1000, wait=_LATE_DAYS * day, keep=day, forget=400 * day
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/labels").filter("trace_id <> 'clock'").select(
+        "trace_id", "syscall_id", "is_redundant_trace", "is_redundant_generator"
+    )
+
+
+_SILENCE = 2 * 86400
+
+
+@check(
+    "agent_timeouts",
+    views("labelled", _LIVE_SQL)
+    + f"""SELECT user_id, status, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, reason FROM (
+        WITH sent AS (
+          SELECT user_id, ts, false AS bye FROM live WHERE syscall_name IN ('execve', 'openat', 'ioctl', 'accept4')
+          UNION ALL
+          SELECT user_id, max(ts), false FROM live WHERE syscall_name NOT IN ('execve', 'openat', 'ioctl', 'accept4')
+          GROUP BY user_id, syscall_id // 500
+          UNION ALL
+          SELECT user_id, ts, syscall_name = 'futex' FROM live WHERE syscall_name IN ('execve', 'futex')
+        ), seconds AS (
+          SELECT DISTINCT user_id, date_trunc('second', ts) AS sec, bye FROM sent
+        ), placed AS (
+          SELECT *, lag(sec) OVER w AS sec_before, lag(bye) OVER w AS bye_before, lead(sec) OVER w AS sec_after
+          FROM seconds WINDOW w AS (PARTITION BY user_id ORDER BY sec, bye)
+        )
+        SELECT user_id, 'online' AS status, sec AS since, 'message' AS reason FROM placed
+        WHERE NOT bye AND (sec_before IS NULL OR bye_before OR sec > sec_before + INTERVAL {_SILENCE} SECOND)
+        UNION ALL
+        SELECT user_id, 'offline', sec, 'goodbye' FROM placed
+        WHERE bye AND NOT bye_before AND sec <= sec_before + INTERVAL {_SILENCE} SECOND
+        UNION ALL
+        SELECT user_id, 'offline', sec + INTERVAL {_SILENCE} SECOND, 'silence' FROM placed
+        WHERE NOT bye AND (sec_after IS NULL OR sec_after > sec + INTERVAL {_SILENCE} SECOND))""",
+)
+def agent_timeouts(spark, folder):
+    """When users come and go, told by their messages and by their silence."""
+    messages = ordered.message_time(live.parse_messages(_message_stream(spark, folder, closing=True)))
+    path = scratch_path(spark, "changes")
+    # A batch has the time of its last event: it may come after singles that are later.
+    changes = ordered.presence_changes(messages, _SILENCE, wait=60 * 86400)
+    state.log_updates(changes, path, scratch_path(spark, "checkpoint"), mode="append").awaitTermination()
+    return (
+        Ledger(spark, path)
+        .read()
+        .filter("user_id <> -1")
+        .select("user_id", "status", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "reason")
+    )
+
+
+@check(
+    "repeated_messages",
+    views("labelled", _LIVE_SQL)
+    + """SELECT user_id, count(*) AS events, count(*) FILTER (WHERE is_high_latency) AS high_latency,
+                count(*) FILTER (WHERE is_redundant) AS redundant FROM live GROUP BY 1""",
+)
+def repeated_messages(spark, folder):
+    """Counters of a feed that is sent twice."""
+    once = live.once(_message_stream(spark, folder, times=2), within="4000 days")
+    return _run(live.live_counters(live.unpack_events(live.parse_messages(once))), ["user_id"])
+
+
+@check(
+    "refused_messages",
+    views("labelled", _LIVE_SQL)
+    + """SELECT user_id, concat('not json ', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) AS value, 'not json' AS reason
+         FROM live WHERE syscall_name = 'write'""",
+)
+def refused_messages(spark, folder):
+    return live.refused_messages(_messages(spark, folder))
+
+
+@check(
+    "compacted_updates",
+    views("labelled", _LIVE_SQL)
+    + """SELECT user_id, strftime(to_timestamp(floor(epoch(ts) / 86400) * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d') AS tick,
+                count(*) AS events, count(*) FILTER (WHERE is_high_latency) AS high_latency
+         FROM live GROUP BY 1, 2""",
+)
+def compacted_updates(spark, folder):
+    """Ticks from a log of many batches that is folded after every third one."""
+    events = live.unpack_events(live.parse_messages(_message_stream(spark, folder, parts=10)))
+    ticks = live.batch_ticks(events, "1 day", late="60 days")
+    path, keys = scratch_path(spark, "updates"), ["user_id", "tick"]
+    state.log_updates(ticks, path, scratch_path(spark, "checkpoint"), keys=keys, every=3).awaitTermination()
+    return state.latest_updates(spark, path, keys).withColumn("tick", F.date_format("tick", "yyyy-MM-dd"))

@@ -81,30 +81,82 @@ def _typed(value: Column, kind) -> Column:
     return value if isinstance(kind, StringType) else value.try_cast(kind)
 
 
+def _lost(value: Column, kind) -> Column:
+    """How many plain values in ``value``, read as text, their types cannot hold."""
+    if isinstance(kind, StructType):
+        return sum((_lost(value[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    if isinstance(kind, ArrayType):
+        counts = F.aggregate(value, F.lit(0), lambda total, x: total + _lost(x, kind.elementType))
+        return F.coalesce(counts, F.lit(0))
+    if isinstance(kind, StringType):
+        return F.lit(0)
+    return (value.isNotNull() & value.try_cast(kind).isNull()).cast("int")
+
+
+def _is_object() -> Column:
+    return F.coalesce(F.ltrim(F.get_json_object("value", "$")).startswith("{"), F.lit(False))
+
+
 def parse_messages(raw: DataFrame) -> DataFrame:
-    """Messages as columns. What is not a JSON object is dropped, heartbeats are not
-    forwarded, and a message without a type is a call.
+    """Messages as columns. What is not a JSON object is dropped (see :func:`refused_messages`),
+    heartbeats are not forwarded, and a message without a type is a call.
 
     A field of another type than expected is read if it can be (``"12"`` is a pid)
-    and else null; the message stays, and ``mistyped`` counts its lost plain fields.
+    and else null; the message stays, and ``mistyped`` counts its lost plain fields,
+    those of the events and processes inside it included.
     """
     body = F.from_json("value", _as_text(MESSAGE))
-    is_object = F.ltrim(F.get_json_object("value", "$")).startswith("{")
-    rows = raw.filter(is_object).select("user_id", body.alias("m"))
+    rows = raw.filter(_is_object()).select("user_id", body.alias("m"))
     typed = {f.name: _typed(F.col(f"m.{f.name}"), f.dataType) for f in MESSAGE.fields}
-    lost = [
-        (F.col(f"m.{f.name}").isNotNull() & typed[f.name].isNull()).cast("int")
-        for f in MESSAGE.fields
-        if not isinstance(f.dataType, (ArrayType, StringType))
-    ]
     typed = rows.select(
-        "user_id", *[c.alias(n) for n, c in typed.items()], sum(lost, F.lit(0)).alias("mistyped")
+        "user_id", *[c.alias(n) for n, c in typed.items()], _lost(F.col("m"), MESSAGE).alias("mistyped")
     ).withColumn("type", F.coalesce("type", F.lit("syscall")))
     return typed.filter(F.col("type") != "heartbeat").withColumn(
         "ts", F.try_to_timestamp("timestamp")
     )
 
 
+# Message types of the feed.
+TYPES = ("syscall", "syscall_batch", "process_snapshot", "agent_info", "agent_offline", "heartbeat")
+
+
+def refused_messages(raw: DataFrame) -> DataFrame:
+    """What of a feed is no message: user_id, value and why it is refused."""
+    kind = F.get_json_object("value", "$.type")
+    reason = (
+        F.when(F.col("value").isNull(), "empty")
+        .when(F.get_json_object("value", "$").isNull(), "not json")
+        .when(~_is_object(), "not an object")
+        .when(~F.coalesce(kind, F.lit("syscall")).isin(*TYPES), "unknown type")
+    )
+    return raw.select("user_id", "value", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def _value_time() -> Column:
+    """The time of a message as text: its own, else that of its last event."""
+    times = F.from_json(F.get_json_object("value", "$.events"), "array<struct<timestamp: string>>")
+    inner = F.array_max(F.transform(times, lambda e: F.try_to_timestamp(e["timestamp"])))
+    return F.coalesce(F.try_to_timestamp(F.get_json_object("value", "$.timestamp")), inner)
+
+
+def once(raw: DataFrame, within: str = "1 hour", by: tuple[str, ...] = ("user_id", "value")) -> DataFrame:
+    """A feed that may send a message again, each message once.
+
+    A message is known again by ``by`` (its text; an id, if the feed has one) as long as
+    no message more than ``within`` later than it has been seen: the state of older ones is
+    dropped. What has no time cannot expire and passes as it is; static rows are
+    compared without a bound.
+    """
+    timed = raw.withColumn("_sent", _value_time())
+    digest = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in by]), 256)
+    known = timed.filter(F.col("_sent").isNotNull()).withColumn("_digest", digest)
+    if raw.isStreaming:
+        first = known.withWatermark("_sent", within).dropDuplicatesWithinWatermark(["_digest"])
+    else:
+        first = known.dropDuplicates(["_digest"])
+    return first.drop("_sent", "_digest").unionByName(timed.filter(F.col("_sent").isNull()).drop("_sent"))
+
+
 def unpack_events(messages: DataFrame) -> DataFrame:
     """One row per call event of single and batch messages."""
     names = [f.name for f in EVENT.fields]

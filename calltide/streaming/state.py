@@ -11,7 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from calltide.operators.chunks import DEFAULT_SPAN
 from calltide.operators.label import GENERATOR_WINDOW, mark_redundant
+from calltide.plans.ledger import EVERY, Ledger
+from calltide.storage import Store
 from calltide.streaming.live import RING
+from calltide.streaming.ordered import in_event_order
 
 _RING = "user_id long, event_id array<long>, latency_us array<double>"
 
@@ -55,15 +58,24 @@ def ring_buffers(events: DataFrame, k: int = RING) -> DataFrame:
 DRAIN = {"availableNow": True}
 
 
-def log_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", trigger: dict | None = None):
-    """Starts writing a changing table as a log: one folder per batch.
+def log_updates(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    mode: str = "update",
+    trigger: dict | None = None,
+    keys: list[str] | None = None,
+    every: int = EVERY,
+):
+    """Starts writing a changing table as a log of batches under one manifest.
 
-    A batch that runs again overwrites its own folder, so the log holds every
-    update once. Read it with :func:`latest_updates`.
+    A batch that runs again is left alone, so the log holds every update once. With
+    ``keys`` the log is folded into a snapshot after ``every`` batches and stays
+    small however long the stream runs. Read it with :func:`latest_updates`.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        Ledger(rows.sparkSession, path, keys, every).put(rows, batch)
 
     return (
         stream.writeStream.outputMode(mode)
@@ -76,10 +88,7 @@ def log_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "upda
 
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row of every key in an update log."""
-    log = spark.read.parquet(path)
-    fields = [c for c in log.columns if c not in (*keys, "batch")]
-    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("_row"))
-    return newest.select(*keys, "_row.*")
+    return Ledger(spark, path, keys).read()
 
 
 def label_stream(
@@ -89,6 +98,9 @@ def label_stream(
     rule: str = "trace",
     span: int = DEFAULT_SPAN,
     trigger: dict | None = None,
+    wait: int | None = None,
+    keep: int = 3600,
+    forget: int | None = None,
 ):
     """Starts marking redundant calls of a stream of (trace_id, syscall_id, syscall_name, ...).
 
@@ -96,16 +108,25 @@ def label_stream(
     of one folder per batch. A batch puts them before its own rows and runs the
     chunked rule of the batch operator, so one busy trace is spread over tasks.
     All folders of a batch are overwritten when it runs again: results and
-    memory hold every call once.
-
-    The calls of a trace must come in the order of their numbers from batch to
-    batch; within a batch they may come in any order. A call that comes after later
-    ones of its trace cannot be labelled as the batch rule would: it goes to
-    ``late`` instead of ``labels``.
+    memory hold every call once. The memory of the two last batches is kept.
+
+    Calls have numbers that rise with their time. Without ``wait``, the calls of a trace must
+    come in this order from batch to batch. With ``wait`` (seconds; the stream then has a
+    column ``ts``) calls may come that late: they wait in keyed state until the watermark
+    has passed them and get the labels of the batch rule. A call that comes after
+    later ones of its trace have gone out cannot be labelled: it goes to ``late`` instead
+    of ``labels`` (at most ``keep`` seconds after its time).
+    With ``forget`` (seconds; needs ``ts`` too), a trace whose last call is that much older than the
+    newest call of all leaves the memory.
     """
     spark = calls.sparkSession
     memory = f"{path}/memory"
-    schema = calls.select("trace_id", "syscall_id", "syscall_name").schema
+    kept = ["trace_id", "syscall_id", "syscall_name", *(["ts"] if forget is not None else [])]
+    schema = calls.select(*kept).schema
+    if wait is None:
+        fed = calls.withColumn("is_late", F.lit(False))
+    else:
+        fed = in_event_order(calls, wait=wait, keep=keep)
 
     def write(rows: DataFrame, batch: int) -> None:
         # Read by the rule twice and by the memory once.
@@ -117,29 +138,41 @@ def label_stream(
 
     def label_batch(rows: DataFrame, batch: int) -> None:
         new = rows.withColumn("_old", F.lit(False))
-        if batch == 0:
-            known = new
-        else:
+        is_late = F.col("is_late")
+        if batch:
             old = spark.read.schema(schema).parquet(f"{memory}/batch={batch - 1}")
             seen = old.groupBy("trace_id").agg(F.max("syscall_id").alias("_seen"))
-            placed = new.join(seen, "trace_id", "left")
-            is_late = F.coalesce(F.col("syscall_id") <= F.col("_seen"), F.lit(False))
-            placed.filter(is_late).drop("_seen", "_old").write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
-            new = placed.filter(~is_late).drop("_seen")
-            known = new.unionByName(old.withColumn("_old", F.lit(True)), allowMissingColumns=True)
+            new = new.join(seen, "trace_id", "left")
+            is_late = is_late | F.coalesce(F.col("syscall_id") <= F.col("_seen"), F.lit(False))
+        new = new.withColumn("is_late", is_late)
+        if batch or wait is not None:
+            late = new.filter("is_late").select(*calls.columns)
+            late.write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
+        new = new.filter("NOT is_late").select(*calls.columns, "_old")
+        known = new.unionByName(old.withColumn("_old", F.lit(True)), allowMissingColumns=True) if batch else new
         marked = mark_redundant(known, rule, span=span).filter(~F.col("_old")).drop("_old")
         marked.write.mode("overwrite").parquet(f"{path}/labels/batch={batch}")
         newest = Window.partitionBy("trace_id").orderBy(F.desc("syscall_id"))
         last = (
-            known.select("trace_id", "syscall_id", "syscall_name")
+            known.select(*kept)
             .withColumn("_back", F.row_number().over(newest))
             .filter(F.col("_back") <= GENERATOR_WINDOW)
             .drop("_back")
         )
+        if forget is not None:
+            now = known.agg(F.unix_micros(F.max("ts"))).first()[0]
+            if now is not None:
+                fresh = last.groupBy("trace_id").agg(F.unix_micros(F.max("ts")).alias("_at"))
+                fresh = fresh.filter(F.col("_at") >= now - forget * 1_000_000)
+                last = last.join(fresh, "trace_id", "left_semi")
         last.write.mode("overwrite").parquet(f"{memory}/batch={batch}")
+        store = Store(spark, memory)
+        for name in store.names():
+            if name.startswith("batch=") and int(name[6:]) < batch - 1:
+                store.remove(name)
 
     return (
-        calls.writeStream.option("checkpointLocation", checkpoint)
+        fed.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or DRAIN))
         .foreachBatch(write)
         .start()

@@ -39,7 +39,7 @@ def test_mistyped_fields(spark):
         '"text"',
     ]
     messages = parse_messages(spark.createDataFrame([(1, t) for t in texts], "user_id long, value string"))
-    assert sorted(r.mistyped for r in messages.collect()) == [0, 0, 0, 2]
+    assert sorted(r.mistyped for r in messages.collect()) == [0, 0, 1, 2]
     events = sorted((r.pid or 0, r.latency_us or 0.0) for r in unpack_events(messages).collect())
     assert events == [(0, 1.5), (12, 0.0), (12, 1.5), (12, 1.5)]
 
