@@ -4,22 +4,24 @@ from pyspark.sql import functions as F
 
 from calltide.checks.base import check, views
 from calltide.checks.inputs import labelled, r6
+from calltide.operators.metrics import attach_metrics
 from calltide.operators.parse import (
     calls_from_lines,
     expand_summary,
     is_noise,
     match_lines,
     parse_calls,
+    parse_lines,
     parse_stats,
     parse_summary,
     return_code,
     summary_traces,
 )
 from calltide.schemas import CALL
-from calltide.session import materialise
+from calltide.session import materialise, scratch_path
 from calltide.sources.records import as_events, calls_from_json, calls_to_json
 from calltide.sources.tables import event_calls, table
-from calltide.sources.traces import numbered_lines, text_lines
+from calltide.sources.traces import numbered_lines, read_lines, text_lines, with_places
 
 _CALL_PATTERN_SQL = (
     r"^(?:(\d+)\s+)?(?:(\d{2}:\d{2}:\d{2}\.\d+)\s+)?(\w+)\((.*)\)\s*=\s*(-?\d+|\?|0x[0-9a-fA-F]+)"
@@ -150,32 +152,42 @@ def noise_lines(spark, folder):
 @check(
     "parse_statistics",
     views("named", _LINES_SQL, _DOC_LINES_SQL)
-    + f""", mixed AS (SELECT concat('run-', syscall_id // 1000) AS trace_id, syscall_id AS n, value FROM lines
+    + f""", mixed AS (SELECT concat('run-', syscall_id // 1000) AS trace_id, syscall_id AS n,
+                             CASE WHEN syscall_id % 97 = 11 THEN concat('read(3) = 1 <0.', syscall_id, '.5>') ELSE value END AS value
+                      FROM lines
                       UNION ALL SELECT trace_id, n, value FROM doc_lines),
          m AS (SELECT trace_id, n, trim(value, {_BLANKS}) AS line FROM mixed),
          b AS (SELECT *, min(n) FILTER (WHERE line <> '') OVER t AS first_text,
                       max(n) FILTER (WHERE line <> '') OVER t AS last_text
                FROM m WINDOW t AS (PARTITION BY trace_id)),
-         g AS (SELECT trace_id, count(*) AS n_lines,
-                      count(*) FILTER (WHERE regexp_matches(line, '{_CALL_PATTERN_SQL}')
+         r AS (SELECT *, regexp_matches(line, '{_CALL_PATTERN_SQL}')
                         AND NOT (line = '' OR starts_with(line, '---') OR starts_with(line, '+++')
-                        OR contains(line, '<unfinished') OR contains(line, 'resumed>'))) AS ok
-               FROM b WHERE n BETWEEN first_text AND last_text GROUP BY trace_id)
-         SELECT trace_id, ok AS parsed_lines, n_lines - ok AS skipped_lines, 0 AS total_errors,
-                0 AS shown_errors FROM g""",
+                        OR contains(line, '<unfinished') OR contains(line, 'resumed>')) AS reads,
+                      n - first_text + 1 AS no, regexp_extract(line, '<([0-9.]+)>$', 1) AS dur
+               FROM b WHERE n BETWEEN first_text AND last_text),
+         f AS (SELECT *, reads AND TRY_CAST(nullif(dur, '') AS DOUBLE) IS NULL AND dur <> '' AS fails FROM r),
+         ranked AS (SELECT *, row_number() OVER (PARTITION BY trace_id, fails ORDER BY no) AS place FROM f)
+         SELECT trace_id, count(*) FILTER (WHERE reads AND NOT fails) AS parsed_lines,
+                count(*) FILTER (WHERE NOT reads OR fails) AS skipped_lines,
+                count(*) FILTER (WHERE fails) AS total_errors,
+                coalesce(string_agg(concat('Line ', no, ': could not convert string to float: ', chr(39), dur, chr(39)),
+                                    ' | ' ORDER BY no) FILTER (WHERE fails AND place <= 10), '') AS shown_errors
+         FROM ranked GROUP BY trace_id""",
 )
 def parse_statistics(spark, folder):
     # Line numbers of a trace are consecutive, hence traces of 1000 events here.
     runs = event_lines(spark, folder).withColumn(
         "trace_id", F.concat(F.lit("run-"), F.expr("line_seq div 1000"))
     )
+    broken = F.concat(F.lit("read(3) = 1 <0."), F.col("line_seq").cast("string"), F.lit(".5>"))
+    runs = runs.withColumn("value", F.when(F.col("line_seq") % 97 == 11, broken).otherwise(F.col("value")))
     lines = runs.unionByName(document_lines(spark, folder))
     return parse_stats(lines).select(
         "trace_id",
         "parsed_lines",
         "skipped_lines",
         "total_errors",
-        F.size("errors").alias("shown_errors"),
+        F.array_join("errors", " | ").alias("shown_errors"),
     )
 
 
@@ -328,3 +340,67 @@ def calls_from_json_records(spark, folder):
 def normalised_events(spark, folder):
     events = as_events(labelled(spark, folder))
     return events.withColumn("latency", r6("latency"))
+
+
+_NUMBERED_SQL = """numbered AS (
+  SELECT *, coalesce(lag(name, 1) OVER w = name, false)::INT + coalesce(lag(name, 2) OVER w = name, false)::INT
+            + coalesce(lag(name, 3) OVER w = name, false)::INT + coalesce(lag(name, 4) OVER w = name, false)::INT
+            + coalesce(lag(name, 5) OVER w = name, false)::INT >= 3 AS is_redundant,
+         row_number() OVER w - 1 AS number
+  FROM (SELECT p.*, l.value FROM parsed p JOIN lines l USING (syscall_id)) x
+  WINDOW w AS (PARTITION BY x.trace_id ORDER BY syscall_id))"""
+
+
+def trace_files(spark, folder) -> str:
+    """The lines of every host as a plain file and as a compressed one, in two folders."""
+    lines = event_lines(spark, folder).select("trace_id", "line_seq", "value")
+    root = scratch_path(spark, "traces")
+    for kind, options in (("plain", {}), ("packed", {"compression": "gzip"})):
+        one_file = lines.repartition("trace_id").sortWithinPartitions("trace_id", "line_seq")
+        one_file.select("trace_id", "value").write.partitionBy("trace_id").options(**options).text(f"{root}/{kind}")
+    return root
+
+
+@check(
+    "calls_from_files",
+    views("named", _LINES_SQL, _PARSED_SQL, _NUMBERED_SQL)
+    + """, placed AS (SELECT *, CAST(sum(strlen(value) + 1) OVER (PARTITION BY trace_id ORDER BY syscall_id)
+                                 - strlen(value) - 1 AS BIGINT) AS byte_at FROM numbered)
+         SELECT kind, trace_id, number AS syscall_id, byte_at, name AS syscall_name,
+                round(CASE WHEN dur = '' THEN base ELSE CAST(dur AS DOUBLE) * 1000000 END, 3) AS latency_us, is_redundant
+         FROM placed, (VALUES ('plain'), ('packed')) k(kind)""",
+)
+def calls_from_files(spark, folder):
+    """Trace files, plain and compressed ones, with the byte at which each call stands."""
+    root = trace_files(spark, folder)
+    lines = with_places(materialise(read_lines(spark, root, span=500), "lines"))
+    calls = parse_lines(lines).calls()
+    return calls.select(
+        F.regexp_extract("trace_id", "/(plain|packed)/", 1).alias("kind"),
+        F.regexp_extract("trace_id", "trace_id=([^/]+)/", 1).alias("trace_id"),
+        "syscall_id", "byte_at", "syscall_name", "latency_us", "is_redundant",
+    )
+
+
+@check(
+    "metrics_of_parsed_calls",
+    views("named", _LINES_SQL, _PARSED_SQL, _NUMBERED_SQL)
+    + """, known AS (SELECT n.syscall_id, coalesce(CAST(nullif(n.pid, '') AS BIGINT), 0) AS pid,
+                            CASE WHEN n.clock <> '' THEN e.ts END AS ts
+                     FROM numbered n JOIN events e ON e.event_id = n.syscall_id),
+         samples AS (SELECT user_id AS pid, ts, value AS cpu_usage FROM events WHERE event_id % 3 = 0)
+         SELECT c.syscall_id, strftime(c.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, s.cpu_usage
+         FROM known c ASOF LEFT JOIN samples s ON c.pid = s.pid AND c.ts >= s.ts""",
+)
+def metrics_of_parsed_calls(spark, folder):
+    """Parsed calls with the time that their clock texts tell, and the host metrics of that time."""
+    events = table(spark, folder, "events")
+    samples = events.filter("event_id % 3 = 0").select(
+        F.col("user_id").alias("pid"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cpu_usage")
+    )
+    # One trace of all hosts: it never pauses for long.
+    lines = event_lines(spark, folder).withColumn("trace_id", F.lit("all"))
+    calls = parse_lines(lines).calls(date="2024-01-01").drop("cpu_usage")
+    return attach_metrics(calls, samples).select(
+        "syscall_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "cpu_usage"
+    )

@@ -22,11 +22,24 @@ def start_offsets(
     return summed.withColumn("start_ns", F.col("_end") - F.col("_step")).drop("_end", "_step", "_chunk")
 
 
-def wall_times(calls: DataFrame, date: str, layout: Layout) -> DataFrame:
+HALF_A_DAY = 12 * 3600
+
+
+def _turn(before: Column, now: Column, slack: int) -> Column:
+    """Days that pass from a clock time (microseconds) to the next one."""
+    turn = F.when(now < before - slack * 1_000_000, 1)
+    if slack:
+        turn = turn.when(now > before + slack * 1_000_000, -1)
+    return F.coalesce(turn, F.lit(0))
+
+
+def wall_times(calls: DataFrame, date: str, layout: Layout, slack: int = 0) -> DataFrame:
     """Adds ``ts`` from the clock text of a trace that holds no dates.
 
-    The day advances whenever the clock of a (trace, pid) runs backwards.
-    ``layout`` orders the calls within (trace, pid); rows without a clock text
+    The day advances whenever the clock runs backwards within the key of ``layout``, which
+    orders the calls. Lines of several processes can be slightly out of order; with ``slack``
+    (seconds, at most half a day) only a clock that runs back by more than that starts a new day, and
+    one that jumps ahead by more belongs to the day before. Rows without a clock text
     get a null.
     """
     seconds = (
@@ -39,7 +52,7 @@ def wall_times(calls: DataFrame, date: str, layout: Layout) -> DataFrame:
     known = timed.filter(F.col("_us").isNotNull())
 
     inside = layout.inside()
-    steps = known.withColumn("_turn", F.coalesce((F.col("_us") < F.lag("_us").over(inside)).cast("int"), F.lit(0)))
+    steps = known.withColumn("_turn", _turn(F.lag("_us").over(inside), F.col("_us"), slack))
     position = F.struct(*layout.order)
     pieces = steps.groupBy(*layout.cell).agg(
         F.sum("_turn").alias("_turns"),
@@ -47,7 +60,7 @@ def wall_times(calls: DataFrame, date: str, layout: Layout) -> DataFrame:
         F.max_by("_us", position).alias("_last_us"),
     )
     across = layout.across()
-    edge = F.coalesce((F.col("_first_us") < F.lag("_last_us").over(across)).cast("int"), F.lit(0))
+    edge = _turn(F.lag("_last_us").over(across), F.col("_first_us"), slack)
     upto = across.rowsBetween(Window.unboundedPreceding, 0)
     days = (
         pieces.withColumn("_edge", edge)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltide.operators.chunks import with_running
+from calltide.operators.clock import HALF_A_DAY, wall_times
 from calltide.operators.label import (
     attach_catalog,
     is_high_latency,
@@ -60,29 +61,38 @@ def _cut(lines: DataFrame, pattern: str, groups: list[int]) -> DataFrame:
     )
 
 
+def _call_fields(found: Column) -> dict[str, Column]:
+    """The raw fields of a call from the groups of a match."""
+    blank_to_null = lambda c: F.nullif(c, F.lit(""))
+    return {
+        "pid": F.coalesce(found[1].try_cast("long"), F.lit(0)),
+        "ts_text": blank_to_null(found[2]),
+        "syscall_name": found[3],
+        "args": found[8],
+        "return_text": found[4],
+        "errno": found[5],
+        "errno_desc": found[7],
+        "duration_text": blank_to_null(found[6]),
+    }
+
+
+_CALL_GROUPS = [1, 2, 3, 5, 6, 8, 7, 4]
+
+
+def _is_bad(duration: Column) -> Column:
+    return duration.isNotNull() & duration.try_cast("double").isNull()
+
+
 def match_lines(lines: DataFrame) -> DataFrame:
     """Lines that read as calls, with their raw fields.
 
     ``is_bad`` marks a line whose duration is not a number: it is reported as a
     parse error and is no call.
     """
-    found = _cut(lines.filter(~is_noise(F.col("value"))), CALL_PATTERN, [1, 2, 3, 5, 6, 8, 7, 4])
-    field = lambda i: F.col("_f")[i]
-    blank_to_null = lambda c: F.nullif(c, F.lit(""))
+    found = _cut(lines.filter(~is_noise(F.col("value"))), CALL_PATTERN, _CALL_GROUPS)
     keep = [c for c in lines.columns if c != "value"]
-    return found.select(
-        *keep,
-        F.coalesce(field(1).try_cast("long"), F.lit(0)).alias("pid"),
-        blank_to_null(field(2)).alias("ts_text"),
-        field(3).alias("syscall_name"),
-        field(8).alias("args"),
-        field(4).alias("return_text"),
-        field(5).alias("errno"),
-        field(7).alias("errno_desc"),
-        blank_to_null(field(6)).alias("duration_text"),
-    ).withColumn(
-        "is_bad", F.col("duration_text").isNotNull() & F.col("duration_text").try_cast("double").isNull()
-    )
+    fields = [c.alias(name) for name, c in _call_fields(F.col("_f")).items()]
+    return found.select(*keep, *fields).withColumn("is_bad", _is_bad(F.col("duration_text")))
 
 
 def return_code(text: Column) -> Column:
@@ -98,7 +108,10 @@ def latency_from(duration: Column, base: Column, unit: str = "s") -> Column:
 
 def parse_calls(lines: DataFrame, duration_unit: str = "s") -> DataFrame:
     """Catalogued calls of call-format lines; line position columns are kept."""
-    matched = match_lines(lines).filter(~F.col("is_bad"))
+    return _catalogued(match_lines(lines).filter(~F.col("is_bad")).drop("is_bad"), duration_unit)
+
+
+def _catalogued(matched: DataFrame, duration_unit: str) -> DataFrame:
     duration = F.col("duration_text").cast("double")
     return (
         attach_catalog(matched)
@@ -106,19 +119,26 @@ def parse_calls(lines: DataFrame, duration_unit: str = "s") -> DataFrame:
         .withColumn("latency_estimated", F.col("duration_text").isNull())
         .withColumn("return_value", return_code(F.col("return_text")))
         .withColumn("args_summary", F.substring("args", 1, 100))
-        .drop("args", "return_text", "duration_text", "is_bad")
+        .drop("args", "return_text", "duration_text")
     )
 
 
+def _is_title() -> Column:
+    return F.col("value").contains("% time") & F.col("value").contains("usecs/call")
+
+
+def _is_ruled() -> Column:
+    return F.col("value").contains("------")
+
+
 def summary_traces(lines: DataFrame) -> DataFrame:
     """Ids of the traces in summary format: some line holds both column titles."""
-    titled = F.col("value").contains("% time") & F.col("value").contains("usecs/call")
-    return lines.filter(titled).select("trace_id").distinct()
+    return lines.filter(_is_title()).select("trace_id").distinct()
 
 
 def summary_section(lines: DataFrame) -> DataFrame:
     """Lines between an odd and the next ruled line of each summary."""
-    ruled = F.col("value").contains("------")
+    ruled = _is_ruled()
     counted = with_running(lines, LINES, {"_rules": ruled.cast("long")})
     return counted.filter(~ruled & (F.col("_rules") % 2 == 1)).drop("_rules")
 
@@ -204,111 +224,174 @@ def _as_call_records(calls: DataFrame) -> DataFrame:
             (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in CALL.fields
         ],
-        *[c for c in ("errno_desc", "latency_estimated") if c in have],
+        *[c for c in ("errno_desc", "latency_estimated", "ts", "byte_at") if c in have],
     )
 
 
-def calls_from_lines(lines: DataFrame, duration_unit: str = "s", stage: bool = True) -> DataFrame:
-    """Labelled call records of any mix of call traces and summaries.
-
-    With ``stage`` the parsed calls are written once to the shared folder, so
-    that the pattern runs once per line while numbering and labelling read a
-    few columns of the stage. The list of summary traces is written too: the
-    join with the lines then knows its true size and broadcasts it if small.
-    """
-    keep = materialise if stage else (lambda df, name: df)
-    summaries = keep(summary_traces(lines), "summaries")
-    plain = lines.join(summaries, "trace_id", "left_anti")
-    parsed = keep(parse_calls(plain, duration_unit), "parsed")
-    calls = label(parsed, layout=LINES, index="syscall_id").withColumn("source", F.lit("strace"))
-    tables = keep(lines.join(summaries, "trace_id", "left_semi"), "tables")
-    expanded = expand_summary(parse_summary(tables))
-    return _as_call_records(calls).unionByName(_as_call_records(expanded), allowMissingColumns=True)
+# What a line is to a parse. A line of a summary may look like a call or like none.
+BLANK, NOISE, GOOD, BAD, OTHER = "blank", "noise", "call", "bad", "other"
 
 
-def parse_stats(lines: DataFrame, first_errors: int = 10, stage: bool = True) -> DataFrame:
-    """Parsed and skipped lines and the first errors of every trace.
+def read_statuses(lines: DataFrame) -> DataFrame:
+    """Every line with its ``status`` and, of calls, the raw fields: one run of the pattern.
 
-    Blank lines before the first and after the last line of text do not count.
-    Per-piece counts are combined map-side; only error lines are ranked.
+    Of lines that can belong to a summary table the text stays in ``row_text``; the others drop
+    theirs. ``is_title`` marks the titles of a summary.
     """
-    keep = materialise if stage else (lambda df, name: df)
-    summaries = keep(summary_traces(lines), "summaries")
-    plain = lines.join(summaries, "trace_id", "left_anti")
-
-    text_seq = F.when(stripped() != "", F.col("line_seq"))
-    pieces = plain.groupBy(*LINES.cell).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("line_seq").alias("_min"),
-        F.min(text_seq).alias("_first"),
-        F.max(text_seq).alias("_last"),
-    )
-    earlier = LINES.across().rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumns(
-        {
-            "_from": F.col("_off") + F.col("_first") - F.col("_min"),
-            "_to": F.col("_off") + F.col("_last") - F.col("_min"),
-        }
-    )
-    spans = placed.groupBy("trace_id").agg(
-        F.min("_from").alias("_from"),
-        F.coalesce(F.max("_to") - F.min("_from") + 1, F.lit(1)).alias("_lines"),
-    )
-    counts = match_lines(plain).groupBy("trace_id").agg(
-        F.count_if(~F.col("is_bad")).alias("_ok"), F.count_if("is_bad").alias("_bad")
-    )
-    # A duration that is no number has two dots or nothing but one; few lines
-    # pass that and are matched again for their text and number.
-    suspect = F.col("value").rlike(r"<(?:\d*\.\d*\.[\d.]*|\.)>\s*$")
-    bad = (
-        match_lines(plain.filter(suspect))
-        .filter("is_bad")
-        .join(placed.select(*LINES.cell, "_min", "_off"), LINES.cell)
-        .join(spans.select("trace_id", "_from"), "trace_id")
-        .withColumn("_no", F.col("line_seq") - F.col("_min") + F.col("_off") - F.col("_from") + 1)
+    line = stripped()
+    rewritten = F.regexp_replace(line, CALL_PATTERN, "".join(f"{_SEP}${g}" for g in _CALL_GROUPS))
+    matched = F.split(rewritten, _SEP, len(_CALL_GROUPS) + 1)
+    unread = (line == "") | is_noise(F.col("value")) | line.startswith(_SEP)
+    # Out of a generator, so that the columns below do not run the pattern again.
+    cut = lines.select("*", F.explode(F.array(F.when(~unread, matched))).alias("_f"))
+    is_call = F.coalesce(F.col("_f")[0] == "", F.lit(False))
+    fields = {name: F.when(is_call, c) for name, c in _call_fields(F.col("_f")).items()}
+    fields["args"] = F.substring(fields["args"], 1, 100)
+    status = (
+        F.when(line == "", BLANK)
+        .when(is_call & _is_bad(fields["duration_text"]), BAD)
+        .when(is_call, GOOD)
+        .when(is_noise(F.col("value")), NOISE)
+        .otherwise(OTHER)
     )
-    by_number = Window.partitionBy("trace_id").orderBy("_no")
-    message = F.format_string("Line %d: could not convert string to float: '%s'", "_no", "duration_text")
-    messages = (
-        bad.withColumn("_rank", F.row_number().over(by_number))
-        .filter(F.col("_rank") <= first_errors)
-        .groupBy("trace_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", message.alias("m")))).alias("_errors"))
-        .select("trace_id", F.col("_errors.m").alias("errors"))
+    in_table = _is_ruled() | F.size(F.split(line, r"\s+")).isin(5, 6)
+    keep = [c for c in lines.columns if c != "value"]
+    return cut.select(
+        *keep,
+        status.alias("status"),
+        _is_title().alias("is_title"),
+        *[c.alias(name) for name, c in fields.items()],
+        F.when(in_table, F.col("value")).alias("row_text"),
     )
-    plain_stats = (
-        spans.join(counts, "trace_id", "left")
-        .join(messages, "trace_id", "left")
-        .select(
+
+
+class ParsedTraces:
+    """Trace lines parsed once; calls and statistics are read from the same stage.
+
+    With ``stage`` the lines' statuses and fields are written once to the shared folder: the pattern
+    runs once per line, and calls and statistics agree on every line, since both read
+    what one pass over the files has seen. The list of summary traces is written too: the
+    joins then know its true size and broadcast it if small.
+    """
+
+    def __init__(self, lines: DataFrame, stage: bool = True):
+        keep = materialise if stage else (lambda df, name: df)
+        self.lines = keep(read_statuses(lines), "parsed")
+        self.summaries = keep(self.lines.filter("is_title").select("trace_id").distinct(), "summaries")
+
+    def _plain(self) -> DataFrame:
+        return self.lines.join(self.summaries, "trace_id", "left_anti")
+
+    def _tables(self) -> DataFrame:
+        kept = ["trace_id", *LINES.chunk, *LINES.order, F.col("row_text").alias("value")]
+        return self.lines.filter("row_text IS NOT NULL").select(*kept).join(self.summaries, "trace_id", "left_semi")
+
+    def calls(self, duration_unit: str = "s", date: str | None = None) -> DataFrame:
+        """Labelled call records of any mix of call traces and summaries.
+
+        With ``date``, the day on which the traces begin, calls get ``ts`` from their clock
+        text (see :func:`wall_times`; a trace may not pause for half a day); calls without
+        one, those of summaries included, have a null.
+        """
+        found = self._plain().filter(F.col("status") == GOOD).drop("status", "is_title", "row_text")
+        calls = label(_catalogued(found, duration_unit), layout=LINES, index="syscall_id")
+        if date is not None:
+            calls = wall_times(calls, date, LINES, HALF_A_DAY)
+        plain = _as_call_records(calls.withColumn("source", F.lit("strace")))
+        expanded = expand_summary(parse_summary(self._tables()))
+        return plain.unionByName(_as_call_records(expanded), allowMissingColumns=True)
+
+    def stats(self, first_errors: int = 10) -> DataFrame:
+        """Parsed and skipped lines and the first errors of every trace.
+
+        Blank lines before the first and after the last line of text do not count.
+        Per-piece counts are combined map-side; only error lines are ranked.
+        """
+        return self._plain_stats(first_errors).unionByName(self._summary_stats(first_errors))
+
+    def _plain_stats(self, first_errors: int) -> DataFrame:
+        plain = self._plain()
+        text_seq = F.when(F.col("status") != BLANK, F.col("line_seq"))
+        pieces = plain.groupBy(*LINES.cell).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("line_seq").alias("_min"),
+            F.min(text_seq).alias("_first"),
+            F.max(text_seq).alias("_last"),
+            F.count_if(F.col("status") == GOOD).alias("_ok"),
+            F.count_if(F.col("status") == BAD).alias("_bad"),
+        )
+        earlier = LINES.across().rowsBetween(Window.unboundedPreceding, -1)
+        placed = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumns(
+            {
+                "_from": F.col("_off") + F.col("_first") - F.col("_min"),
+                "_to": F.col("_off") + F.col("_last") - F.col("_min"),
+            }
+        )
+        spans = placed.groupBy("trace_id").agg(
+            F.min("_from").alias("_from"),
+            F.coalesce(F.max("_to") - F.min("_from") + 1, F.lit(1)).alias("_lines"),
+            F.sum("_ok").alias("_ok"),
+            F.sum("_bad").alias("_bad"),
+        )
+        bad = (
+            plain.filter(F.col("status") == BAD)
+            .join(placed.select(*LINES.cell, "_min", "_off"), LINES.cell)
+            .join(spans.select("trace_id", "_from"), "trace_id")
+            .withColumn("_no", F.col("line_seq") - F.col("_min") + F.col("_off") - F.col("_from") + 1)
+        )
+        by_number = Window.partitionBy("trace_id").orderBy("_no")
+        message = F.format_string("Line %d: could not convert string to float: '%s'", "_no", "duration_text")
+        messages = _first_messages(bad.withColumn("_rank", F.row_number().over(by_number)), message, first_errors)
+        return spans.join(messages, "trace_id", "left").select(
             "trace_id",
-            F.coalesce("_ok", F.lit(0)).alias("parsed_lines"),
-            (F.col("_lines") - F.coalesce("_ok", F.lit(0))).alias("skipped_lines"),
+            F.col("_ok").alias("parsed_lines"),
+            (F.col("_lines") - F.col("_ok")).alias("skipped_lines"),
             F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
-            F.coalesce("_bad", F.lit(0)).alias("total_errors"),
+            F.col("_bad").alias("total_errors"),
         )
-    )
-    tables = keep(lines.join(summaries, "trace_id", "left_semi"), "tables")
-    rows = summary_rows(tables)
-    first = Window.partitionBy("trace_id").orderBy("block", "line_seq")
-    listed = (
-        rows.filter("is_bad")
-        .withColumn("_rank", F.row_number().over(first))
-        .filter(F.col("_rank") <= first_errors)
-        .withColumn("m", F.concat(F.lit("could not read summary row: "), F.col("_text")))
-        .groupBy("trace_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "m"))).alias("_errors"))
-        .select("trace_id", F.col("_errors.m").alias("errors"))
-    )
-    counted = rows.groupBy("trace_id").agg(F.count_if(~F.col("is_bad")).alias("_ok"), F.count_if("is_bad").alias("_bad"))
-    summary_stats = (
-        summaries.join(counted, "trace_id", "left")
-        .join(listed, "trace_id", "left")
-        .select(
+
+    def _summary_stats(self, first_errors: int) -> DataFrame:
+        rows = summary_rows(self._tables())
+        first = Window.partitionBy("trace_id").orderBy("block", "line_seq")
+        listed = _first_messages(
+            rows.filter("is_bad").withColumn("_rank", F.row_number().over(first)),
+            F.concat(F.lit("could not read summary row: "), F.col("_text")),
+            first_errors,
+        )
+        counted = rows.groupBy("trace_id").agg(
+            F.count_if(~F.col("is_bad")).alias("_ok"), F.count_if("is_bad").alias("_bad")
+        )
+        return self.summaries.join(counted, "trace_id", "left").join(listed, "trace_id", "left").select(
             "trace_id",
             F.coalesce("_ok", F.lit(0)).alias("parsed_lines"),
             F.lit(0).cast("long").alias("skipped_lines"),
             F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
             F.coalesce("_bad", F.lit(0)).alias("total_errors"),
         )
+
+
+def _first_messages(ranked: DataFrame, message: Column, first_errors: int) -> DataFrame:
+    """The texts of the rows with the least ``_rank``, in an array per trace."""
+    return (
+        ranked.filter(F.col("_rank") <= first_errors)
+        .groupBy("trace_id")
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", message.alias("m")))).alias("_errors"))
+        .select("trace_id", F.col("_errors.m").alias("errors"))
     )
-    return plain_stats.unionByName(summary_stats)
+
+
+def parse_lines(lines: DataFrame, stage: bool = True) -> ParsedTraces:
+    """Parses trace lines once, for calls as well as for statistics."""
+    return ParsedTraces(lines, stage)
+
+
+def calls_from_lines(
+    lines: DataFrame, duration_unit: str = "s", stage: bool = True, date: str | None = None
+) -> DataFrame:
+    """Labelled call records of any mix of call traces and summaries."""
+    return parse_lines(lines, stage).calls(duration_unit, date)
+
+
+def parse_stats(lines: DataFrame, first_errors: int = 10, stage: bool = True) -> DataFrame:
+    """Parsed and skipped lines and the first errors of every trace."""
+    return parse_lines(lines, stage).stats(first_errors)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.operators.chunks import DEFAULT_SPAN, Layout
+from calltide.operators.chunks import DEFAULT_SPAN, Layout, with_running
 
 LINES = Layout(("trace_id",), ("block", "part"), ("line_seq",))
 
@@ -18,19 +18,36 @@ LINES = Layout(("trace_id",), ("block", "part"), ("line_seq",))
 def read_lines(spark: SparkSession, paths: str | list[str], span: int = DEFAULT_SPAN) -> DataFrame:
     """Lines of trace files, folders or globs; each file is one trace.
 
-    Bytes that are not UTF-8 become replacement characters. A missing path is
+    Lines end at line feeds; a carriage return before one belongs to the blanks around the
+    line. Bytes that are not UTF-8 become replacement characters; ``n_bytes`` counts those of
+    the line as they stand in the (decompressed) file, its end included. A missing path is
     an error. Large plain files are split over tasks; the row number inside a
     scan task rises with the line, which with the split's offset gives file order.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
+    lines = reader.text(paths).select(
         F.col("_metadata.file_path").alias("trace_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_seq"),
+        (F.octet_length("value") + 1).cast("long").alias("n_bytes"),
         F.make_valid_utf8("value").alias("value"),
     )
     return lines.withColumn("part", F.expr(f"line_seq div {int(span)}"))
 
 
+def with_places(lines: DataFrame) -> DataFrame:
+    """Lines of :func:`read_lines` with stable places: ``byte_at``, where the line starts in its
+    file, and ``line_no``, its number from 1.
+
+    They do not depend on how the files are split, so a place found in one pass over the files
+    finds the line in any other. Running sums inside chunks are carried over by one row
+    per chunk; a file of any size is spread over tasks. The lines must be a written table
+    (``materialise``), as every scan numbers its splits anew.
+    """
+    upto = with_running(lines, LINES, {"_end": F.col("n_bytes"), "line_no": F.lit(1).cast("long")})
+    return upto.withColumn("byte_at", F.col("_end") - F.col("n_bytes")).drop("_end", "n_bytes")
+
+
 def text_lines(
     texts: DataFrame, trace_id: Column, text: Column, span: int = DEFAULT_SPAN
 ) -> DataFrame:

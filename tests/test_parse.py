@@ -11,11 +11,14 @@ from calltide.operators.parse import (
     calls_from_lines,
     match_lines,
     parse_calls,
+    parse_lines,
     parse_stats,
+    read_statuses,
     parse_summary,
     summary_traces,
 )
-from calltide.sources.traces import read_lines, text_lines
+from calltide.session import materialise
+from calltide.sources.traces import read_lines, text_lines, with_places
 
 TRACE = """
 09:00:00.000100 openat(AT_FDCWD, "/srv/a.txt", O_RDONLY) = 3 <0.000020>
@@ -151,3 +154,57 @@ def test_one_pattern_run_and_no_python(spark):
     plan = match_lines(lines_of(spark, t=TRACE))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
     assert plan.count("regexp_replace") == 1
+
+
+def test_places_do_not_depend_on_splits(spark, tmp_path):
+    rows = [
+        b"7 read(3, \"\xff\xfe\", 1) = 1 <0.000001>\r",
+        b"",
+        "7 write(1, \"\u00e9\u4e2d\", 2) = 2 <0.000001>".encode(),
+        b"lone \r return and no call",
+    ]
+    content = b"\n".join(rows[i % 4] for i in range(4000)) + b"\n9 close(1) = 0 <0.000002>"
+    (tmp_path / "a.trace").write_bytes(content)
+    with gzip.open(tmp_path / "b.trace.gz", "wb") as out:
+        out.write(content)
+    found = []
+    for size in ("30011", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = with_places(materialise(read_lines(spark, str(tmp_path), span=300)))
+            calls = parse_lines(lines).calls()
+            found.append({(r.trace_id[-6:], r.syscall_id, r.byte_at) for r in calls.collect()})
+            numbers = lines.filter("trace_id LIKE '%a.trace'").agg(F.min("line_no"), F.max("line_no"), F.count("*")).first()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        assert tuple(numbers) == (1, 4001, 4001)
+    assert found[0] == found[1] and len(found[0]) == 2 * 2001
+    for _, _, at in found[0]:
+        line = content[at:].split(b"\n", 1)[0]
+        assert content[at - 1 : at] in (b"", b"\n") and b"(" in line
+
+
+def test_calls_and_statistics_read_one_parse(spark):
+    lines = lines_of(spark, t=TRACE, s=SUMMARY)
+    plan = read_statuses(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("regexp_replace") == 1
+    parsed = parse_lines(lines)
+    for df in (parsed.calls(), parsed.stats()):
+        assert "regexp_replace" not in df._jdf.queryExecution().executedPlan().toString()
+    by_status = {r.status: r["count"] for r in parsed.lines.filter("trace_id = 't'").groupBy("status").count().collect()}
+    assert by_status == {"blank": 4, "noise": 4, "call": 9, "bad": 1, "other": 1}
+    direct = parse_lines(lines, stage=False)
+    assert sorted(map(str, direct.calls().collect())) == sorted(map(str, parsed.calls().collect()))
+    assert sorted(map(str, direct.stats().collect())) == sorted(map(str, parsed.stats().collect()))
+
+
+@pytest.mark.parametrize("span", [1, 2, 100])
+def test_clock_of_mixed_processes(spark, span):
+    clocks = ["23:59:59.900000", "23:59:59.800000", "00:00:00.100000", "23:59:59.950000", "00:00:01.0", "09:00:00.5", "03:00:00.0"]
+    text = "\n".join(f"{k % 3} {clock} read(3) = 1 <0.000001>" for k, clock in enumerate(clocks)) + "\nread(3) = 1"
+    calls = calls_from_lines(lines_of(spark, span, t=text, s=SUMMARY), date="2024-02-28")
+    rows = calls.filter("trace_id = 't'").orderBy("syscall_id").select(F.date_format("ts", "dd HH:mm:ss.S").alias("at")).collect()
+    assert [r["at"] for r in rows] == [
+        "28 23:59:59.9", "28 23:59:59.8", "29 00:00:00.1", "28 23:59:59.9", "29 00:00:01.0", "29 09:00:00.5", "29 03:00:00.0", None,
+    ]
+    assert calls.filter("trace_id = 's' AND ts IS NOT NULL").count() == 0
