@@ -1,15 +1,22 @@
 """Checks of features and trained models."""
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from calltide.checks.base import check, views
 from calltide.checks.inputs import labelled, r6, scored
 from calltide.operators import process as proc
+from calltide.operators import sketches
+from calltide.operators.aggregate import side_by_side
+from calltide.operators.clusters import Clusters
 from calltide.operators.features import CALL_FEATURES, PROCESS_FEATURES, call_features, process_features
 from calltide.operators.isolation import IsolationForest
-from calltide.operators.models import CallModel, ProcessModel, class_report, encoder, metrics_table, standardised
+from calltide.operators.models import CallModel, ProcessModel, call_inputs, class_report, encoder, metrics_table
+from calltide.operators.ranking import exact_auc
 from calltide.plans.analysis import advise
-from calltide.session import scratch_path
+from calltide.session import materialise, scratch_path
 from calltide.sources.tables import event_calls
 
 
@@ -78,17 +85,23 @@ def process_feature_vector(spark, folder):
     )
 
 
+_SCALED = ("latency_us", "base_latency_us", "latency_ratio", "cpu_usage", "memory_usage", "context_switches", "risk_level")
+
+
 @check(
     "standardised_features",
-    views("calls")
-    + """, m AS (SELECT avg(latency_us) AS lm, stddev_pop(latency_us) AS ls, avg(cpu_usage) AS cm,
-                        stddev_pop(cpu_usage) AS cs FROM calls)
-         SELECT syscall_id, round((latency_us - lm) / ls, 6) AS latency_us, round((cpu_usage - cm) / cs, 6) AS cpu_usage
-         FROM calls, m""",
+    views("labelled")
+    + ", m AS (SELECT "
+    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _SCALED)
+    + " FROM labelled) SELECT syscall_id, "
+    + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in _SCALED)
+    + " FROM labelled, m",
 )
 def standardised_features(spark, folder):
-    rows = standardised(event_calls(spark, folder), ["latency_us", "cpu_usage"])
-    return rows.select("syscall_id", r6("latency_us"), r6("cpu_usage"))
+    """The columns that the models learn from, by the pipeline that they use."""
+    rows = call_features(labelled(spark, folder))
+    scaled = call_inputs().fit(rows).transform(rows)
+    return scaled.select("syscall_id", *[r6(c, f"scaled_{c}") for c in _SCALED])
 
 
 @check(
@@ -107,17 +120,105 @@ def class_report_query(spark, folder):
     return out.select("label", r6("precision"), r6("recall"), r6("f1"), "support")
 
 
-# Models of these sizes show the behaviour; a caller trains with the defaults.
-_SMALL = {"iterations": 3, "restarts": 2, "trees": 20}
+@check(
+    "exact_auc",
+    views("labelled")
+    + """, r AS (SELECT trace_id, latency_ratio AS score, needs_optimization AS hit,
+                      rank() OVER (PARTITION BY trace_id ORDER BY latency_ratio) AS low,
+                      count(*) OVER (PARTITION BY trace_id, latency_ratio) AS ties FROM labelled)
+         SELECT trace_id, round((sum(low + (ties - 1) / 2) FILTER (WHERE hit)
+                  - (count(*) FILTER (WHERE hit)) * (count(*) FILTER (WHERE hit) + 1) / 2)
+                / ((count(*) FILTER (WHERE hit)) * (count(*) FILTER (WHERE NOT hit))), 9) AS auc,
+                count(*) FILTER (WHERE hit) AS positives, count(*) FILTER (WHERE NOT hit) AS negatives
+         FROM r GROUP BY 1""",
+)
+def exact_auc_query(spark, folder):
+    out = exact_auc(labelled(spark, folder), "latency_ratio", "needs_optimization", ("trace_id",))
+    return out.select("trace_id", F.round("auc", 9).alias("auc"), "positives", "negatives")
+
+
+_CENTRES = ((1.0, 20.0), (2.0, 40.0), (5.0, 60.0), (20.0, 80.0), (60.0, 10.0))
+
+
+@check(
+    "nearest_centres",
+    views("labelled")
+    + ", c(number, a, b) AS (VALUES "
+    + ", ".join(f"({i}, {a}e0, {b}e0)" for i, (a, b) in enumerate(_CENTRES))
+    + """), d AS (SELECT syscall_id, number, (latency_us - a) ** 2 + (cpu_usage - b) ** 2 AS far FROM labelled, c)
+         SELECT syscall_id, CAST(arg_min(number, {'far': far, 'number': number}) AS INT) AS pattern_cluster FROM d GROUP BY 1""",
+)
+def nearest_centres(spark, folder):
+    """Every call's nearest of five given centres, as fitted models tell it."""
+    clusters = Clusters(("latency_us", "cpu_usage"), np.array(_CENTRES), 0.0, ())
+    return labelled(spark, folder).select("syscall_id", clusters.nearest().alias("pattern_cluster"))
+
+
+@check(
+    "distinct_processes",
+    views("labelled")
+    + """, g AS (SELECT 'all' AS grain, '' AS name, count(DISTINCT pid) AS n FROM labelled
+                 UNION ALL SELECT 'trace', trace_id, count(DISTINCT pid) FROM labelled GROUP BY trace_id
+                 UNION ALL SELECT 'category', category, count(DISTINCT pid) FROM labelled GROUP BY category)
+         SELECT grain, name, n AS processes, true AS sketch_is_near FROM g""",
+)
+def distinct_processes(spark, folder):
+    """Distinct processes per category, trace and in all: counted, and from one cube of sketches."""
+    calls = event_calls(spark, folder)
+    cube = materialise(sketches.sketch_cube(calls, ("trace_id", "category"), ("latency_us",), ("pid",)), "sketches")
+    out = None
+    for grain, keys in (("all", ()), ("trace", ("trace_id",)), ("category", ("category",))):
+        near = sketches.read_out(sketches.roll_up(cube, keys))
+        counted = calls.groupBy(*keys).agg(F.count_distinct("pid").alias("processes"))
+        both = near.join(counted, list(keys)) if keys else side_by_side(near, counted)
+        # Six standard errors.
+        is_near = F.abs(F.col("pid_distinct") - F.col("processes")) <= F.greatest(F.col("processes") * 0.05, F.lit(0.5))
+        name = F.col(keys[0]) if keys else F.lit("")
+        rows = both.select(F.lit(grain).alias("grain"), name.alias("name"), "processes", is_near.alias("sketch_is_near"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_SHARES = {"p50": 0.5, "p95": 0.95}
+
+
+@check(
+    "sketched_percentiles",
+    views("labelled") + "SELECT trace_id, count(*) AS calls, true AS p50_is_near, true AS p95_is_near FROM labelled GROUP BY 1",
+)
+def sketched_percentiles(spark, folder):
+    """Percentiles of the month from the sketches of its days: within 1 % of the wanted rank."""
+    calls = event_calls(spark, folder).withColumn("day", F.to_date("ts"))
+    days = materialise(sketches.sketch_cube(calls, ("trace_id", "day"), distinct=()), "sketches")
+    months = sketches.read_out(sketches.roll_up(days, ("trace_id",)), _SHARES)
+    held = calls.join(months, "trace_id").groupBy("trace_id", "n")
+    below = lambda name: F.avg((F.col("latency_us") < F.col(f"latency_us_{name}")).cast("double"))
+    upto = lambda name: F.avg((F.col("latency_us") <= F.col(f"latency_us_{name}")).cast("double"))
+    near = [
+        ((below(name) <= share + 0.01) & (upto(name) >= share - 0.01)).alias(f"{name}_is_near")
+        for name, share in _SHARES.items()
+    ]
+    return held.agg(*near).select("trace_id", F.col("n").alias("calls"), *[f"{name}_is_near" for name in _SHARES])
+
+
+@lru_cache(maxsize=1)
+def _call_model(application: str, spark, folder) -> CallModel:
+    """A model of the full sizes, trained once for the checks that look at it."""
+    return CallModel.fit(labelled(spark, folder))
+
+
+@lru_cache(maxsize=1)
+def _process_model(application: str, spark, folder) -> ProcessModel:
+    return ProcessModel.fit(proc.with_ratios(proc.process_stats(labelled(spark, folder))))
 
 
 @check("call_model_scores")
 def call_model_scores(spark, folder):
-    calls = labelled(spark, folder)
-    model = CallModel.fit(calls, **_SMALL)
+    """Scores by models that have been saved and loaded again."""
+    model = _call_model(spark.sparkContext.applicationId, spark, folder)
     path = scratch_path(spark, "model")
     model.save(spark, path)
-    return CallModel.load(spark, path).transform(calls).select(
+    return CallModel.load(spark, path).transform(labelled(spark, folder)).select(
         "syscall_id", "high_latency_probability", "optimization_probability", "anomaly_score",
         "pattern_cluster", "is_anomaly", "optimization_priority",
     )
@@ -125,7 +226,53 @@ def call_model_scores(spark, folder):
 
 @check("call_model_metrics")
 def call_model_metrics(spark, folder):
-    return metrics_table(spark, CallModel.fit(labelled(spark, folder), **_SMALL).metrics)
+    return metrics_table(spark, _call_model(spark.sparkContext.applicationId, spark, folder).metrics)
+
+
+@check(
+    "slow_calls_found",
+    views("labelled") + "SELECT is_high_latency, count(*) AS calls, true AS agrees FROM labelled GROUP BY 1",
+)
+def slow_calls_found(spark, folder):
+    """The trained classifier against the labels: of either kind at most one call in two hundred is wrong."""
+    model = _call_model(spark.sparkContext.applicationId, spark, folder)
+    rows = model.transform(labelled(spark, folder))
+    right = (F.col("high_latency_probability") > 0.5) == F.col("is_high_latency")
+    return rows.groupBy("is_high_latency").agg(
+        F.count(F.lit(1)).alias("calls"), (F.avg(right.cast("double")) >= 0.995).alias("agrees")
+    )
+
+
+@check(
+    "anomalies_by_score",
+    views("labelled") + "SELECT count(*) AS calls, true AS share_is_near FROM labelled",
+)
+def anomalies_by_score(spark, folder):
+    """The share of anomalies is near the contamination that the forest is told (5 %)."""
+    model = _call_model(spark.sparkContext.applicationId, spark, folder)
+    share = F.avg(F.col("is_anomaly").cast("double"))
+    return model.transform(labelled(spark, folder)).agg(
+        F.count(F.lit(1)).alias("calls"), share.between(0.04, 0.06).alias("share_is_near")
+    )
+
+
+@check(
+    "process_targets_met",
+    views("labelled") + "SELECT count(DISTINCT pid) AS processes, true AS cpu_is_near, true AS memory_is_near FROM labelled",
+)
+def process_targets_met(spark, folder):
+    """Recommended shares of the trained model lie near the rule's: R squared over 0.62 and 0.51."""
+    stats = proc.with_ratios(proc.process_stats(labelled(spark, folder)))
+    model = _process_model(spark.sparkContext.applicationId, spark, folder)
+    rows = model.transform(proc.with_targets(stats))
+    fit = lambda guess, truth: 1 - F.try_divide(
+        F.sum((F.col(truth) - F.col(guess)) ** 2), F.var_pop(truth) * F.count(F.lit(1))
+    )
+    return rows.agg(
+        F.count(F.lit(1)).alias("processes"),
+        (fit("recommended_cpu", "target_cpu") > 0.62).alias("cpu_is_near"),
+        (fit("recommended_memory", "target_memory") > 0.51).alias("memory_is_near"),
+    )
 
 
 @check("isolation_scores")
@@ -141,8 +288,7 @@ def isolation_scores(spark, folder):
 @check("process_model_advice")
 def process_model_advice(spark, folder):
     calls = labelled(spark, folder)
-    stats = proc.with_ratios(proc.process_stats(calls))
-    model = ProcessModel.fit(stats, iterations=5)
+    model = _process_model(spark.sparkContext.applicationId, spark, folder)
     path = scratch_path(spark, "model")
     model.save(spark, path)
     return advise(calls, ProcessModel.load(spark, path))

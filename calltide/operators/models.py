@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -12,13 +14,8 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import (
-    BinaryClassificationEvaluator,
-    MulticlassClassificationEvaluator,
-    RegressionEvaluator,
-)
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +30,11 @@ from calltide.operators.features import (
     hash_split,
     process_features,
 )
+from calltide.operators.clusters import Clusters
 from calltide.operators.isolation import IsolationForest
-from calltide.operators.process import with_targets
+from calltide.operators.process import process_keys, with_targets
+from calltide.operators.ranking import exact_auc
+from calltide.operators.scaling import PopulationScaler
 from calltide.session import materialise
 
 SEED = 42
@@ -50,25 +50,22 @@ def encoder(labels: tuple[str, ...]) -> StringIndexer:
     )
 
 
+SCALED = [f"scaled_{c}" for c in CALL_FEATURES]
+# Thresholds that trees try per column; the labels are thresholds on ratios.
+MAX_BINS = 256
+
+
 def call_inputs() -> Pipeline:
-    """Encoding, assembly and standardising of the 13 call features."""
+    """Encoding, standardising (population deviation) and assembly of the 13 call features."""
     return Pipeline(
         stages=[
             encoder(CALL_LABELS),
-            VectorAssembler(inputCols=CALL_FEATURES, outputCol="raw_features"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+            PopulationScaler(inputCols=list(CALL_FEATURES)),
+            VectorAssembler(inputCols=SCALED, outputCol="features"),
         ]
     )
 
 
-def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns minus their mean over their population deviation (1 where that is 0)."""
-    row = df.agg(
-        *[F.avg(c).alias(f"{c}_m") for c in columns], *[F.stddev_pop(c).alias(f"{c}_s") for c in columns]
-    ).first()
-    return df.withColumns({c: (F.col(c) - row[f"{c}_m"]) / (row[f"{c}_s"] or 1.0) for c in columns})
-
-
 def class_report(predicted: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """Precision, recall, F1 and support per class, from one grouped count."""
     pairs = predicted.groupBy(
@@ -89,6 +86,25 @@ def class_report(predicted: DataFrame, label: str, prediction: str = "prediction
     )
 
 
+# Training rows of a task: boosting runs hundreds of small jobs over the same rows.
+_TASK_ROWS = 20_000
+
+
+def _train_and_test(split: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Both sides of a split, in no more tasks than their rows are worth, and their sizes."""
+    counts = {r["part"]: r["count"] for r in split.groupBy("part").count().collect()}
+    sides = []
+    for part in ("train", "test"):
+        sides.append(split.filter(F.col("part") == part).coalesce(-(-counts.get(part, 0) // _TASK_ROWS) or 1))
+    return *sides, counts.get("train", 0), counts.get("test", 0)
+
+
+def _at_once(spark: SparkSession, *fits):
+    """The results of several fits, whose many small jobs run side by side."""
+    with ThreadPoolExecutor(len(fits)) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(fit)) for fit in fits]]
+
+
 @dataclass
 class CallModel:
     """Slow-call and optimisation classifiers, anomaly detector and clusters."""
@@ -97,14 +113,14 @@ class CallModel:
     latency: GBTClassificationModel
     optimization: RandomForestClassificationModel
     anomaly: IsolationForest
-    clusters: KMeansModel
+    clusters: Clusters
     metrics: dict
 
     @classmethod
     def fit(
         cls,
         calls: DataFrame,
-        key: tuple[str, ...] = ("syscall_id",),
+        key: tuple[str, ...] = ("trace_id", "syscall_id"),
         iterations: int = 100,
         restarts: int = 10,
         trees: int = 100,
@@ -125,28 +141,30 @@ class CallModel:
         rows = materialise(hash_split(rows, *key), "features")
         fitted = call_inputs().fit(rows)
         prepared = fitted.transform(rows).select(
-            *key, "features", *CALL_FEATURES, "y_high", "y_opt", "part"
+            *key, "features", *CALL_FEATURES, *SCALED, "y_high", "y_opt", "part"
         )
-        split = materialise(prepared, "training")
-        train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
+        train, test, trained, tested = _train_and_test(materialise(prepared, "training"))
 
-        latency = GBTClassifier(
-            labelCol="y_high", maxIter=iterations, maxDepth=6, stepSize=0.1, seed=SEED
-        ).fit(train)
-        optimization = RandomForestClassifier(labelCol="y_opt", numTrees=trees, maxDepth=8, seed=SEED).fit(train)
+        booster = GBTClassifier(
+            labelCol="y_high", maxIter=iterations, maxDepth=6, maxBins=MAX_BINS, stepSize=0.1, seed=SEED
+        )
+        forest = RandomForestClassifier(labelCol="y_opt", numTrees=trees, maxDepth=8, maxBins=MAX_BINS, seed=SEED)
         # Columns next to the vector, so that the forest's walk needs no vector type.
-        anomaly = IsolationForest.fit(
-            train.withColumn("_key", F.xxhash64(*key)), tuple(CALL_FEATURES), "_key", n_trees=trees, seed=SEED
+        keyed = train.withColumn("_key", F.xxhash64(*key))
+        latency, optimization, anomaly, clusters = _at_once(
+            calls.sparkSession,
+            lambda: booster.fit(train),
+            lambda: forest.fit(train),
+            lambda: IsolationForest.fit(keyed, tuple(CALL_FEATURES), "_key", n_trees=trees, seed=SEED),
+            lambda: Clusters.fit(train, tuple(SCALED), k=5, restarts=restarts, seed=SEED),
         )
-        fits = [KMeans(k=5, seed=SEED + i).fit(train) for i in range(restarts)]
-        clusters = min(fits, key=lambda m: m.summary.trainingCost)
 
         scored = {"latency_model": (latency, "y_high"), "optimization_model": (optimization, "y_opt")}
-        metrics = {"samples_trained": train.count(), "samples_tested": test.count()}
+        metrics = {"samples_trained": trained, "samples_tested": tested}
         for name, (model, label) in scored.items():
-            predicted = model.transform(test)
+            predicted = model.transform(test).withColumn("_p", vector_to_array("probability")[1])
             metrics[name] = {
-                "auc_roc": BinaryClassificationEvaluator(labelCol=label).evaluate(predicted),
+                "auc_roc": exact_auc(predicted, "_p", label).first()["auc"],
                 "accuracy": MulticlassClassificationEvaluator(
                     labelCol=label, metricName="accuracy"
                 ).evaluate(predicted),
@@ -165,9 +183,9 @@ class CallModel:
             rows = scored.withColumn(name, vector_to_array("probability")[1]).drop(
                 "rawPrediction", "probability", "prediction"
             )
-        rows = self.clusters.transform(rows).withColumnRenamed("prediction", "pattern_cluster")
         scored = (
-            rows.withColumn("anomaly_score", self.anomaly.score())
+            rows.withColumn("pattern_cluster", self.clusters.nearest())
+            .withColumn("anomaly_score", self.anomaly.score())
             .withColumn("is_anomaly", F.col("anomaly_score") < 0)
             .withColumn(
                 "optimization_priority",
@@ -188,11 +206,12 @@ class CallModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         parts = {
-            "inputs": self.inputs, "latency": self.latency, "optimization": self.optimization, "clusters": self.clusters,
+            "inputs": self.inputs, "latency": self.latency, "optimization": self.optimization,
         }
         for name, part in parts.items():
             part.write().overwrite().save(f"{path}/{name}")
         self.anomaly.save(spark, f"{path}/anomaly")
+        self.clusters.save(spark, f"{path}/clusters")
         _save_config(spark, f"{path}/config", {"feature_columns": CALL_FEATURES, "training_metrics": self.metrics})
 
     @classmethod
@@ -202,7 +221,7 @@ class CallModel:
             GBTClassificationModel.load(f"{path}/latency"),
             RandomForestClassificationModel.load(f"{path}/optimization"),
             IsolationForest.load(spark, f"{path}/anomaly"),
-            KMeansModel.load(f"{path}/clusters"),
+            Clusters.load(spark, f"{path}/clusters"),
             _load_config(spark, f"{path}/config")["training_metrics"],
         )
 
@@ -235,9 +254,20 @@ class ProcessModel:
     metrics: dict
 
     @classmethod
-    def fit(cls, stats: DataFrame, key: str = "pid", iterations: int = 100, noise_seed: str | None = "42") -> "ProcessModel":
-        """Trains on process statistics with ratios; targets are the rule's."""
-        rows = process_features(with_targets(stats, noise_seed, key))
+    def fit(
+        cls,
+        stats: DataFrame,
+        key: tuple[str, ...] | None = None,
+        iterations: int = 100,
+        noise_seed: str | None = "42",
+    ) -> "ProcessModel":
+        """Trains on process statistics with ratios; targets are the rule's.
+
+        The split and the noise are hashes of ``key``, by default (trace_id, pid) as far as
+        the statistics have them.
+        """
+        keys = key or process_keys(stats)
+        rows = process_features(with_targets(stats, noise_seed, *keys))
         inputs = Pipeline(
             stages=[
                 encoder(("process_type",)),
@@ -245,25 +275,23 @@ class ProcessModel:
             ]
         ).fit(rows)
         prepared = inputs.transform(rows).select(
-            key, "features", "target_throughput", "target_cpu", "target_memory"
+            *keys, "features", "target_throughput", "target_cpu", "target_memory"
         )
-        split = materialise(hash_split(prepared, key), "training")
-        train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
-
-        def booster(label, depth):
-            return GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, stepSize=0.1, seed=SEED).fit(train)
+        train, test, trained, _ = _train_and_test(materialise(hash_split(prepared, *keys), "training"))
 
-        fitted = {
-            "target_throughput": booster("target_throughput", 5),
-            "target_cpu": booster("target_cpu", 4),
-            "target_memory": booster("target_memory", 4),
-        }
+        depths = {"target_throughput": 5, "target_cpu": 4, "target_memory": 4}
+        boosters = [
+            GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, stepSize=0.1, seed=SEED)
+            for label, depth in depths.items()
+        ]
+        models = _at_once(stats.sparkSession, *[lambda one=one: one.fit(train) for one in boosters])
+        fitted = dict(zip(depths, models))
 
         def measure(label, name):
             return RegressionEvaluator(labelCol=label, metricName=name).evaluate(fitted[label].transform(test))
 
         metrics = {
-            "samples_trained": train.count(),
+            "samples_trained": trained,
             "throughput_model": {
                 "r2_score": measure("target_throughput", "r2"), "mae": measure("target_throughput", "mae"),
             },

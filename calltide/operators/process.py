@@ -65,9 +65,9 @@ def throughput_target(noise: Column | None = None) -> Column:
     return target if noise is None else target * noise
 
 
-def with_targets(stats: DataFrame, noise_seed: str | None = None, key: str = "pid") -> DataFrame:
-    """What a process should get; the noise is a hash of its key, or off."""
-    noise = None if noise_seed is None else F.lit(0.8) + uniform(noise_seed, key) * 0.4
+def with_targets(stats: DataFrame, noise_seed: str | None = None, *key: str) -> DataFrame:
+    """What a process should get; the noise is a hash of its key (the pid, unless named), or off."""
+    noise = None if noise_seed is None else F.lit(0.8) + uniform(noise_seed, *(key or ("pid",))) * 0.4
     return (
         stats.withColumn("target_throughput", throughput_target(noise))
         .withColumn(

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calltide.operators.sketches import sketch_value, value_sketch
+from calltide.session import materialise
+
 # Bands per power of two: a band is 0.02 % wide.
 _PER_OCTAVE = 4096
 # Even parts of a band's own range.
 _PARTS = 4096
+# Rows of a part whose values are ordered in one task.
+LIMIT = 1 << 16
 # Above -log2 of the smallest positive double, in bands.
 _SHIFT = 1100 * _PER_OCTAVE
 
@@ -20,31 +25,51 @@ def _band(value: Column) -> Column:
     return F.coalesce(band, F.lit(0).cast("long"))
 
 
+def _hit(want: str, before: Column, inside: Column) -> Column:
+    """Those wanted ranks that lie among the ``inside`` rows after the first ``before``."""
+    return F.filter(want, lambda r: (r.rank >= before) & (r.rank < before + inside))
+
+
+def _holding(parts: DataFrame, cell: list[str], within: list[str], order: str) -> DataFrame:
+    """The parts (counted, with ``_start`` and ``_want`` of what they are parts of) that hold a wanted rank."""
+    upto = F.sum("_n").over(Window.partitionBy(*cell, *within).orderBy(order))
+    return (
+        parts.withColumn("_before", F.col("_start") + upto - F.col("_n"))
+        .withColumn("_want", _hit("_want", F.col("_before"), F.col("_n")))
+        .filter(F.size("_want") > 0)
+        .select(*cell, "_id", "_n", "_low", "_high", F.col("_before").alias("_start"), "_want")
+    )
+
+
 def quantiles(
     df: DataFrame,
     value: str,
     probs: dict[str, float],
     keys: tuple[str, ...] = (),
     approx: bool = False,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (linear interpolation).
 
     The rows are counted by narrow bands of the value, which combines map-side to a
     few thousand rows per task and needs no order. Running totals tell which bands
-    hold the wanted ranks. The rows of those bands are counted again by even parts
-    of the band's own range, so that values that lie close together are told apart
-    too. Only the values of the parts hit then travel, equal ones counted together.
-
-    ``approx`` uses a sketch in one pass instead.
+    hold the wanted ranks. A band hit that holds more than ``limit`` rows is cut into even
+    parts of its own range, and so are its parts, until those hit hold no more than ``limit`` rows
+    or one value only. A part is at most 1 / 4096 as wide as what it is a part of, so
+    this ends after a few rounds whatever the data. The values of the parts hit are
+    counted, equal ones together, and ordered: at most ``limit`` of them in a task for each part.
+    A round reads the rows once more; the parts, a few rows for every key, are written.
+
+    ``approx`` takes the values from one mergeable sketch per key instead (see
+    ``operators.sketches`` for sketches that are kept).
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull())
     for key in keys:
         known = known.filter(F.col(key).isNotNull())
     if approx:
-        return known.groupBy(*keys).agg(
-            *[F.percentile_approx(value, p, 10000).alias(name) for name, p in probs.items()]
-        )
+        sketched = known.groupBy(*keys).agg(value_sketch(value).alias("_sketch"))
+        return sketched.select(*keys, *[sketch_value("_sketch", p).alias(name) for name, p in probs.items()])
 
     cell = keys or ["_all"]
     source = known if keys else known.withColumn("_all", F.lit(0))
@@ -63,54 +88,44 @@ def quantiles(
             for end in ("lo", "hi")
         ]
     )
+    size = [F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high")]
 
-    def hit(want, before, inside):
-        return F.filter(want, lambda r: (r.rank >= before) & (r.rank < before + inside))
-
-    def small(df: DataFrame) -> DataFrame:
-        # Without keys at most two bands or parts per entry of `probs`.
-        return df if keys else F.broadcast(df)
+    def small(parts: DataFrame) -> DataFrame:
+        # Without keys at most two parts per entry of `probs`; else Spark knows the size of the written table.
+        return parts if keys else F.broadcast(parts)
 
     banded = rows.withColumn("_band", _band(F.col("_value")))
-    by_band = Window.partitionBy(*cell).orderBy("_band")
     bands = (
         banded.groupBy(*cell, "_band")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+        .agg(*size)
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*cell)))
-        .withColumn("_before", F.sum("_n").over(by_band) - F.col("_n"))
-        .withColumn("_want", hit(ranks, F.col("_before"), F.col("_n")))
-        .filter(F.size("_want") > 0)
-        .select(*cell, "_band", "_before", "_want", "_low", "_high")
-    )
-    share = (F.col("_value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0).cast("double"))
-    parted = banded.join(small(bands), [*cell, "_band"]).withColumn(
-        "_part", F.coalesce(F.floor(share * _PARTS).cast("long"), F.lit(0).cast("long"))
-    )
-    by_part = Window.partitionBy(*cell, "_band").orderBy("_part")
-    parts = (
-        parted.groupBy(*cell, "_band", "_part")
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_start"), F.first("_want").alias("_wanted"))
-        .withColumn("_before", F.col("_start") + F.sum("_n").over(by_part) - F.col("_n"))
-        .withColumn("_want", hit("_wanted", F.col("_before"), F.col("_n")))
-        .filter(F.size("_want") > 0)
-        .select(*cell, "_band", "_part", "_before", "_want")
+        .withColumn("_start", F.lit(0).cast("long"))
+        .withColumn("_want", ranks)
+        .withColumn("_id", F.col("_band").cast("string"))
     )
+    parts = materialise(_holding(bands, cell, [], "_band"), "quantile-parts")
+    inside = banded.withColumn("_id", F.col("_band").cast("string")).drop("_band")
+    while parts.filter((F.col("_n") > limit) & (F.col("_low") < F.col("_high"))).limit(1).count():
+        share = (F.col("_value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0).cast("double"))
+        part = F.coalesce(F.floor(share * _PARTS).cast("long"), F.lit(0).cast("long"))
+        parted = inside.join(small(parts), [*cell, "_id"]).withColumn("_part", part)
+        counted = (
+            parted.groupBy(*cell, "_id", "_part")
+            .agg(*size, F.first("_start").alias("_start"), F.first("_want").alias("_want"))
+            .withColumnRenamed("_id", "_whole")
+            .withColumn("_id", F.concat_ws(".", "_whole", F.col("_part").cast("string")))
+        )
+        inside = parted.select(*cell, "_value", F.concat_ws(".", "_id", F.col("_part").cast("string")).alias("_id"))
+        parts = materialise(_holding(counted, cell, ["_whole"], "_part"), "quantile-parts")
+
     counts = (
-        parted.select(*cell, "_band", "_part", "_value")
-        .join(small(parts), [*cell, "_band", "_part"])
-        .groupBy(*cell, "_band", "_part", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_want").alias("_want"))
+        inside.join(small(parts.select(*cell, "_id", "_start", "_want")), [*cell, "_id"])
+        .groupBy(*cell, "_id", "_value")
+        .agg(F.count(F.lit(1)).alias("_n"), F.first("_start").alias("_start"), F.first("_want").alias("_want"))
     )
-    in_part = Window.partitionBy(*cell, "_band", "_part").orderBy("_value")
-    hits = counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(in_part)).select(
-        *cell,
-        "_value",
-        F.explode(
-            F.filter(
-                "_want",
-                lambda r: (r.rank >= F.col("_upto") - F.col("_n")) & (r.rank < F.col("_upto")),
-            )
-        ).alias("_hit"),
+    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy(*cell, "_id").orderBy("_value"))
+    hits = counts.withColumn("_upto", upto).select(
+        *cell, "_value", F.explode(_hit("_want", F.col("_upto") - F.col("_n"), F.col("_n"))).alias("_hit")
     )
 
     def end_value(i, end):

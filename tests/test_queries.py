@@ -7,7 +7,15 @@ import __spark_entry__ as entry_point
 from calltide.checks import ORACLE, QUERIES
 
 # Trained models are covered by tests of their own.
-SLOW = {"call_model_scores", "call_model_metrics", "isolation_scores", "process_model_advice"}
+SLOW = {
+    "call_model_scores",
+    "call_model_metrics",
+    "slow_calls_found",
+    "anomalies_by_score",
+    "isolation_scores",
+    "process_model_advice",
+    "process_targets_met",
+}
 
 
 @pytest.fixture(scope="module")
