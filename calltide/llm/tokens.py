@@ -162,7 +162,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Texts with one of these are not cut: the library itself finds them there.
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -172,6 +173,13 @@ class Encoder:
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers, ``end`` after each."""
+        whole = {k for k, text in enumerate(texts) if any(token in text for token in self.added)}
+        if whole:
+            out = iter(self._by_words([text for k, text in enumerate(texts) if k not in whole], end))
+            return [self._fresh([text])[0] + end if k in whole else next(out) for k, text in enumerate(texts)]
+        return self._by_words(texts, end)
+
+    def _by_words(self, texts: list[str], end: bytes) -> list[bytes]:
         cut = [words_of(text) for text in texts]
         heads = dict.fromkeys(words[0] for words in cut)
         heads = dict(zip(heads, self._fresh(list(heads))))

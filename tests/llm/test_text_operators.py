@@ -112,7 +112,6 @@ def _token_rows(texts, keys):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
     for key, code in zip(keys, tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)):
         ids = [*code.ids, 2]
@@ -122,7 +121,7 @@ def _token_rows(texts, keys):
 
 
 def test_token_files(spark):
-    texts = [*EDGES, "<|endoftext|> is text", "same", "same"]
+    texts = [*EDGES, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x<|endoftext|><|endoftext|> y z " * 50, "same", "same"]
     df = frame(spark, texts).repartition(3)
     files = tokens.write_tokens(df, public_tokenizers.path("byte_bpe_50k.json"), 2, file_tokens=50)
     files = materialise(files, "files")
