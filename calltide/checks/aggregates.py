@@ -31,7 +31,8 @@ _COUNTS = ("total_syscalls", "high_latency_count", "optimization_candidates", "a
 @check("analysis_summary", views("scored") + f"SELECT {_SUMMARY_COLUMNS} FROM scored")
 def analysis_summary(spark, folder):
     rows = scored(spark, folder)
-    return agg.summary(rows, agg.call_cube(rows)).select(*_COUNTS, *[r6(c) for c in _MEANS])
+    latencies = event_calls(spark, folder)
+    return agg.summary(rows, agg.call_cube(rows), latencies=latencies).select(*_COUNTS, *[r6(c) for c in _MEANS])
 
 
 @check(
@@ -40,7 +41,7 @@ def analysis_summary(spark, folder):
 )
 def analysis_summary_by_trace(spark, folder):
     rows, keys = scored(spark, folder), ("trace_id",)
-    out = agg.summary(rows, agg.call_cube(rows, keys), keys)
+    out = agg.summary(rows, agg.call_cube(rows, keys), keys, latencies=event_calls(spark, folder))
     return out.select("trace_id", *_COUNTS, *[r6(c) for c in _MEANS])
 
 

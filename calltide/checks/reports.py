@@ -17,7 +17,7 @@ from calltide.plans import report
 from calltide.plans.analysis import trace_analyses
 from calltide.plans.sinks import read_csv, read_json, write_csv, write_json
 from calltide.session import materialise, scratch_path
-from calltide.sources.tables import table
+from calltide.sources.tables import event_calls, table
 
 GENERATED = "2024-02-01 00:00:00"
 
@@ -111,10 +111,8 @@ def _section_sql(number: int) -> str:
     return f"{_q(report.section_head(number))} || chr(10) || {body}"
 
 
-@check(
-    "tuning_script",
-    _recs_sql("trace_id")
-    + f""", rules(syscall, commands) AS (VALUES {_RULE_VALUES}),
+_SECTIONS_SQL = (
+    f""", rules(syscall, commands) AS (VALUES {_RULE_VALUES}),
       s AS ({_SUMMARY_SQL}),
       pieces AS (
         SELECT r.trace_id, r.seq,
@@ -130,7 +128,15 @@ def _section_sql(number: int) -> str:
                    recommendation, r.count) END AS piece
         FROM recs r LEFT JOIN rules u ON u.syscall = r.syscall),
       sections AS (SELECT trace_id, {_section_sql(1)} AS s1, {_section_sql(2)} AS s2, {_section_sql(4)} AS s4
-                   FROM pieces GROUP BY trace_id)
+                   FROM pieces GROUP BY trace_id)"""
+)
+
+
+@check(
+    "tuning_script",
+    _recs_sql("trace_id")
+    + _SECTIONS_SQL
+    + f"""
       SELECT s.trace_id, concat_ws(chr(10), {_q(report.SCRIPT_HEAD.format(title=report.TITLE, generated=GENERATED))},
                printf({_q(report.SUMMARY_FORMAT)}, total_syscalls, high_latency_count, optimization_candidates,
                       anomalies_detected, printf('%.2f', avg_latency)), s1, s2, s4, {_q(report.SCRIPT_TAIL)}) AS content
@@ -142,10 +148,8 @@ def tuning_script(spark, folder):
     return report.script(summary(rows, calls_cube, keys), recommend(calls_cube, keys), GENERATED)
 
 
-@check(
-    "resource_script",
-    views("labelled", _STATS_SQL, _RATIOS_SQL, _TARGETS_SQL, _ADVICE_SQL)
-    + f""", lines AS (
+_LINES_SQL = (
+    f""", lines AS (
         SELECT pid, priority_score, concat_ws(chr(10), printf('# PID %d (Priority: %.2f)', pid, priority_score),
           CASE WHEN cpu_adjustment > 10 THEN concat_ws(chr(10), {_q('# Reason: ' + proc.REASONS['increase_cpu'])},
                  printf('# Consider: taskset or cpuset to pin PID %d to more cores', pid),
@@ -158,7 +162,15 @@ def tuning_script(spark, folder):
                  printf('echo "  ℹ PID %d: Consider priority boost (renice)"', pid)) END,
           CASE WHEN redundancy_ratio > 0.3 THEN concat_ws(chr(10), {_q('# Reason: ' + proc.REASONS['code_optimization'])},
                  printf('echo "  ℹ PID %d: Code-level optimization recommended"', pid)) END, '') AS piece
-        FROM advice)
+        FROM advice)"""
+)
+
+
+@check(
+    "resource_script",
+    views("labelled", _STATS_SQL, _RATIOS_SQL, _TARGETS_SQL, _ADVICE_SQL)
+    + _LINES_SQL
+    + f"""
       SELECT pid // 50 AS part, {_q(report.section_head(3))} || chr(10)
              || string_agg(piece, chr(10) ORDER BY priority_score DESC, pid) AS content
       FROM lines GROUP BY 1""",
@@ -168,6 +180,39 @@ def resource_script(spark, folder):
     return report.resource_script(advised, pids_per_part=50)
 
 
+@check(
+    "whole_scripts",
+    _recs_sql("trace_id")
+    + ",\n"
+    + ",\n".join([_STATS_SQL, _RATIOS_SQL, _TARGETS_SQL, _ADVICE_SQL])
+    + _SECTIONS_SQL
+    + _LINES_SQL
+    + f""", ranked AS (
+        SELECT concat('host-', pid % 8) AS trace_id, piece,
+               row_number() OVER (PARTITION BY pid % 8 ORDER BY priority_score DESC, pid) - 1 AS place FROM lines),
+      parts AS (
+        SELECT trace_id, 0 AS section, 0 AS part,
+               concat_ws(chr(10), {_q(report.SCRIPT_HEAD.format(title=report.TITLE, generated=GENERATED))},
+                 printf({_q(report.SUMMARY_FORMAT)}, total_syscalls, high_latency_count, optimization_candidates,
+                        anomalies_detected, printf('%.2f', avg_latency))) AS content FROM s
+        UNION ALL SELECT trace_id, 1, 0, s1 FROM sections
+        UNION ALL SELECT trace_id, 2, 0, s2 FROM sections
+        UNION ALL SELECT trace_id, 3, 0, {_q(report.section_head(3))} FROM s
+        UNION ALL SELECT trace_id, 3, place // 7 + 1, string_agg(piece, chr(10) ORDER BY place) FROM ranked GROUP BY 1, 2, 3
+        UNION ALL SELECT trace_id, 4, 0, s4 FROM sections
+        UNION ALL SELECT trace_id, 5, 0, {_q(report.SCRIPT_TAIL)} FROM s)
+      SELECT trace_id, section, CAST(part AS BIGINT) AS part, content FROM parts WHERE content IS NOT NULL""",
+)
+def whole_scripts(spark, folder):
+    """Every line of every trace's script, the resources of its processes included."""
+    rows, keys = scored(spark, folder), ("trace_id",)
+    calls_cube = call_cube(rows, keys)
+    stats = proc.with_ratios(proc.process_stats(labelled(spark, folder), ("trace_id", "pid")))
+    advised = proc.with_actions(proc.with_adjustments(proc.score_rule(stats, noise_seed="42")))
+    totals = summary(rows, calls_cube, keys, latencies=event_calls(spark, folder))
+    return report.script_parts(totals, recommend(calls_cube, keys), advised, GENERATED, keys, per_part=7)
+
+
 def _analyses(spark, folder):
     return trace_analyses(scored(spark, folder))
 

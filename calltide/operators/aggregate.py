@@ -52,9 +52,17 @@ def _mean(total: str, count: str) -> Column:
 
 
 def summary(
-    scored: DataFrame, cube: DataFrame, keys: tuple[str, ...] = (), approx: bool = False
+    scored: DataFrame,
+    cube: DataFrame,
+    keys: tuple[str, ...] = (),
+    approx: bool = False,
+    latencies: DataFrame | None = None,
 ) -> DataFrame:
-    """Counts, means and latency percentiles."""
+    """Counts, means and latency percentiles.
+
+    The percentiles read the latencies of all calls once more: of ``latencies``, calls before
+    labelling and scoring, if it is given, so that no label is worked out again for them.
+    """
     totals = cube.groupBy(*keys).agg(
         F.sum("n").alias("total_syscalls"),
         F.sum("n_likely_high").alias("high_latency_count"),
@@ -64,7 +72,8 @@ def summary(
         _mean("cpu_sum", "cpu_n").alias("cpu_avg"),
         _mean("memory_sum", "memory_n").alias("memory_avg"),
     )
-    tails = quantiles(scored, "latency_us", {"p95_latency": 0.95, "p99_latency": 0.99}, keys, approx)
+    bare = scored if latencies is None else latencies
+    tails = quantiles(bare, "latency_us", {"p95_latency": 0.95, "p99_latency": 0.99}, keys, approx)
     if keys:
         return totals.join(tails, list(keys), "left")
     return side_by_side(totals, tails)

@@ -19,7 +19,11 @@ def _cube(scored: DataFrame, keys, stage: bool) -> DataFrame:
 
 
 def analyze(
-    calls: DataFrame, model=None, keys: tuple[str, ...] = (), stage: bool = True
+    calls: DataFrame,
+    model=None,
+    keys: tuple[str, ...] = (),
+    stage: bool = True,
+    latencies: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Scores labelled calls and returns the tables of an analysis.
 
@@ -32,7 +36,7 @@ def analyze(
     return {
         "scored": scored,
         "cube": cube,
-        "summary": agg.summary(scored, cube, keys),
+        "summary": agg.summary(scored, cube, keys, latencies=latencies),
         "by_syscall": agg.by_syscall(cube, keys),
         "by_category": agg.by_category(cube, keys),
         "by_cluster": agg.by_cluster(cube, keys),

@@ -1,12 +1,15 @@
-"""Analysis and export history: append-only tables partitioned by day."""
+"""Analysis and export history: tables of appended batches, partitioned by day.
+
+Batches stand under one manifest (``plans.ledger``), so a reader sees whole batches only, and
+``compact`` folds them into one snapshot with the newest row of every key.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
 
-from calltide.schemas import ANALYSIS, EXPORT
+from calltide.plans.ledger import Ledger
 
 SOURCE_TYPES = ("file", "text", "sample", "live", "synthetic")
 EXPORT_FORMATS = ("script", "json", "markdown")
@@ -63,12 +66,25 @@ def export_rows(texts: DataFrame, export_format: str, created_at: Column) -> Dat
     )
 
 
+# What tells the rows of the two histories apart.
+ANALYSIS_KEYS = ("user_id", "trace_id")
+EXPORT_KEYS = ("user_id", "trace_id", "export_format", "filename")
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Adds rows to a history table. Running it twice is harmless: reads keep
     the latest row of a key. Rebalancing gathers a day's rows in few files and
-    splits a day that is too large for one."""
+    splits a day that is too large for one. Several writers may append at once."""
     dated = rows.withColumn("created_date", F.to_date("created_at")).hint("rebalance", "created_date")
-    dated.write.mode("append").partitionBy("created_date").parquet(path)
+    Ledger(rows.sparkSession, path, partition_by="created_date").put(dated)
+
+
+def compact(spark: SparkSession, path: str, keys: tuple[str, ...] = ANALYSIS_KEYS) -> None:
+    """Folds all batches of a history into one snapshot with the newest row of every key, by day.
+
+    Readers that have begun go on with the batches they hold; those go with the next folding.
+    """
+    Ledger(spark, path, list(keys), order=["created_at"], partition_by="created_date").fold()
 
 
 def _latest(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,25 +93,21 @@ def _latest(df: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, "_row.*")
 
 
-def _dated(schema: StructType) -> StructType:
-    return StructType([*schema.fields, StructField("created_date", DateType(), True)])
-
-
 def history(spark: SparkSession, path: str, user_id: int | None = None, since: str | None = None) -> DataFrame:
     """Latest analysis per (user, trace); a date bound prunes partitions."""
-    rows = spark.read.schema(_dated(ANALYSIS)).parquet(path)
+    rows = Ledger(spark, path).read_all()
     if since is not None:
         rows = rows.filter(F.col("created_date") >= F.to_date(F.lit(since)))
     if user_id is not None:
         rows = rows.filter(F.col("user_id") == user_id)
-    return _latest(rows.drop("created_date"), ["user_id", "trace_id"])
+    return _latest(rows.drop("created_date"), list(ANALYSIS_KEYS))
 
 
 def exports(spark: SparkSession, path: str, user_id: int | None = None) -> DataFrame:
-    rows = spark.read.schema(_dated(EXPORT)).parquet(path).drop("created_date")
+    rows = Ledger(spark, path).read_all().drop("created_date")
     if user_id is not None:
         rows = rows.filter(F.col("user_id") == user_id)
-    return _latest(rows, ["user_id", "trace_id", "export_format", "filename"])
+    return _latest(rows, list(EXPORT_KEYS))
 
 
 def latest_per_user(rows: DataFrame, k: int, tie: str = "trace_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions.scalar import fixed, severity_icon, type_title
 from calltide.operators.aggregate import side_by_side
+from calltide.operators.chunks import rank_rows
 
 TITLE = "System Call Optimization"
 
@@ -91,6 +92,7 @@ echo "  {title} Script"
 echo "=========================================="
 echo ""
 """
+# Fixed value: lines of the script.
 SUMMARY_FORMAT = """# === Analysis Summary ===
 # Total syscalls analyzed: %d
 # High latency calls: %d
@@ -131,14 +133,17 @@ echo "  Optimization Complete!"
 echo "=========================================="
 echo "  Re-run strace analysis to measure improvement."
 """
+# Fixed value: lines of the script.
 SLOW_FORMAT = """# Syscall: %s
 # Issue: %d calls with avg latency %s μs
 # Recommendation: %s
 %s"""
+# Fixed value: lines of the script.
 REDUNDANT_FORMAT = """# %1$s: %2$d redundant calls detected
 # %3$s
 echo "  ℹ %1$s: %2$d redundant calls to optimize in application code"
 """
+# Fixed value: lines of the script.
 ANOMALY_FORMAT = """# %1$s
 echo "  ⚠ %2$d anomalous patterns detected - manual investigation recommended"
 """
@@ -203,10 +208,10 @@ def _piece(kind: Column) -> Column:
     )
 
 
-def script(
-    summaries: DataFrame, recommendations: DataFrame, generated: str, keys: tuple[str, ...] = ("trace_id",)
+def _blocks(
+    summaries: DataFrame, recommendations: DataFrame, generated: str, keys: tuple[str, ...]
 ) -> DataFrame:
-    """One tuning script per trace from its summary and (at most eleven) recommendations."""
+    """Per trace the parts of the script that have a bounded size, by section; null where a section is empty."""
     kind = F.col("type")
     section = F.when(kind == "high_latency", 1).when(kind == "redundancy", 2).otherwise(4)
     pieces = (
@@ -225,46 +230,105 @@ def script(
         body = F.concat_ws("\n", F.transform(mine, lambda p: p["text"]))
         return F.when(F.size(mine) > 0, F.concat_ws("\n", F.lit(section_head(number)), body))
 
-    content = F.concat_ws(
+    head = F.concat_ws(
         "\n",
         F.lit(SCRIPT_HEAD.format(title=TITLE, generated=generated)),
         F.format_string(SUMMARY_FORMAT, *numbers, _two("avg_latency")),
-        block(1),
-        block(2),
-        block(4),
-        F.lit(SCRIPT_TAIL),
     )
-    return summaries.join(pieces, list(keys), "left").select(*keys, content.alias("content"))
+    blocks = {0: head, 1: block(1), 2: block(2), 4: block(4), 5: F.lit(SCRIPT_TAIL)}
+    joined = summaries.join(pieces, list(keys), "left")
+    return joined.select(*keys, *[text.alias(f"_section{number}") for number, text in blocks.items()])
 
 
-def resource_script(advice: DataFrame, pids_per_part: int = 1000) -> DataFrame:
-    """Section 3 of the script: the lines of every process, most urgent first.
+def script(
+    summaries: DataFrame, recommendations: DataFrame, generated: str, keys: tuple[str, ...] = ("trace_id",)
+) -> DataFrame:
+    """One tuning script per trace from its summary and (at most eleven) recommendations.
 
-    The section grows with the processes, so it comes in parts, one per range of
-    ``pids_per_part`` process ids: no text gathers more processes than that.
+    The section of processes grows with the trace: :func:`script_parts` has it too.
+    """
+    blocks = _blocks(summaries, recommendations, generated, keys)
+    content = F.concat_ws("\n", *[c for c in blocks.columns if c not in keys])
+    return blocks.select(*keys, content.alias("content"))
+
+
+def script_parts(
+    summaries: DataFrame,
+    recommendations: DataFrame,
+    advice: DataFrame,
+    generated: str,
+    keys: tuple[str, ...] = ("trace_id",),
+    per_part: int = 1000,
+) -> DataFrame:
+    """The whole script of every trace, the resources of its processes included, as ordered parts:
+    keys, section, part, content.
+
+    Section 3 lists the processes of a trace, most urgent first, ``per_part`` in a part: a place
+    among a trace's processes comes from range partitions (``rank_rows``), so neither a task nor a
+    text holds more than a part, however many processes a trace has. Traces without advice have no section 3.
     """
+    blocks = _blocks(summaries, recommendations, generated, keys)
+    numbers = [c for c in blocks.columns if c not in keys]
+    entry = F.explode(
+        F.array(*[F.struct(F.lit(int(c[-1])).alias("section"), F.col(c).alias("content")) for c in numbers])
+    )
+    fixed_parts = blocks.select(*keys, entry.alias("_e")).select(
+        *keys, "_e.section", F.lit(0).cast("long").alias("part"), "_e.content"
+    )
+    # Processes without a priority come last.
+    urgency = F.coalesce(-F.col("priority_score"), F.lit(float("inf")))
+    listed = advice.select(*keys, "pid", urgency.alias("_urgency"), _process_text().alias("_text"))
+    placed = rank_rows(listed, keys, ("_urgency", "pid"), "_place")
+    parts = (
+        placed.withColumn("part", F.expr(f"_place div {int(per_part)} + 1"))
+        .groupBy(*keys, "part")
+        .agg(F.array_sort(F.collect_list(F.struct("_place", "_text"))).alias("_pieces"))
+        .select(*keys, "part", F.concat_ws("\n", F.transform("_pieces", lambda p: p["_text"])).alias("content"))
+    )
+    # Only traces that have a summary have a script.
+    parts = parts.join(summaries.select(*keys), list(keys), "left_semi")
+    heads = parts.filter("part = 1").select(*keys, F.lit(0).cast("long").alias("part"), F.lit(section_head(3)).alias("content"))
+    resources = heads.unionByName(parts).withColumn("section", F.lit(3))
+    return fixed_parts.filter(F.col("content").isNotNull()).unionByName(resources)
+
+
+def write_scripts(parts: DataFrame, path: str, key: str = "trace_id", mode: str = "errorifexists") -> None:
+    """One text file per trace, in a folder of its own: the parts in their order.
+
+    A task writes the parts of its traces one after the other and holds one at a time.
+    """
+    ordered = parts.repartition(key).sortWithinPartitions(key, "section", "part")
+    ordered.select(key, "content").write.mode(mode).partitionBy(key).text(path)
+
+
+def _process_text() -> Column:
+    """The lines of a process: its priority and what its actions suggest."""
     lines = lambda a: F.coalesce(
         *[
             F.when(a["type"] == kind, F.format_string(text, F.col("pid"), a["reason"]))
             for kind, text in ACTION_FORMATS.items()
         ]
     )
-    text = F.concat_ws(
-        "\n",
-        F.format_string("# PID %d (Priority: %s)", "pid", _two("priority_score")),
-        F.concat_ws("\n", F.transform("actions", lines)),
-        F.lit(""),
-    )
-    bare = F.concat_ws("\n", F.format_string("# PID %d (Priority: %s)", "pid", _two("priority_score")), F.lit(""))
+    head = F.format_string("# PID %d (Priority: %s)", "pid", _two("priority_score"))
+    text = F.concat_ws("\n", head, F.concat_ws("\n", F.transform("actions", lines)), F.lit(""))
     has_lines = F.exists("actions", lambda a: a["type"].isin(*ACTION_FORMATS))
-    piece = F.struct(
-        (-F.col("priority_score")).alias("rank"), "pid", F.when(has_lines, text).otherwise(bare).alias("text")
-    )
-    parts = advice.groupBy(F.expr(f"pid div {int(pids_per_part)}").alias("part")).agg(
+    return F.when(has_lines, text).otherwise(F.concat_ws("\n", head, F.lit("")))
+
+
+def resource_script(advice: DataFrame, pids_per_part: int = 1000) -> DataFrame:
+    """Section 3 of the script: the lines of every process, most urgent first.
+
+    The section grows with the processes, so it comes in parts, one per range of
+    ``pids_per_part`` process ids: no text gathers more processes than that. Processes of
+    different traces are in parts of their own.
+    """
+    traces = [k for k in ("trace_id",) if k in advice.columns]
+    piece = F.struct((-F.col("priority_score")).alias("rank"), "pid", _process_text().alias("text"))
+    parts = advice.groupBy(*traces, F.expr(f"pid div {int(pids_per_part)}").alias("part")).agg(
         F.array_sort(F.collect_list(piece)).alias("_pieces")
     )
     body = F.concat_ws("\n", F.transform("_pieces", lambda p: p["text"]))
-    return parts.select("part", F.concat_ws("\n", F.lit(section_head(3)), body).alias("content"))
+    return parts.select(*traces, "part", F.concat_ws("\n", F.lit(section_head(3)), body).alias("content"))
 
 
 _ANALYSIS_FIELDS = (
