@@ -1,5 +1,7 @@
 """Checks of recommendations, process advice and what-if comparisons."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from calltide.checks.base import check, hash01, views
@@ -8,6 +10,7 @@ from calltide.functions.scalar import fixed
 from calltide.operators import process as proc
 from calltide.operators import recommend as rec
 from calltide.operators import whatif
+from calltide.plans import report
 from calltide.sources.tables import event_calls
 
 _SLOW_SQL = """slow AS (SELECT *, row_number() OVER ({part}ORDER BY first_id, syscall_name) AS place FROM (
@@ -243,6 +246,58 @@ def measured_comparison(spark, folder):
     return out.select("trace_id", "before_calls", "after_calls", *[r6(c) for c in (*_MEASURES, *changes)])
 
 
+_CHANGES = ("latency_reduction", "cpu_savings", "throughput_increase")
+_COMPARED_SQL = """compared AS (
+  SELECT *, (before_avg - after_avg) / before_avg * 100 AS latency_reduction,
+         (before_cpu - after_cpu) / before_cpu * 100 AS cpu_savings,
+         (after_throughput - before_throughput) / before_throughput * 100 AS throughput_increase
+  FROM before FULL JOIN after USING (trace_id))"""
+
+
+def _compared(spark, folder):
+    calls = event_calls(spark, folder)
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    return whatif.compare(calls.filter(early), calls.filter(~early))
+
+
+@check(
+    "measured_roll_up",
+    views("calls", _SIDE_SQL.format(side="before", when="<"), _SIDE_SQL.format(side="after", when=">="), _COMPARED_SQL)
+    + "SELECT count(*) AS compared, "
+    + ", ".join(f"round(avg({c}), 6) AS avg_{c}, round(stddev_pop({c}), 6) AS std_{c}" for c in _CHANGES)
+    + " FROM compared",
+)
+def measured_roll_up(spark, folder):
+    """Changes between the halves of a month of measured calls, over all hosts."""
+    out = whatif.compared_roll_up(_compared(spark, folder))
+    return out.select("compared", *[r6(f"{part}_{c}") for c in _CHANGES for part in ("avg", "std")])
+
+
+def _shown_sql(column: str, digits: int = 2) -> str:
+    return f"printf('%.{digits}f', {column})"
+
+
+@check(
+    "measured_report",
+    views("calls", _SIDE_SQL.format(side="before", when="<"), _SIDE_SQL.format(side="after", when=">="), _COMPARED_SQL)
+    + "SELECT trace_id, "
+    + "printf('"
+    + re.sub(
+        r"%\d+\$s", "%s", report.COMPARISON_FORMAT.replace("{title}", report.TITLE).replace("{generated}", "2024-02-01 00:00:00")
+    )
+    + "', trace_id, CAST(before_calls AS VARCHAR), CAST(after_calls AS VARCHAR), "
+    + ", ".join(
+        [_shown_sql("before_avg"), _shown_sql("after_avg"), _shown_sql("latency_reduction")]
+        + [_shown_sql(f"{side}_{m}") for m in ("p50", "p95", "p99", "max") for side in ("before", "after")]
+        + [_shown_sql("before_cpu", 1), _shown_sql("after_cpu", 1), _shown_sql("cpu_savings")]
+        + [_shown_sql("before_throughput", 0), _shown_sql("after_throughput", 0), _shown_sql("throughput_increase")]
+    )
+    + ") AS content FROM compared",
+)
+def measured_report(spark, folder):
+    return report.comparison_report(_compared(spark, folder), "2024-02-01 00:00:00")
+
+
 _PROJECTED_SQL = f"""projected AS (
   SELECT *, latency_us * CASE WHEN is_high_latency THEN {hash01('42-slow', 'syscall_id')} * 0.3e0 + 0.3e0 ELSE 1.0e0 END
             * CASE WHEN is_redundant THEN 0.1e0 ELSE 1.0e0 END

@@ -67,22 +67,42 @@ def call_feature_vector(spark, folder):
     return rows.select("syscall_id", *[r6(c) if c in rounded else c for c in plain])
 
 
+# Columns of the process vector and, in SQL, what they are of a process's calls.
+_PROCESS_SQL = {
+    "lat_mean": "avg(latency_us)",
+    "lat_std": "coalesce(stddev_samp(latency_us), 0)",
+    "lat_max": "max(latency_us)",
+    "syscall_count": "count(*)",
+    "cpu_mean": "avg(cpu_usage)",
+    "cpu_max": "max(cpu_usage)",
+    "mem_mean": "avg(memory_usage)",
+    "mem_max": "max(memory_usage)",
+    "ctx_sum": "sum(context_switches)",
+    "high_lat_count": "count(*) FILTER (WHERE is_high_latency)",
+    "redundant_count": "count(*) FILTER (WHERE is_redundant)",
+    "risk_mean": "avg(risk_level)",
+    "efficiency": "count(*) / (sum(latency_us) + 1)",
+    "high_lat_ratio": "count(*) FILTER (WHERE is_high_latency) / count(*)",
+    "redundancy_ratio": "count(*) FILTER (WHERE is_redundant) / count(*)",
+    "latency_cv": "coalesce(stddev_samp(latency_us), 0) / (avg(latency_us) + 0.01e0)",
+}
+
+
 @check(
     "process_feature_vector",
     views("labelled")
-    + """SELECT pid, round(max(latency_us), 6) AS lat_max, CAST(count(*) AS DOUBLE) AS syscall_count,
-                CAST(sum(context_switches) AS DOUBLE) AS ctx_sum,
-                CAST(count(*) FILTER (WHERE is_high_latency) AS DOUBLE) AS high_lat_count,
-                round(count(*) FILTER (WHERE is_redundant) / count(*), 6) AS redundancy_ratio,
-                round(coalesce(stddev_samp(latency_us), 0) / (avg(latency_us) + 0.01e0), 6) AS latency_cv
-         FROM labelled GROUP BY pid""",
+    + """, types AS (SELECT pid, arg_min(process_type, syscall_id) AS process_type FROM labelled GROUP BY pid),
+         codes AS (SELECT pid, CAST(dense_rank() OVER (ORDER BY process_type) - 1 AS DOUBLE) AS process_type_encoded FROM types)
+         SELECT pid, any_value(process_type_encoded) AS process_type_encoded, """
+    + ", ".join(f"round(CAST({sql} AS DOUBLE), 6) AS {name}" for name, sql in _PROCESS_SQL.items())
+    + " FROM labelled JOIN codes USING (pid) GROUP BY pid",
 )
 def process_feature_vector(spark, folder):
+    """All 17 columns, as the regressors get them."""
     rows = process_features(proc.with_ratios(proc.process_stats(labelled(spark, folder))))
-    assert set(PROCESS_FEATURES) - set(rows.columns) == {"process_type_encoded"}
-    return rows.select(
-        "pid", r6("lat_max"), "syscall_count", "ctx_sum", "high_lat_count", r6("redundancy_ratio"), r6("latency_cv")
-    )
+    coded = encoder(("process_type",)).fit(rows).transform(rows)
+    assert [c for c in PROCESS_FEATURES if c not in (*_PROCESS_SQL, "process_type_encoded")] == []
+    return coded.select("pid", "process_type_encoded", *[r6(c) for c in _PROCESS_SQL])
 
 
 _SCALED = ("latency_us", "base_latency_us", "latency_ratio", "cpu_usage", "memory_usage", "context_switches", "risk_level")

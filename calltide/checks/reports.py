@@ -413,19 +413,23 @@ def export_history(spark, folder):
     return latest.select("user_id", "trace_id", "export_format", "filename", number.cast("long").alias("total_syscalls"))
 
 
-@check("csv_sink", views("labelled") + "SELECT category, count(*) AS calls, round(sum(latency_us), 3) AS latency_us FROM labelled GROUP BY 1")
+# The columns that a sink has to give back, whole rows of them.
+_SUNK = (
+    "trace_id", "syscall_id", "pid", "syscall_name", "category", "base_latency_us", "latency_ratio", "cpu_usage",
+    "memory_usage", "context_switches", "return_value", "risk_level", "is_redundant", "is_high_latency", "needs_optimization",
+)
+_SUNK_SQL = views("labelled") + f"SELECT {', '.join(_SUNK)}, round(latency_us, 6) AS latency_us FROM labelled"
+
+
+@check("csv_sink", _SUNK_SQL)
 def csv_sink(spark, folder):
     path = scratch_path(spark, "csv")
     write_csv(labelled(spark, folder), path)
-    return read_csv(spark, path).groupBy("category").agg(
-        F.count(F.lit(1)).alias("calls"), F.round(F.sum("latency_us"), 3).alias("latency_us")
-    )
+    return read_csv(spark, path).select(*_SUNK, r6("latency_us"))
 
 
-@check("json_sink", views("labelled") + "SELECT category, count(*) AS calls, round(sum(latency_us), 3) AS latency_us FROM labelled GROUP BY 1")
+@check("json_sink", _SUNK_SQL)
 def json_sink(spark, folder):
     path = scratch_path(spark, "json")
     write_json(labelled(spark, folder), path)
-    return read_json(spark, path).groupBy("category").agg(
-        F.count(F.lit(1)).alias("calls"), F.round(F.sum("latency_us"), 3).alias("latency_us")
-    )
+    return read_json(spark, path).select(*_SUNK, r6("latency_us"))

@@ -78,6 +78,17 @@ def compare(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("trace_i
     )
 
 
+def compared_roll_up(compared: DataFrame) -> DataFrame:
+    """Over all compared keys that have both sides: how many, mean and population spread of every change."""
+    changes = ("latency_reduction", "cpu_savings", "throughput_increase")
+    both = compared.filter(F.col("before_calls").isNotNull() & F.col("after_calls").isNotNull())
+    return both.agg(
+        F.count(F.lit(1)).alias("compared"),
+        *[F.avg(c).alias(f"avg_{c}") for c in changes],
+        *[F.stddev_pop(c).alias(f"std_{c}") for c in changes],
+    )
+
+
 def cpu_saving(scored: DataFrame, by: str = "iteration") -> DataFrame:
     """CPU share left when the candidates are handled."""
     per = scored.groupBy(by).agg(
