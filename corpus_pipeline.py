@@ -5,7 +5,8 @@ that occurred before are cut out, documents with benchmark passages go, and what
 is left is encoded. Every stage is written as Parquet and read again.
 
 Rows with null or empty texts are clean: they stay, and end with no ids. Extra
-columns stay until the last stage. SQL cannot express the stages; tests compare
+columns stay until the last stage, whatever their names: the operators only see the
+id and the text beside columns with names of their own. SQL cannot express the stages; tests compare
 the whole run with a brute-force version.
 """
 
@@ -25,31 +26,46 @@ TOXIC = 0.7
 NEAR_WORDS, NEAR_LEAST = 5, (80, 100)
 
 
+def _bare(docs: DataFrame) -> DataFrame:
+    """``docs`` with its other columns under names that no operator uses."""
+    return docs.select(
+        "doc_id", "text", *[F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    )
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` of :func:`_bare` with the columns and names of ``docs``."""
+    return rows.select(
+        *[F.col(c if c in ("doc_id", "text") else f"_kept_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    )
+
+
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples do not call toxic."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep_text=True)
-    return scored.where(F.col("score") < TOXIC).select(docs.columns)
+    bare = _bare(docs)
+    model = toxicity.train(bare, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(bare, model, keep_text=True)
+    return _named(scored.where(F.col("score") < TOXIC), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by nearly equal shingle sets, the one with the smallest id."""
-    rows = suffixes.numbered(docs)
+    rows = suffixes.numbered(_bare(docs))
     classes = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_WORDS, NEAR_LEAST)
     others = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(others, "_row", "left_anti").select(docs.columns)
+    return _named(rows.join(others, "_row", "left_anti"), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without strings of 100 bytes that start earlier."""
-    left = suffixes.texts_left(suffixes.remove(docs))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    left = _named(suffixes.texts_left(suffixes.remove(_bare(docs))), docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hits") == 0).select(docs.columns)
+    found = decontaminate.matches(_bare(docs), table(spark, sf_dir, "benchmark"))
+    return _named(found.where(F.size("hits") == 0), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
