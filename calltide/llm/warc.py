@@ -49,7 +49,9 @@ def record_types(
     the same payload where that is another row's, else null.
 
     The payload travels once, by its own key; the join by digest carries keys only.
+    Columns of ``pages`` with the names used here give way.
     """
+    pages = pages.drop("_payload", "_refers_to", "_sha", "_sha2", "_key", "_n")
     data: Column = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     pages = pages.withColumn("_payload", data).withColumn("_sha", F.sha2("_payload", 256))
     keys = pages.where(F.length("_payload") >= least_bytes).select(F.col(key).alias("_key"), "_sha").distinct()

@@ -51,7 +51,9 @@ def test_bad_records():
 
 def test_pages(spark):
     rows = [(3, "a", "same"), (1, None, "same"), (2, "b", None), (5, "c", ""), (7, "d", "é" * 40000), (None, "e", "same"), (1, None, "same")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
+        {name: F.lit(1) for name in ("payload", "_refers_to", "_payload", "_key", "_sha", "_sha2", "_n")}
+    )
     archives = warc.write_archives(warc.record_types(pages), archive_bytes=200)
     got = sorted(
         ((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(archives).collect()), key=str
@@ -310,3 +312,17 @@ def test_pipeline_edges(spark, small, tmp_path):
     docs.write.parquet(f"{folder}/documents.parquet")
     got = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, folder).collect())
     assert got == ["1", "2", "3", "5", "None"]
+
+
+def test_stages_keep_the_values_of_all_columns(spark, small):
+    names = ("score", "hits", "kept", "_row", "row", "start", "component_id", "n_words", "a.b", "part")
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id % 3 = 0")
+    docs = docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in names})
+    before = {r.doc_id: r for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert [r[name] for name in (*names, "lang", "source")] == [before[r.doc_id][name] for name in (*names, "lang", "source")]
