@@ -32,8 +32,10 @@ BLOCK = 256
 PERCENTILE = 90
 # Tokens after which a file is closed.
 FILE_TOKENS = 4 << 20
-# Words kept in each of two generations by a worker, about 180 bytes each.
-CACHE_WORDS = 800_000
+# Words that a worker keeps, about 180 bytes each; beyond that it begins anew.
+CACHE_WORDS = 1_600_000
+# Words encoded together, and how the vocabulary writes a space.
+_GROUP, _SPACE = 64, "\u0120"
 _HEAD = struct.Struct("<IBH")  # minimum, width, number of exceptions
 _FILE = struct.Struct("<8sQQQ")  # magic, values, blocks, documents
 _BITS = 1 << np.arange(32, dtype=np.uint64)
@@ -155,7 +157,11 @@ class TokenFile:
 
 
 class Encoder:
-    """Ids of words by the tokenizers library, remembered in two generations."""
+    """Ids of words by the tokenizers library, remembered in one table of ids.
+
+    Words without blanks inside are encoded many at once, with a space before each:
+    the tokens that begin with a space tell where a word begins.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -164,41 +170,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Texts with one of these are not cut: the library itself finds them there.
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _fresh(self, words: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in coded]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[number for token, number in vocabulary.items() if token.startswith(_SPACE)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.heads: dict[str, int] = {}  # rows of words at the start of a text
+        self.words: dict[str, int] = {}  # rows of words after a space
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 14, np.int64)  # row k holds ids[ends[k] : ends[k + 1]]
+        self.rows = 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, np.uint32) for x in coded]
+
+    def _learn(self, into: dict[str, int], names: list[str], parts: list[np.ndarray], sizes: np.ndarray) -> None:
+        """New rows, named in order, of the ids in ``parts``."""
+        used, new = int(self.ends[self.rows]), int(sizes.sum())
+        if used + new > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(used + 2 * new, np.uint32)])
+        if self.rows + len(names) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends[: self.rows + 1], np.zeros(self.rows + 2 * len(names), np.int64)])
+        if new:
+            self.ids[used : used + new] = np.concatenate(parts)
+        self.ends[self.rows + 1 : self.rows + len(names) + 1] = used + np.cumsum(sizes)
+        into.update(zip(names, range(self.rows, self.rows + len(names))))
+        self.rows += len(names)
+
+    def _learn_each(self, into: dict[str, int], names: list[str], before: str) -> None:
+        parts = self._ids([before + name for name in names])
+        self._learn(into, names, parts, np.array([len(x) for x in parts], np.int64))
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers, ``end`` after each."""
         whole = {k for k, text in enumerate(texts) if any(token in text for token in self.added)}
         if whole:
             out = iter(self._by_words([text for k, text in enumerate(texts) if k not in whole], end))
-            return [self._fresh([text])[0] + end if k in whole else next(out) for k, text in enumerate(texts)]
+            return [self._ids([text])[0].astype("<u4").tobytes() + end if k in whole else next(out) for k, text in enumerate(texts)]
         return self._by_words(texts, end)
 
     def _by_words(self, texts: list[str], end: bytes) -> list[bytes]:
+        if len(self.words) + len(self.heads) > CACHE_WORDS:
+            self._forget()
         cut = [words_of(text) for text in texts]
-        heads = dict.fromkeys(words[0] for words in cut)
-        heads = dict(zip(heads, self._fresh(list(heads))))
-        if len(self.seen) > CACHE_WORDS:
-            self.old, self.seen = self.seen, {}
-        wanted = set()
+        self._learn_each(self.heads, list({words[0] for words in cut} - self.heads.keys()), "")
+        wanted: set[str] = set()
         for words in cut:
             wanted.update(words[1:])
-        missing = []  # the words of a batch are looked up, never the cache gone through
-        for word in wanted:
-            if word not in self.seen:
-                known = self.old.get(word)
-                if known is None:
-                    missing.append(word)
-                else:
-                    self.seen[word] = known
-        self.seen.update(zip(missing, self._fresh([f" {word}" for word in missing])))
-        look = self.seen.__getitem__
-        return [b"".join([heads[words[0]], *map(look, words[1:]), end]) for words in cut]
+        missing = [word for word in wanted if word not in self.words]
+        plain = [w for w in missing if w and " " not in w and not w[0].isspace() and not w[-1].isspace()]
+        self._learn_each(self.words, list(set(missing).difference(plain)), " ")
+        groups = [plain[k : k + _GROUP] for k in range(0, len(plain), _GROUP)]
+        if groups:
+            ids = np.concatenate(self._ids([" " + " ".join(group) for group in groups]))
+            starts = np.flatnonzero(self.opens[ids])
+            self._learn(self.words, plain, [ids], np.diff(np.append(starts, len(ids))))
+        rows, sizes = [], []
+        for words in cut:
+            rows.append(self.heads[words[0]])
+            rows.extend(map(self.words.__getitem__, words[1:]))
+            sizes.append(len(words))
+        if not rows:
+            return []
+        row = np.array(rows, np.int64)
+        start, count = self.ends[row], self.ends[row + 1] - self.ends[row]
+        upto = np.cumsum(count)
+        place = np.repeat(start - (upto - count), count) + np.arange(int(upto[-1]))
+        data = self.ids[place].astype("<u4").tobytes()
+        cuts = [0, *(4 * upto[np.cumsum(sizes) - 1]).tolist()]
+        return [data[a:b] + end for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}

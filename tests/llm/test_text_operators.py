@@ -108,6 +108,24 @@ def test_blocks(size):
         tokens.TokenFile(b"X" + content[1:])
 
 
+def test_words_are_remembered(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(8)
+    letters = "ab's  \n\t\x1c\x85\u3000\xa0\u00e91\u00bd!._T\u0120\u200b<|>"
+    for limit in (1 << 20, 5):
+        monkeypatch.setattr(tokens, "CACHE_WORDS", limit)
+        for size in (1, 3, 200):
+            texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(30))) for _ in range(size)]
+            texts += ["one two three four " * 20, "<|endoftext|> one two", "", " "]
+            got = encoder.encode(texts, b"")
+            want = plain.encode_batch(texts, add_special_tokens=False)
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in want]
+    assert encoder.encode([], b"") == []
+
+
 def _token_rows(texts, keys):
     from tokenizers import Tokenizer
 
