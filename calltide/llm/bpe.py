@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from calltide.llm.common import chunks, texts_of
+from calltide.llm.common import chunks, held, texts_of
 
 _SHIFT = 8  # a bitmap word holds 2**_SHIFT ranks
 _MASK = (1 << _SHIFT) - 1
@@ -197,15 +197,9 @@ class Codec:
         return self.bytes[np.repeat(first, sizes) + np.arange(sizes.sum())], sizes
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a worker process; its word cache serves all its tasks."""
-    key = (path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec.load(path, pattern)
-    return _CODECS[key]
+    return held(("bpe", path, pattern), lambda: Codec.load(path, pattern))
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array, drop: str | None = None) -> pa.RecordBatch:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +14,29 @@ from pyspark.sql import functions as F
 
 from calltide.session import materialise
 
+# What the worker process keeps for its next task: one thing of one operator.
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gives, kept by the worker under ``key`` until another key is asked for.
+
+    Workers are reused by later stages; one thing at a time bounds what they keep.
+    """
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Lets go of what the worker keeps; for tasks that need none of it."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 # Output batches are cut at about this size, so that long texts never pile up.
 BATCH_BYTES = 8 << 20
 

@@ -5,7 +5,8 @@ weight is TF-IDF times the log-likelihood ratio of the word against the label ov
 the sample, so that words which tell the classes apart lead and none is cut off.
 Document frequencies are counted over the whole corpus. Examples lie in a block-max
 inverted index: blocks of examples, for each term and block the postings and the
-highest weight. A search visits blocks by falling upper bound and stops when no
+highest weight. Similar examples share a block, so that the blocks of another kind of
+text have low bounds. A search visits blocks by falling upper bound and stops when no
 block can hold a nearer example, so the neighbours are exact. Votes weigh by
 distance; a logistic curve fitted to leave-one-out votes makes them
 probabilities at the class shares of all labels.
@@ -24,7 +25,7 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +33,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltide.llm.common import chunks, crc_mod3, labelled_sample, texts_of
+from calltide.llm.common import chunks, crc_mod3, held, labelled_sample, release, texts_of
+from calltide.session import materialise
 
 SAMPLE_ROWS = 4000
 # Results kept by a worker for texts that it meets again.
-CACHE = 50_000
+CACHE = 16_384
 NEAREST = 25
-BLOCK = 64
+BLOCK = 32
+# So many blocks are visited first; vectors searched together, and their cells.
+FIRST = 8
+GROUP, CELLS = 256, 1 << 19
 # Terms in more than one of ``COMMON`` examples, up to ``DENSE`` of them, are kept as
 # dense rows; this changes the speed of a search only.
 COMMON = 16
 DENSE = 1024
 EVIDENCE = 3
-_WORDS = re.compile(r"[^\W\d_]+").findall
+# Rows are handled in batches of about this many bytes; the words of longer texts are
+# counted one after the other.
+STEP = 1 << 20
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS(text.lower())
+def words_of(text: str) -> Iterable[str]:
+    text = text.lower()
+    return _WORD.findall(text) if len(text) < STEP else map(re.Match.group, _WORD.finditer(text))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -56,16 +65,40 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def _side_by_side(points: np.ndarray) -> np.ndarray:
+    """An order of ``points`` in which every ``BLOCK`` of them lie near each other.
+
+    Points are halved along their direction of most variance until a block holds them.
+    """
+    done, open_ = [], [np.arange(len(points))]
+    while open_:
+        some = open_.pop()
+        if len(some) <= BLOCK or not points.shape[1]:
+            done.append(some)
+            continue
+        around = points[some] - points[some].mean(0)
+        way = around[np.argmax((around**2).sum(1))]
+        for _ in range(8):
+            way = around.T @ (around @ way)
+            way = way / max(np.linalg.norm(way), 1e-300)
+        by = some[np.argsort(np.round(around @ way, 9), kind="stable")]
+        half = BLOCK * (-(-len(some) // BLOCK) // 2)
+        open_ += [by[half:], by[:half]]
+    return np.concatenate(done)
+
+
 class BlockMaxIndex:
-    """Inverted lists over unit vectors, cut into blocks of ``BLOCK`` examples.
+    """Inverted lists over unit vectors, cut into blocks of ``BLOCK`` similar examples.
 
-    Common terms have a dense row of weights, other terms a list of cells: a block,
-    its highest weight and its postings.
+    Common terms have a row of weights in each block that holds them, other terms a
+    list of cells: a block, its highest weight and its postings. Texts are searched
+    many at once, so that a block's common terms are one matrix product.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.size = len(vectors)
         self.blocks = max(1, -(-self.size // BLOCK))
+        self.places = self.blocks * BLOCK
         owner = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors] or [np.empty(0)])
@@ -75,10 +108,19 @@ class BlockMaxIndex:
         self.row = np.full(terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
         row = self.row[term]
-        self.dense = np.zeros((len(common), self.blocks, BLOCK))
-        self.dense.reshape(len(common), self.blocks * BLOCK)[row[row >= 0], owner[row >= 0]] = weight[row >= 0]
-        self.dense_most = self.dense.max(2)
-        owner, term, weight = owner[row < 0], term[row < 0], weight[row < 0]
+        dense = np.zeros((self.size, len(common)))
+        dense[owner[row >= 0], row[row >= 0]] = weight[row >= 0]
+        self.order = _side_by_side(dense)
+        self.place = np.empty(self.size, np.int64)
+        self.place[self.order] = np.arange(self.size)
+        self.dense_most = np.zeros((len(common), self.blocks))
+        self.dense = []
+        for block in range(self.blocks):
+            members = dense[self.order[block * BLOCK : (block + 1) * BLOCK]]
+            self.dense_most[:, block] = members.max(0, initial=0)
+            rows = np.flatnonzero(self.dense_most[:, block])
+            self.dense.append((rows, np.ascontiguousarray(members[:, rows].T)))
+        owner, term, weight = self.place[owner[row < 0]], term[row < 0], weight[row < 0]
         cell = term * self.blocks + owner // BLOCK
         order = np.argsort(cell, kind="stable")
         self.owner, self.weight = owner[order].astype(np.int32), weight[order]
@@ -93,45 +135,90 @@ class BlockMaxIndex:
 
         Examples without a common term have cosine 0 and fill up at the end.
         """
+        return self.search([(terms, weights)], k, [skip])[0]
+
+    def search(self, texts: list, k: int, skip: list[int] | None = None, visits: list | None = None) -> list:
+        """``nearest`` of many vectors; ``skip`` names an example for each that is no answer.
+
+        To ``visits`` the number of blocks that each vector was compared with is added.
+        """
+        skip = [-1] * len(texts) if skip is None else skip
+        # Vectors go together while their cells fit.
+        sizes = np.cumsum([int((self.cells[t + 1] - self.cells[t]).sum()) for t, _ in texts] or [0])
+        out, a = [], 0
+        while a < len(texts):
+            base = sizes[a - 1] if a else 0
+            b = min(a + GROUP, max(a + 1, int(np.searchsorted(sizes, base + CELLS, side="right"))))
+            out += self._search(texts[a:b], k, np.array(skip[a:b]), visits)
+            a = b
+        return out
+
+    def _search(self, texts: list, k: int, skip: np.ndarray, visits: list | None) -> list:
+        n = len(texts)
+        of = np.repeat(np.arange(n), [len(t) for t, _ in texts])
+        terms = np.concatenate([t for t, _ in texts]).astype(np.int64)
+        weights = np.concatenate([w for _, w in texts])
         rows = self.row[terms]
-        common = (rows[rows >= 0], weights[rows >= 0])
-        first, sizes = self.cells[terms[rows < 0]], self.cells[terms[rows < 0] + 1] - self.cells[terms[rows < 0]]
-        cells, factors = _ranges(first, sizes), np.repeat(weights[rows < 0], sizes)
-        bound = common[1] @ self.dense_most[common[0]]
-        bound = bound + np.bincount(self.block[cells], factors * self.most[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        found, scores = np.empty(0, np.int64), np.empty(0)
-        at, width = 0, 8
-        while at < len(order):
-            worst = scores[k - 1] if len(scores) >= k else -1.0
+        common = np.zeros((n, len(self.dense_most)))
+        common[of[rows >= 0], rows[rows >= 0]] = weights[rows >= 0]
+        of, terms, weights = of[rows < 0], terms[rows < 0], weights[rows < 0]
+        first, sizes = self.cells[terms], self.cells[terms + 1] - self.cells[terms]
+        cells, factors, of = _ranges(first, sizes), np.repeat(weights, sizes), np.repeat(of, sizes)
+        block = self.block[cells]
+        bound = np.bincount(of * self.blocks + block, factors * self.most[cells], n * self.blocks)
+        bound = bound.reshape(n, self.blocks) + common @ self.dense_most
+        order = np.argsort(-bound, axis=1, kind="stable")
+        scores = np.full((n, self.places), -np.inf)
+        worst, seen = np.full(n, -1.0), np.zeros(n, np.int64)
+        skipped = np.flatnonzero(skip >= 0)
+        at, width = 0, FIRST
+        while at < self.blocks:
+            near = order[:, at : at + width]
             # A bound is a sum of rounded products, as scores are.
-            take = [b for b in order[at : at + width] if bound[b] >= worst - 2e-12]
-            if not take:
+            text, column = np.nonzero(np.take_along_axis(bound, near, 1) >= worst[:, None] - 2e-12)
+            if not len(text):
                 break
-            members, values = self._scores(*common, cells, factors, np.array(take))
-            keep = members != skip
-            found, scores = np.concatenate([found, members[keep]]), np.concatenate([scores, values[keep]])
-            best = np.lexsort((found, -scores))[:k]
-            found, scores = found[best], scores[best]
-            at += width
-            width *= 3
-        return found, scores
-
-    def _scores(self, rows, weights, cells, factors, blocks):
-        place = np.full(self.blocks, -1, np.int64)
-        place[blocks] = np.arange(len(blocks))
-        near = place[self.block[cells]] >= 0
-        cells, factors = cells[near], factors[near]
+            visit = np.zeros((n, self.blocks), bool)
+            visit[text, near[text, column]] = True
+            seen += visit.sum(1)
+            self._compare(scores, visit, common, of, cells, factors, block)
+            scores[skipped, self.place[skip[skipped]]] = -np.inf
+            if k <= self.places:
+                kth = np.partition(scores, self.places - k, axis=1)[:, self.places - k]
+                worst = np.maximum(kth, -1.0)
+            at, width = at + width, width * 2
+        if visits is not None:
+            visits += seen.tolist()
+        out = []
+        for row, least in zip(scores, worst):
+            places = np.flatnonzero(row >= least)
+            found = self.order[places]
+            best = np.lexsort((found, -row[places]))[:k]
+            out.append((found[best], row[places][best]))
+        return out
+
+    def _compare(self, scores, visit, common, of, cells, factors, block) -> None:
+        """Fills in the scores of the texts and blocks of ``visit``."""
+        near = visit[of, block]
+        cells, of = cells[near], of[near]
         sizes = self.start[cells + 1] - self.start[cells]
         at = _ranges(self.start[cells], sizes)
-        owner = self.owner[at]
-        to = place[owner // BLOCK] * BLOCK + owner % BLOCK
-        sums = np.bincount(to, self.weight[at] * np.repeat(factors, sizes), len(blocks) * BLOCK)
-        if len(rows):
-            sums = sums + weights @ self.dense[rows[:, None], blocks].reshape(len(rows), -1)
-        members = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        real = members < self.size
-        return members[real], np.round(sums[real], 12)
+        to = np.repeat(of * self.places, sizes) + self.owner[at]
+        sums = np.bincount(to, self.weight[at] * np.repeat(factors[near], sizes), scores.size).reshape(scores.shape)
+        for b in np.flatnonzero(visit.any(0)).tolist():
+            texts = np.flatnonzero(visit[:, b])
+            rows, weights = self.dense[b]
+            start = b * BLOCK
+            stop = start + weights.shape[1]
+            part = sums[texts, start:stop]
+            if len(rows):
+                part = part + common[np.ix_(texts, rows)] @ weights
+            scores[texts, start:stop] = np.round(part, 12)
+
+
+def _counts(text: str, number: dict[str, int]) -> dict[int, int]:
+    """How often a text holds each term of ``number``."""
+    return {number[w]: n for w, n in Counter(words_of(text)).items() if w in number}
 
 
 class Model:
@@ -157,10 +244,9 @@ class Model:
         empty = np.array([not len(t) for t, _ in vectors])
         parts = weigh[empty] * len(weigh)
         self.without = float((parts @ self.labels[empty] + share) / (parts.sum() + 1))
-        votes = [
-            0.0 if empty[k] else self.vote(*self.index.nearest(*vectors[k], NEAREST, skip=k)) for k in range(len(vectors))
-        ]
-        self.curve = _logistic(np.array(votes)[~empty], self.labels[~empty], weigh[~empty])
+        some = np.flatnonzero(~empty)
+        votes = [self.vote(*x) for x in self.index.search([vectors[k] for k in some], NEAREST, some.tolist())]
+        self.curve = _logistic(np.array(votes), self.labels[some], weigh[some])
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
@@ -168,23 +254,25 @@ class Model:
         terms, weights = terms[weights > 0], weights[weights > 0]
         return terms, weights / np.sqrt(weights @ weights)
 
-    def counts(self, text: str) -> Counter:
-        number = self.number
-        return Counter(number[w] for w in words_of(text) if w in number)
+    def counts(self, text: str) -> dict[int, int]:
+        return _counts(text, self.number)
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         near = 1 / (0.05 + np.maximum(0, 1 - cosines))
         return float(near @ self.labels[found] / near.sum()) if len(found) else 0.0
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[str]]:
-        """Probability, the nearest examples' ids and the terms of the text that weigh most."""
-        terms, weights = self.vector(counts)
-        if self.curve is None or not len(terms):
-            return self.without, [], []
-        found, cosines = self.index.nearest(terms, weights, NEAREST)
-        value = 1 / (1 + math.exp(-max(-30, min(30, self.curve[0] + self.curve[1] * self.vote(found, cosines)))))
-        top = terms[np.argsort(-weights, kind="stable")[:EVIDENCE]]
-        return value, self.ids[found[:EVIDENCE]].tolist(), [self.terms[t] for t in top.tolist()]
+    def score(self, texts: list[dict[int, int]]) -> list[tuple[float, list[int], list[str]]]:
+        """Of each text the probability, the nearest examples' ids and the terms that weigh most."""
+        vectors = [self.vector(counts) for counts in texts]
+        out: list = [(self.without, [], [])] * len(vectors)
+        some = [k for k, (terms, _) in enumerate(vectors) if self.curve is not None and len(terms)]
+        for k, (found, cosines) in zip(some, self.index.search([vectors[k] for k in some], NEAREST)):
+            line = self.curve[0] + self.curve[1] * self.vote(found, cosines)
+            value = 1 / (1 + math.exp(-max(-30, min(30, line))))
+            terms, weights = vectors[k]
+            top = terms[np.argsort(-weights, kind="stable")[:EVIDENCE]]
+            out[k] = value, self.ids[found[:EVIDENCE]].tolist(), [self.terms[t] for t in top.tolist()]
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[float, float]:
@@ -223,7 +311,8 @@ def _terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
     """All words of the sample and what each tells of the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in chunks(whole, "text", 1 << 20)):
+        release()
+        for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
             labels = batch.column("label").to_pylist()
             words = [sorted(set(words_of(text))) for text in texts_of(batch, "text")]
             for a in range(0, len(words), 64):
@@ -235,40 +324,40 @@ def _terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
                     schema=pa.schema([("term", pa.string()), ("label", pa.int32())]),
                 )
 
-    held = sample.groupBy("label").count().collect()
-    n = {row["label"]: row["count"] for row in held}
+    n = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
     if len(n) < 2:
         return [], np.empty(0)
     a, b = F.sum("label"), F.count(F.lit(1))
     counted = sample.mapInArrow(run, "term string, label int").groupBy("term").agg(a.alias("a"), b.alias("b"))
     rows = sorted(tuple(row) for row in counted.collect())
-    held = np.array([row[1:] for row in rows], np.int64).reshape(-1, 2)
-    return [row[0] for row in rows], _likelihood_ratio(held[:, 0], held[:, 1], n[1], sum(n.values()))
+    sides = np.array([row[1:] for row in rows], np.int64).reshape(-1, 2)
+    return [row[0] for row in rows], _likelihood_ratio(sides[:, 0], sides[:, 1], n[1], sum(n.values()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``rows`` labelled rows and the frequencies of all their
     words over all of ``docs``."""
-    sample = labelled_sample(docs, labels, label, rows).repartition(8, "doc_id")
+    sample = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "toxicity-sample")
     known = labels.where((crc_mod3() != 1) & F.col(label).isNotNull())
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     terms, weigh = _terms(sample)
     number = {term: k for k, term in enumerate(terms)}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, count = np.zeros(len(number), np.int64), 0
-        for batch in (part for whole in batches for part in chunks(whole, "text")):
+        release()
+        found, count, known = Counter(), 0, number.keys()
+        for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
             for text in texts_of(batch, "text"):
-                found[[number[w] for w in set(words_of(text)) if w in number]] += 1
+                found.update(known & set(words_of(text)))
             count += batch.num_rows
-        held = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict(
-            {"term": np.append(held, -1).astype(np.int32), "n": np.append(found[held], count)}
+            {"term": pa.array([*(number[w] for w in found), -1], pa.int32()), "n": [*found.values(), count]}
         )
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in chunks(whole, "text", 1 << 20)):
-            counts = [Counter(number[w] for w in words_of(t) if w in number) for t in texts_of(batch, "text")]
+        release()
+        for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
+            counts = [_counts(t, number) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -278,9 +367,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 }
             )
 
-    held = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect()
+    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect()
     found, documents = np.zeros(len(terms), np.int64), 0
-    for term, n in held:
+    for term, n in counted:
         if term < 0:
             documents = n
         else:
@@ -292,21 +381,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df`` with ``score``, ``nearest`` (ids of the nearest examples) and ``terms``
     (the text's weightiest terms); the text goes unless kept."""
-    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    data = pickle.dumps(model)
+    name = hashlib.blake2b(data).hexdigest()
+    shared = df.sparkSession.sparkContext.broadcast(data)
     gone = {"score", "nearest", "terms"} | (set() if keep_text else {text})
     kept = [f for f in df.schema.fields if f.name not in gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = pickle.loads(shared.value), {}
-        for batch in (part for whole in batches for part in chunks(whole, text)):
-            rows = []
-            for one in texts_of(batch, text):
-                key = hashlib.blake2b(one.encode(), digest_size=16).digest()
-                if key not in seen:
-                    if len(seen) >= CACHE:
-                        seen.clear()
-                    seen[key] = own.score(own.counts(one))
-                rows.append(seen[key])
+        own, seen = held(("toxicity", name), lambda: pickle.loads(shared.value)), {}
+        for batch in (part for whole in batches for part in chunks(whole, text, STEP)):
+            texts = texts_of(batch, text)
+            keys = [hashlib.blake2b(one.encode(), digest_size=16).digest() for one in texts]
+            new = {key: one for key, one in zip(keys, texts) if key not in seen}
+            if len(seen) + len(new) > CACHE:
+                seen, new = {}, dict(zip(keys, texts))
+            seen.update(zip(new, own.score([own.counts(one) for one in new.values()])))
+            rows = [seen[key] for key in keys]
             names = [f.name for f in kept]
             added = [
                 pa.array([x[0] for x in rows], pa.float64()),
