@@ -12,8 +12,10 @@ Equal sets are one set from the start. Whether a pair links is checked exactly,
 three rounds, so that a group of thousands of near copies never makes all its pairs:
 first each set against the earlier set that shares most lists with it, then against
 the nearest one of a list that it is not connected with, and last, list by list, all
-pairs that are still not connected. A count vector of fixed size per set finds the
-nearest and rejects most pairs before whole sets travel; it never rejects a link.
+pairs that are still not connected. A bitmap of fixed size per set, with the parity of
+each class of shingles, finds the nearest and rejects most pairs before whole sets
+travel: two bitmaps differ in no more bits than the sets in shingles, so it never
+rejects a link.
 
 Edge cases: null and empty texts have empty sets and link with nothing; texts of
 fewer words than a shingle are one shingle; rows of the same id are rows of their
@@ -45,7 +47,7 @@ CHUNK = 2 << 20
 # Shingles that a chunk of texts repeats so often are counted over all texts, and
 # the most frequent ones, a bounded number, come last in the order.
 OFTEN, ORDERED = 4, 1 << 16
-SKETCH = 128
+SKETCH = 2048  # bits
 _PART_BYTES = 32 << 20
 # Room for needed ids: a bitmap of fixed size that is broadcast before a reread.
 _BITMAP = 1 << 22
@@ -117,16 +119,20 @@ def boundary(sizes: dict[int, int], scan: float, least: tuple[int, int] = LEAST)
 
 
 def _sketch(x: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each of ``SKETCH`` classes, at most 255 each."""
-    counts = np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=SKETCH)
-    return np.minimum(counts, 255).astype(np.uint8)
+    """Of each of ``SKETCH`` classes whether an odd number of shingles falls into it, as bits."""
+    shift = np.uint64(64 - (SKETCH.bit_length() - 1))
+    return np.packbits(np.bincount((x >> shift).astype(np.int64), minlength=SKETCH) & 1)
+
+
+def _read_sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
 
 
 def _apart(a: np.ndarray, b: np.ndarray, size_a, size_b, least) -> tuple[np.ndarray, np.ndarray]:
     """For rows of sketches how far they are apart, as a share of both sizes, and
     whether they may be of linked sets: these differ in at most (1 - t) / (1 + t) of
     the sum of their sizes, and their sketches in no more."""
-    apart = np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64)
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     both = size_a + size_b
     return apart / both, apart * (least[1] + least[0]) <= both * (least[1] - least[0])
 
@@ -341,8 +347,7 @@ def _likely(pairs: DataFrame, survey: DataFrame, least) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8)
-            a, b = read("sa").reshape(-1, SKETCH), read("sb").reshape(-1, SKETCH)
+            a, b = _read_sketches(batch.column("sa")), _read_sketches(batch.column("sb"))
             _, fine = _apart(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), least)
             yield batch.filter(pa.array(fine)).select(["a", "b"])
 
@@ -366,7 +371,7 @@ def _open_pairs(
 
     def run(table: pa.Table) -> pa.Table:
         key, name, n, component = (table.column(x).to_numpy() for x in ("key", "name", "n", "component"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        sketch = _read_sketches(table.column("sketch"))
         by = np.lexsort((name, n, key))
         key, name, n, component, sketch = key[by], name[by], n[by], component[by], sketch[by]
         end = np.searchsorted(key, key, side="right")
@@ -377,8 +382,8 @@ def _open_pairs(
             a = a[a + step < end[a]]
             b = a + step
             a, b = (x[(n[b] * least[0] <= n[a] * least[1]) & (component[a] != component[b])] for x in (a, b))
-            for c in range(0, len(a), 65536):
-                x, y = a[c : c + 65536], b[c : c + 65536]
+            for c in range(0, len(a), 16384):
+                x, y = a[c : c + 16384], b[c : c + 16384]
                 apart, fine = _apart(sketch[x], sketch[y], n[x], n[y], least)
                 x, y, apart = x[fine], y[fine], apart[fine]
                 if not nearest:

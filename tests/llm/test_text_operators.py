@@ -236,6 +236,23 @@ def test_boundary_follows_cost():
     sizes = {5: 100, 30: 100, 400: 100}
     assert jaccard.boundary(sizes, 0.0) < jaccard.boundary(sizes, 5.0) < 400
 
+def test_parity_sketches_reject_no_link():
+    """Sketches are never further apart than their sets, and tell pairs of 0.8 apart."""
+    rng = np.random.default_rng(17)
+    least = (85, 100)
+    for n in (1, 3, 40, 300, 900, 4000):
+        for lost in (0, n // 14, n // 12, n // 9, n // 5):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[lost:], rng.integers(0, 2**63, lost, dtype=np.uint64)]))
+            rows = [jaccard._sketch(x).view(np.uint64)[None] for x in (a, b)]
+            apart, fine = jaccard._apart(*rows, np.array([len(a)]), np.array([len(b)]), least)
+            both = len(np.intersect1d(a, b))
+            assert apart[0] * (len(a) + len(b)) <= len(a) + len(b) - 2 * both + 1e-6
+            link = jaccard.links(a, b, least)
+            assert fine[0] or not link
+            if 40 <= n <= 900 and lost >= n // 9:  # a similarity of 0.8 or less
+                assert not link and not fine[0]
+
 
 def test_op9(spark, small, docs):
     rows = by_id(QUERIES["op9_ngram_jaccard"](spark, small))
