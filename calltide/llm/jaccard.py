@@ -47,7 +47,9 @@ CHUNK = 2 << 20
 # Shingles that a chunk of texts repeats so often are counted over all texts, and
 # the most frequent ones, a bounded number, come last in the order.
 OFTEN, ORDERED = 4, 1 << 16
-SKETCH = 2048  # bits
+SKETCH = 1024  # bits
+# Before whole sets travel, pairs are held against bitmaps that grow with the sets.
+_FINE = 4  # bits for each shingle
 _PART_BYTES = 32 << 20
 # Room for needed ids: a bitmap of fixed size that is broadcast before a reread.
 _BITMAP = 1 << 22
@@ -124,6 +126,21 @@ def _sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((x >> shift).astype(np.int64), minlength=SKETCH) & 1)
 
 
+def _fine_sketch(x: np.ndarray) -> np.ndarray:
+    """A parity bitmap of at least ``_FINE`` bits for each shingle, a power of two."""
+    size = max(SKETCH, 1 << (_FINE * len(x) - 1).bit_length())
+    return np.packbits(np.bincount(((x >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1)
+
+
+def _may_link(a: bytes, b: bytes, size_a: int, size_b: int, least: tuple[int, int]) -> bool:
+    """Whether bitmaps of :func:`_fine_sketch` allow a link; the larger is folded to the smaller."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (least[1] + least[0]) <= (size_a + size_b) * (least[1] - least[0])
+
+
 def _read_sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
 
@@ -289,7 +306,7 @@ def _lists(entries: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, survey: DataFrame, names: DataFrame, words: int) -> DataFrame:
-    """(name, tokens) of the sets ``names``, made again from one text of each."""
+    """(name, tokens, n, bits) of the sets ``names``, made again from one text of each."""
     first = survey.where("kind = 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialise(
         names.distinct().join(first, F.col("name") == F.col("set_id")).select("name", "doc_id"), "wanted"
@@ -310,18 +327,28 @@ def _sets(docs: DataFrame, survey: DataFrame, names: DataFrame, words: int) -> D
                         "set_id": set_ids(sets),
                         "doc_id": batch.column("doc_id").cast(pa.int64()),
                         "tokens": pa.array([x.tobytes() for x in sets], pa.binary()),
+                        "n": pa.array([len(x) for x in sets], pa.int64()),
+                        "bits": pa.array([_fine_sketch(x).tobytes() for x in sets], pa.binary()),
                     }
                 )
 
     bit = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(_BITMAP)).cast("int"), F.lit(0))
-    made = docs.select("doc_id", "text", bit.alias("_bit")).mapInArrow(run, "set_id long, doc_id long, tokens binary")
+    made = docs.select("doc_id", "text", bit.alias("_bit")).mapInArrow(
+        run, "set_id long, doc_id long, tokens binary, n long, bits binary"
+    )
     # A text of the same id but another set is no answer; copies of a row are one.
     made = made.join(wanted, (made.set_id == wanted.name) & made.doc_id.eqNullSafe(wanted.doc_id))
-    return made.groupBy("name").agg(F.first("tokens").alias("tokens"))
+    return made.groupBy("name").agg(*[F.first(x).alias(x) for x in ("tokens", "n", "bits")])
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, survey: DataFrame, words: int, least) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link."""
+    """Those of ``pairs`` (a, b) that link; only sets whose bitmaps allow it travel whole."""
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = (batch.column(x).to_pylist() for x in ("ba", "bb", "na", "nb"))
+            yield batch.filter(pa.array([_may_link(*x, least) for x in zip(*of)], pa.bool_())).select(["a", "b"])
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
@@ -331,6 +358,10 @@ def _checked(pairs: DataFrame, docs: DataFrame, survey: DataFrame, words: int, l
     left = materialise(pairs, "pairs")
     names = left.select(F.col("a").alias("name")).unionByName(left.select(F.col("b").alias("name")))
     sets = materialise(_sets(docs, survey, names, words), "sets")
+    for side in ("a", "b"):
+        bits = sets.select(F.col("name").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}"))
+        left = left.join(bits, side)
+    left = left.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(may, "a long, b long")
     with_a = left.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
     with_b = with_a.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
     return with_b.select("a", "b", "ta", "tb").mapInArrow(link, "a long, b long")

@@ -250,8 +250,16 @@ def test_parity_sketches_reject_no_link():
             assert apart[0] * (len(a) + len(b)) <= len(a) + len(b) - 2 * both + 1e-6
             link = jaccard.links(a, b, least)
             assert fine[0] or not link
-            if 40 <= n <= 900 and lost >= n // 9:  # a similarity of 0.8 or less
-                assert not link and not fine[0]
+            sizes = len(a), len(b)
+            may = jaccard._may_link(*(jaccard._fine_sketch(x).tobytes() for x in (a, b)), *sizes, least)
+            assert may or not link
+            if n >= 300 and lost >= n // 9:  # a similarity of 0.8 or less
+                assert not link and not may and (n > 300 or not fine[0])
+    # Bitmaps of unequal sizes are folded.
+    a, b = np.arange(1000, dtype=np.uint64) << np.uint64(20), np.arange(1060, dtype=np.uint64) << np.uint64(20)
+    bits = [jaccard._fine_sketch(x).tobytes() for x in (a, b)]
+    assert len(bits[0]) < len(bits[1]) and jaccard._may_link(*bits, 1000, 1060, least)
+    assert not jaccard._may_link(*bits, 1000, 1060, (99, 100))
 
 
 def test_op9(spark, small, docs):
