@@ -297,10 +297,9 @@ def process_targets_met(spark, folder):
 
 @check("isolation_scores")
 def isolation_scores(spark, folder):
-    rows = call_features(labelled(spark, folder))
-    forest = IsolationForest.fit(
-        rows, ("latency_us", "latency_ratio", "cpu_usage", "memory_usage", "risk_level"), "syscall_id"
-    )
+    features = ("latency_us", "latency_ratio", "cpu_usage", "memory_usage", "risk_level")
+    rows = materialise(call_features(labelled(spark, folder)).select("syscall_id", *features), "features")
+    forest = IsolationForest.fit(rows, features, "syscall_id")
     score = rows.select("syscall_id", forest.score().alias("anomaly_score"))
     return score.withColumn("is_anomaly", F.col("anomaly_score") < 0)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from calltide.operators.quantiles import quantiles
+from calltide.session import materialise
 
 _TREE = "tree int, node int, feature int, cut double, left int, right int, depth double"
 # A tree's candidates are drawn with a chance that gives this many times its size
@@ -54,6 +55,33 @@ def _grow(values: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
     return nodes
 
 
+def _laid_out(tree: pd.DataFrame, cuts: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as a complete one: depth, feature and cut's place of inner nodes, depth score of the last level.
+
+    A leaf above the last level stands for all nodes below it.
+    """
+    nodes = {row.node: row for row in tree.itertuples(index=False)}
+    slots, level, depth = [(nodes[0], 0, 0)], 0, 0
+    todo = list(slots)
+    while todo:
+        row, at, level = todo.pop()
+        depth = max(depth, level)
+        if row.feature >= 0:
+            inner = [(nodes[row.left], 2 * at + 1, level + 1), (nodes[row.right], 2 * at + 2, level + 1)]
+            slots += inner
+            todo += inner
+    feature = np.zeros((2 << depth) - 1, dtype=np.intp)
+    place, value = np.zeros(len(feature), dtype=np.int32), np.zeros(len(feature))
+    for row, at, level in slots:
+        if row.feature >= 0:
+            feature[at], place[at] = row.feature, np.searchsorted(cuts[row.feature], row.cut)
+        else:
+            under = depth - level
+            first = ((at + 1) << under) - 1
+            value[first : first + (1 << under)] = row.depth
+    return depth, feature, place, value
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     """Fitted trees. ``score`` is negative for the most isolated rows."""
@@ -97,6 +125,7 @@ class IsolationForest:
             )
             .filter(F.col("_rank") <= sample)
         )
+        picked = materialise(picked, "forest-samples")
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
@@ -114,40 +143,46 @@ class IsolationForest:
         trees = grown.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
         sizes = picked.groupBy("tree").count().agg(F.max("count")).first()[0]
         fitted = cls(features, int(sizes), 0.0, trees)
-        training = rows.select(fitted._depth_score().alias("_s"))
+        # Written, since percentiles read it several times and the walk is the costly part.
+        training = materialise(rows.select(fitted._depth_score().alias("_s")), "forest-scores")
         cut = quantiles(training, "_s", {"cut": contamination}).first()["cut"]
         return cls(features, int(sizes), float(cut), trees)
 
     def _depth_score(self) -> Column:
-        """Minus the anomaly value of the paper, as a vectorised function."""
+        """Minus the anomaly value of the paper, as a vectorised function.
+
+        Trees are laid out as complete ones (children of i: 2 i + 1 and 2 i + 2), so every
+        row takes the same number of steps in a tree, without sorting out those that have
+        arrived. Values are first turned into their places among the cuts of their feature,
+        small numbers that compare with a cut's place as the values do.
+        """
         feature_names, norm = self.features, _unsuccessful(self.sample)
-        shape = self.trees.groupby("tree").size().max()
-        packed = []
-        for _, part in self.trees.groupby("tree"):
-            block = np.zeros((shape, 5))
-            block[: len(part)] = part[["feature", "cut", "left", "right", "depth"]].to_numpy()
-            packed.append(block)
-        forest = np.stack(packed)
+        cuts = [
+            np.unique(self.trees.loc[self.trees["feature"] == f, "cut"].to_numpy(float))
+            for f in range(len(feature_names))
+        ]
+        forest = [_laid_out(part, cuts) for _, part in self.trees.groupby("tree")]
 
         @F.pandas_udf(DoubleType())
         def walk(*columns: pd.Series) -> pd.Series:
-            data = np.column_stack([c.to_numpy(dtype=float, na_value=0.0) for c in columns])
-            total = np.zeros(len(data))
-            every = np.arange(len(data))
-            for tree in forest:
-                feature, cut = tree[:, 0].astype(int), tree[:, 1]
-                left, right = tree[:, 2].astype(int), tree[:, 3].astype(int)
-                at = np.zeros(len(data), dtype=int)
-                moving = every
-                while len(moving):
-                    here = at[moving]
-                    inner = feature[here] >= 0
-                    moving, here = moving[inner], here[inner]
-                    below = data[moving, feature[here]] < cut[here]
-                    at[moving] = np.where(below, left[here], right[here])
-                total += tree[at, 4]
+            n = len(columns[0])
+            places = np.empty((len(columns), n), dtype=np.int32)
+            for f, column in enumerate(columns):
+                # How many cuts are not above the value; no value is below no cut.
+                places[f] = np.searchsorted(cuts[f], column.to_numpy(dtype=float, na_value=0.0), side="right")
+            flat, every = places.ravel(), np.arange(n)
+            total = np.zeros(n)
+            for depth, feature, place, value in forest:
+                start = feature * n
+                at = np.zeros(n, dtype=np.intp)
+                for _ in range(depth):
+                    above = flat.take(start.take(at) + every) > place.take(at)
+                    at += at
+                    at += 1
+                    at += above
+                total += value.take(at)
             mean_depth = total / len(forest)
-            return pd.Series(-np.power(2.0, -mean_depth / norm) if norm > 0 else -np.ones(len(data)))
+            return pd.Series(-np.power(2.0, -mean_depth / norm) if norm > 0 else -np.ones(n))
 
         return walk(*[F.col(c).cast("double") for c in feature_names])
 
