@@ -48,9 +48,9 @@ class Clusters:
     ) -> "Clusters":
         """Moves all restarts' centres until none moves more than ``tolerance``, ``steps`` at most.
 
-        A step is one aggregation: every Arrow batch gives the sums of the rows nearest
-        to each (restart, centre), at most restarts * k rows of sums, which are added up by
-        that key. The centres start from a bounded sample of the rows (``START_ROWS``
+        A step is one aggregation: every task gives the sums of the rows nearest to each
+        (restart, centre), restarts * k rows of sums made by matrix products over all restarts
+        at once, which are added up by that key. The centres start from a bounded sample of the rows (``START_ROWS``
         by hash); every row counts in every step. ``rows`` should be a written table.
         """
         columns = tuple(columns)
@@ -67,18 +67,28 @@ class Clusters:
             shared = spark.sparkContext.broadcast(centres)
 
             def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                held = shared.value
+                held = shared.value.reshape(restarts * k, -1)
+                size = (held**2).sum(axis=1)[:, None]
+                first = np.arange(restarts)[:, None] * k
+                count, cost = np.zeros(restarts * k), np.zeros(restarts * k)
+                moved = np.zeros(held.shape)
                 for part in parts:
                     x = part.to_numpy(float)
-                    for restart, mine in enumerate(held):
-                        far = (x**2).sum(axis=1)[:, None] - 2 * x @ mine.T + (mine**2).sum(axis=1)[None, :]
-                        near = far.argmin(axis=1)
-                        out = pd.DataFrame({"restart": restart, "centre": np.arange(k)})
-                        out["n"] = np.bincount(near, minlength=k)
-                        out["cost"] = np.bincount(near, np.maximum(far[np.arange(len(x)), near], 0), minlength=k)
-                        for j, name in enumerate(sums):
-                            out[name] = np.bincount(near, x[:, j], minlength=k)
-                        yield out
+                    # Less the row's own size, which is the same for every centre.
+                    far = (size - 2 * (held @ x.T)).reshape(restarts, k, len(x))
+                    near, least = np.zeros((restarts, len(x)), dtype=np.int64), far[:, 0].copy()
+                    for i in range(1, k):
+                        near[far[:, i] < least] = i
+                        np.minimum(least, far[:, i], out=least)
+                    least = np.maximum(least + (x**2).sum(axis=1), 0)
+                    chosen = (near + first).ravel()
+                    count += np.bincount(chosen, minlength=restarts * k)
+                    cost += np.bincount(chosen, least.ravel(), minlength=restarts * k)
+                    is_near = near[:, None, :] == np.arange(k)[None, :, None]
+                    moved += is_near.reshape(restarts * k, -1).astype(float) @ x
+                out = pd.DataFrame(moved, columns=sums)
+                out["restart"], out["centre"] = np.divmod(np.arange(restarts * k), k)
+                yield out.assign(n=count.astype(np.int64), cost=cost)
 
             found = plain.mapInPandas(add, schema).groupBy("restart", "centre")
             total = found.agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)]).toPandas()  # restarts * k rows

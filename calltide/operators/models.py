@@ -99,9 +99,14 @@ def _train_and_test(split: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     return *sides, counts.get("train", 0), counts.get("test", 0)
 
 
-def _at_once(spark: SparkSession, *fits):
-    """The results of several fits, whose many small jobs run side by side."""
-    with ThreadPoolExecutor(len(fits)) as pool:
+# Training rows up to which fits run side by side: small jobs leave cores idle, large ones
+# fill them alone and would push each other's cached rows out of memory.
+_SIDE_BY_SIDE_ROWS = 1_000_000
+
+
+def _at_once(spark: SparkSession, rows: int, *fits):
+    """The results of several fits over ``rows`` training rows."""
+    with ThreadPoolExecutor(len(fits) if rows <= _SIDE_BY_SIDE_ROWS else 1) as pool:
         return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(fit)) for fit in fits]]
 
 
@@ -153,6 +158,7 @@ class CallModel:
         keyed = train.withColumn("_key", F.xxhash64(*key))
         latency, optimization, anomaly, clusters = _at_once(
             calls.sparkSession,
+            trained,
             lambda: booster.fit(train),
             lambda: forest.fit(train),
             lambda: IsolationForest.fit(keyed, tuple(CALL_FEATURES), "_key", n_trees=trees, seed=SEED),
@@ -284,7 +290,7 @@ class ProcessModel:
             GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, stepSize=0.1, seed=SEED)
             for label, depth in depths.items()
         ]
-        models = _at_once(stats.sparkSession, *[lambda one=one: one.fit(train) for one in boosters])
+        models = _at_once(stats.sparkSession, trained, *[lambda one=one: one.fit(train) for one in boosters])
         fitted = dict(zip(depths, models))
 
         def measure(label, name):
