@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,14 +18,30 @@ from calltide.streaming.live import RING
 from calltide.streaming.ordered import in_event_order
 
 _RING = "user_id long, event_id array<long>, latency_us array<double>"
+# States that the rings are dealt to: calling Python for every user costs more than its ring.
+RING_STATES = 2048
 
 
-def ring_buffers(events: DataFrame, k: int = RING) -> DataFrame:
+def _newest(users: np.ndarray, ids: np.ndarray, latencies: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k newest events of every user, by user and id; of equal ids the first one given."""
+    order = np.lexsort((ids, users))
+    users, ids, latencies = users[order], ids[order], latencies[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (users[1:] != users[:-1]) | (ids[1:] != ids[:-1])
+    users, ids, latencies = users[new], ids[new], latencies[new]
+    counts = np.unique(users, return_counts=True)[1]
+    back = np.repeat(np.cumsum(counts), counts) - np.arange(len(users))
+    kept = back <= k
+    return users[kept], ids[kept], latencies[kept]
+
+
+def ring_buffers(events: DataFrame, k: int = RING, states: int = RING_STATES) -> DataFrame:
     """Per user the last k latencies by event order, updated with every batch.
 
     Rows are (user_id, event_id, latency_us). Before the shuffle every Arrow
     batch is cut to its last k rows per user, so a user with most of the events
-    sends few of them to the task that keeps its ring.
+    sends few of them to the task that keeps its ring. The rings of some users share one of
+    ``states`` states and are renewed together.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,23 +49,39 @@ def ring_buffers(events: DataFrame, k: int = RING) -> DataFrame:
             yield rows.sort_values("event_id").groupby("user_id", sort=False).tail(k)
 
     def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, latencies = state.get if state.exists else ([], [])
-        ring = pd.DataFrame({"event_id": list(ids), "latency_us": list(latencies)})
+        kinds = (np.int64, np.int64, float)
+        held = [np.array(x, dtype=t) for x, t in zip(state.get if state.exists else ([], [], []), kinds)]
+        touched = held[0][:0]
         for rows in batches:
-            both = rows[["event_id", "latency_us"]]
-            both = both if ring.empty else pd.concat([ring, both])
-            ring = both.drop_duplicates("event_id").nlargest(k, "event_id")
-        ring = ring.sort_values("event_id")
-        ids, latencies = ring["event_id"].astype(int).tolist(), ring["latency_us"].astype(float).tolist()
-        state.update((ids, latencies))
-        yield pd.DataFrame({"user_id": [key[0]], "event_id": [ids], "latency_us": [latencies]})
-
-    slim = events.select("user_id", "event_id", "latency_us")
+            came = [rows[c].to_numpy(t) for c, t in zip(("user_id", "event_id", "latency_us"), kinds)]
+            touched = np.union1d(touched, came[0])
+            held = _newest(*[np.concatenate(both) for both in zip(held, came)], k)
+        state.update(tuple(column.tolist() for column in held))
+        users, starts = np.unique(held[0], return_index=True)
+        ends = np.append(starts[1:], len(held[0]))
+        chosen = np.isin(users, touched)
+        places = list(zip(starts[chosen].tolist(), ends[chosen].tolist()))
+        yield pd.DataFrame(
+            {
+                "user_id": users[chosen],
+                "event_id": [held[1][a:b] for a, b in places],
+                "latency_us": [held[2][a:b] for a, b in places],
+            }
+        )
+
+    # What belongs to no user or has no place in the order is in no ring.
+    slim = events.select("user_id", "event_id", "latency_us").dropna(subset=["user_id", "event_id"])
+    dealt = F.pmod(F.xxhash64("user_id"), F.lit(states))
     return (
         slim.mapInPandas(cut, slim.schema)
-        .groupBy("user_id")
+        .withColumn("_state", dealt)
+        .groupBy("_state")
         .applyInPandasWithState(
-            keep, _RING, "event_id array<long>, latency_us array<double>", "update", GroupStateTimeout.NoTimeout
+            keep,
+            _RING,
+            "user_id array<long>, event_id array<long>, latency_us array<double>",
+            "update",
+            GroupStateTimeout.NoTimeout,
         )
     )
 

@@ -71,3 +71,47 @@ def test_a_task_gives_one_set_of_sums(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found.cost > 0 and set(seen) == {2 * 3 * 4}
+
+
+def test_a_large_feed_has_more_files(spark, tmp_path, monkeypatch):
+    """A piece of a feed is written by as many tasks as its rows are worth and is one micro-batch."""
+    from calltide.checks import streams
+
+    monkeypatch.setattr(streams, "_FILE_ROWS", 100)
+    path = str(tmp_path / "feed")
+    df = spark.range(4000).select("id", (F.col("id") % 3).alias("user"))
+    files = streams._write_in_order(df, "id", path)
+    assert files == 10
+    batches = []
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "mark")).foreachBatch(
+        lambda rows, i: batches.append(sorted(r.id for r in rows.collect()))
+    ).start().awaitTermination()
+    assert batches == [list(range(i * 1000, (i + 1) * 1000)) for i in range(4)]
+
+
+@pytest.mark.parametrize("states", [1, 3])
+def test_rings_of_many_users_in_a_state(spark, tmp_path, states):
+    from calltide.streaming.state import latest_updates, log_updates, ring_buffers
+
+    rng = np.random.default_rng(2)
+    schema = "user_id long, event_id long, latency_us double"
+    want = {}
+    for piece in range(3):
+        rows = [(int(rng.integers(0, 9)), piece * 300 + i, float(rng.integers(0, 50))) for i in range(300)]
+        rows += [(3, piece * 300 + 5, -1.0), (None, 1, 1.0), (4, None, 1.0)] if piece else []
+        rows = rows if piece != 1 else [r for r in rows if r[0] != 7]
+        for user, event, latency in rows:
+            if user is not None and event is not None:
+                want.setdefault(user, {}).setdefault(event, latency)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rings = ring_buffers(stream, k=6, states=states)
+    log_updates(rings, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    got = {r.user_id: r for r in latest_updates(spark, str(tmp_path / "out"), ["user_id"]).collect()}
+    assert set(got) == set(want)
+    for user, held in want.items():
+        last = sorted(held)[-6:]
+        assert got[user].event_id == last
+        if user != 3:
+            assert got[user].latency_us == [held[i] for i in last]
