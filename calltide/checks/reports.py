@@ -327,6 +327,8 @@ def _daily_history(spark, folder, writes: int = 2) -> str:
     rows = scored(spark, folder).withColumnRenamed("pid", "user_id").withColumn(
         "trace_id", F.concat(F.lit("day-"), F.date_format("ts", "yyyyMMdd"))
     )
+    # Read for the cube, twice for the percentiles and for the times: labelled once.
+    rows = materialise(rows, "scored")
     keys = ("user_id", "trace_id")
     analyses = materialise(
         trace_analyses(rows, keys).join(rows.groupBy(*keys).agg(F.max("ts").alias("_at")), list(keys)),

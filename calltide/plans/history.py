@@ -88,9 +88,12 @@ def compact(spark: SparkSession, path: str, keys: tuple[str, ...] = ANALYSIS_KEY
 
 
 def _latest(df: DataFrame, keys: list[str]) -> DataFrame:
-    row = F.struct(*[c for c in df.columns if c not in keys])
-    kept = df.groupBy(*keys).agg(F.max_by(row, F.struct("created_at", F.xxhash64(row))).alias("_row"))
-    return kept.select(*keys, "_row.*")
+    """The newest row of every key. A hash of the whole row settles ties, so only the
+    columns that a reader asks for travel, not the texts of all analyses."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("_mix"))
+    mixed = df.withColumn("_mix", F.xxhash64(F.struct(*[c for c in df.columns if c not in keys])))
+    kept = mixed.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") == 1)
+    return kept.select(*keys, *[c for c in df.columns if c not in keys])
 
 
 def history(spark: SparkSession, path: str, user_id: int | None = None, since: str | None = None) -> DataFrame:

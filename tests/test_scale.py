@@ -115,3 +115,26 @@ def test_rings_of_many_users_in_a_state(spark, tmp_path, states):
         assert got[user].event_id == last
         if user != 3:
             assert got[user].latency_us == [held[i] for i in last]
+
+
+def test_readers_of_the_history_move_no_texts(spark, tmp_path):
+    """Which row is the newest is settled without shuffling the texts of the analyses."""
+    import contextlib
+    import io
+    import re
+
+    from calltide.plans import history as hist
+
+    rows = "user_id long, trace_id string, title string, analysis_json string, created_at timestamp"
+    days = [(u, f"t{t}", "a", "long text", None) for u in (1, 2) for t in (1, 2)]
+    made = spark.createDataFrame(days, rows).withColumn("created_at", F.timestamp_seconds(F.col("user_id") * 86400))
+    hist.append(made, str(tmp_path / "h"))
+    hist.append(made.withColumn("analysis_json", F.lit("other")), str(tmp_path / "h"))
+    found = hist.history(spark, str(tmp_path / "h"))
+    assert found.count() == 4 and found.select("analysis_json").distinct().count() == 1
+    newest = hist.latest_per_user(found, 10).select("user_id", "trace_id", "place")
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        newest.explain(mode="formatted")
+    moved = re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]", shown.getvalue())
+    assert moved and not any("analysis_json" in columns for columns in moved)
