@@ -11,18 +11,24 @@ from calltide.plans.ledger import Ledger
 from calltide.streaming import live, ordered, state
 
 _PARTS = 4
-# Files of a piece of a feed, written and read side by side.
+# Files of a piece of a feed, written and read side by side: two, or one for this many rows.
 _FILES = 2
+_FILE_ROWS = 50_000
 
 
-def _write_in_order(df, order: str, path: str, parts: int = _PARTS) -> None:
-    """The rows as a feed would bring them: older ids first, a few files at a time."""
+def _write_in_order(df, order: str, path: str, parts: int = _PARTS) -> int:
+    """The rows as a feed would bring them: older ids first, some files at a time.
+
+    Returns how many files a piece has, so that a piece becomes a micro-batch.
+    """
     df = materialise(df, "feed")
-    low, high = df.agg(F.min(order), F.max(order)).first()
+    low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
     step = (high - low) // parts + 1
+    files = max(_FILES, -(-rows // (parts * _FILE_ROWS)))
     for i in range(parts):
         piece = df.filter((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step))
-        piece.repartition(_FILES).write.mode("append").parquet(path)
+        piece.repartition(files).write.mode("append").parquet(path)
+    return files
 
 
 def _messages(spark, folder):
@@ -77,12 +83,12 @@ def _message_stream(spark, folder, times: int = 1, parts: int = _PARTS, closing:
     path = scratch_path(spark, "messages")
     messages = _messages(spark, folder)
     for _ in range(times):
-        _write_in_order(messages, "syscall_id", path, parts)
+        files = _write_in_order(messages, "syscall_id", path, parts)
     if closing:
         for year in (2098, 2099):
             note = [(-1, f'{{"type": "agent_info", "timestamp": "{year}-01-01T00:00:00"}}')]
             spark.createDataFrame(note, "user_id long, value string").write.mode("append").parquet(path)
-    return live.read_messages(spark, path, files_per_batch=_FILES)
+    return live.read_messages(spark, path, files_per_batch=files)
 
 
 def _run(stream, keys):
@@ -178,8 +184,8 @@ def _snapshots(spark, folder):
 )
 def process_snapshots(spark, folder):
     path = scratch_path(spark, "messages")
-    _write_in_order(_snapshots(spark, folder), "syscall_id", path)
-    messages = live.parse_messages(live.read_messages(spark, path, files_per_batch=_FILES))
+    files = _write_in_order(_snapshots(spark, folder), "syscall_id", path)
+    messages = live.parse_messages(live.read_messages(spark, path, files_per_batch=files))
     newest = _run(live.latest_snapshots(messages), ["user_id", "hostname"])
     return live.snapshot_processes(newest).select("user_id", "hostname", "pid", "ppid", "cpu")
 
@@ -194,8 +200,8 @@ def process_snapshots(spark, folder):
 def ring_buffers(spark, folder):
     events = table(spark, folder, "events").select("user_id", "event_id", F.col("value").alias("latency_us"))
     path = scratch_path(spark, "events")
-    _write_in_order(events, "event_id", path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+    files = _write_in_order(events, "event_id", path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     rings = _run(state.ring_buffers(stream), ["user_id"])
     return rings.select(
         "user_id",
@@ -214,8 +220,8 @@ def ring_buffers(spark, folder):
 def streamed_redundancy(spark, folder):
     calls = event_calls(spark, folder).select("trace_id", "syscall_id", "syscall_name")
     path, out = scratch_path(spark, "calls"), scratch_path(spark, "labelled")
-    _write_in_order(calls, "syscall_id", path)
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+    files = _write_in_order(calls, "syscall_id", path)
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", files).parquet(path)
     state.label_stream(stream, out, scratch_path(spark, "checkpoint"), "both", span=1000).awaitTermination()
     return spark.read.parquet(f"{out}/labels").select(
         "trace_id", "syscall_id", "is_redundant_trace", "is_redundant_generator"
@@ -232,8 +238,8 @@ def streamed_scores(spark, folder):
     calls = labelled(spark, folder)
     model = RuleModel.fit(event_calls(spark, folder))
     path, out = scratch_path(spark, "calls"), scratch_path(spark, "scores")
-    _write_in_order(calls, "syscall_id", path)
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+    files = _write_in_order(calls, "syscall_id", path)
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", files).parquet(path)
     state.score_stream(stream, model, out, scratch_path(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out).select(
         "syscall_id", r6("anomaly_score"), "pattern_cluster", r6("optimization_priority")
@@ -269,10 +275,10 @@ def streamed_late_labels(spark, folder):
     """Calls that come days late get the labels of the batch rule, all of them."""
     fed, clock = _shuffled_calls(spark, folder)
     path, out = scratch_path(spark, "calls"), scratch_path(spark, "labelled")
-    _write_in_order(fed, "_comes", path)
+    files = _write_in_order(fed, "_comes", path)
     clock.write.mode("append").parquet(path)
     rows = fed.drop("_comes")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     day = 86400
     state.label_stream(
         stream, out, scratch_path(spark, "checkpoint"), "both", span=1000, wait=_LATE_DAYS * day, keep=day, forget=400 * day

@@ -143,7 +143,8 @@ def presence_changes(messages: DataFrame, silence: int, wait: int = 60, grain: i
             state.setTimeoutTimestamp(max(min(due), now + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["user_id", "status", "since_ms", "reason"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "status", "since_ms", "reason"])
 
     changes = timed.groupBy("user_id").applyInPandasWithState(
         follow,
