@@ -129,9 +129,10 @@ def test_readers_of_the_history_move_no_texts(spark, tmp_path):
     days = [(u, f"t{t}", "a", "long text", None) for u in (1, 2) for t in (1, 2)]
     made = spark.createDataFrame(days, rows).withColumn("created_at", F.timestamp_seconds(F.col("user_id") * 86400))
     hist.append(made, str(tmp_path / "h"))
-    hist.append(made.withColumn("analysis_json", F.lit("other")), str(tmp_path / "h"))
+    later = made.withColumn("created_at", F.expr("created_at + INTERVAL 1 SECOND"))
+    hist.append(later.withColumn("analysis_json", F.lit("other")), str(tmp_path / "h"))
     found = hist.history(spark, str(tmp_path / "h"))
-    assert found.count() == 4 and found.select("analysis_json").distinct().count() == 1
+    assert [r.analysis_json for r in found.collect()] == ["other"] * 4
     newest = hist.latest_per_user(found, 10).select("user_id", "trace_id", "place")
     shown = io.StringIO()
     with contextlib.redirect_stdout(shown):
