@@ -64,6 +64,35 @@ def test_small_cache(reference):
         assert np.frombuffer(codec.encode(text), np.int32).tolist() == reference.encode_ordinary(text)
 
 
+def test_pre_tokens_share_a_queue(reference, monkeypatch):
+    codec = bpe.Codec.load(RANKS, public_tokenizers.PATTERN)
+    alone, one = [], codec.piece
+    monkeypatch.setattr(codec, "piece", lambda data: alone.append(data) or one(data))
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("aabcd's \n\u00e9.") for _ in range(rnd.randrange(80))) for _ in range(5000)]
+    texts += ["", "a" * 64, "ab" * 32 + " " + "\u00e9" * 33, "", "x" * 5000]
+    for limit in (1000, 100_000):
+        codec.pieces.limit = limit
+        codec._forget()
+        ids, sizes = codec.encode_all(texts)
+        want = [reference.encode_ordinary(text) for text in texts]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for one in want for x in one]
+    assert min(map(len, alone)) > bpe.SHORT  # only long ones have a queue of their own
+
+
+def test_decoding_takes_steps():
+    import tracemalloc
+
+    codec = bpe.Codec.load(RANKS, public_tokenizers.PATTERN)
+    ids = np.frombuffer(codec.encode("some words of a text " * 200_000), np.int32)
+    tracemalloc.start()
+    data, sizes = codec.decode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert data.tobytes() == b"some words of a text " * 200_000 and sizes.sum() == len(data)
+    assert peak < 15 * len(data)
+
+
 def test_encode_and_decode(spark, reference):
     df = frame(spark, EDGES)
     coded = bpe.encode(df, RANKS, public_tokenizers.PATTERN, keep_text=True)
