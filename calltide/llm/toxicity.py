@@ -24,8 +24,9 @@ import hashlib
 import math
 import pickle
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -164,12 +165,13 @@ class BlockMaxIndex:
         of, terms, weights = of[rows < 0], terms[rows < 0], weights[rows < 0]
         first, sizes = self.cells[terms], self.cells[terms + 1] - self.cells[terms]
         cells, factors, of = _ranges(first, sizes), np.repeat(weights, sizes), np.repeat(of, sizes)
-        block = self.block[cells]
-        bound = np.bincount(of * self.blocks + block, factors * self.most[cells], n * self.blocks)
+        met = of * self.blocks + self.block[cells]
+        bound = np.bincount(met, factors * self.most[cells], n * self.blocks)
         bound = bound.reshape(n, self.blocks) + common @ self.dense_most
         order = np.argsort(-bound, axis=1, kind="stable")
         scores = np.full((n, self.places), -np.inf)
         worst, seen = np.full(n, -1.0), np.zeros(n, np.int64)
+        top, inside = np.full((n, k), -np.inf), np.arange(BLOCK)
         skipped = np.flatnonzero(skip >= 0)
         at, width = 0, FIRST
         while at < self.blocks:
@@ -181,11 +183,13 @@ class BlockMaxIndex:
             visit = np.zeros((n, self.blocks), bool)
             visit[text, near[text, column]] = True
             seen += visit.sum(1)
-            self._compare(scores, visit, common, of, cells, factors, block)
+            self._compare(scores, visit, common, of, cells, factors, met)
             scores[skipped, self.place[skip[skipped]]] = -np.inf
-            if k <= self.places:
-                kth = np.partition(scores, self.places - k, axis=1)[:, self.places - k]
-                worst = np.maximum(kth, -1.0)
+            # The k best of those so far and of the blocks just visited.
+            wide = (near[:, :, None] * BLOCK + inside).reshape(n, -1)
+            top = np.concatenate([top, np.take_along_axis(scores, wide, 1)], axis=1)
+            top = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k :]
+            worst = np.maximum(top[:, 0], -1.0)
             at, width = at + width, width * 2
         if visits is not None:
             visits += seen.tolist()
@@ -197,9 +201,9 @@ class BlockMaxIndex:
             out.append((found[best], row[places][best]))
         return out
 
-    def _compare(self, scores, visit, common, of, cells, factors, block) -> None:
+    def _compare(self, scores, visit, common, of, cells, factors, met) -> None:
         """Fills in the scores of the texts and blocks of ``visit``."""
-        near = visit[of, block]
+        near = np.flatnonzero(visit.ravel()[met])
         cells, of = cells[near], of[near]
         sizes = self.start[cells + 1] - self.start[cells]
         at = _ranges(self.start[cells], sizes)
@@ -221,6 +225,21 @@ def _counts(text: str, number: dict[str, int]) -> dict[int, int]:
     return {number[w]: n for w, n in Counter(words_of(text)).items() if w in number}
 
 
+def _counts_of_all(texts: list[str], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms that each text holds, rising, how often it does, and how many they are.
+
+    Words that texts share are looked up once.
+    """
+    met = defaultdict(count().__next__)  # words by first use
+    rows = [np.fromiter(map(met.__getitem__, words_of(text)), np.int32) for text in texts]
+    term = np.fromiter(map(number.get, met, repeat(-1)), np.int64, len(met))
+    term = term[np.concatenate([np.empty(0, np.int32), *rows])]
+    of = np.repeat(np.arange(len(texts)), np.array([len(row) for row in rows], np.int64))
+    base = len(number) + 1
+    cell, times = np.unique((of * base + term)[term >= 0], return_counts=True)
+    return cell % base, times, np.bincount(cell // base, minlength=len(texts))
+
+
 class Model:
     """Terms, inverse document frequencies, examples and the calibration."""
 
@@ -254,6 +273,16 @@ class Model:
         terms, weights = terms[weights > 0], weights[weights > 0]
         return terms, weights / np.sqrt(weights @ weights)
 
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``vector`` of the counts of each text."""
+        terms, times, sizes = _counts_of_all(texts, self.number)
+        weights = (1 + np.log(times.astype(float))) * self.factor[terms]
+        kept = weights > 0
+        ends = np.append(0, np.cumsum(kept))[np.cumsum(np.append(0, sizes))].tolist()
+        terms, weights = terms[kept], weights[kept]
+        parts = [(terms[a:b], weights[a:b]) for a, b in zip(ends, ends[1:])]
+        return [(t, w / np.sqrt(w @ w)) if len(t) else (t, w) for t, w in parts]
+
     def counts(self, text: str) -> dict[int, int]:
         return _counts(text, self.number)
 
@@ -261,9 +290,9 @@ class Model:
         near = 1 / (0.05 + np.maximum(0, 1 - cosines))
         return float(near @ self.labels[found] / near.sum()) if len(found) else 0.0
 
-    def score(self, texts: list[dict[int, int]]) -> list[tuple[float, list[int], list[str]]]:
+    def score(self, texts: list[str]) -> list[tuple[float, list[int], list[str]]]:
         """Of each text the probability, the nearest examples' ids and the terms that weigh most."""
-        vectors = [self.vector(counts) for counts in texts]
+        vectors = self.vectors(texts)
         out: list = [(self.without, [], [])] * len(vectors)
         some = [k for k, (terms, _) in enumerate(vectors) if self.curve is not None and len(terms)]
         for k, (found, cosines) in zip(some, self.index.search([vectors[k] for k in some], NEAREST)):
@@ -345,13 +374,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        found, count, known = Counter(), 0, number.keys()
+        found, rows = np.zeros(len(number), np.int64), 0
         for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
-            for text in texts_of(batch, "text"):
-                found.update(known & set(words_of(text)))
-            count += batch.num_rows
+            held = Counter(chain.from_iterable(set(words_of(text)) for text in texts_of(batch, "text")))
+            known = [word for word in held if word in number]
+            found[np.array([number[word] for word in known], np.int64)] += np.array([held[word] for word in known], np.int64)
+            rows += batch.num_rows
+        some = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict(
-            {"term": pa.array([*(number[w] for w in found), -1], pa.int32()), "n": [*found.values(), count]}
+            {"term": pa.array([*some.tolist(), -1], pa.int32()), "n": [*found[some].tolist(), rows]}
         )
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +426,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
             new = {key: one for key, one in zip(keys, texts) if key not in seen}
             if len(seen) + len(new) > CACHE:
                 seen, new = {}, dict(zip(keys, texts))
-            seen.update(zip(new, own.score([own.counts(one) for one in new.values()])))
+            seen.update(zip(new, own.score(list(new.values()))))
             rows = [seen[key] for key in keys]
             names = [f.name for f in kept]
             added = [

@@ -235,6 +235,26 @@ def test_block_max_index_is_exact():
         assert np.allclose(scores[found], got)
 
 
+def test_words_that_texts_share_are_looked_up_once():
+    class Terms(dict):
+        asked = 0
+
+        def get(self, *x):
+            Terms.asked += 1
+            return super().get(*x)
+
+    number = Terms({"one": 2, "two": 0, "\u00e9t\u00e9": 1})
+    texts = ["One two, two; three", "", "\u00c9t\u00e9 one_two 4", "nothing", *["two one"] * 50]
+    terms, times, sizes = toxicity._counts_of_all(texts, number)
+    ends = np.cumsum(sizes)
+    got = [dict(zip(terms[a:b].tolist(), times[a:b].tolist())) for a, b in zip(ends - sizes, ends)]
+    assert got == [toxicity._counts(text, number) for text in texts] and Terms.asked == 5
+    assert all((np.diff(terms[a:b]) > 0).all() for a, b in zip(ends - sizes, ends))
+    assert [len(x) for x in toxicity._counts_of_all([], number)] == [0, 0, 0]
+    assert [len(x) for x in toxicity._counts_of_all(["a b"], {})] == [0, 0, 1]
+
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifier_edges(spark, module):
     label = "quality" if module is quality else "toxic"
