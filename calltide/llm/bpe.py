@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +43,16 @@ SHARED, SHORT = 64_000, 64
 _GROUP, _STEP, _CHUNK = 2048, 1 << 20, 4 << 20
 
 
-class Numbers(dict):
+class Numbers(defaultdict):
     """Numbers of keys by their first use; ``limit`` is heeded by the user of it."""
 
     def __init__(self, limit: int):
-        super().__init__()
+        super().__init__(count().__next__)
         self.limit = limit
 
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        return number
+    def clear(self) -> None:
+        super().clear()
+        self.default_factory = count().__next__
 
 
 class Rows:
@@ -364,7 +365,7 @@ class Codec:
             words = words_of(text)
             words[0] = f" {words[0]}"
             rows.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
-        new = list(islice(self.words, met, None))
+        new = list(islice(reversed(self.words), len(self.words) - met))[::-1]
         self.letters += sum(map(len, new))
         self._learn(new)
         ids, sizes = self.rows.of(np.concatenate([np.empty(0, np.int32), *rows]))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltide.llm.bpe import words_of
+from calltide.llm.bpe import Numbers, Rows, words_of
 from calltide.llm.common import chunks, texts_of
 
 MAGIC = b"PFOR0001"
@@ -35,7 +36,7 @@ FILE_TOKENS = 4 << 20
 # Words that a worker keeps, about 180 bytes each; beyond that it begins anew.
 CACHE_WORDS = 1_600_000
 # Words encoded together, and how the vocabulary writes a space.
-_GROUP, _SPACE = 64, "\u0120"
+_GROUP, _SPACE = 128, "\u0120"
 _HEAD = struct.Struct("<IBH")  # minimum, width, number of exceptions
 _FILE = struct.Struct("<8sQQQ")  # magic, values, blocks, documents
 _BITS = 1 << np.arange(32, dtype=np.uint64)
@@ -176,32 +177,29 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.heads: dict[str, int] = {}  # rows of words at the start of a text
-        self.words: dict[str, int] = {}  # rows of words after a space
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)  # row k holds ids[ends[k] : ends[k + 1]]
-        self.rows = 0
+        self.words = Numbers(CACHE_WORDS)  # words that begin a text with a space before them, others without
+        self.rows = Rows(np.uint32)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32) for x in coded]
 
-    def _learn(self, into: dict[str, int], names: list[str], parts: list[np.ndarray], sizes: np.ndarray) -> None:
-        """New rows, named in order, of the ids in ``parts``."""
-        used, new = int(self.ends[self.rows]), int(sizes.sum())
-        if used + new > len(self.ids):
-            self.ids = np.concatenate([self.ids[:used], np.zeros(used + 2 * new, np.uint32)])
-        if self.rows + len(names) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends[: self.rows + 1], np.zeros(self.rows + 2 * len(names), np.int64)])
-        if new:
-            self.ids[used : used + new] = np.concatenate(parts)
-        self.ends[self.rows + 1 : self.rows + len(names) + 1] = used + np.cumsum(sizes)
-        into.update(zip(names, range(self.rows, self.rows + len(names))))
-        self.rows += len(names)
-
-    def _learn_each(self, into: dict[str, int], names: list[str], before: str) -> None:
-        parts = self._ids([before + name for name in names])
-        self._learn(into, names, parts, np.array([len(x) for x in parts], np.int64))
+    def _learn(self, words: list[str]) -> None:
+        """Adds the rows of new words: many at once if they are plain, without blanks
+        inside or at their ends."""
+        plain = np.array([w != "" and " " not in w and w == w.strip() for w in words], bool)
+        many = [words[k] for k in np.flatnonzero(plain).tolist()]
+        each = [words[k] for k in np.flatnonzero(~plain).tolist()]
+        groups = [many[k : k + _GROUP] for k in range(0, len(many), _GROUP)]
+        parts = self._ids([" " + " ".join(group) for group in groups])
+        ids = np.concatenate([np.empty(0, np.uint32), *parts])
+        known = Rows(np.uint32)
+        known.add(ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+        parts = self._ids([w[1:] if w[:1] == " " else f" {w}" for w in each]) if each else []
+        known.add(np.concatenate([np.empty(0, np.uint32), *parts]), np.array([len(x) for x in parts], np.int64))
+        place = np.empty(len(words), np.int64)
+        place[plain], place[~plain] = np.arange(len(many)), len(many) + np.arange(len(each))
+        self.rows.add(*known.of(place))
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers, ``end`` after each."""
@@ -212,35 +210,19 @@ class Encoder:
         return self._by_words(texts, end)
 
     def _by_words(self, texts: list[str], end: bytes) -> list[bytes]:
-        if len(self.words) + len(self.heads) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
             self._forget()
-        cut = [words_of(text) for text in texts]
-        self._learn_each(self.heads, list({words[0] for words in cut} - self.heads.keys()), "")
-        wanted: set[str] = set()
-        for words in cut:
-            wanted.update(words[1:])
-        missing = [word for word in wanted if word not in self.words]
-        plain = [w for w in missing if w and " " not in w and not w[0].isspace() and not w[-1].isspace()]
-        self._learn_each(self.words, list(set(missing).difference(plain)), " ")
-        groups = [plain[k : k + _GROUP] for k in range(0, len(plain), _GROUP)]
-        if groups:
-            ids = np.concatenate(self._ids([" " + " ".join(group) for group in groups]))
-            starts = np.flatnonzero(self.opens[ids])
-            self._learn(self.words, plain, [ids], np.diff(np.append(starts, len(ids))))
-        rows, sizes = [], []
-        for words in cut:
-            rows.append(self.heads[words[0]])
-            rows.extend(map(self.words.__getitem__, words[1:]))
-            sizes.append(len(words))
-        if not rows:
-            return []
-        row = np.array(rows, np.int64)
-        start, count = self.ends[row], self.ends[row + 1] - self.ends[row]
-        upto = np.cumsum(count)
-        place = np.repeat(start - (upto - count), count) + np.arange(int(upto[-1]))
-        data = self.ids[place].astype("<u4").tobytes()
-        cuts = [0, *(4 * upto[np.cumsum(sizes) - 1]).tolist()]
-        return [data[a:b] + end for a, b in zip(cuts, cuts[1:])]
+        met, rows = len(self.words), []
+        for text in texts:
+            words = words_of(text)
+            words[0] = f" {words[0]}"
+            rows.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
+        new = list(islice(reversed(self.words), len(self.words) - met))
+        self._learn(new[::-1])
+        ids, sizes = self.rows.of(np.concatenate([np.empty(0, np.int32), *rows]))
+        data = ids.astype("<u4").tobytes()
+        cuts = 4 * np.cumsum(np.append(0, sizes))[np.cumsum([0, *map(len, rows)])]
+        return [data[a:b] + end for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -155,6 +155,20 @@ def test_words_are_remembered(monkeypatch):
     assert encoder.encode([], b"") == []
 
 
+def test_new_words_go_to_the_library_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, ids = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.append(texts) or ids(texts))
+    texts = ["one two  three", "two one\tfour ", " one", "two", "", "three one two"]
+    for _ in range(2):
+        got = encoder.encode(texts, b"")
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len([x for x in asked if x]) == 2 and len(encoder.words) == encoder.rows.count
+
+
 def _token_rows(texts, keys):
     from tokenizers import Tokenizer
 
