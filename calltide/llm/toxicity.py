@@ -26,10 +26,12 @@ import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +79,9 @@ def _side_by_side(points: np.ndarray) -> np.ndarray:
         if len(some) <= BLOCK or not points.shape[1]:
             done.append(some)
             continue
-        around = points[some] - points[some].mean(0)
-        way = around[np.argmax((around**2).sum(1))]
+        around = points[some]
+        around -= around.mean(0)
+        way = around[np.argmax(np.einsum("ij,ij->i", around, around))]
         for _ in range(8):
             way = around.T @ (around @ way)
             way = way / max(np.linalg.norm(way), 1e-300)
@@ -240,20 +243,32 @@ def _counts_of_all(texts: list[str], number: dict[str, int]) -> tuple[np.ndarray
     return cell % base, times, np.bincount(cell // base, minlength=len(texts))
 
 
+def _split(words: str) -> list[str]:
+    """The terms of ``words``, which holds one a line."""
+    return words.split("\n") if words else []
+
+
+def _numbered(words: str) -> dict[str, int]:
+    return {term: k for k, term in enumerate(_split(words))}
+
+
 class Model:
-    """Terms, inverse document frequencies, examples and the calibration."""
+    """Terms, inverse document frequencies, examples and the calibration.
+
+    ``words`` holds one term a line and ``examples`` is an Arrow table (doc_id, label,
+    terms, counts): the driver keeps no Python object for each term and count.
+    """
 
     def __init__(
-        self, terms: list[str], weigh: np.ndarray, found: np.ndarray, documents: int, examples: list, share: float
+        self, words: str, weigh: np.ndarray, found: np.ndarray, documents: int, examples: pa.Table, share: float
     ):
-        self.number = {term: k for k, term in enumerate(terms)}
-        self.terms = terms
+        self.words = words
         self.factor = weigh * (1 + np.log((1 + documents) / (1 + found)))
-        examples = sorted(examples, key=lambda x: x[0])
-        self.ids = np.array([x[0] for x in examples], np.int64)
-        self.labels = np.array([x[1] for x in examples], float)
-        vectors = [self.vector(dict(zip(x[2], x[3]))) for x in examples]
-        self.index = BlockMaxIndex(vectors, len(terms))
+        examples = examples.take(np.argsort(examples.column("doc_id").to_numpy(), kind="stable"))
+        self.ids = examples.column("doc_id").to_numpy().astype(np.int64)
+        self.labels = examples.column("label").to_numpy().astype(float)
+        vectors = self._of_examples(examples)
+        self.index = BlockMaxIndex(vectors, len(weigh))
         self.share, self.curve, self.without = share, None, share
         classes = self.labels.sum(), len(self.labels) - self.labels.sum()
         if min(classes) < 1:
@@ -267,24 +282,32 @@ class Model:
         votes = [self.vote(*x) for x in self.index.search([vectors[k] for k in some], NEAREST, some.tolist())]
         self.curve = _logistic(np.array(votes), self.labels[some], weigh[some])
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.factor[terms]
-        terms, weights = terms[weights > 0], weights[weights > 0]
-        return terms, weights / np.sqrt(weights @ weights)
+    @cached_property
+    def terms(self) -> list[str]:
+        return _split(self.words)
 
-    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``vector`` of the counts of each text."""
-        terms, times, sizes = _counts_of_all(texts, self.number)
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {term: k for k, term in enumerate(self.terms)}
+
+    def _of_examples(self, examples: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        sizes = pc.list_value_length(examples.column("terms")).to_numpy()
+        terms, times = (pc.list_flatten(examples.column(x)).to_numpy() for x in ("terms", "counts"))
+        order = np.lexsort((terms, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)))
+        return self._unit(terms[order], times[order], sizes)
+
+    def _unit(self, terms: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Unit vectors of texts that hold the next ``sizes`` of ``terms`` so many ``times``."""
         weights = (1 + np.log(times.astype(float))) * self.factor[terms]
         kept = weights > 0
         ends = np.append(0, np.cumsum(kept))[np.cumsum(np.append(0, sizes))].tolist()
-        terms, weights = terms[kept], weights[kept]
+        terms, weights = terms[kept].astype(np.int64), weights[kept]
         parts = [(terms[a:b], weights[a:b]) for a, b in zip(ends, ends[1:])]
         return [(t, w / np.sqrt(w @ w)) if len(t) else (t, w) for t, w in parts]
 
-    def counts(self, text: str) -> dict[int, int]:
-        return _counts(text, self.number)
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The unit vector of each text."""
+        return self._unit(*_counts_of_all(texts, self.number))
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         near = 1 / (0.05 + np.maximum(0, 1 - cosines))
@@ -336,8 +359,8 @@ def _likelihood_ratio(a: np.ndarray, b: np.ndarray, toxic: int, total: int) -> n
     return np.where(value > 1e-7, value, 0.0)
 
 
-def _terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
-    """All words of the sample and what each tells of the label."""
+def _terms(sample: DataFrame) -> tuple[str, np.ndarray]:
+    """All words of the sample, sorted and one a line, and what each tells of the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -355,12 +378,14 @@ def _terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
 
     n = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
     if len(n) < 2:
-        return [], np.empty(0)
+        return "", np.empty(0)
     a, b = F.sum("label"), F.count(F.lit(1))
     counted = sample.mapInArrow(run, "term string, label int").groupBy("term").agg(a.alias("a"), b.alias("b"))
-    rows = sorted(tuple(row) for row in counted.collect())
-    sides = np.array([row[1:] for row in rows], np.int64).reshape(-1, 2)
-    return [row[0] for row in rows], _likelihood_ratio(sides[:, 0], sides[:, 1], n[1], sum(n.values()))
+    rows = counted.toArrow().sort_by("term")
+    of = rows.column("term").combine_chunks()
+    words = pc.binary_join(pa.ListArray.from_arrays([0, len(of)], of), "\n")[0].as_py()
+    a, b = (rows.column(x).to_numpy() for x in ("a", "b"))
+    return words, _likelihood_ratio(a, b, n[1], sum(n.values()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
@@ -369,12 +394,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     sample = materialise(labelled_sample(docs, labels, label, rows).repartition(8, "doc_id"), "toxicity-sample")
     known = labels.where((crc_mod3() != 1) & F.col(label).isNotNull())
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
-    terms, weigh = _terms(sample)
-    number = {term: k for k, term in enumerate(terms)}
+    words, weigh = _terms(sample)
+    size = len(weigh)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        found, rows = np.zeros(len(number), np.int64), 0
+        number, found, rows = _numbered(words), np.zeros(size, np.int64), 0
         for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
             held = Counter(chain.from_iterable(set(words_of(text)) for text in texts_of(batch, "text")))
             known = [word for word in held if word in number]
@@ -387,6 +412,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        number = _numbered(words)
         for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
             counts = [_counts(t, number) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_pydict(
@@ -398,15 +424,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 }
             )
 
-    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect()
-    found, documents = np.zeros(len(terms), np.int64), 0
-    for term, n in counted:
-        if term < 0:
-            documents = n
-        else:
-            found[term] = n
+    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    found, documents = np.zeros(size, np.int64), int(n[term < 0].sum())
+    found[term[term >= 0]] = n[term >= 0]
     examples = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>")
-    return Model(terms, weigh, found, documents, [tuple(row) for row in examples.collect()], share)
+    return Model(words, weigh, found, documents, examples.toArrow(), share)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -288,6 +288,19 @@ def test_toxicity_uses_every_word(spark):
         assert (got[k].score > 0.5) == (k % 2 == 0)
 
 
+def test_toxicity_model_holds_arrays_only(spark):
+    """The driver has no Python object for each word of the examples; workers make them."""
+    docs = spark.createDataFrame([(k, f"w\u00f6rd {'ab'[k % 2] * (k + 1)} x_y") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    parts = {**vars(model), **vars(model.index)}
+    assert not [name for name, part in parts.items() if isinstance(part, (dict, list)) and len(part) > model.index.blocks]
+    learned = [k for k in range(40) if brute.crc_mod3(k) != 1]
+    want = sorted({"w\u00f6rd", "x", "y", *("ab"[k % 2] * (k + 1) for k in learned)})
+    assert model.terms == want and model.number == {word: k for k, word in enumerate(want)}
+    assert model.ids.tolist() == learned and len(model.factor) == len(want)
+
+
 def test_toxic_recall(spark, larger):
     rows = {r.doc_id: r.predicted for r in QUERIES["op10_toxicity"](spark, larger).collect()}
     labels = [tuple(r) for r in spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "toxic").collect()]
