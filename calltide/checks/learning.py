@@ -227,9 +227,15 @@ def _call_model(application: str, spark, folder) -> CallModel:
     return CallModel.fit(labelled(spark, folder))
 
 
+@lru_cache(maxsize=1)
+def _process_stats(application: str, spark, folder):
+    """Statistics of the processes, written once for the model and the checks that look at them."""
+    return materialise(proc.with_ratios(proc.process_stats(labelled(spark, folder))), "stats")
+
+
 @lru_cache(maxsize=1)
 def _process_model(application: str, spark, folder) -> ProcessModel:
-    return ProcessModel.fit(proc.with_ratios(proc.process_stats(labelled(spark, folder))))
+    return ProcessModel.fit(_process_stats(application, spark, folder))
 
 
 @check("call_model_scores")
@@ -282,8 +288,8 @@ def anomalies_by_score(spark, folder):
 )
 def process_targets_met(spark, folder):
     """Recommended shares of the trained model lie near the rule's: R squared over 0.62 and 0.51."""
-    stats = proc.with_ratios(proc.process_stats(labelled(spark, folder)))
-    model = _process_model(spark.sparkContext.applicationId, spark, folder)
+    application = spark.sparkContext.applicationId
+    stats, model = _process_stats(application, spark, folder), _process_model(application, spark, folder)
     rows = model.transform(proc.with_targets(stats))
     fit = lambda guess, truth: 1 - F.try_divide(
         F.sum((F.col(truth) - F.col(guess)) ** 2), F.var_pop(truth) * F.count(F.lit(1))

@@ -271,9 +271,11 @@ class ProcessModel:
 
         The split and the noise are hashes of ``key``, by default (trace_id, pid) as far as
         the statistics have them.
+        The statistics are written once: calls are not labelled
+        again for the encoding, nor for the training rows.
         """
         keys = key or process_keys(stats)
-        rows = process_features(with_targets(stats, noise_seed, *keys))
+        rows = materialise(process_features(with_targets(stats, noise_seed, *keys)), "processes")
         inputs = Pipeline(
             stages=[
                 encoder(("process_type",)),

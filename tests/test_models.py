@@ -127,3 +127,22 @@ def test_models_are_the_same_after_loading(spark, small, tmp_path):
     names = ["trace_id", "pid", "predicted_throughput", "recommended_cpu", "recommended_memory"]
     assert advisor.transform(stats).select(*names).exceptAll(again.transform(stats).select(*names)).count() == 0
     assert advisor.metrics["resource_optimizer"]["cpu_r2"] > 0.3
+
+
+def test_process_model_reads_its_statistics_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        met.add(1)
+        return x
+
+    calls = spark.range(600).select(
+        (F.col("id") % 60).alias("pid"), F.lit("t").alias("trace_id"), F.col("id").alias("syscall_id"),
+        (F.col("id") % 7 + 1.0).alias("latency_us"), (F.col("id") % 50 + 10.0).alias("cpu_usage"), F.lit(20.0).alias("memory_usage"),
+        F.lit(1).alias("context_switches"), (F.col("id") % 3 == 0).alias("is_high_latency"), (F.col("id") % 4 == 0).alias("is_redundant"),
+        F.lit(1).alias("risk_level"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("process_type"),
+    )
+    stats = proc.with_ratios(proc.process_stats(calls)).withColumn("process_type", counted("process_type"))
+    ProcessModel.fit(stats, iterations=1)
+    assert met.value == 60
