@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
@@ -35,6 +36,8 @@ def release() -> None:
         _HELD.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        # What small objects leave free goes back to the system, where the C library can.
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
 
 # Output batches are cut at about this size, so that long texts never pile up.

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltide.llm.common import chunks, crc_mod3, held, labelled_sample, release, texts_of
+from calltide.llm.common import chunks, crc_mod3, labelled_sample, release, texts_of
 from calltide.session import materialise
 
 SAMPLE_ROWS = 4000
@@ -435,14 +434,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``df`` with ``score``, ``nearest`` (ids of the nearest examples) and ``terms``
     (the text's weightiest terms); the text goes unless kept."""
-    data = pickle.dumps(model)
-    name = hashlib.blake2b(data).hexdigest()
-    shared = df.sparkSession.sparkContext.broadcast(data)
+    shared = df.sparkSession.sparkContext.broadcast(model)
     gone = {"score", "nearest", "terms"} | (set() if keep_text else {text})
     kept = [f for f in df.schema.fields if f.name not in gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = held(("toxicity", name), lambda: pickle.loads(shared.value)), {}
+        release()
+        own, seen = shared.value, {}
         for batch in (part for whole in batches for part in chunks(whole, text, STEP)):
             texts = texts_of(batch, text)
             keys = [hashlib.blake2b(one.encode(), digest_size=16).digest() for one in texts]

@@ -301,6 +301,16 @@ def test_toxicity_model_holds_arrays_only(spark):
     assert model.ids.tolist() == learned and len(model.factor) == len(want)
 
 
+def test_toxicity_model_travels_once(spark, monkeypatch):
+    """Workers get the model itself, not bytes that they would keep beside it."""
+    docs = spark.createDataFrame([(k, f"text {'ab'[k % 2]}") for k in range(20)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int"))
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or broadcast(self, x))
+    assert toxicity.score(docs, model).count() == 20
+    assert len(sent) == 1 and sent[0] is model
+
+
 def test_toxic_recall(spark, larger):
     rows = {r.doc_id: r.predicted for r in QUERIES["op10_toxicity"](spark, larger).collect()}
     labels = [tuple(r) for r in spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "toxic").collect()]
