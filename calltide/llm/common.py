@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,31 @@ def release() -> None:
     if _HELD:
         _HELD.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        # What small objects leave free goes back to the system, where the C library can.
-        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that the worker does not use goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    # What small objects leave free goes too, where the C library can.
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, in a worker that keeps nothing before and no free memory after it.
+
+    Workers wait for their next task beside those at work, in the same memory.
+    """
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
 
 
 # Output batches are cut at about this size, so that long texts never pile up.
@@ -82,6 +105,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# Bits of a filter of fixed size that is broadcast, 64 to a row.
+_BITS = 1 << 22
+
+
+def among(docs: DataFrame, key: str, rows: DataFrame, wanted: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` may be the first column of ``rows`` or, for the others, is not.
+
+    Keys meet as bits of a bitmap that is joined by broadcast: ``docs`` is not moved, nor
+    do its texts go through Python.
+    """
+    bit = lambda column: F.pmod(F.xxhash64(column), F.lit(_BITS))
+    at = rows.select(bit(rows.columns[0]).alias("_bit")).distinct()
+    held = F.expr("bit_or(shiftleft(1L, cast(_bit % 64 AS int)))").alias("_bits")
+    words = materialise(at.groupBy(F.expr("_bit div 64").alias("_word")).agg(held), "bitmap")
+    same = F.col(key).cast(rows.dtypes[0][1])  # equal numbers of other types have other hashes
+    marked = docs.withColumn("_bit", bit(same)).withColumn("_word", F.expr("_bit div 64"))
+    marked = marked.join(F.broadcast(words), "_word", "left")
+    is_set = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_bit % 64 AS int)) & 1L = 1"), F.lit(False))
+    return marked.where(is_set if wanted else ~is_set).drop("_bit", "_bits", "_word")
+
+
 def crc_mod3(column: str = "doc_id"):
     """Remainder by three of the crc32 of an id written as text; null has none."""
     return F.crc32(F.col(column).cast("string")) % 3

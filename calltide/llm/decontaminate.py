@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calltide.llm import common
-from calltide.llm.common import LOWER, chunks, packed, runs_of
+from calltide.llm.common import LOWER, chunks, lean, packed, runs_of
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -223,5 +223,5 @@ def matches(
                     names=[*(f.name for f in fields), *added],
                 )
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(lean(run), schema)
     return out

@@ -25,7 +25,7 @@ own; a null id counts for no component id but gets one; tables may be empty.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm import common
-from calltide.llm.common import LOWER, chunks, components, mix, packed
+from calltide.llm.common import LOWER, among, chunks, components, lean, mix, packed
 from calltide.session import materialise
 
 WORDS = 4
@@ -51,8 +51,6 @@ SKETCH = 1024  # bits
 # Before whole sets travel, pairs are held against bitmaps that grow with the sets.
 _FINE = 4  # bits for each shingle
 _PART_BYTES = 32 << 20
-# Room for needed ids: a bitmap of fixed size that is broadcast before a reread.
-_BITMAP = 1 << 22
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[0x20] = _IS_WORD[0x09:0x0E] = False
@@ -197,7 +195,7 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "kind int, doc_id long, n long, set_id long, sketch binary, again double"
+        lean(run), "kind int, doc_id long, n long, set_id long, sketch binary, again double"
     )
 
 
@@ -265,7 +263,7 @@ def _entries(docs: DataFrame, words: int, least, order: tuple, light: int, parts
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part long, key binary, name binary, size binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "part long, key binary, name binary, size binary")
 
 
 def _lists(entries: DataFrame) -> DataFrame:
@@ -305,75 +303,76 @@ def _lists(entries: DataFrame) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, survey: DataFrame, names: DataFrame, words: int) -> DataFrame:
-    """(name, tokens, n, bits) of the sets ``names``, made again from one text of each."""
-    first = survey.where("kind = 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialise(
-        names.distinct().join(first, F.col("name") == F.col("set_id")).select("name", "doc_id"), "wanted"
-    )
-    bits = np.zeros(_BITMAP, bool)
-    held = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(_BITMAP)).cast("int").alias("bit")).distinct().toArrow()
-    bits[held.column("bit").to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+def _named(survey: DataFrame) -> DataFrame:
+    """(name, n, sketch, doc_id) of every set, with the smallest id of its texts."""
+    rows = survey.where("kind = 0").groupBy(F.col("set_id").alias("name"))
+    return rows.agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+
+
+def _made(docs: DataFrame, wanted: DataFrame, words: int, value: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(name, doc_id, n, value) of the sets ``wanted`` (name, doc_id) and of few others,
+    made again from one text of each and written where they are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        for whole in batches:
-            whole = whole.filter(pa.array(bitmap[whole.column("_bit").to_numpy()]))
-            for batch in chunks(whole, "text", CHUNK):
-                sets = shingle_sets(*packed(batch, "text"), words)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "set_id": set_ids(sets),
-                        "doc_id": batch.column("doc_id").cast(pa.int64()),
-                        "tokens": pa.array([x.tobytes() for x in sets], pa.binary()),
-                        "n": pa.array([len(x) for x in sets], pa.int64()),
-                        "bits": pa.array([_fine_sketch(x).tobytes() for x in sets], pa.binary()),
-                    }
-                )
+        for batch in (part for whole in batches for part in chunks(whole, "text", CHUNK)):
+            sets = shingle_sets(*packed(batch, "text"), words)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "name": set_ids(sets),
+                    "doc_id": batch.column("doc_id").cast(pa.int64()),
+                    "n": pa.array([len(x) for x in sets], pa.int64()),
+                    "value": pa.array([value(x).tobytes() for x in sets], pa.binary()),
+                }
+            )
+
+    some = among(docs.select("doc_id", "text"), "doc_id", wanted.select("doc_id"))
+    made = materialise(some.mapInArrow(lean(run), "name long, doc_id long, n long, value binary"), "sets")
+    # Copies of a row are one; they are only looked for where ids repeat.
+    if made.groupBy("name", "doc_id").count().where("count > 1").limit(1).count():
+        made = made.groupBy("name", "doc_id").agg(F.first("n").alias("n"), F.first("value").alias("value"))
+    return made
 
-    bit = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(_BITMAP)).cast("int"), F.lit(0))
-    made = docs.select("doc_id", "text", bit.alias("_bit")).mapInArrow(
-        run, "set_id long, doc_id long, tokens binary, n long, bits binary"
-    )
-    # A text of the same id but another set is no answer; copies of a row are one.
-    made = made.join(wanted, (made.set_id == wanted.name) & made.doc_id.eqNullSafe(wanted.doc_id))
-    return made.groupBy("name").agg(*[F.first(x).alias(x) for x in ("tokens", "n", "bits")])
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with size ``n`` and ``value`` of the set on one ``side``; only sets on that side move."""
+    of = among(sets, "name", pairs.select(side))
+    of = of.select(F.col("name").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("n", "value")], F.col("doc_id").alias("_doc"))
+    # A text of the same id but another set is no answer.
+    joined = pairs.join(of, (pairs[side] == of[side]) & pairs[f"doc_{side}"].eqNullSafe(of["_doc"]))
+    return joined.drop(of[side], of["_doc"])
 
-def _checked(pairs: DataFrame, docs: DataFrame, survey: DataFrame, words: int, least) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link; only sets whose bitmaps allow it travel whole."""
+
+def _checked(pairs: DataFrame, docs: DataFrame, named: DataFrame, words: int, least) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link; only sets whose bitmaps allow it are made and travel whole."""
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = (batch.column(x).to_pylist() for x in ("ba", "bb", "na", "nb"))
-            yield batch.filter(pa.array([_may_link(*x, least) for x in zip(*of)], pa.bool_())).select(["a", "b"])
+            of = (batch.column(x).to_pylist() for x in ("value_a", "value_b", "n_a", "n_b"))
+            fine = pa.array([_may_link(*x, least) for x in zip(*of)], pa.bool_())
+            yield batch.filter(fine).select(["a", "b", "doc_a", "doc_b"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+            a, b = batch.column("value_a").to_pylist(), batch.column("value_b").to_pylist()
             fine = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(a, b)]
             yield batch.filter(pa.array(fine, pa.bool_())).select(["a", "b"])
 
-    left = materialise(pairs, "pairs")
-    names = left.select(F.col("a").alias("name")).unionByName(left.select(F.col("b").alias("name")))
-    sets = materialise(_sets(docs, survey, names, words), "sets")
+    left = pairs
     for side in ("a", "b"):
-        bits = sets.select(F.col("name").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"b{side}"))
-        left = left.join(bits, side)
-    left = left.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(may, "a long, b long")
-    with_a = left.join(sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a")
-    with_b = with_a.join(sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(link, "a long, b long")
-
-
-def _sketches(survey: DataFrame) -> DataFrame:
-    """(name, n, sketch) of every set."""
-    rows = survey.where("kind = 0").groupBy(F.col("set_id").alias("name"))
-    return rows.agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-
-
-def _likely(pairs: DataFrame, survey: DataFrame, least) -> DataFrame:
+        left = left.join(named.select(F.col("name").alias(side), F.col("doc_id").alias(f"doc_{side}")), side)
+    kept = ("a", "b", "doc_a", "doc_b")
+    left = materialise(left.select(*kept), "pairs")
+    for value, run, columns in ((_fine_sketch, may, kept), (np.asarray, link, ("a", "b"))):
+        sides = [left.select(F.col(x).alias("name"), F.col(f"doc_{x}").alias("doc_id")) for x in ("a", "b")]
+        sets = _made(docs, sides[0].unionByName(sides[1]).distinct(), words, value)
+        both = _with_sets(_with_sets(left, sets, "a"), sets, "b").select(*kept, "n_a", "n_b", "value_a", "value_b")
+        schema = ", ".join(f"{x} long" for x in columns)
+        # What is left is written, so that its size is known when the next sets are joined.
+        left = materialise(both.mapInArrow(lean(run), schema), "pairs")
+    return left
+
+
+def _likely(pairs: DataFrame, named: DataFrame, least) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,15 +381,14 @@ def _likely(pairs: DataFrame, survey: DataFrame, least) -> DataFrame:
             _, fine = _apart(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), least)
             yield batch.filter(pa.array(fine)).select(["a", "b"])
 
-    of = _sketches(survey)
     for side in ("a", "b"):
-        named = of.select(F.col("name").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-        pairs = pairs.join(named, side)
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+        of = named.select(F.col("name").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+        pairs = pairs.join(of, side)
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _open_pairs(
-    lists: DataFrame, of: DataFrame, survey: DataFrame, parts: int, least, nearest: bool = False
+    lists: DataFrame, of: DataFrame, named: DataFrame, parts: int, least, nearest: bool = False
 ) -> DataFrame:
     """Pairs of a list that are not connected yet and whose sizes and sketches allow a
     link: all, or with ``nearest`` for each set only the one of the nearest sketches."""
@@ -430,7 +428,7 @@ def _open_pairs(
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1], "apart": np.zeros(len(pairs[0]))})
 
-    some = labelled.join(mixed, "key").join(_sketches(survey).drop("n"), "name")
+    some = labelled.join(mixed, "key").join(named.select("name", "sketch"), "name")
     some = some.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(8 * parts)))
     pairs = some.groupBy("part").applyInArrow(run, "a long, b long, apart double")
     if nearest:
@@ -446,6 +444,7 @@ def join(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, li
     """
     spark = docs.sparkSession
     survey = materialise(_survey(docs, words), "survey")
+    named = materialise(_named(survey), "named")
     sizes = {r["n"]: r["c"] for r in survey.where("kind = 0 AND n > 0").groupBy("n").agg(F.count("*").alias("c")).collect()}
     if light is None:
         light = boundary(sizes, survey.agg(F.avg("again")).first()[0] or 0.0, least)
@@ -472,15 +471,15 @@ def join(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, li
     most = shared.groupBy("name").agg(F.max(F.struct("c", "other")).alias("best"))
     pairs = most.select(F.least("name", "best.other").alias("a"), F.greatest("name", "best.other").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    found = materialise(_checked(_likely(pairs, survey, least), docs, survey, words, least), "links")
+    found = _checked(_likely(pairs, named, least), docs, named, words, least)
 
-    near = _open_pairs(lists, components(found), survey, parts, least, nearest=True)
+    near = _open_pairs(lists, components(found), named, parts, least, nearest=True)
     near = materialise(near.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = found.unionByName(materialise(_checked(near, docs, survey, words, least), "links"))
+    found = found.unionByName(_checked(near, docs, named, words, least))
     pairs = pairs.unionByName(near)
 
-    rest = _open_pairs(lists, components(found), survey, parts, least).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_checked(rest, docs, survey, words, least), "links")
+    rest = _open_pairs(lists, components(found), named, parts, least).join(pairs, ["a", "b"], "left_anti")
+    more = _checked(rest, docs, named, words, least)
     of = components(found.unionByName(more))
 
     rows = survey.where("kind = 0").select("doc_id", "n", "set_id")

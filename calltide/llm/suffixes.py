@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltide.llm.common import Spans, chunks, mix, packed, runs_of
+from calltide.llm.common import Spans, among, chunks, lean, mix, packed, runs_of
 from calltide.operators.chunks import rank_rows
 from calltide.session import materialise
 
@@ -41,7 +41,6 @@ CHUNK = 2 << 20
 RUN_BYTES = 512 << 10
 HOT_FRAGMENTS = 4096
 _PART_BYTES, _SHARD_BYTES = 64 << 20, 2 << 20
-_BITMAP = 1 << 22
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -133,7 +132,7 @@ def _entries(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
                     )
 
     kinds = "anchor hash row start n r_row r_start r_n r_anchor".split()
-    return docs.select("_row", "text").mapInArrow(run, ", ".join(["part long", *(f"{x} binary" for x in kinds)]))
+    return docs.select("_row", "text").mapInArrow(lean(run), ", ".join(["part long", *(f"{x} binary" for x in kinds)]))
 
 
 def _sift(entries: DataFrame) -> DataFrame:
@@ -173,29 +172,6 @@ def _sift(entries: DataFrame) -> DataFrame:
     )
 
 
-def _bitmap(rows: DataFrame):
-    """Broadcast bitmap of fixed size: documents that may be among ``rows``."""
-    bits = np.zeros(_BITMAP, bool)
-    held = rows.select(F.pmod(F.xxhash64("row"), F.lit(_BITMAP)).cast("int").alias("bit")).distinct().toArrow()
-    bits[held.column("bit").to_numpy()] = True
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-
-
-def _among(docs: DataFrame, shared, wanted: bool = True) -> DataFrame:
-    """Documents whose bit is set, or, for the others, is not."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        for batch in batches:
-            some = batch.filter(pa.array(bitmap[batch.column("_bit").to_numpy()] == wanted))
-            if some.num_rows:
-                yield some
-
-    bit = F.pmod(F.xxhash64("_row"), F.lit(_BITMAP)).cast("int")
-    marked = docs.withColumn("_bit", bit)
-    return marked.mapInArrow(run, marked.schema).drop("_bit")
-
-
 # --- Suffix arrays, transforms and their merge ------------------------------
 
 
@@ -320,9 +296,9 @@ def _fragments(docs: DataFrame, open_: DataFrame, shards: int, length: int) -> D
                     [pa.array(x[a : a + 16384], f.type) for x, f in zip(out, schema)], schema=schema
                 )
 
-    found = _among(docs.select("_row", "text"), _bitmap(wanted))
+    found = among(docs.select("_row", "text"), "_row", wanted.select("row"))
     joined = found.join(wanted, F.col("_row") == F.col("row")).select("_row", "text", "cuts")
-    return joined.mapInArrow(run, "part long, row long, start long, text binary")
+    return joined.mapInArrow(lean(run), "part long, row long, start long, text binary")
 
 
 def _resolved(fragments: DataFrame, length: int) -> DataFrame:
@@ -374,19 +350,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     return docs, materialise(closed.unionByName(_resolved(fragments, length)), "repeats")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """``docs`` with ``kept`` (binary: the bytes that are left) and ``removed``, the
-    removed spans of bytes, in order and apart from each other."""
-    docs, found = repeats(docs.drop("kept", "removed", "_row", "_bit", "_cuts", "_cut_row"), length, gram)
-    shared = _bitmap(found)
+    removed spans of bytes, in order and apart from each other.
+
+    With ``as_text`` these columns become ``text`` as by :func:`texts_left`, in the same pass."""
+    docs, found = repeats(docs.drop("kept", "removed", "_row", "_bit", "_bits", "_word", "_cuts", "_cut_row"), length, gram)
     spans = found.groupBy(F.col("row").alias("_cut_row")).agg(F.collect_list(F.struct("start", "n")).alias("_cuts"))
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    whole = _among(docs, shared, False).withColumns({"kept": data, "removed": F.array().cast(kind)})
-    joined = _among(docs, shared).join(spans, F.col("_row") == F.col("_cut_row"), "left")
+    rows = found.select("row")
+    whole = among(docs, "_row", rows, False)
+    joined = among(docs, "_row", rows).join(spans, F.col("_row") == F.col("_cut_row"), "left")
     joined = joined.drop("_cut_row").withColumn("kept", data)
     fields = [f for f in joined.schema.fields if f.name not in ("_cuts", "kept")]
-    schema = T.StructType([*fields, T.StructField("kept", T.BinaryType()), T.StructField("removed", kind)])
+    if as_text:
+        fields = [f for f in fields if f.name != "text"]
+        whole = whole.withColumn("text", F.coalesce("text", F.lit("")))
+    else:
+        whole = whole.withColumns({"kept": data, "removed": F.array().cast(kind)})
+    added = {"text": T.StringType()} if as_text else {"kept": T.BinaryType(), "removed": kind}
+    schema = T.StructType([*fields, *(T.StructField(k, v) for k, v in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -405,12 +389,16 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
                 gone = np.cumsum(edge[:-1]) > 0
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
                 removed.append([{"start": a, "stop": b} for a, b in zip(*(x.tolist() for x in runs_of(gone)))])
+            new = [pa.array(_texts(kept))] if as_text else [pa.array(kept, pa.binary()), pa.array(removed, arrow)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in fields), pa.array(kept, pa.binary()), pa.array(removed, arrow)],
-                names=[*(f.name for f in fields), "kept", "removed"],
+                [*(batch.column(f.name) for f in fields), *new], names=[*(f.name for f in fields), *added]
             )
 
-    return whole.unionByName(joined.mapInArrow(run, schema)).drop("_row")
+    return whole.unionByName(joined.mapInArrow(lean(run), schema)).drop("_row")
+
+
+def _texts(kept: list[bytes]) -> list[str]:
+    return [x.decode("utf-8", "ignore") for x in kept]
 
 
 def texts_left(removed: DataFrame) -> DataFrame:
@@ -420,8 +408,8 @@ def texts_left(removed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in chunks(whole, "kept")):
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            texts = _texts(batch.column("kept").to_pylist())
             names = [f.name for f in fields]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(texts)], names=[*names, "text"])
 
-    return removed.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
+    return removed.mapInArrow(lean(run), T.StructType([*fields, T.StructField("text", T.StringType())]))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltide.llm.common import chunks, crc_mod3, labelled_sample, release, texts_of
+from calltide.llm.common import chunks, crc_mod3, labelled_sample, lean, texts_of
 from calltide.session import materialise
 
 SAMPLE_ROWS = 4000
@@ -362,7 +362,6 @@ def _terms(sample: DataFrame) -> tuple[str, np.ndarray]:
     """All words of the sample, sorted and one a line, and what each tells of the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
             labels = batch.column("label").to_pylist()
             words = [sorted(set(words_of(text))) for text in texts_of(batch, "text")]
@@ -379,7 +378,7 @@ def _terms(sample: DataFrame) -> tuple[str, np.ndarray]:
     if len(n) < 2:
         return "", np.empty(0)
     a, b = F.sum("label"), F.count(F.lit(1))
-    counted = sample.mapInArrow(run, "term string, label int").groupBy("term").agg(a.alias("a"), b.alias("b"))
+    counted = sample.mapInArrow(lean(run), "term string, label int").groupBy("term").agg(a.alias("a"), b.alias("b"))
     rows = counted.toArrow().sort_by("term")
     of = rows.column("term").combine_chunks()
     words = pc.binary_join(pa.ListArray.from_arrays([0, len(of)], of), "\n")[0].as_py()
@@ -397,7 +396,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     size = len(weigh)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         number, found, rows = _numbered(words), np.zeros(size, np.int64), 0
         for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
             held = Counter(chain.from_iterable(set(words_of(text)) for text in texts_of(batch, "text")))
@@ -410,7 +408,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         )
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         number = _numbered(words)
         for batch in (part for whole in batches for part in chunks(whole, "text", STEP)):
             counts = [_counts(t, number) for t in texts_of(batch, "text")]
@@ -423,11 +420,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 }
             )
 
-    counted = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select("text").mapInArrow(lean(frequencies), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
     found, documents = np.zeros(size, np.int64), int(n[term < 0].sum())
     found[term[term >= 0]] = n[term >= 0]
-    examples = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, counts array<int>")
+    examples = sample.mapInArrow(lean(vectors), "doc_id long, label int, terms array<int>, counts array<int>")
     return Model(words, weigh, found, documents, examples.toArrow(), share)
 
 
@@ -439,7 +436,6 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
     kept = [f for f in df.schema.fields if f.name not in gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         own, seen = shared.value, {}
         for batch in (part for whole in batches for part in chunks(whole, text, STEP)):
             texts = texts_of(batch, text)
@@ -464,4 +460,4 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
         T.StructField("nearest", T.ArrayType(T.LongType())),
         T.StructField("terms", T.ArrayType(T.StringType())),
     ]
-    return df.mapInArrow(run, T.StructType([*kept, *added]))
+    return df.mapInArrow(lean(run), T.StructType([*kept, *added]))

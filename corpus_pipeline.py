@@ -58,7 +58,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without strings of 100 bytes that start earlier."""
-    left = _named(suffixes.texts_left(suffixes.remove(_bare(docs))), docs)
+    left = _named(suffixes.remove(_bare(docs), as_text=True), docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

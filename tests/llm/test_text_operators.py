@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from calltide.llm import bpe, decontaminate, jaccard, suffixes, tokens
+from calltide.llm import bpe, common, decontaminate, jaccard, suffixes, tokens
 from calltide.llm.queries import QUERIES
 from calltide.session import materialise
 
@@ -310,6 +310,35 @@ def test_op9(spark, small, docs):
     assert {k: tuple(r)[1:] for k, r in rows.items()} == brute.classes(docs)
 
 
+def test_only_sets_that_may_link_travel_whole(spark, monkeypatch):
+    """Sets that reject each other by their bitmaps are not made whole."""
+    made, real = [], jaccard._made
+
+    def counted(docs, wanted, words, value):
+        made.append((value is jaccard._fine_sketch, wanted.count()))
+        return real(docs, wanted, words, value)
+
+    monkeypatch.setattr(jaccard, "_made", counted)
+    texts = [" ".join(f"v{k}" if j % 65 == 9 * k else f"w{j}" for j in range(1200)) for k in range(5)]  # about 0.77
+    texts += [" ".join(f"x{j}" for j in range(k, 600)) for k in (0, 3)]
+    docs = frame(spark, texts).select("doc_id", "text")
+    named = materialise(jaccard._named(jaccard._survey(docs, 4)))
+    name = {r.doc_id: r.name for r in named.collect()}
+    pairs = spark.createDataFrame([(name[0], name[k]) for k in range(1, 5)] + [(name[5], name[6])], "a long, b long")
+    assert [tuple(x) for x in jaccard._checked(pairs, docs, named, 4, (85, 100)).collect()] == [(name[5], name[6])]
+    assert made == [(True, 7), (False, 2)]
+
+
+def test_checked_pairs_of_repeated_ids(spark):
+    """Rows of the same id and text are one set, those of another text are none."""
+    rows = [(k % 3 if k % 4 else None, " ".join(f"w{j}" for j in range(k % 2, 40 + k % 2))) for k in range(24)]
+    docs = spark.createDataFrame([*rows, (0, "another text with the same id")], "doc_id long, text string")
+    named = jaccard._named(materialise(jaccard._survey(docs, 4)))
+    sets = [x["name"] for x in named.orderBy("name").where("n > 5").collect()]
+    pairs = spark.createDataFrame([tuple(sets)], "a long, b long")
+    assert [tuple(x) for x in jaccard._checked(pairs, docs, named, 4, (85, 100)).collect()] == [tuple(sets)]
+
+
 # --- Repeats
 
 
@@ -362,6 +391,50 @@ def test_remove_in_segments(spark, monkeypatch):
     assert windows == want  # every window has its anchor
 
 
+def _deepest(node) -> int:
+    """Python steps of one task, at most."""
+    below = [_deepest(node.children().apply(k)) for k in range(node.children().size())]
+    own = "Arrow" in node.nodeName()
+    return own + max(below, default=0) if "Exchange" not in node.nodeName() else 0
+
+
+def test_tasks_have_one_python_step(spark):
+    """Every further step of a task is a worker more, that waits beside the others later."""
+    texts = ["a" * 300, "b" * 150 + "é" * 200, None, "b" * 150 + "c" * 90, "short"]
+    docs = frame(spark, texts)
+    left = suffixes.remove(docs, as_text=True)
+    plan = left._jdf.queryExecution().sparkPlan()
+    assert _deepest(plan) == 1
+    want = by_id(suffixes.texts_left(suffixes.remove(docs)))
+    got = by_id(left)
+    assert {k: r.text for k, r in got.items()} == {k: r.text for k, r in want.items()}
+    assert set(got[0].asDict()) == set(want[0].asDict())
+
+
+def test_among(spark):
+    docs = spark.createDataFrame([(k if k < 500 else None, k) for k in range(501)], "k int, n int")
+    rows = spark.createDataFrame([(7,), (None,), (499,)], "row long")
+    some = {x.n for x in common.among(docs, "k", rows).collect()}
+    others = {x.n for x in common.among(docs, "k", rows, False).collect()}
+    assert some >= {7, 499, 500} and len(some) < 20 and some.isdisjoint(others) and len(some | others) == 501
+    assert common.among(docs, "k", rows.limit(0)).count() == 0
+
+
+def test_lean_tasks_keep_nothing(monkeypatch):
+    """A task lets go of what its worker kept, and gives free memory back when it ends."""
+    steps = []
+    monkeypatch.setattr(common, "give_back", lambda: steps.append("back"))
+    monkeypatch.setattr(common, "_HELD", {"other": 1})
+
+    @common.lean
+    def run(batches):
+        steps.append(dict(common._HELD))
+        yield from batches
+
+    assert list(run(iter([1, 2]))) == [1, 2]
+    assert steps == ["back", {}, "back"]
+
+
 def test_remove_odd_rows(spark):
     text = "".join(chr(97 + (k * k) % 26) for k in range(300)) + "end of the text, which is long enough " * 3
     odd = spark.createDataFrame([(None, text), (4, text), (4, text), (5, None)], "doc_id long, text string")
