@@ -49,7 +49,7 @@ CHUNK = 2 << 20
 OFTEN, ORDERED = 4, 1 << 16
 SKETCH = 1024  # bits
 # Before whole sets travel, pairs are held against bitmaps that grow with the sets.
-_FINE = 4  # bits for each shingle
+_FINE = 2  # bits for each shingle
 _PART_BYTES = 32 << 20
 
 _IS_WORD = np.ones(256, bool)
@@ -215,8 +215,14 @@ class _Order:
         return x[np.lexsort((x, often))[:count]]
 
 
-def _keys(x: np.ndarray, order: _Order, light: int, least: tuple[int, int]) -> np.ndarray:
-    """Keys under which a set is found: subsets for light sets, shingles for heavy."""
+# Set in the size of an entry under which every linked set is sure to be met: a subset, or one
+# of the first e + 1 shingles. The others only raise the number of lists in which sets meet.
+_MAIN = np.uint32(1 << 31)
+
+
+def _keys(x: np.ndarray, order: _Order, light: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a set is found: subsets for light sets, shingles for heavy; and
+    the size of the set for each, with ``_MAIN``."""
     n = len(x)
     e = missing(n, least)
     out = []
@@ -228,9 +234,13 @@ def _keys(x: np.ndarray, order: _Order, light: int, least: tuple[int, int]) -> n
             i, j = np.array(list(combinations(range(len(first)), SUBSET))).T
             low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
             out.append(mix(mix(low) * np.uint64(3) + high))
+    main = sum(map(len, out)) + e + 1
     if n > light:
         out.append(order.first(x, e + common_lists(n)))
-    return np.concatenate(out)
+    keys = np.concatenate(out)
+    size = np.full(len(keys), n, np.uint32)
+    size[:main] |= _MAIN
+    return keys, size
 
 
 def _entries(docs: DataFrame, words: int, least, order: tuple, light: int, parts: int) -> DataFrame:
@@ -243,11 +253,9 @@ def _entries(docs: DataFrame, words: int, least, order: tuple, light: int, parts
             sets = {int(k): x for x in [s for s in shingle_sets(*packed(batch, "text"), words) if len(s)] for k in set_ids([x])}
             if not sets:
                 continue
-            keys = [_keys(x, frequent, light, least) for x in sets.values()]
-            counts = [len(k) for k in keys]
-            key = np.concatenate(keys)
-            name = np.repeat(np.array(list(sets), np.int64), counts)
-            size = np.repeat(np.array([len(x) for x in sets.values()], np.uint32), counts)
+            keys, sizes = zip(*(_keys(x, frequent, light, least) for x in sets.values()))
+            key, size = np.concatenate(keys), np.concatenate(sizes)
+            name = np.repeat(np.array(list(sets), np.int64), [len(k) for k in keys])
             part = (mix(key) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[by], np.arange(parts + 1))
@@ -268,15 +276,17 @@ def _entries(docs: DataFrame, words: int, least, order: tuple, light: int, parts
 
 def _lists(entries: DataFrame) -> DataFrame:
     """The inverted lists with at least two sets: (key, place, name, n), in the order of
-    size and name, and ``before`` the set before it and the first of the list."""
+    size and name, ``before`` the set before it and the first of the list, and whether it is ``main``."""
 
     def run(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         key, name, size = read("key", np.uint64), read("name", np.int64), read("size", np.uint32)
+        main, size = size >= _MAIN, size & ~_MAIN
         by = np.lexsort((name, size, key))
-        key, name, size = key[by], name[by], size[by]
+        key, name, size, main = key[by], name[by], size[by], main[by]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        main = np.logical_or.reduceat(main, np.flatnonzero(fresh)) if len(main) else main
         key, name, size = key[fresh], name[fresh], size[fresh]
         start = np.ones(len(key), bool)
         start[1:] = key[1:] != key[:-1]
@@ -295,11 +305,12 @@ def _lists(entries: DataFrame) -> DataFrame:
             "before_n": previous_n.astype(np.int64),
             "first": first,
             "first_n": first_n.astype(np.int64),
+            "main": main,
         }
         return pa.table({k: v[keep] for k, v in fields.items()})
 
     return entries.groupBy("part").applyInArrow(
-        run, "key long, name long, n long, head boolean, before long, before_n long, first long, first_n long"
+        run, "key long, name long, n long, head boolean, before long, before_n long, first long, first_n long, main boolean"
     )
 
 
@@ -461,7 +472,8 @@ def join(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, li
     met = lists.groupBy("name").agg(F.max("n").alias("n"), F.count("*").alias("_met")).withColumn("_s", smaller)
     kept = met.where((F.col("n") <= light * least[1] // least[0]) | (F.col("_met") >= enough)).select("name")
     kept = materialise(kept, "kept")
-    lists = materialise(lists.join(kept, "name", "left_semi"), "lists")
+    # A few others may stay: they only meet sets in vain.
+    lists = materialise(among(lists, "name", kept), "lists")
     fits = lambda x: F.col(f"{x}_n") * least[1] >= F.col("n") * least[0]
     inner = lists.where("NOT head")
     one = inner.where(fits("before")).select("name", F.col("before").alias("other"))
@@ -473,6 +485,7 @@ def join(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, li
     pairs = materialise(pairs, "pairs")
     found = _checked(_likely(pairs, named, least), docs, named, words, least)
 
+    lists = lists.where("main").select("key", "name", "n")
     near = _open_pairs(lists, components(found), named, parts, least, nearest=True)
     near = materialise(near.join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = found.unionByName(_checked(near, docs, named, words, least))

@@ -329,6 +329,25 @@ def test_only_sets_that_may_link_travel_whole(spark, monkeypatch):
     assert made == [(True, 7), (False, 2)]
 
 
+def test_linked_sets_meet_in_a_main_entry():
+    """The entries of the later rounds are fewer, and no linked pair is lost."""
+    rng = np.random.default_rng(5)
+    order, least = jaccard._Order(np.empty(0, np.uint64), np.empty(0, np.int64)), (85, 100)
+    linked = 0
+    for n in rng.integers(1, 400, 300).tolist():
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        lost = int(rng.integers(0, n // 10 + 1))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[lost:]], rng.integers(0, 2**63, lost, dtype=np.uint64)]))
+        for light in (0, 40):
+            (ka, sa), (kb, sb) = (jaccard._keys(x, order, light, least) for x in (a, b))
+            main = [k[s >= jaccard._MAIN] for k, s in ((ka, sa), (kb, sb))]
+            assert (sa & ~jaccard._MAIN == len(a)).all() and (len(main[0]) < len(ka) or len(a) < 2 * jaccard.COMMON or len(a) <= light)
+            if jaccard.links(a, b, least):
+                linked += 1
+                assert len(np.intersect1d(*main))
+    assert linked > 200
+
+
 def test_checked_pairs_of_repeated_ids(spark):
     """Rows of the same id and text are one set, those of another text are none."""
     rows = [(k % 3 if k % 4 else None, " ".join(f"w{j}" for j in range(k % 2, 40 + k % 2))) for k in range(24)]
