@@ -113,15 +113,10 @@ class Clusters:
 
     def nearest(self) -> Column:
         """The number of the nearest centre (the smaller one of equally near ones)."""
-        far = [
-            sum(((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(self.columns, centre)), F.lit(0.0))
-            for centre in self.centres
-        ]
-        least = F.least(*far) if len(far) > 1 else far[0]
-        number = F.lit(len(far) - 1)
-        for i in range(len(far) - 2, -1, -1):
-            number = F.when(far[i] == least, i).otherwise(number)
-        return number.cast("int")
+        apart = [[F.col(c) - F.lit(float(v)) for c, v in zip(self.columns, centre)] for centre in self.centres]
+        far = F.array(*[sum((d * d for d in one), F.lit(0.0)) for one in apart])
+        # A row without a value is put to the last centre.
+        return (F.coalesce(F.array_position(far, F.array_min(far)), F.lit(len(apart))) - 1).cast("int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         text = json.dumps({"columns": self.columns, "centres": self.centres.tolist(), "costs": self.costs})

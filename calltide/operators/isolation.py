@@ -7,6 +7,7 @@ fixed-size sample; scoring walks the broadcast trees over Arrow batches.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from calltide.operators.ensembles import leaves
 from calltide.operators.quantiles import quantiles
 from calltide.session import materialise
 
@@ -22,6 +24,37 @@ _TREE = "tree int, node int, feature int, cut double, left int, right int, depth
 # A tree's candidates are drawn with a chance that gives this many times its size
 # on average; its sample is the part of them with the smallest hashes.
 _SPARE = 1.6
+# Rows that walk together.
+_STEP_ROWS = 1 << 14
+
+
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p)
+    for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _begin_hash(keys: np.ndarray) -> np.ndarray:
+    """The part of Spark's ``xxhash64`` of a long that is the same whatever was hashed before it."""
+    return _turned(keys.view(np.uint64) * _P2, 31) * _P1
+
+
+def _end_hash(mixed: np.ndarray, start: int) -> np.ndarray:
+    """``xxhash64`` of values with the hash ``start`` followed by the long that ``mixed`` was made of."""
+    h = mixed ^ np.uint64((start + int(_P5) + 8) % (1 << 64))
+    h = _turned(h, 27)
+    h *= _P1
+    h += _P4
+    h ^= h >> np.uint64(33)
+    h *= _P2
+    h ^= h >> np.uint64(29)
+    h *= _P3
+    h ^= h >> np.uint64(32)
+    return h.view(np.int64)
 
 
 def _unsuccessful(n) -> float:
@@ -56,7 +89,7 @@ def _grow(values: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
 
 
 def _laid_out(tree: pd.DataFrame, cuts: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """A tree as a complete one: depth, feature and cut's place of inner nodes, depth score of the last level.
+    """A tree as a complete one: depth, feature (-1 of leaves) and cut's place of inner nodes, depth score of the last level.
 
     A leaf above the last level stands for all nodes below it.
     """
@@ -70,7 +103,7 @@ def _laid_out(tree: pd.DataFrame, cuts: list[np.ndarray]) -> tuple[int, np.ndarr
             inner = [(nodes[row.left], 2 * at + 1, level + 1), (nodes[row.right], 2 * at + 2, level + 1)]
             slots += inner
             todo += inner
-    feature = np.zeros((2 << depth) - 1, dtype=np.intp)
+    feature = np.full((2 << depth) - 1, -1, dtype=np.intp)
     place, value = np.zeros(len(feature), dtype=np.int32), np.zeros(len(feature))
     for row, at, level in slots:
         if row.feature >= 0:
@@ -102,7 +135,7 @@ class IsolationForest:
         contamination: float = 0.05,
         seed: int = 42,
     ) -> "IsolationForest":
-        """``rows`` hold numeric ``features`` and a unique ``key``.
+        """``rows`` hold numeric ``features`` and a unique whole number ``key``.
 
         Every tree draws its own ``sample`` of all rows: the rows with the smallest
         hashes of (tree, key). A row is kept for the trees for which its hash lies
@@ -111,14 +144,26 @@ class IsolationForest:
         """
         spark = rows.sparkSession
         features = tuple(features)
-        vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
         share = min(1.0, (sample * _SPARE + 64) / max(1, rows.count()))
-        most = F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
-        drawn = F.expr(f"sequence(0, {n_trees - 1})")
-        drawn = F.filter(drawn, lambda t: F.xxhash64(F.lit(seed + 1), t, F.col("_key")) <= most)
+        most = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+        # The hash of (tree, key) goes on from that of the tree.
+        begun = spark.range(1).select(*[F.xxhash64(F.lit(seed + 1), F.lit(t)) for t in range(n_trees)]).first()
+
+        def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                mixed = _begin_hash(part["_key"].to_numpy(np.int64))
+                drawn = [np.flatnonzero(_end_hash(mixed, start) <= most) for start in begun]
+                at = np.concatenate(drawn)
+                if len(at):
+                    out = part.iloc[at]
+                    trees = np.repeat(np.arange(n_trees), [len(d) for d in drawn])
+                    yield pd.DataFrame({"_key": out["_key"], "_v": list(out[names].to_numpy(float)), "tree": trees})
+
+        names = [f"v{i}" for i in range(len(features))]
+        numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in zip(features, names)]
         picked = (
-            rows.select(F.col(key).alias("_key"), vector.alias("_v"))
-            .select("_key", "_v", F.explode(drawn).alias("tree"))
+            rows.select(F.col(key).cast("long").alias("_key"), *numbers)
+            .mapInPandas(draw, "_key long, _v array<double>, tree int")
             .withColumn("_t", F.xxhash64(F.lit(seed + 1), F.col("tree"), F.col("_key")))
             .withColumn(
                 "_rank", F.row_number().over(Window.partitionBy("tree").orderBy("_t", "_key"))
@@ -151,38 +196,35 @@ class IsolationForest:
     def _depth_score(self) -> Column:
         """Minus the anomaly value of the paper, as a vectorised function.
 
-        Trees are laid out as complete ones (children of i: 2 i + 1 and 2 i + 2), so every
-        row takes the same number of steps in a tree, without sorting out those that have
-        arrived. Values are first turned into their places among the cuts of their feature,
-        small numbers that compare with a cut's place as the values do.
+        Trees are laid out as complete ones and walked by :func:`leaves`. Values are first turned into
+        their places among the cuts of their feature, small numbers that compare with a cut's place as the values do.
         """
         feature_names, norm = self.features, _unsuccessful(self.sample)
         cuts = [
             np.unique(self.trees.loc[self.trees["feature"] == f, "cut"].to_numpy(float))
             for f in range(len(feature_names))
         ]
-        forest = [_laid_out(part, cuts) for _, part in self.trees.groupby("tree")]
+        number = np.uint16 if max(map(len, cuts)) < 1 << 16 else np.uint32
+        forest = []
+        for _, part in self.trees.groupby("tree"):
+            depth, feature, place, value = _laid_out(part, cuts)
+            inner = (1 << depth) - 1
+            forest.append((depth, feature[:inner], place[:inner].astype(number), value[inner:]))
 
         @F.pandas_udf(DoubleType())
         def walk(*columns: pd.Series) -> pd.Series:
-            n = len(columns[0])
-            places = np.empty((len(columns), n), dtype=np.int32)
-            for f, column in enumerate(columns):
-                # How many cuts are not above the value; no value is below no cut.
-                places[f] = np.searchsorted(cuts[f], column.to_numpy(dtype=float, na_value=0.0), side="right")
-            flat, every = places.ravel(), np.arange(n)
-            total = np.zeros(n)
-            for depth, feature, place, value in forest:
-                start = feature * n
-                at = np.zeros(n, dtype=np.intp)
-                for _ in range(depth):
-                    above = flat.take(start.take(at) + every) > place.take(at)
-                    at += at
-                    at += 1
-                    at += above
-                total += value.take(at)
+            total = np.zeros(len(columns[0]))
+            values = [c.to_numpy(dtype=float, na_value=0.0) for c in columns]
+            for low in range(0, len(total), _STEP_ROWS):
+                here = total[low : low + _STEP_ROWS]
+                places = np.empty((len(values), len(here)), dtype=number)
+                for f, column in enumerate(values):
+                    # How many cuts are not above the value; no value is below no cut.
+                    places[f] = np.searchsorted(cuts[f], column[low : low + _STEP_ROWS], side="right")
+                for depth, feature, place, value in forest:
+                    here += value.take(leaves(places, feature, place, depth))
             mean_depth = total / len(forest)
-            return pd.Series(-np.power(2.0, -mean_depth / norm) if norm > 0 else -np.ones(n))
+            return pd.Series(-np.power(2.0, -mean_depth / norm) if norm > 0 else -np.ones(len(total)))
 
         return walk(*[F.col(c).cast("double") for c in feature_names])
 

@@ -8,15 +8,8 @@ from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +24,7 @@ from calltide.operators.features import (
     process_features,
 )
 from calltide.operators.clusters import Clusters
+from calltide.operators.ensembles import Blocks, TreeEnsemble, boost, grow_forest
 from calltide.operators.isolation import IsolationForest
 from calltide.operators.process import process_keys, with_targets
 from calltide.operators.ranking import exact_auc
@@ -51,8 +45,6 @@ def encoder(labels: tuple[str, ...]) -> StringIndexer:
 
 
 SCALED = [f"scaled_{c}" for c in CALL_FEATURES]
-# Thresholds that trees try per column; the labels are thresholds on ratios.
-MAX_BINS = 256
 
 
 def call_inputs() -> Pipeline:
@@ -115,8 +107,8 @@ class CallModel:
     """Slow-call and optimisation classifiers, anomaly detector and clusters."""
 
     inputs: PipelineModel
-    latency: GBTClassificationModel
-    optimization: RandomForestClassificationModel
+    latency: TreeEnsemble
+    optimization: TreeEnsemble
     anomaly: IsolationForest
     clusters: Clusters
     metrics: dict
@@ -132,8 +124,8 @@ class CallModel:
     ) -> "CallModel":
         """Trains on labelled calls; the split is a hash of ``key``.
 
-        The prepared rows are written once: boosting reads them ``iterations``
-        times and must not parse and label again.
+        The prepared rows are written once, and once more as blocks of bytes for the
+        trees, which read them many times and must not parse and label again.
         """
         plain = [c for c in CALL_FEATURES if not c.endswith("_encoded")]
         rows = call_features(calls).select(
@@ -145,52 +137,46 @@ class CallModel:
         )
         rows = materialise(hash_split(rows, *key), "features")
         fitted = call_inputs().fit(rows)
-        prepared = fitted.transform(rows).select(
-            *key, "features", *CALL_FEATURES, *SCALED, "y_high", "y_opt", "part"
-        )
-        train, test, trained, tested = _train_and_test(materialise(prepared, "training"))
+        prepared = fitted.transform(rows).select(*key, *CALL_FEATURES, "y_high", "y_opt", "part")
+        # Standardised columns are cheaper to compute than to read.
+        prepared = fitted.stages[1].transform(materialise(prepared, "training"))
+        train, test, trained, tested = _train_and_test(prepared)
 
-        booster = GBTClassifier(
-            labelCol="y_high", maxIter=iterations, maxDepth=6, maxBins=MAX_BINS, stepSize=0.1, seed=SEED
-        )
-        forest = RandomForestClassifier(labelCol="y_opt", numTrees=trees, maxDepth=8, maxBins=MAX_BINS, seed=SEED)
-        # Columns next to the vector, so that the forest's walk needs no vector type.
+        # One hash of the key for the draws of both forests.
         keyed = train.withColumn("_key", F.xxhash64(*key))
+        blocks = Blocks.of(keyed, tuple(SCALED), ("y_high", "y_opt"), "_key", trained)
+        blocks = blocks.written(lambda df: materialise(df, "blocks"))
         latency, optimization, anomaly, clusters = _at_once(
             calls.sparkSession,
             trained,
-            lambda: booster.fit(train),
-            lambda: forest.fit(train),
+            lambda: boost(blocks, "y_high", rounds=iterations, depth=6, step=0.1),
+            lambda: grow_forest(blocks, "y_opt", n_trees=trees, depth=8, seed=SEED),
             lambda: IsolationForest.fit(keyed, tuple(CALL_FEATURES), "_key", n_trees=trees, seed=SEED),
             lambda: Clusters.fit(train, tuple(SCALED), k=5, restarts=restarts, seed=SEED),
         )
 
+        # Both models score the test rows once, for all figures.
         scored = {"latency_model": (latency, "y_high"), "optimization_model": (optimization, "y_opt")}
+        both = [model.probability().alias(f"p_{label}") for model, label in scored.values()]
+        predicted = materialise(test.select("y_high", "y_opt", *both), "predicted")
         metrics = {"samples_trained": trained, "samples_tested": tested}
-        for name, (model, label) in scored.items():
-            predicted = model.transform(test).withColumn("_p", vector_to_array("probability")[1])
+        for name, (_, label) in scored.items():
+            right = (F.col(f"p_{label}") > 0.5).cast("double") == F.col(label)
             metrics[name] = {
-                "auc_roc": exact_auc(predicted, "_p", label).first()["auc"],
-                "accuracy": MulticlassClassificationEvaluator(
-                    labelCol=label, metricName="accuracy"
-                ).evaluate(predicted),
+                "auc_roc": exact_auc(predicted, f"p_{label}", label).first()["auc"],
+                "accuracy": predicted.agg(F.avg(right.cast("double"))).first()[0],
             }
-        metrics["feature_importance"] = dict(
-            zip(CALL_FEATURES, [float(v) for v in latency.featureImportances.toArray()])
-        )
+        metrics["feature_importance"] = dict(zip(CALL_FEATURES, latency.importance))
         return cls(fitted, latency, optimization, anomaly, clusters, metrics)
 
     def transform(self, calls: DataFrame) -> DataFrame:
         """Adds the six score columns."""
         rows = self.inputs.transform(call_features(calls))
         kept = calls.columns
-        for model, name in ((self.latency, "high_latency_probability"), (self.optimization, "optimization_probability")):
-            scored = model.transform(rows)
-            rows = scored.withColumn(name, vector_to_array("probability")[1]).drop(
-                "rawPrediction", "probability", "prediction"
-            )
         scored = (
-            rows.withColumn("pattern_cluster", self.clusters.nearest())
+            rows.withColumn("high_latency_probability", self.latency.probability())
+            .withColumn("optimization_probability", self.optimization.probability())
+            .withColumn("pattern_cluster", self.clusters.nearest())
             .withColumn("anomaly_score", self.anomaly.score())
             .withColumn("is_anomaly", F.col("anomaly_score") < 0)
             .withColumn(
@@ -211,11 +197,9 @@ class CallModel:
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
-        parts = {
-            "inputs": self.inputs, "latency": self.latency, "optimization": self.optimization,
-        }
-        for name, part in parts.items():
-            part.write().overwrite().save(f"{path}/{name}")
+        self.inputs.write().overwrite().save(f"{path}/inputs")
+        self.latency.save(spark, f"{path}/latency")
+        self.optimization.save(spark, f"{path}/optimization")
         self.anomaly.save(spark, f"{path}/anomaly")
         self.clusters.save(spark, f"{path}/clusters")
         _save_config(spark, f"{path}/config", {"feature_columns": CALL_FEATURES, "training_metrics": self.metrics})
@@ -224,8 +208,8 @@ class CallModel:
     def load(cls, spark: SparkSession, path: str) -> "CallModel":
         return cls(
             PipelineModel.load(f"{path}/inputs"),
-            GBTClassificationModel.load(f"{path}/latency"),
-            RandomForestClassificationModel.load(f"{path}/optimization"),
+            TreeEnsemble.load(spark, f"{path}/latency"),
+            TreeEnsemble.load(spark, f"{path}/optimization"),
             IsolationForest.load(spark, f"{path}/anomaly"),
             Clusters.load(spark, f"{path}/clusters"),
             _load_config(spark, f"{path}/config")["training_metrics"],
