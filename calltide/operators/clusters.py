@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Rows that starting centres are chosen from, by hash order of their values.
 START_ROWS = 4096
+# Rows whose distances to all centres stay in a core's cache.
+_STEP_ROWS = 1024
 
 
 def _spread_out(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -50,7 +52,7 @@ class Clusters:
 
         A step is one aggregation: every task gives the sums of the rows nearest to each
         (restart, centre), restarts * k rows of sums made by matrix products over all restarts
-        at once, which are added up by that key. The centres start from a bounded sample of the rows (``START_ROWS``
+        at once, which are added up by that key (a restart's cost stands at its first centre). The centres start from a bounded sample of the rows (``START_ROWS``
         by hash); every row counts in every step. ``rows`` should be a written table.
         """
         columns = tuple(columns)
@@ -68,27 +70,33 @@ class Clusters:
 
             def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held = shared.value.reshape(restarts * k, -1)
-                size = (held**2).sum(axis=1)[:, None]
-                first = np.arange(restarts)[:, None] * k
-                count, cost = np.zeros(restarts * k), np.zeros(restarts * k)
-                moved = np.zeros(held.shape)
+                # Times a row and 1: its squared distance less its own size, which is the same for every centre.
+                apart = np.hstack([-2 * held, (held**2).sum(axis=1)[:, None]])
+                cost, moved = np.zeros(restarts), np.zeros(apart.shape)
+                far, flags = np.empty((2, restarts * k, _STEP_ROWS))
                 for part in parts:
-                    x = part.to_numpy(float)
-                    # Less the row's own size, which is the same for every centre.
-                    far = (size - 2 * (held @ x.T)).reshape(restarts, k, len(x))
-                    near, least = np.zeros((restarts, len(x)), dtype=np.int64), far[:, 0].copy()
-                    for i in range(1, k):
-                        near[far[:, i] < least] = i
-                        np.minimum(least, far[:, i], out=least)
-                    least = np.maximum(least + (x**2).sum(axis=1), 0)
-                    chosen = (near + first).ravel()
-                    count += np.bincount(chosen, minlength=restarts * k)
-                    cost += np.bincount(chosen, least.ravel(), minlength=restarts * k)
-                    is_near = near[:, None, :] == np.arange(k)[None, :, None]
-                    moved += is_near.reshape(restarts * k, -1).astype(float) @ x
-                out = pd.DataFrame(moved, columns=sums)
+                    rows = np.ones((len(part), apart.shape[1]))  # the last column counts
+                    for i, name in enumerate(columns):
+                        rows[:, i] = part[name]
+                    for low in range(0, len(rows), _STEP_ROWS):
+                        x = rows[low : low + _STEP_ROWS]
+                        n = len(x)
+                        all_far = np.matmul(apart, x.T, out=far if n == _STEP_ROWS else None)
+                        by_centre = all_far.reshape(restarts, k, n)
+                        least = by_centre.min(axis=1)
+                        is_near = by_centre == least[:, None, :]
+                        taken = is_near[:, 0].copy()
+                        for i in range(1, k):  # of equally near ones the first
+                            is_near[:, i] &= ~taken
+                            taken |= is_near[:, i]
+                        least += np.einsum("ij,ij->i", x, x) - 1
+                        cost += np.maximum(least, 0, out=least).sum(axis=1)
+                        np.copyto(flags[:, :n], is_near.reshape(restarts * k, n))
+                        moved += flags[:, :n] @ x
+                out = pd.DataFrame(moved[:, :-1], columns=sums)
                 out["restart"], out["centre"] = np.divmod(np.arange(restarts * k), k)
-                yield out.assign(n=count.astype(np.int64), cost=cost)
+                out["n"] = np.rint(moved[:, -1]).astype(np.int64)
+                yield out.assign(cost=np.where(out["centre"] == 0, cost[out["restart"]], 0.0))
 
             found = plain.mapInPandas(add, schema).groupBy("restart", "centre")
             total = found.agg(*[F.sum(c).alias(c) for c in ("n", "cost", *sums)]).toPandas()  # restarts * k rows

@@ -18,3 +18,19 @@ def test_nearest_is_plain_arithmetic(spark):
         assert r.n == (3 if far is None else far.argmin())
     plan = df.select(number.alias("n"))._jdf.queryExecution().toString().lower()
     assert "power" not in plan and "pow(" not in plan
+
+
+def test_distances_take_no_memory_of_their_own(spark, monkeypatch):
+    """However many rows a batch has, a step multiplies pieces of bounded size, and the sums are those of a plain step."""
+    from calltide.operators import clusters
+
+    monkeypatch.setattr(clusters, "_STEP_ROWS", 7)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 2)), 1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(3)
+    found = Clusters.fit(df, ("a", "b"), k=4, restarts=3)
+    far = ((x[:, None, :] - found.centres[None]) ** 2).sum(axis=2)
+    assert abs(found.cost - far.min(axis=1).sum()) < 1e-9 * found.cost
+    near = far.argmin(axis=1)
+    means = np.array([x[near == i].mean(axis=0) for i in range(4)])
+    assert np.abs(means - found.centres).max() < 0.2
